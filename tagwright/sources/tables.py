@@ -29,7 +29,7 @@ SCHEMAS: dict[str, T.StructType] = {
     ]),
     "events": T.StructType([
         T.StructField("event_id", T.LongType()),
-        T.StructField("ts", T.TimestampType()),
+        T.StructField("ts", T.TimestampNTZType()),  # wall-clock, no zone
         T.StructField("user_id", T.LongType()),
         T.StructField("event_type", T.StringType()),
         T.StructField("value", T.DoubleType()),
