@@ -2,5 +2,5 @@
 
 Importing this package registers every query module."""
 
-from . import corpus_queries, extract_queries, lexicon_queries  # noqa: F401
+from . import corpus_queries, extract_queries, lexicon_queries, scoring_queries  # noqa: F401
 from .registry import OPERATOR_IDS, ORACLES, QUERIES  # noqa: F401
