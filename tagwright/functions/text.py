@@ -112,8 +112,14 @@ def strip_accents_ascii(text: Column) -> Column:
     """C11: NFKD then drop what is not ASCII (``strip_accents='ascii'``)."""
     src, dst, multi = _fold_tables()
     t = text
-    for ch, rep in multi:
-        t = F.replace(t, F.lit(ch), F.lit(rep))
+    if multi:
+        # the multi-letter forms are rare: one scan decides whether the
+        # chain of replacements runs at all (CASE WHEN evaluates lazily)
+        chain = t
+        for ch, rep in multi:
+            chain = F.replace(chain, F.lit(ch), F.lit(rep))
+        cls = "[" + _ranges(sorted(ord(ch) for ch, _ in multi)) + "]"
+        t = F.when(t.rlike(cls), chain).otherwise(t)
     t = F.translate(t, src, dst)
     return F.regexp_replace(t, r"[^\x00-\x7F]", "")
 

@@ -31,3 +31,13 @@ N_FOLDS = 5
 
 # Votes: key (user_id, day); a vote is 1 for these event types.
 VOTE_TYPES = ("purchase", "signup")
+
+# A short stop list for the bag-of-words queries over the four-language test
+# prose (the library default is Spark ML's English list).
+STOP_WORDS = ["a", "an", "and", "de", "der", "die", "el", "en", "in", "is", "it", "la", "le",
+              "of", "que", "the", "to", "und"]
+VOCAB_SIZE = 2000
+# Penalties tried by the registered cross-validation query: every twelfth
+# point of the 25-point grid (the library default is all 25).
+GRID_POINTS = (0, 12, 24)
+MAX_ITER = 20
