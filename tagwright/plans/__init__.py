@@ -2,6 +2,6 @@
 
 Importing this package registers every query module."""
 
-from . import (corpus_queries, extract_queries, lexicon_queries,  # noqa: F401
+from . import (corpus_queries, extract_queries, io_queries, lexicon_queries,  # noqa: F401
                model_queries, scoring_queries)
 from .registry import OPERATOR_IDS, ORACLES, QUERIES  # noqa: F401

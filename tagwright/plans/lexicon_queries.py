@@ -280,3 +280,20 @@ SELECT doc_id, doc_id IN (SELECT doc_id FROM h) AS found FROM documents
 def q_large_dictionary_tag(spark, sf):
     terms = _term_table(spark, sf).select("term")
     return LX.large_dictionary_tag(_docs(spark, sf), "doc_id", "text", terms, max_words=2)
+
+
+# --- the flagship rule as a streaming job ------------------------------------------------
+@register("stream_polarity_rule", op="D7 (stream)", sql=POLARITY_SQL)
+def q_stream_polarity_rule(spark, sf):
+    """Documents arriving as files are tagged incrementally by the same
+    expressions; the appended sink equals the batch result."""
+    from ..sources.tables import SCHEMAS
+    from ..streaming.tagging import run_to_completion, stream_files
+    src = stream_files(spark, sf, SCHEMAS["documents"], glob="documents.parquet")
+
+    def tag(df):
+        out = LX.polarity_rule(df.select("doc_id", "text"), "text", FX.UP, FX.DOWN)
+        return out.select("doc_id", F.col("num_hawkish").cast("bigint"),
+                          F.col("num_dovish").cast("bigint"), "prediction")
+    base = scratch_path(spark, "stream")
+    return run_to_completion(src, tag, f"{base}/sink", f"{base}/checkpoint")
