@@ -127,3 +127,14 @@ def strip_accents_ascii(text: Column) -> Column:
 def argmax(arr: Column) -> Column:
     """0-based index of the largest element, first one on ties."""
     return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
+
+
+def explode_values(arr: Column, name: str):
+    """``explode`` without the filter Catalyst infers from it.
+
+    For ``explode(expr)`` the optimiser adds ``size(expr) > 0`` below the
+    generator -- and pushes it through exchanges -- so an expensive array
+    expression (tokenising a whole text) would run twice, once before any
+    repartitioning. ``explode_outer`` infers nothing; the null row it emits
+    for an empty array is dropped by the caller with :func:`drop_null`."""
+    return F.explode_outer(arr).alias(name)

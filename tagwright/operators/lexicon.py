@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.patterns import Lexicon, phrase_pattern
+from ..functions.text import explode_values
 
 SPAN_TYPE = T.ArrayType(T.StructType([
     T.StructField("term", T.StringType()),
@@ -46,25 +47,29 @@ def match_spans(text, lex: Lexicon) -> Column:
     """``array<struct<term,start,end>>`` with code-point offsets, end exclusive.
 
     The text split on the same pattern yields the gaps between matches, so
-    match i starts after gaps 0..i and matches 0..i-1. One left fold walks
-    the two arrays; nothing leaves the JVM.
+    match i starts after gaps 0..i and matches 0..i-1. Matches and gaps are
+    computed once (as the two arguments of one ``zip_with``; an expression
+    referenced inside a lambda would be re-evaluated per element), then one
+    left fold accumulates the offsets; nothing leaves the JVM.
     """
     t = _col(text)
     p = lex.spark_pattern()
     m = F.regexp_extract_all(t, F.lit(p), 0)
     g = F.split(t, p, -1)
+    # g has one element more than m: zip_with pads m with a null there
+    pairs = F.zip_with(m, g, lambda x, y: F.struct(x.alias("term"), F.length(y).alias("gap"),
+                                                   F.length(x).alias("len")))
     init = F.struct(F.lit(0).alias("off"), F.array().cast(SPAN_TYPE).alias("spans"))
 
-    def step(acc, i):
-        start = acc["off"] + F.length(g[i])
-        end = start + F.length(m[i])
-        span = F.struct(m[i].alias("term"), start.cast("int").alias("start"),
+    def step(acc, pr):
+        start = acc["off"] + pr["gap"]
+        end = start + pr["len"]
+        span = F.struct(pr["term"].alias("term"), start.cast("int").alias("start"),
                         end.cast("int").alias("end"))
-        return F.struct(end.alias("off"), F.array_append(acc["spans"], span).alias("spans"))
+        return F.when(pr["term"].isNull(), acc).otherwise(
+            F.struct(end.alias("off"), F.array_append(acc["spans"], span).alias("spans")))
 
-    idx = F.when(F.size(m) > 0, F.sequence(F.lit(0), F.size(m) - 1)).otherwise(
-        F.array().cast("array<int>"))
-    out = F.aggregate(idx, init, step)["spans"]
+    out = F.aggregate(pairs, init, step)["spans"]
     return F.coalesce(out, F.array().cast(SPAN_TYPE))
 
 
@@ -184,8 +189,8 @@ def large_dictionary_tag(df: DataFrame, key: str, text: str, terms: DataFrame,
         # every run of n consecutive tokens, joined by one blank
         g = F.transform(F.sequence(F.lit(1), F.size("tok") - (n - 1)), _ngram_at(n))
         grams.append(F.when(F.size("tok") >= n, g).otherwise(F.array().cast("array<string>")))
-    exploded = base.select(F.col(key), F.explode(F.array_distinct(F.flatten(F.array(*grams))))
-                           .alias("gram"))
+    exploded = base.select(F.col(key), explode_values(
+        F.array_distinct(F.flatten(F.array(*grams))), "gram")).where(F.col("gram").isNotNull())
     right = F.broadcast(norm_terms) if n_terms <= broadcast_limit else norm_terms
     hit = exploded.join(right, "gram", "left_semi").select(key).distinct()
     del spark

@@ -219,13 +219,13 @@ def _term_table(spark, sf):
     b = read_table(spark, sf, "benchmark", ["text"])
     toks = F.regexp_extract_all(F.lower("text"), F.lit(LX.TOKEN_PATTERN), 0)
     b = b.select(toks.alias("toks"))
-    words = b.select(F.explode("toks").alias("term"))
+    words = b.select(TX.explode_values(F.col("toks"), "term"))
     pair_arr = F.when(F.size("toks") >= 2, F.transform(
         F.sequence(F.lit(1), F.size("toks") - 1),
         lambda i: F.concat_ws(" ", F.element_at("toks", i), F.element_at("toks", i + 1)))
     ).otherwise(F.array().cast("array<string>"))
-    pairs = b.select(F.explode(pair_arr).alias("term"))
-    terms = words.unionByName(pairs).distinct()
+    pairs = b.select(TX.explode_values(pair_arr, "term"))
+    terms = words.unionByName(pairs).where(F.col("term").isNotNull()).distinct()
     h = F.length("term") % 4
     return terms.select("term", F.when(h == 0, "yes").when(h == 1, "no").when(h == 2, "1 ")
                         .otherwise("0").alias("part"))

@@ -57,12 +57,23 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+# Tables whose rows carry long texts: the per-row work on them (regular
+# expressions, parsing) is CPU-bound, so they must use every core.
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str,
-               columns: list[str] | None = None) -> DataFrame:
+               columns: list[str] | None = None, spread: bool | None = None) -> DataFrame:
     """Scan one table with its declared schema, projecting ``columns``.
 
     The projection reaches the scan as ``ReadSchema``; a two-column read of
     ``documents`` never touches the other three column chunks.
+
+    ``spread`` (default: on for text tables): when the scan plans fewer
+    splits than the cluster has cores -- a small table written as one row
+    group -- the rows are dealt round-robin over all cores before the
+    CPU-bound per-row work. A large table already has many splits and is
+    left alone, so no shuffle is added at scale.
     """
     reader = spark.read
     schema = SCHEMAS.get(name)
@@ -71,4 +82,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     df = reader.parquet(table_path(sf_dir, name))
     if columns:
         df = df.select(*columns)
+    if spread is None:
+        spread = name in TEXT_TABLES
+    if spread:
+        df = spread_rows(df)
+    return df
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over the default parallelism if it has fewer
+    partitions (planning only; no job is run to decide)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
     return df
