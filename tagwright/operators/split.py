@@ -18,28 +18,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HIST_BROADCAST_ROWS = 2_000_000
-
-
 def hash_key(key: Column | str, seed: int) -> Column:
     k = F.col(key) if isinstance(key, str) else key
     return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
 
 
 def rank_within(df: DataFrame, key: str, seed: int, strata: Sequence[str] = (),
-                digits: int = 3, out: str = "rank") -> DataFrame:
+                digits: int = 3, out: str = "rank", total: str | None = None) -> DataFrame:
     """Add ``out``: 0-based position of the row inside its stratum when the
-    stratum is ordered by (hash, key)."""
+    stratum is ordered by (hash, key); with ``total``, also the stratum size.
+
+    The histogram has at most strata x 16**digits rows. It is joined back
+    without a hint: AQE measures its actual size at run time and broadcasts
+    it when it is under the broadcast threshold, else shuffles -- a size
+    check that costs no extra job."""
     strata = list(strata)
     h = hash_key(key, seed)
     d = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, digits))
     hist = d.groupBy(*strata, "_b").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = hist.select(*strata, "_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
-    # the histogram has at most strata x 16**digits rows; broadcast it only
-    # below a checked bound
-    n_hist = offs.count()
-    offs = F.broadcast(offs) if n_hist <= HIST_BROADCAST_ROWS else offs
+    cols = [*strata, "_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off")]
+    if total:
+        cols.append(F.sum("_c").over(Window.partitionBy(*strata)).alias(total))
+    offs = hist.select(*cols)
     wb = Window.partitionBy(*strata, "_b").orderBy("_h", key)
     return (d.join(offs, strata + ["_b"], "inner")
              .withColumn(out, (F.col("_off") + F.row_number().over(wb) - 1).cast("bigint"))
@@ -48,11 +49,15 @@ def rank_within(df: DataFrame, key: str, seed: int, strata: Sequence[str] = (),
 
 def train_test_split(df: DataFrame, key: str, seed: int = 92, test_size: float = 0.2,
                      out: str = "split") -> DataFrame:
-    """A5: the ``ceil(test_size * n)`` rows first in hash order are test."""
-    n = df.count()
-    k = _ceil_share(n, test_size)
-    r = rank_within(df, key, seed)
-    return r.withColumn(out, F.when(F.col("rank") < k, "test").otherwise("train")).drop("rank")
+    """A5: the ``ceil(test_size * n)`` rows first in hash order are test.
+    ``n`` comes from the same histogram as the ranks (no extra pass) and the
+    ceiling is taken in integers: ``(n * num + den - 1) div den``."""
+    from fractions import Fraction
+    fr = Fraction(str(test_size))
+    r = rank_within(df, key, seed, total="_n")
+    k = F.floor((F.col("_n") * fr.numerator + (fr.denominator - 1)) / F.lit(fr.denominator))
+    return r.withColumn(out, F.when(F.col("rank") < k, "test").otherwise("train")) \
+        .drop("rank", "_n")
 
 
 def _ceil_share(n: int, share: float) -> int:
@@ -69,7 +74,6 @@ def quotas_for(counts: dict, test_size: float) -> dict:
     """Largest-remainder allocation of ``ceil(test_size * n)`` test rows over
     strata, in exact integer arithmetic. Ties in the remainder go to the
     stratum that sorts first."""
-    from fractions import Fraction
     n = sum(counts.values())
     total = _ceil_share(n, test_size)
     q = {k: (c * total) // n for k, c in counts.items()} if n else {}
@@ -77,7 +81,6 @@ def quotas_for(counts: dict, test_size: float) -> dict:
     left = total - sum(q.values())
     for k in sorted(counts, key=lambda k: (-rem[k], str(k)))[:left]:
         q[k] += 1
-    del Fraction
     return q
 
 

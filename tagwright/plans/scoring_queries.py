@@ -167,8 +167,8 @@ def truth_and_test(spark, sf):
     return test.select("doc_id", "label")
 
 
-def predictions(spark, sf):
-    test = truth_and_test(spark, sf)
+def predictions(spark, sf, test=None):
+    test = test if test is not None else truth_and_test(spark, sf)
     d = read_table(spark, sf, "documents", ["doc_id", "text", "lang"]).join(
         test.select("doc_id"), "doc_id", "left_semi")
     rule = LX.all_dictionaries_rule("text", [FX.LEX_A, FX.LEX_B, FX.LEX_C])
@@ -184,21 +184,25 @@ def predictions(spark, sf):
     return dic.unionByName(length).unionByName(const)
 
 
-def codes_of(spark, sf):
-    return CO.category_codes(truth_and_test(spark, sf), "label")
+def codes_of(spark, sf, test=None):
+    test = test if test is not None else truth_and_test(spark, sf)
+    return CO.category_codes(test, "label")
 
 
 def meta_table(spark):
     return spark.createDataFrame(META_ROWS, "method string, num_params bigint, clean_name string")
 
 
-def normalized(spark, sf):
-    return EV.normalize_predictions(predictions(spark, sf), codes_of(spark, sf), fill=FILL)
+def normalized(spark, sf, test=None):
+    test = test if test is not None else truth_and_test(spark, sf)
+    return EV.normalize_predictions(predictions(spark, sf, test), codes_of(spark, sf, test),
+                                    fill=FILL)
 
 
 def per_method_accuracy(spark, sf):
-    common = EV.common_keys(normalized(spark, sf), ["doc_id"])
-    j = common.join(truth_and_test(spark, sf), "doc_id", "inner")
+    test = truth_and_test(spark, sf)
+    common = EV.common_keys(normalized(spark, sf, test), ["doc_id"])
+    j = common.join(test, "doc_id", "inner")
     return EV.accuracy(j, "prediction", "label", ["method"])
 
 
@@ -258,8 +262,9 @@ SELECT CAST(sum(CASE WHEN p.prediction = t.label THEN 1 ELSE 0 END) AS BIGINT) A
 FROM ({PREDS_SQL}) p JOIN ({TEST_SQL}) t ON p.doc_id = t.doc_id WHERE p.method = 'dictionary'
 """)
 def q_accuracy(spark, sf):
-    p = predictions(spark, sf).where(F.col("method") == "dictionary")
-    return EV.accuracy(p.join(truth_and_test(spark, sf), "doc_id"), "prediction", "label")
+    test = truth_and_test(spark, sf)
+    p = predictions(spark, sf, test).where(F.col("method") == "dictionary")
+    return EV.accuracy(p.join(test, "doc_id"), "prediction", "label")
 
 
 @register("normalize_predictions", op="E2", sql=NORM_SQL)
@@ -292,8 +297,9 @@ JOIN (SELECT method, round(avg(CASE WHEN p = y THEN 1 ELSE 0 END), 6) AS accurac
       GROUP BY method) a ON m.method = a.method
 """)
 def q_macro_metrics(spark, sf):
-    common = EV.common_keys(normalized(spark, sf), ["doc_id"])
-    j = common.join(truth_and_test(spark, sf), "doc_id", "inner")
+    test = truth_and_test(spark, sf)
+    common = EV.common_keys(normalized(spark, sf, test), ["doc_id"])
+    j = common.join(test, "doc_id", "inner")
     return EV.macro_metrics(j, "prediction", "label", ["method"])
 
 
@@ -345,7 +351,8 @@ SELECT method, clean_name, num_params, correct, total, accuracy, error_rate, dom
 FROM ({DOMINATED_SQL})
 """)
 def q_scoreboard(spark, sf):
-    sb = EV.scoreboard(predictions(spark, sf), truth_and_test(spark, sf), ["doc_id"],
-                       codes_of(spark, sf), meta_table(spark), fill=FILL)
+    test = truth_and_test(spark, sf)
+    sb = EV.scoreboard(predictions(spark, sf, test), test, ["doc_id"],
+                       codes_of(spark, sf, test), meta_table(spark), fill=FILL)
     return sb.select("method", "clean_name", "num_params", "correct", "total", "accuracy",
                      "error_rate", "dominated")
