@@ -14,15 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
+from .sizing import checked_broadcast, require_small
 
-BROADCAST_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has been counted under ``limit`` rows;
-    otherwise leave the join to a shuffle (and AQE's skew handling)."""
-    n = df.count()
-    return F.broadcast(df) if n <= limit else df
+MAX_CLASSES = 100_000
 
 
 # --- U1, C8, C9 ---------------------------------------------------------------
@@ -66,6 +60,9 @@ def category_codes(df: DataFrame, col: str) -> DataFrame:
     code 0 for the smallest. The distinct values are few (the classes)."""
     from pyspark.sql import Window as W
     vals = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
+    # the numbering window has no partition key: refuse anything but a
+    # small set of classes
+    require_small(vals, MAX_CLASSES, f"classes of {col}")
     return vals.withColumn("code", (F.row_number().over(W.orderBy("value")) - 1).cast("int"))
 
 
@@ -73,12 +70,12 @@ def label_encode(df: DataFrame, col: str, out: str = "label",
                  codes: DataFrame | None = None) -> DataFrame:
     codes = codes if codes is not None else category_codes(df, col)
     m = codes.select(F.col("value").alias(col), F.col("code").alias(out))
-    return df.join(F.broadcast(m), col, "left")
+    return df.join(checked_broadcast(m), col, "left")
 
 
 def label_decode(df: DataFrame, col: str, codes: DataFrame, out: str) -> DataFrame:
     m = codes.select(F.col("code").alias(col), F.col("value").alias(out))
-    return df.join(F.broadcast(m), col, "left")
+    return df.join(checked_broadcast(m), col, "left")
 
 
 # --- A1, A4 -------------------------------------------------------------------------

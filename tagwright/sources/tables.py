@@ -57,9 +57,9 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-# Tables whose rows carry long texts: the per-row work on them (regular
-# expressions, parsing) is CPU-bound, so they must use every core.
-TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+# Columns holding long texts: the per-row work on them (regular
+# expressions, parsing) is CPU-bound, so reads of them must use every core.
+TEXT_COLUMNS = {"text", "html"}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
@@ -69,7 +69,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     The projection reaches the scan as ``ReadSchema``; a two-column read of
     ``documents`` never touches the other three column chunks.
 
-    ``spread`` (default: on for text tables): when the scan plans fewer
+    ``spread`` (default: on when a long-text column is read): when the scan plans fewer
     splits than the cluster has cores -- a small table written as one row
     group -- the rows are dealt round-robin over all cores before the
     CPU-bound per-row work. A large table already has many splits and is
@@ -83,7 +83,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     if columns:
         df = df.select(*columns)
     if spread is None:
-        spread = name in TEXT_TABLES
+        spread = bool(TEXT_COLUMNS & set(df.columns))
     if spread:
         df = spread_rows(df)
     return df
