@@ -86,9 +86,12 @@ def q_document_term_binary(spark, sf):
 
 # --- labelled documents for the models ---------------------------------------------
 def labelled(spark, sf):
+    """Labelled documents with tokens: joined first, so only labelled texts
+    are tokenised (the projection would not move below the join)."""
     lab = read_table(spark, sf, "labels", ["doc_id", "quality"])
-    d = doc_tokens(spark, sf).join(lab, "doc_id", "inner")
-    d = d.withColumn("label", F.col("quality").cast("double"))
+    d = read_table(spark, sf, "documents", ["doc_id", "text"]).join(lab, "doc_id", "inner")
+    d = d.select("doc_id", "quality", FE.tokens(F.col("text"), FX.STOP_WORDS).alias("tokens"),
+                 F.col("quality").cast("double").alias("label"))
     return SP.train_test_split(d, "doc_id", FX.SEED, FX.TEST_SHARE)
 
 

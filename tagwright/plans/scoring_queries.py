@@ -201,7 +201,7 @@ def normalized(spark, sf, test=None):
 
 def per_method_accuracy(spark, sf):
     test = truth_and_test(spark, sf)
-    common = EV.common_keys(normalized(spark, sf, test), ["doc_id"])
+    common = EV.common_keys(normalized(spark, sf, test), ["doc_id"], n_methods=len(META_ROWS))
     j = common.join(test, "doc_id", "inner")
     return EV.accuracy(j, "prediction", "label", ["method"])
 
@@ -274,8 +274,8 @@ def q_normalize_predictions(spark, sf):
 
 @register("join_predictions_all_methods", op="J5", sql=COMMON_SQL)
 def q_join_predictions_all_methods(spark, sf):
-    return EV.common_keys(normalized(spark, sf), ["doc_id"]).select("method", "doc_id",
-                                                                    "prediction")
+    return EV.common_keys(normalized(spark, sf), ["doc_id"], n_methods=len(META_ROWS)).select(
+        "method", "doc_id", "prediction")
 
 
 @register("macro_metrics", op="E3", sql=f"""
@@ -298,7 +298,7 @@ JOIN (SELECT method, round(avg(CASE WHEN p = y THEN 1 ELSE 0 END), 6) AS accurac
 """)
 def q_macro_metrics(spark, sf):
     test = truth_and_test(spark, sf)
-    common = EV.common_keys(normalized(spark, sf, test), ["doc_id"])
+    common = EV.common_keys(normalized(spark, sf, test), ["doc_id"], n_methods=len(META_ROWS))
     j = common.join(test, "doc_id", "inner")
     return EV.macro_metrics(j, "prediction", "label", ["method"])
 
@@ -353,6 +353,7 @@ FROM ({DOMINATED_SQL})
 def q_scoreboard(spark, sf):
     test = truth_and_test(spark, sf)
     sb = EV.scoreboard(predictions(spark, sf, test), test, ["doc_id"],
-                       codes_of(spark, sf, test), meta_table(spark), fill=FILL)
+                       codes_of(spark, sf, test), meta_table(spark), fill=FILL,
+                       n_methods=len(META_ROWS))
     return sb.select("method", "clean_name", "num_params", "correct", "total", "accuracy",
                      "error_rate", "dominated")
