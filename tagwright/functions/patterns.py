@@ -14,8 +14,12 @@ Rules kept for result parity:
   blank;
 * terms are not escaped unless ``escape=True`` (a ``.`` in a term is a
   wildcard, as in the original tool);
-* Spark runs Java regular expressions, whose ``\\b`` and ``\\w`` are ASCII
-  unless the ``U`` flag is on, so patterns carry ``(?uU)`` (plus ``i``).
+* Spark runs Java regular expressions. Even with the ``U`` flag Java's word
+  class differs from Python's (Python also counts numeric characters such
+  as superscript two as word characters; Java counts combining marks), so
+  for Spark every ``\\b`` is written as lookarounds over Python's word class
+  ``[\\p{L}\\p{N}_]``: ``(?<!W)`` before and ``(?!W)`` after a term edge
+  that is a letter or digit, the two-sided form otherwise.
 """
 
 from __future__ import annotations
@@ -23,6 +27,39 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+# Python's \w for str patterns: letters, numbers of every kind, underscore.
+PY_WORD = r"[\p{L}\p{N}_]"
+PY_BOUNDARY = rf"(?:(?<={PY_WORD})(?!{PY_WORD})|(?<!{PY_WORD})(?={PY_WORD}))"
+
+
+def _is_word_char(ch: str) -> bool:
+    return ch == "_" or ch.isalnum()
+
+
+def _java_boundaries(piece: str) -> str:
+    """Rewrite the ``\\b`` of one term piece for Java: a boundary next to a
+    literal letter or digit needs only a one-sided lookaround."""
+    out = []
+    i = 0
+    while i < len(piece):
+        if piece.startswith(r"\b", i):
+            before = piece[i - 1] if i > 0 else ""
+            after = piece[i + 2] if i + 2 < len(piece) else ""
+            if after and _is_word_char(after) and (i == 0 or before in "|("):
+                out.append(f"(?<!{PY_WORD})")
+            elif before and _is_word_char(before) and (i + 2 == len(piece) or after in "|)"):
+                out.append(f"(?!{PY_WORD})")
+            else:
+                out.append(PY_BOUNDARY)
+            i += 2
+        elif piece[i] == "\\" and i + 1 < len(piece):
+            out.append(piece[i:i + 2])
+            i += 2
+        else:
+            out.append(piece[i])
+            i += 1
+    return "".join(out)
+
 
 @dataclass(frozen=True)
 class Lexicon:
@@ -62,11 +99,20 @@ class Lexicon:
         return r"\b" + sep.join(lit(w) for w in term.split(" ")) + r"\b"
 
     def body(self) -> str:
+        """The alternation with ``\\b`` boundaries (Python ``re`` syntax)."""
         return "|".join(self._piece(t, p, s) for t, p, s, _ in self.info())
 
     def spark_pattern(self) -> str:
-        """Java pattern with Unicode word boundaries."""
-        return ("(?iuU)" if self.ignore_case else "(?uU)") + self.body()
+        """Java pattern whose word boundaries follow Python's word class."""
+        pieces = [_java_boundaries(self._piece(t, p, s)) for t, p, s, _ in self.info()]
+        lead = f"(?<!{PY_WORD})"
+        if all(pc.startswith(lead) for pc in pieces):
+            # the same assertion opens every alternative: test it once per
+            # position (same leftmost-first result, fewer checks)
+            body = lead + "(?:" + "|".join(pc[len(lead):] for pc in pieces) + ")"
+        else:
+            body = "|".join(pieces)
+        return ("(?iuU)" if self.ignore_case else "(?uU)") + body
 
     def python_pattern(self) -> re.Pattern:
         return re.compile(self.body(), re.IGNORECASE if self.ignore_case else 0)
@@ -76,7 +122,11 @@ class Lexicon:
         return ("(?i)" if self.ignore_case else "") + self.body()
 
 
+# Python's \s also matches U+001C..U+001F, Java's Unicode \s does not.
+PY_SPACE_RUN = r"[\s\x{1C}-\x{1F}]+"
+
+
 def phrase_pattern(term: str) -> str:
     """A phrase surrounded by whitespace on both sides, words separated
     by any whitespace run: ``\\s+w1\\s+w2\\s+`` (case-sensitive)."""
-    return r"(?U)\s+" + r"\s+".join(term.split()) + r"\s+"
+    return "(?U)" + PY_SPACE_RUN + PY_SPACE_RUN.join(term.split()) + PY_SPACE_RUN

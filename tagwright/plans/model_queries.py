@@ -48,10 +48,16 @@ def q_bow_tokenize(spark, sf):
                     F.array_join("tokens", " ").alias("tokens"))
 
 
+def split_tokens(spark, sf, part: str):
+    """Tokens of one side of the split: the split (ids only) is joined first
+    so that only that side's texts are tokenised."""
+    d = read_table(spark, sf, "documents", ["doc_id", "text"]).join(
+        split_docs(spark, sf).where(F.col("split") == part), "doc_id", "left_semi")
+    return d.select("doc_id", FE.tokens(F.col("text"), FX.STOP_WORDS).alias("tokens"))
+
+
 def train_vocab(spark, sf):
-    t = doc_tokens(spark, sf).join(split_docs(spark, sf).where(F.col("split") == "train"),
-                                   "doc_id", "left_semi")
-    return FE.vocabulary(t, "tokens", FX.VOCAB_SIZE)
+    return FE.vocabulary(split_tokens(spark, sf, "train"), "tokens", FX.VOCAB_SIZE)
 
 
 @register("vocabulary_topk", op="M2", sql=VOCAB_SQL)
@@ -67,9 +73,7 @@ DTM_SQL = f"""SELECT t.doc_id, w.term, count(*) AS n FROM (
 
 def test_dtm(spark, sf, binary=False):
     vocab = train_vocab(spark, sf)
-    test = doc_tokens(spark, sf).join(split_docs(spark, sf).where(F.col("split") == "test"),
-                                      "doc_id", "left_semi")
-    return FE.document_term_long(test, "doc_id", vocab, binary=binary)
+    return FE.document_term_long(split_tokens(spark, sf, "test"), "doc_id", vocab, binary=binary)
 
 
 @register("document_term_matrix", op="M3", sql=DTM_SQL)
