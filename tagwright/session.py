@@ -75,3 +75,22 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cluster_conf(total_cores: int) -> dict[str, str]:
+    """Settings for a large cluster (pass to ``SparkSession.builder.config``).
+
+    Input splits of 256 MB keep a task's texts in memory while regexes run;
+    many shuffle partitions with AQE coalescing adapt to the real data size;
+    AQE's skew join splits hot keys; Arrow batches are kept small because a
+    row may hold a whole article."""
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.shuffle.partitions": str(max(200, 4 * total_cores)),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    }

@@ -15,7 +15,8 @@ from tagwright.functions.patterns import Lexicon
 from tagwright.operators import lexicon as LX
 
 ALPHABET = list("abcdeghilnorstu") + list("ÄäÉéèñöüß") + [" ", " ", " ", "-", "\n", "\t", ".",
-                                                          ",", "'", "²", "3", "_", " "]
+                                                          ",", "'", "²", "3", "_", " "] + \
+    ["İ", "Σ", "ς", "ﬁ", "①", "Ⅻ", "½", "\u00a0", "\u2003", "\x1c", "ǆ", "e\u0301", "٣", "‿"]
 WORDS = ["er", "the", "in", "an", "and", "he", "rate", "hike", "cut", "ease", "tion",
          "über", "été", "white", "house", "tight"]
 

@@ -88,3 +88,29 @@ def test_scorer_keeps_keys(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, None)], "k int, text string")
     got = {r.k: r.response for r in RS.score_with_model(df, ["k"], "text").collect()}
     assert got == {1: '{"n_words": 3}', 2: '{"n_words": 0}'}
+
+
+def test_prediction_folder_golden_shape(spark, tmp_path):
+    """Files shaped like the published prediction files: one string-valued
+    method, one integer-coded method, one with a missing answer."""
+    from tagwright.sources.files import read_prediction_files
+    rows = {"dictionary": "ID,prediction\n80_3,neutral\n81_0,hawkish\n82_1,dovish\n",
+            "lr": "ID,prediction\n80_3,2\n81_0,1\n82_1,0\n",
+            "gemma-2-9b-it": "ID,prediction\n80_3,neutral\n81_0,\n82_1,dovish\n"}
+    for name, body in rows.items():
+        (tmp_path / f"fed_tagged_{name}.csv").write_text(body)
+    (tmp_path / "fed_compare.csv").write_text("ignored\n")
+    preds = read_prediction_files(spark, str(tmp_path), "fed", "ID string, prediction string")
+    preds = preds.withColumnRenamed("ID", "id")
+    codes = spark.createDataFrame([(0, "dovish"), (1, "hawkish"), (2, "neutral")],
+                                  "code int, value string")
+    norm = EV.normalize_predictions(preds, codes, fill="neutral")
+    got = {(r.method, r.id): r.prediction for r in norm.collect()}
+    assert got[("lr", "80_3")] == "neutral" and got[("lr", "82_1")] == "dovish"
+    assert got[("gemma-2-9b-it", "81_0")] == "neutral"
+    assert len(got) == 9
+    truth = spark.createDataFrame([("80_3", "neutral"), ("81_0", "hawkish"), ("82_1", "dovish")],
+                                  "id string, label string")
+    acc = {r.method: r.correct for r in EV.accuracy(
+        EV.common_keys(norm, ["id"]).join(truth, "id"), "prediction", "label", ["method"]).collect()}
+    assert acc == {"dictionary": 3, "lr": 3, "gemma-2-9b-it": 2}
