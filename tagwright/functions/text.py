@@ -24,13 +24,6 @@ WS_RUN = "(?U)" + WS_CLASS + "+"
 PUNCTUATION = string.punctuation.replace("-", "").replace("'", "")
 
 
-def _java_class_escape(chars: str) -> str:
-    return "".join("\\" + c if not c.isalnum() else c for c in chars)
-
-
-PUNCT_CLASS = "[" + _java_class_escape(PUNCTUATION) + "]"
-
-
 def _ranges(codepoints: list[int]) -> str:
     out = []
     i = 0
@@ -45,21 +38,22 @@ def _ranges(codepoints: list[int]) -> str:
 
 
 @lru_cache(maxsize=1)
-def digit_class() -> str:
+def digit_chars() -> str:
     """Every character for which Python's ``str.isdigit`` is true: decimal
-    digits plus superscripts, subscripts, circled digits, ... (derived from
-    the Unicode database on the driver, once)."""
-    extra = [cp for cp in range(sys.maxunicode + 1)
-             if chr(cp).isdigit() and unicodedata.category(chr(cp)) != "Nd"]
-    return "[\\p{Nd}" + _ranges(extra) + "]"
+    digits of all scripts plus superscripts, subscripts, circled digits, ...
+    (derived from the Unicode database on the driver, once)."""
+    return "".join(chr(cp) for cp in range(sys.maxunicode + 1)
+                   if chr(cp).isdigit() and not 0xD800 <= cp <= 0xDFFF)
 
 
 def clean_sequence(text: Column) -> Column:
     """Lower case; punctuation -> one blank; delete digits; collapse
-    blank runs to one blank (no strip)."""
+    blank runs to one blank (no strip). The two character mappings are
+    ``translate`` calls (a hash lookup per character); only the blank runs
+    need a regular expression."""
     t = F.lower(text)
-    t = F.regexp_replace(t, PUNCT_CLASS, " ")
-    t = F.regexp_replace(t, digit_class(), "")
+    t = F.translate(t, PUNCTUATION, " " * len(PUNCTUATION))
+    t = F.translate(t, digit_chars(), "")
     return F.regexp_replace(t, WS_RUN, " ")
 
 

@@ -43,11 +43,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if the
     session has none (as in tests)."""
-    sc = spark.sparkContext
-    path = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: only the SQL conf is visible
+        sc = None
+    path = sc.getCheckpointDir() if sc is not None else None
     if path:
         return path
-    conf = sc.getConf().get(CHECKPOINT_CONF, None)
+    conf = sc.getConf().get(CHECKPOINT_CONF, None) if sc is not None else None
     if not conf:
         try:
             conf = spark.conf.get(CHECKPOINT_CONF)
@@ -55,8 +58,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             conf = None
     if not conf:
         conf = tempfile.mkdtemp(prefix="tagwright-ckpt-")
-    sc.setCheckpointDir(conf)
-    return sc.getCheckpointDir() or conf
+    if sc is not None:
+        sc.setCheckpointDir(conf)
+        return sc.getCheckpointDir() or conf
+    return conf
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -92,7 +92,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
 def spread_rows(df: DataFrame) -> DataFrame:
     """Round-robin ``df`` over the default parallelism if it has fewer
     partitions (planning only; no job is run to decide)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave the plan alone
+        return df
+    if parts < cores:
         return df.repartition(cores)
     return df
