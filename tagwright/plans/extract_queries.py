@@ -140,13 +140,21 @@ RUN_HEAD = ("{\\cs15\\lang1033\\langfe1033\\b0\\i0\\ul0\\strike0\\scaps0\\fs24\\
             "\\charscalex100\\expndtw0\\cf1\\dn0 ")
 
 
+def _rtf_char(c):
+    plain = (F.ascii(c) < 128) & ~c.isin("\\", "{", "}")
+    return F.when(plain, c).otherwise(
+        F.concat(F.lit("\\'"), F.lower(F.hex(F.encode(c, "ISO-8859-1")))))
+
+
 def documents_as_rtf(spark, sf):
-    """Each line becomes one formatted run whose characters are all written
-    as ``\\'hh`` escapes (ISO-8859-1), paragraphs separated by ``\\par``."""
+    """Each line becomes one formatted run; characters outside ASCII and the
+    RTF specials are written as ``\\'hh`` escapes (ISO-8859-1), paragraphs
+    are separated by ``\\par``. Lines that need no escape are copied."""
     d = read_table(spark, sf, "documents", ["doc_id", "text"])
 
     def run(line):
-        esc = F.regexp_replace(F.hex(F.encode(line, "ISO-8859-1")), "(..)", r"\\'$1")
+        per_char = F.array_join(F.transform(F.split(line, "", -1), _rtf_char), "")
+        esc = F.when(line.rlike(r"[^\x00-\x7F]|[\\{}]"), per_char).otherwise(line)
         return F.concat(F.lit(RUN_HEAD), esc, F.lit("}"))
     body = F.array_join(F.transform(F.split("text", "\n", -1), run), "\\par\n")
     return d.select("doc_id", F.concat(F.lit("{\\rtf1\\ansi "), body, F.lit("}")).alias("rtf"))
