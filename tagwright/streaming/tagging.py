@@ -17,11 +17,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def stream_files(spark: SparkSession, folder: str, schema: T.StructType,
-                 glob: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A streaming scan of Parquet files arriving in ``folder``."""
+                 glob: str | None = None, max_files_per_trigger: int | None = None,
+                 recursive: bool = False) -> DataFrame:
+    """A streaming scan of Parquet files arriving in ``folder`` (and its
+    subfolders when ``recursive``)."""
     r = spark.readStream.schema(schema)
     if glob:
         r = r.option("pathGlobFilter", glob)
+    if recursive:
+        r = r.option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.parquet(folder)
