@@ -27,12 +27,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def match_terms(text, lex: Lexicon) -> Column:
-    """Every non-overlapping leftmost match, as matched text (D3)."""
-    return F.coalesce(F.regexp_extract_all(_col(text), F.lit(lex.spark_pattern()), 0),
-                      F.array().cast("array<string>"))
-
-
 def match_count(text, lex: Lexicon) -> Column:
     """Number of matches."""
     return F.coalesce(F.regexp_count(_col(text), F.lit(lex.spark_pattern())), F.lit(0))

@@ -1,22 +1,14 @@
 """Size checks for tables the plans assume to be small.
 
-A broadcast hint is only given after the table has been counted under a
-bound; above it the join is left to a shuffle (and AQE's skew handling).
-Tables that must be small by meaning (classes, methods) raise instead.
+Tables that must be small by meaning (classes, methods) are counted -- the
+count stops one row past the bound -- and refused above it. Data-derived
+tables without such a bound are joined without a hint: AQE measures them at
+run time and broadcasts only what is under its threshold.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 2_000_000
-
-
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``limit`` rows, else ``df``."""
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
 
 
 def require_small(df: DataFrame, limit: int, what: str) -> int:

@@ -38,6 +38,8 @@ def test_part_truthiness(spark, tmp_path):
     strict = {r.term: r.part for r in DS.read_dictionary_table(spark, str(p), True).collect()}
     assert strict == {"a": True, "b": False, "c": True, "d": False}
     assert [DS.part_value(v) for v in ("yes", "no", "1 ", "0")] == [True, True, True, False]
+    lex = DS.lexicon_from_table(DS.read_dictionary_table(spark, str(p)), name="t")
+    assert dict(zip(lex.terms, lex.part_of_word)) == got
 
 
 def test_shipped_dovish_terms_are_all_prefixes():
