@@ -142,3 +142,16 @@ def explode_values(arr: Column, name: str):
     repartitioning. ``explode_outer`` infers nothing; the null row it emits
     for an empty array is dropped by the caller with :func:`drop_null`."""
     return F.explode_outer(arr).alias(name)
+
+
+def with_column_once(df, name: str, expr: Column):
+    """Add ``expr`` as ``name`` so that it is evaluated once per row even when
+    later filtered on.
+
+    A filter on a projected alias is rewritten by Catalyst into a filter on
+    the expression itself and pushed below the projection (and below any
+    exchange), so an expensive expression -- a regex over a whole text --
+    runs twice, the first time before the rows were spread over the cores.
+    A filter on a generator's output cannot move below the generator, so a
+    one-element ``explode_outer`` keeps the single evaluation in place."""
+    return df.select("*", F.explode_outer(F.array(expr)).alias(name))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import word_count
+from ..functions.text import with_column_once, word_count
 from .sizing import require_small
 
 MAX_CLASSES = 100_000
@@ -39,9 +39,8 @@ def consolidate_text(df: DataFrame, text: str = "text", min_words: int = 100,
                      count_col: str = "num_words") -> DataFrame:
     """C3 + C4 + C5: word counts, keep texts of more than ``min_words`` words,
     drop rows with any null."""
-    return (df.withColumn(count_col, word_count(F.col(text)).cast("bigint"))
-              .where(F.col(count_col) > min_words)
-              .dropna(how="any"))
+    counted = with_column_once(df, count_col, word_count(F.col(text)).cast("bigint"))
+    return counted.where(F.col(count_col) > min_words).dropna(how="any")
 
 
 # --- C7 -------------------------------------------------------------------------

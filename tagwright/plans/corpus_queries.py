@@ -177,7 +177,8 @@ def q_word_count(spark, sf):
 SELECT doc_id FROM documents WHERE {SB.word_count('text')} > 100
 """)
 def q_min_words_filter(spark, sf):
-    return _docs(spark, sf).where(TX.word_count(F.col("text")) > 100).select("doc_id")
+    counted = TX.with_column_once(_docs(spark, sf), "n", TX.word_count(F.col("text")))
+    return counted.where(F.col("n") > 100).select("doc_id")
 
 
 @register("vintage_filter", op="C6", sql="""
