@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +67,31 @@ def match_spans(text, lex: Lexicon) -> Column:
     return F.coalesce(out, F.array().cast(SPAN_TYPE))
 
 
+def match_spans_long(df: DataFrame, key: str, text: str, lex: Lexicon) -> DataFrame:
+    """D3 in long form: one row ``key, i, term, start, end`` per match.
+
+    The array fold of :func:`match_spans` copies its growing array at every
+    match (quadratic in the matches of one text); here each (match, gap)
+    pair becomes a row and the offsets are a running sum over a window
+    partitioned by text, so the work is ``O(m log m)`` however many matches a
+    single huge document has, and the rows spread over tasks by key."""
+    t = F.col(text)
+    p = lex.spark_pattern()
+    m = F.regexp_extract_all(t, F.lit(p), 0)
+    g = F.split(t, p, -1)
+    pairs = F.zip_with(m, g, lambda x, y: F.struct(x.alias("term"), F.length(y).alias("gap"),
+                                                   F.length(x).alias("len")))
+    rows = df.select(F.col(key), F.posexplode_outer(pairs).alias("i", "pr")).where(
+        F.col("pr.term").isNotNull())
+    w = (Window.partitionBy(key).orderBy("i")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    end = F.sum(F.col("pr.gap") + F.col("pr.len")).over(w)
+    return rows.select(F.col(key), F.col("i").cast("int").alias("i"),
+                       F.col("pr.term").alias("term"),
+                       (end - F.col("pr.len")).cast("int").alias("start"),
+                       end.cast("int").alias("end"))
+
+
 def tag_text(df: DataFrame, text: str, lex: Lexicon, search_type: str = "all",
              return_matches: bool = True, prefix: str | None = None) -> DataFrame:
     """``tag_text`` of the original tool as two columns ``<p>_found`` and
@@ -169,7 +194,6 @@ def large_dictionary_tag(df: DataFrame, key: str, text: str, terms: DataFrame,
     Returns ``key, found`` for every input row. Terms are matched
     case-insensitively on whole words, separated by single blanks.
     """
-    spark = df.sparkSession
     norm_terms = (terms.select(F.lower(F.trim(F.col("term"))).alias("gram"))
                   .where(F.length("gram") > 0).distinct())
     if max_words is None:
@@ -187,6 +211,5 @@ def large_dictionary_tag(df: DataFrame, key: str, text: str, terms: DataFrame,
         F.array_distinct(F.flatten(F.array(*grams))), "gram")).where(F.col("gram").isNotNull())
     right = F.broadcast(norm_terms) if n_terms <= broadcast_limit else norm_terms
     hit = exploded.join(right, "gram", "left_semi").select(key).distinct()
-    del spark
     return (df.select(key).join(hit.withColumn("found", F.lit(True)), key, "left")
             .select(key, F.coalesce("found", F.lit(False)).alias("found")))

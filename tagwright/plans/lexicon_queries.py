@@ -297,3 +297,25 @@ def q_stream_polarity_rule(spark, sf):
                           F.col("num_dovish").cast("bigint"), "prediction")
     base = scratch_path(spark, "stream")
     return run_to_completion(src, tag, f"{base}/sink", f"{base}/checkpoint")
+
+
+
+# --- D3 in long form -----------------------------------------------------------------
+def _spans_long_sql(lex):
+    p = lex.ascii_pattern()
+    return f"""
+WITH d AS ({MASKED_DOCS}),
+s AS (SELECT doc_id, regexp_extract_all(t, '{p}') AS m,
+             list_transform(string_split_regex(t, '{p}'), lambda x: length(x)) AS gl FROM d),
+e AS (SELECT doc_id, m, gl, list_transform(m, lambda x: length(x)) AS ml FROM s),
+x AS (SELECT doc_id, m, gl, ml, unnest(range(1, len(m) + 1)) AS k FROM e)
+SELECT doc_id, CAST(k - 1 AS INTEGER) AS i, m[k] AS term,
+  CAST(list_sum(gl[1:k]) + coalesce(list_sum(ml[1:k-1]), 0) AS INTEGER) AS start,
+  CAST(list_sum(gl[1:k]) + coalesce(list_sum(ml[1:k-1]), 0) + ml[k] AS INTEGER) AS "end"
+FROM x
+"""
+
+
+@register("tag_all_long", op="D3 (long)", sql=_spans_long_sql(FX.LEX_A))
+def q_tag_all_long(spark, sf):
+    return LX.match_spans_long(_docs(spark, sf), "doc_id", "text", FX.LEX_A)

@@ -89,3 +89,17 @@ def test_cleaners_equal_python(spark, seed):
         assert r.wc == len(r.t.split()), repr(r.t)
         assert r.c2 == r.t.lower().translate(str.maketrans("", "", punct))
         assert r.fold == py_fold(r.t.lower()), repr(r.t)
+
+
+def test_long_spans_equal_python_re(spark):
+    rng = random.Random(11)
+    texts = random_texts(rng, 150)
+    lex = random_lexicon(rng, 9)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {}
+    for r in LX.match_spans_long(df, "id", "text", lex).collect():
+        got.setdefault(r.id, []).append((r.i, r.term, r.start, r.end))
+    for i, t in enumerate(texts):
+        want = [(k, m.group(0), m.start(), m.end())
+                for k, m in enumerate(lex.python_pattern().finditer(t))]
+        assert sorted(got.get(i, [])) == want, (lex.body(), t)
