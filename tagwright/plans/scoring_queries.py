@@ -57,9 +57,12 @@ def q_prompt_budget(spark, sf):
     return c.select("conv_id", "turn", b.alias("b")).select("conv_id", "turn", "b.*")
 
 
-@register("score_with_model", op="L3")
+@register("score_with_model", op="L3", sql=f"""
+SELECT conv_id, turn, '{{"n_words": ' || CAST({SB.word_count('text')} AS VARCHAR) || '}}' AS response
+FROM conversations
+""")
 def q_score_with_model(spark, sf):
-    """Answers of the stand-in scorer for every turn (rows-only check)."""
+    """Answers of the stand-in scorer (a JSON word count) for every turn."""
     return RS.score_with_model(_conv(spark, sf), ["conv_id", "turn"], "text")
 
 
