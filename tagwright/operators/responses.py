@@ -38,6 +38,16 @@ def prompt_budget(prompt: Column, limit: int = 16385, chars_per_token: int = 5)
                     .alias("short_prompt"))
 
 
+def ship_by_value() -> None:
+    """Pickle this package's functions by value, so Python workers run the
+    scorer without the package being installed on them (no ``--py-files``
+    needed; user scorers from other modules are shipped the usual way)."""
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+
+
 ScorerFactory = Callable[[], Callable[[Sequence[str]], Sequence[str | None]]]
 
 
@@ -60,6 +70,7 @@ def score_with_model(df: DataFrame, keys: Sequence[str], text: str,
     ``spark.sql.execution.arrow.maxRecordsPerBatch``."""
     keys = list(keys)
     schema = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes) + f", {out} string"
+    ship_by_value()
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         score = scorer_factory()
