@@ -58,16 +58,33 @@ def remove_nodes(html, tags: Sequence[str] = ("div",), extra: Sequence[str] = ()
     return t
 
 
+# HTML's implied end of a paragraph (public HTML parsing rules): a <p> ends
+# at </p>, at the start tag of any of these block elements, or at the end of
+# its container -- as a DOM parser such as lxml builds it.
+P_CLOSERS = ["address", "article", "aside", "blockquote", "dd", "details", "div", "dl", "dt",
+             "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5",
+             "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre",
+             "section", "table", "ul"]
+P_OPEN = r"<p(?:\s[^>]*)?>"
+P_END = r"(?s)(?:</p>|<(?:" + "|".join(P_CLOSERS) + r")(?:[\s/>]|$)).*"
+
+
 def paragraph_text(body) -> Column:
-    """Concatenate the text of every ``<p>`` with no separator (X1 core)."""
-    paras = F.regexp_extract_all(_c(body), F.lit(r"(?s)<p(?:\s[^>]*)?>(.*?)</p>"), 1)
+    """Concatenate the text of every ``<p>`` with no separator (X1 core).
+    The body is split at each paragraph opening; each piece is cut at its
+    implied end (``P_END``), so unclosed paragraphs keep their text."""
+    pieces = F.split(_c(body), P_OPEN, -1)
+    paras = F.transform(F.slice(pieces, 2, 1 << 30), lambda x: F.regexp_replace(x, P_END, ""))
     return decode_entities(strip_tags(F.array_join(paras, "")))
 
 
 def html_paragraph_text(html) -> Column:
     """Inside ``<article>``: drop every ``div``, then the text of all
-    paragraphs, concatenated; a missing article gives ""."""
+    paragraphs, concatenated; a missing article gives "". A ``div`` start
+    ends an open paragraph (as when the page is parsed before the divs are
+    removed), so a ``</p>`` is put before each one first."""
     body = F.coalesce(container(html, "article"), F.lit(""))
+    body = F.regexp_replace(body, r"<div(?=[\s/>])", "</p><div")
     return paragraph_text(remove_nodes(body, ("div",)))
 
 

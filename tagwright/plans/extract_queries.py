@@ -39,12 +39,15 @@ def s_strip(t):
 
 
 def s_paragraphs(body):
-    paras = f"array_to_string(regexp_extract_all({body}, '(?s)<p(?:\\s[^>]*)?>(.*?)</p>', 1), '')"
+    pieces = f"string_split_regex({body}, '{EX.P_OPEN}')"
+    paras = (f"array_to_string(list_transform({pieces}[2:], "
+             f"lambda x: regexp_replace(x, '{EX.P_END}', '')), '')")
     return s_entities(s_strip(paras))
 
 
 def s_article_text(h):
-    return s_paragraphs(s_remove(f"coalesce({s_container(h, 'article')}, '')", ["div"]))
+    body = f"regexp_replace(coalesce({s_container(h, 'article')}, ''), '<div([\\s/>])', '</p><div\\1', 'g')"
+    return s_paragraphs(s_remove(body, ["div"]))
 
 
 def s_nonblank(x):

@@ -32,3 +32,67 @@ def test_rtf_runs(spark):
 def test_host_label(spark):
     df = spark.createDataFrame([("https://m.site.net/x",), ("http://www.a.com",)], "u string")
     assert [r[0] for r in df.select(EX.host_label(F.col("u"))).collect()] == ["m", "www"]
+
+
+class _ParagraphDom:
+    """Brute-force reference with the stdlib parser: text of the <p>
+    elements of the first <article>, HTML's implied paragraph ends, div
+    subtrees dropped."""
+
+    def __init__(self, html):
+        from html.parser import HTMLParser
+
+        from tagwright.operators.extract import P_CLOSERS
+        outer = self
+        self.parts, self.state = [], "before"
+        self.div, self.in_p = 0, False
+
+        class P(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                if outer.state == "before" and tag == "article":
+                    outer.state = "in"
+                    return
+                if outer.state != "in":
+                    return
+                if tag in P_CLOSERS:
+                    outer.in_p = False
+                if tag == "div":
+                    outer.div += 1
+                if tag == "p" and outer.div == 0:
+                    outer.in_p = True
+
+            def handle_endtag(self, tag):
+                if outer.state != "in":
+                    return
+                if tag == "article":
+                    outer.state = "after"
+                elif tag == "div" and outer.div:
+                    outer.div -= 1
+                elif tag == "p":
+                    outer.in_p = False
+
+            def handle_data(self, data):
+                if outer.state == "in" and outer.in_p and outer.div == 0:
+                    outer.parts.append(data)
+
+        P(convert_charrefs=True).feed(html)
+
+    def text(self):
+        return "".join(self.parts)
+
+
+def test_paragraphs_equal_dom_rules_on_pages(spark):
+    from tagwright.sources.tables import read_table
+    pages = read_table(spark, "/root/testdata/sf0.01", "pages", ["page_id", "html"])
+    rows = pages.select("page_id", "html", EX.html_paragraph_text(F.col("html")).alias("t")).collect()
+    assert len(rows) == 250
+    for r in rows:
+        assert r.t == _ParagraphDom(r.html).text(), r.page_id
+
+
+def test_unclosed_and_div_closed_paragraphs(spark):
+    html = ("<article><p>one<b>two<p>three<div>ad<p>hidden</p></div>four"
+            "<p>five <h2>head</h2> six<p>last</article><p>outside</p>")
+    df = spark.createDataFrame([(html,)], "h string")
+    got = df.select(EX.html_paragraph_text(F.col("h"))).first()[0]
+    assert got == _ParagraphDom(html).text() == "onetwothreefive last"
