@@ -78,14 +78,34 @@ def paragraph_text(body) -> Column:
     return decode_entities(strip_tags(F.array_join(paras, "")))
 
 
+DIV_OPEN = r"<div(?:[\s/>]|$)"
+DIV_CLOSE = r"</div\s*>"
+
+
 def html_paragraph_text(html) -> Column:
-    """Inside ``<article>``: drop every ``div``, then the text of all
-    paragraphs, concatenated; a missing article gives "". A ``div`` start
-    ends an open paragraph (as when the page is parsed before the divs are
-    removed), so a ``</p>`` is put before each one first."""
+    """The text of every paragraph of ``<article>`` that is not inside a
+    ``div``, concatenated; a missing article gives "".
+
+    The body is split at each paragraph opening; one fold walks the pieces
+    carrying the ``div`` depth (opens minus closes, never below zero), keeps
+    a piece's paragraph -- cut at its implied end, where a ``div`` start
+    also ends it -- only at depth zero. Nested divs are handled like a DOM
+    with div subtrees dropped."""
     body = F.coalesce(container(html, "article"), F.lit(""))
-    body = F.regexp_replace(body, r"<div(?=[\s/>])", "</p><div")
-    return paragraph_text(remove_nodes(body, ("div",)))
+    pieces = F.split(body, P_OPEN, -1)
+    init = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc, piece, i):
+        keep = (i > 0) & (acc["depth"] == 0)
+        para = F.regexp_replace(piece, P_END, "")
+        parts = F.when(keep, F.array_append(acc["parts"], para)).otherwise(acc["parts"])
+        depth = F.greatest(acc["depth"] + F.regexp_count(piece, F.lit(DIV_OPEN))
+                           - F.regexp_count(piece, F.lit(DIV_CLOSE)), F.lit(0))
+        return F.struct(depth.cast("int").alias("depth"), parts.alias("parts"))
+
+    indexed = F.transform(pieces, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    out = F.aggregate(indexed, init, lambda acc, e: step(acc, e["x"], e["i"]))["parts"]
+    return decode_entities(strip_tags(F.array_join(out, "")))
 
 
 def first_present(*extractors: Column, default: str = "") -> Column:

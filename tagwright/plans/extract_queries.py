@@ -38,16 +38,16 @@ def s_strip(t):
     return f"regexp_replace({t}, '<[^>]*>', '', 'g')"
 
 
-def s_paragraphs(body):
-    pieces = f"string_split_regex({body}, '{EX.P_OPEN}')"
-    paras = (f"array_to_string(list_transform({pieces}[2:], "
-             f"lambda x: regexp_replace(x, '{EX.P_END}', '')), '')")
-    return s_entities(s_strip(paras))
-
-
 def s_article_text(h):
-    body = f"regexp_replace(coalesce({s_container(h, 'article')}, ''), '<div([\\s/>])', '</p><div\\1', 'g')"
-    return s_paragraphs(s_remove(body, ["div"]))
+    """Pieces after each <p>; a piece counts when the div depth (a clamped
+    fold over the earlier pieces) is zero; each is cut at its implied end."""
+    pieces = f"string_split_regex(coalesce({s_container(h, 'article')}, ''), '{EX.P_OPEN}')"
+    delta = (f"len(regexp_extract_all(x, '{EX.DIV_OPEN}')) - "
+             f"len(regexp_extract_all(x, '{EX.DIV_CLOSE}'))")
+    depth = f"list_reduce(p[1:k-1], lambda acc, x: greatest(acc + {delta}, 0), 0)"
+    parts = (f"list_transform(range(2, len(p) + 1), lambda k: CASE WHEN {depth} = 0 "
+             f"THEN regexp_replace(p[k], '{EX.P_END}', '') ELSE '' END)")
+    return s_entities(s_strip(f"(SELECT array_to_string({parts}, '') FROM (SELECT {pieces} AS p))"))
 
 
 def s_nonblank(x):

@@ -96,3 +96,11 @@ def test_unclosed_and_div_closed_paragraphs(spark):
     df = spark.createDataFrame([(html,)], "h string")
     got = df.select(EX.html_paragraph_text(F.col("h"))).first()[0]
     assert got == _ParagraphDom(html).text() == "onetwothreefive last"
+
+
+def test_nested_and_stray_divs(spark):
+    html = ("<article><p>a<div>x<div>y</div><p>in nested</p>z</div><p>b</p>"
+            "</div><p>c<div><p>d</div></div></div><p>e</p></article>")
+    df = spark.createDataFrame([(html,)], "h string")
+    got = df.select(EX.html_paragraph_text(F.col("h"))).first()[0]
+    assert got == _ParagraphDom(html).text()
