@@ -7,9 +7,11 @@ because no byte of a multi-byte character is below 0x80.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tagwright.session import materialize, scratch_path  # noqa: F401 - re-used by the operators
 
+# The package's functions travel to the Python workers by value: executors
+# need the libraries, not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+
 #: Words of most operators: runs of anything but ASCII blanks. ``bytes.split()``
 #: splits on exactly these bytes, so Python tasks need no regular expression.
 WORD = r"[^\x20\x09-\x0D]+"

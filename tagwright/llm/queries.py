@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
 from .decontaminate import decontaminate
+from .mix import mix_sources
+from .simhash import simhash_groups
+from .tokens import token_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +26,27 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer's file, looked up on the machine that encodes."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op2_mix_sources")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(load(spark, sf_dir, "documents", "doc_id", "text", "source"), keep=["doc_id"]).drop("copies")
+
+
+@query("op3_simhash_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op5_token_records")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(load(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path)
+
+
 _TEN_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
