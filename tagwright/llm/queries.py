@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
 from .decontaminate import decontaminate
+from .language import label_languages
 from .mix import mix_sources
+from .quality_rules import quality_rules
 from .simhash import simhash_groups
 from .tokens import token_round_trip
 
@@ -47,6 +49,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(load(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path)
 
 
+@query("op7_quality_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(load(spark, sf_dir, "documents", "doc_id", "text", "lang"), keep=["doc_id"])
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_languages(load(spark, sf_dir, "documents", "doc_id", "text", "lang"), keep=["doc_id"])
+
+
 _TEN_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
