@@ -11,6 +11,7 @@ from .common import load
 from .decontaminate import decontaminate
 from .language import label_languages
 from .mix import mix_sources
+from .quality_model import classify_quality
 from .quality_rules import quality_rules
 from .simhash import simhash_groups
 from .tokens import token_round_trip
@@ -44,6 +45,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(load(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query("op4_quality_model")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(load(spark, sf_dir, "documents", "doc_id", "text"),
+                            load(spark, sf_dir, "labels", "doc_id", "quality", "toxic"), keep=["doc_id"])
+
+
 @query("op5_token_records")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(load(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path)
