@@ -56,6 +56,16 @@ def batches(rows: Iterator[pa.RecordBatch], make, schema: pa.Schema) -> Iterator
         yield pa.RecordBatch.from_pydict(make(batch), schema=schema)
 
 
+def worker_state(key, make: Callable):
+    """An object that a Python worker process makes once and keeps from task
+    to task (a cache, never data). Functions that travel by value have no
+    module of their own on the worker, so it hangs on the interpreter."""
+    kept = sys.modules.setdefault("_tagwright_worker", type(sys)("_tagwright_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots and blanks included."""
     return F.col("`" + name.replace("`", "``") + "`")

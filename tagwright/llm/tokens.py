@@ -27,6 +27,7 @@ import math
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -34,10 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, col, scratch_path
+from .common import batches, col, scratch_path, worker_state
 
 FILE_BYTES = 64 << 20       # text bytes a file holds at most on average
-CACHE_PIECES = 300_000      # pieces remembered by a Python worker
+CACHE_PIECES = 500_000      # pieces remembered by a Python worker; then it starts anew
+TEXTS_AT_ONCE = 128
+MARKS = ".,;:!?"     # read as pre-tokens of their own after a word
+LATIN = 0x250        # letters below are read as such by every Unicode version
 _HEAD, _ID = "<QI", "<Bq"
 NULL_ID, WIDE = 1, 2
 
@@ -70,8 +74,12 @@ class PieceEncoder:
     A byte-level tokenizer splits texts so that a blank followed by a
     non-blank character always begins a new word, whatever stands before it.
     Texts are cut there, each different piece goes through the tokenizer
-    once, and a text's ids are the ids of its pieces. Texts that contain one
-    of the tokenizer's added tokens are encoded in one go.
+    once, and a text's ids are the ids of its pieces. A new piece of Latin
+    letters only is a single pre-token and goes straight to the tokenizer's
+    merge model; a punctuation mark after it and a line end between two words
+    are pre-tokens of their own.
+    Other new pieces, and texts that contain an added token, pass the whole
+    tokenizer.
     """
 
     def __init__(self, path: str):
@@ -79,40 +87,71 @@ class PieceEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merge = self.tokenizer.model.tokenize
+        from tokenizers.pre_tokenizers import ByteLevel
+        alphabet = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        # how the tokenizer writes the bytes of each Latin letter, and of a blank
+        self.written = {c: alphabet(chr(c))[0][0] for c in range(LATIN) if chr(c).isalpha()}
+        self.blank = alphabet(" ")[0][0]
+        self.marks = {m: self._ids(m) for m in MARKS}
+        self.line_end = self._ids("\n")
         self.later: dict[str, bytes] = {}   # piece after a blank -> its ids as 32-bit integers
-        self.first: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], pieces: list[str], blank: str) -> None:
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        new = list(dict.fromkeys(pieces))
-        encoded = self.tokenizer.encode_batch([blank + p for p in new], add_special_tokens=False)
-        for p, e in zip(new, encoded, strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids of ``text`` as little-endian 32-bit integers."""
+        self.first: dict[str, bytes] = {}   # piece that begins a text
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str, blank: str) -> bytes:
+        """The ids of a piece without leading white space, after ``blank``
+        (which may be nothing), remembered."""
+        known = self.later if blank else self.first
+        ids = known.get(piece)
+        if ids is None:
+            ids = known[piece] = self._new(piece, blank)
+        return ids
+
+    def _new(self, piece: str, blank: str) -> bytes:
+        if "\n" in piece:       # a line end between two words is a pre-token, too
+            lines = piece.split("\n")
+            if all(p and not p[0].isspace() and not p[-1].isspace() for p in lines):
+                return self.line_end.join([self._piece(lines[0], blank), *(self._piece(p, "") for p in lines[1:])])
+        elif piece[-1:] in self.marks and piece[:-1].isalpha():
+            return self._piece(piece[:-1], blank) + self.marks[piece[-1]]
+        elif piece.isalpha() and (piece.isascii() or max(piece) < chr(LATIN)):
+            tokens = self.merge((self.blank if blank else "") + piece.translate(self.written))
+            return array("I", [t.id for t in tokens]).tobytes()
+        return self._ids(blank + piece)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        return [self._encode(t) for t in texts]
+
+    def _encode(self, text: str) -> bytes:
         if any(a in text for a in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._ids(text)
+        if max(len(self.later), len(self.first)) > CACHE_PIECES:
+            self.later.clear()
+            self.first.clear()
         pieces = text.split(" ")
-        if not all(p and not p[0].isspace() for p in pieces[1:]):
+        known = self.later
+        missing = [p for p in pieces[1:] if p not in known]
+        if any(not p or p[0].isspace() for p in missing):   # a longer blank run stays within one piece
             joined = pieces[:1]
             for p in pieces[1:]:
                 if p and not p[0].isspace():
                     joined.append(p)
-                else:               # a longer blank run stays within one piece
+                else:
                     joined[-1] += " " + p
-            pieces = joined
-        head, rest = pieces[0], pieces[1:]
-        if head not in self.first:
-            self._learn(self.first, [head], "")
-        out = list(map(self.later.get, rest))
-        if None in out:
-            start = self.first[head]
-            self._learn(self.later, [p for p, ids in zip(rest, out, strict=True) if ids is None], " ")
-            out = [ids if ids is not None else self.later[p] for p, ids in zip(rest, out, strict=True)]
-            return start + b"".join(out)
-        return self.first[head] + b"".join(out)
+            pieces, missing = joined, [p for p in joined[1:] if p not in known]
+        for p in missing:
+            if p not in known:
+                self._piece(p, " ")
+        head = pieces[0]
+        pieces[0] = ""
+        known[""] = self._piece(head, "")        # joined first; no piece after a blank is empty
+        out = b"".join(map(known.__getitem__, pieces))
+        del known[""]
+        return out
 
 
 def encode_records(tokenizer_path: Callable[[], str], end_id: int | None):
@@ -120,20 +159,23 @@ def encode_records(tokenizer_path: Callable[[], str], end_id: int | None):
     schema = pa.schema([("record", pa.binary())])
 
     def run(rows):
-        encoder = PieceEncoder(tokenizer_path())
+        path = tokenizer_path()
+        encoder = worker_state(("encoder", path), lambda: PieceEncoder(path))
         wide = encoder.tokenizer.get_vocab_size() > 1 << 16
         tail = b"" if end_id is None else end_id.to_bytes(4, "little")
 
         def make(batch):
             out = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text) + tail
+            for i, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+                ids += tail
                 if not wide:
                     ids = np.frombuffer(ids, "<u4").astype("<u2").tobytes()
                 flags = (NULL_ID if i is None else 0) | (WIDE if wide else 0)
                 out.append(frame(struct.pack(_ID, flags, i or 0) + ids))
             return {"record": out}
-        return batches(rows, make, schema)
+
+        parts = (batch.slice(k, TEXTS_AT_ONCE) for batch in rows for k in range(0, len(batch), TEXTS_AT_ONCE))
+        return batches(parts, make, schema)
     return run
 
 
@@ -148,7 +190,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: Callable[[], str],
     """Encode ``docs`` into ``path/records`` and index them in ``path/index``.
 
     ``tokenizer_path`` gives the tokenizer file's place on the machine that
-    asks. One shuffle: texts are dealt by id ranges, one file a range.
+    asks. One shuffle: texts are dealt by id ranges, one file a range. The
+    index is made by reading the written files back, all checksums verified.
     """
     spark = docs.sparkSession
     texts = docs.select(col(id_col).cast("long").alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
@@ -159,7 +202,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: Callable[[], str],
     (ordered.mapInArrow(encode_records(tokenizer_path, end_id), "record binary")
      .select(F.col("record").cast("string").alias("value"))
      .write.option("lineSep", "\n").text(f"{path}/records"))
-    scan_records(spark, path).select("file", "part", "offset", "length", "n_tokens", "id").write.parquet(f"{path}/index")
+    scan_records(spark, path).write.parquet(f"{path}/index")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -197,15 +240,14 @@ def scan_records(spark: SparkSession, path: str, with_ids: bool = False) -> Data
     return _files(spark, path).mapInArrow(run, ddl)
 
 
-def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """Records in file order with ``start``, the number of ids before each.
-    The running sum over files sees one row a file."""
-    totals = spark.read.parquet(f"{path}/index").groupBy("file", "part").agg(F.sum("n_tokens").alias("n"))
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """Every record's place, checksum and ``start``, the number of ids before
+    it, as read off the files. The running sum over files sees one row a file."""
+    records = spark.read.parquet(f"{path}/index")
+    totals = records.groupBy("file", "part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(F.col("file").alias("_file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    records = scan_records(spark, path, with_ids)
-    return (records.join(base, records["file"] == base["_file"])
-            .withColumn("start", F.col("base") + F.col("before")).drop("_file", "base", "before"))
+    base = totals.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return records.join(base, "file").withColumn("start", F.col("base") + F.col("before")).drop("base", "before")
 
 
 def read_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
