@@ -149,7 +149,7 @@ class QualityModel:
     """Shared weights and ordered thresholds; ``base`` is the lowest grade."""
 
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray, base: int = 0):
-        self.weights, self.thresholds, self.base = weights.astype(np.float32), thresholds, base
+        self.weights, self.thresholds, self.base = weights.astype(np.float32, copy=False), thresholds, base
 
     def tails(self, text: bytes) -> np.ndarray:
         """P(grade > k) for each k but the last."""
@@ -191,7 +191,7 @@ def train_quality(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id"
 
     # one group: the sample is bounded, whatever the number of ratings
     got = (texts.mapInArrow(lambda it: batches(it, make, schema), "grade int, slots binary, xs binary")
-           .groupBy(F.lit(0)).applyInPandas(fit, "w binary, t binary").collect())
+           .groupBy().applyInPandas(fit, "w binary, t binary").collect())
     if not got:
         return QualityModel(np.zeros(DIMS), np.empty(0), low)
     return QualityModel(np.frombuffer(got[0]["w"], "<f4"), np.frombuffer(got[0]["t"], "<f8"), low)
@@ -201,14 +201,15 @@ def grade_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text
                   select_at: float = SELECT_AT) -> DataFrame:
     """The input columns (or ``keep``) and ``expected_grade, p_above_lowest,
     p_top, kept``. No shuffle; the model has a fixed size."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds, model.base))
 
     def make(texts):
+        model = QualityModel(*shared.value)
         out = {c: [] for c in ("expected_grade", "p_above_lowest", "p_top", "kept")}
         for text in texts.to_pylist():
-            tails = shared.value.tails(text)
+            tails = model.tails(text)
             first, top = (float(tails[0]), float(tails[-1])) if len(tails) else (0.0, 1.0)
-            for c, v in zip(out, (shared.value.base + float(tails.sum()), first, top, top >= select_at), strict=True):
+            for c, v in zip(out, (model.base + float(tails.sum()), first, top, top >= select_at), strict=True):
                 out[c].append(v)
         return out
 

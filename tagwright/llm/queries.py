@@ -15,6 +15,7 @@ from .quality_model import classify_quality
 from .quality_rules import quality_rules
 from .simhash import simhash_groups
 from .tokens import token_round_trip
+from .url_filter import ABSOLUTE, DAMPING, HREF, ROUNDS, SCHEME, filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +57,53 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(load(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path)
 
 
+def _link_graph_sql() -> str:
+    """The operator's rounds written out, one query part a round."""
+    def host(u: str) -> str:
+        return f"translate({u}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    parts = [f"""
+p AS (SELECT page_id, html, {host("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+      FROM (SELECT *, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+            FROM pages))""", """
+r(verdict, h, pre) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+      ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/'))""", """
+hp AS (SELECT DISTINCT host, path FROM p)""", """
+best AS (SELECT host, path, arg_max(verdict, length(h || pre)) AS verdict, arg_max(h || pre, length(h || pre)) AS rule
+      FROM hp JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY ALL)""", """
+hosts AS (SELECT host, count(*) AS pages, count(*) FILTER (verdict = 'allow') AS allowed,
+        count(*) FILTER (verdict = 'block') AS blocked
+      FROM p LEFT JOIN best USING (host, path) WHERE host <> '' GROUP BY host)""", """
+seeds AS (SELECT host, allowed / greatest(1, sum(allowed) OVER ()) AS t, blocked / greatest(1, sum(blocked) OVER ()) AS d,
+        pages / sum(pages) OVER () AS share FROM hosts)""", f"""
+hrefs AS (SELECT host, unnest(regexp_extract_all(html, {quoted(HREF)}, 1)) AS href FROM p WHERE host <> '')""", f"""
+links AS MATERIALIZED (SELECT host AS src, dst, count(*) AS n FROM (
+      SELECT host, CASE WHEN regexp_matches(href, {quoted(ABSOLUTE)}) THEN {host(f"regexp_extract(href, {quoted(ABSOLUTE)}, 1)")}
+        WHEN regexp_matches(href, {quoted(SCHEME)}) THEN NULL ELSE host END AS dst FROM hrefs)
+      WHERE dst <> '' GROUP BY ALL)""", """
+x0 AS MATERIALIZED (SELECT host, t, d FROM seeds)"""]
+    for k in range(1, ROUNDS + 1):
+        parts.append(f"""
+x{k} AS MATERIALIZED (SELECT host, sum(t) AS t, sum(d) AS d FROM (
+      SELECT host, {1 - DAMPING!r} * t AS t, {1 - DAMPING!r} * d AS d FROM seeds
+      UNION ALL SELECT dst, {DAMPING} * t * n / sum(n) OVER (PARTITION BY src), 0 FROM links LEFT JOIN x{k - 1} ON host = src
+      UNION ALL SELECT src, 0, {DAMPING} * d * n / sum(n) OVER (PARTITION BY dst) FROM links LEFT JOIN x{k - 1} ON host = dst)
+      GROUP BY host)""")
+    return "WITH " + ",".join(parts) + f"""
+SELECT page_id, p.host AS host, p.path AS path, rule,
+  coalesce(verdict, CASE WHEN round(x.d - x.t - share, 9) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN best USING (host, path) LEFT JOIN x{ROUNDS} x ON p.host = x.host LEFT JOIN seeds ON p.host = seeds.host"""
+
+
+@query("op6_url_filter", _link_graph_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(load(spark, sf_dir, "pages", "page_id", "url", "html"), keep=["page_id"])
+
+
 @query("op7_quality_rules")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(load(spark, sf_dir, "documents", "doc_id", "text", "lang"), keep=["doc_id"])
