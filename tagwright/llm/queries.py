@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import load
 from .decontaminate import decontaminate
 from .language import label_languages
+from .lm_score import lm_score
 from .mix import mix_sources
 from .quality_model import classify_quality
 from .quality_rules import quality_rules
@@ -114,6 +115,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_languages(load(spark, sf_dir, "documents", "doc_id", "text", "lang"), keep=["doc_id"])
 
 
+@query("op9_lm_score")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(load(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
+
+
 _TEN_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
