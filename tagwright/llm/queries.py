@@ -15,6 +15,7 @@ from .mix import mix_sources
 from .quality_model import classify_quality
 from .quality_rules import quality_rules
 from .simhash import simhash_groups
+from .suffix_dedup import remove_repeats
 from .tokens import token_round_trip
 from .url_filter import ABSOLUTE, DAMPING, HREF, ROUNDS, SCHEME, filter_urls
 
@@ -37,6 +38,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(load(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"], with_text=False)
+
+
 @query("op2_mix_sources")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(load(spark, sf_dir, "documents", "doc_id", "text", "source"), keep=["doc_id"]).drop("copies")
