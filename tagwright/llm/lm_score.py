@@ -32,8 +32,10 @@ texts each); an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Sequence
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -42,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_columns, col, free_name, id_hash_mod, materialize, others, utf8
+from .common import arrow_columns, col, free_name, id_hash_mod, materialize, others, utf8, worker_state
 
 FREQUENT = 1_000_000
 MIX_TEXTS = 600
@@ -50,12 +52,14 @@ TABLE_BITS = (16, 18, 19, 20)   # counters of the predictors: 1, 2, 3 bytes, wor
 PART_BITS = 16                  # tables travel in parts of this size
 FAN_IN = 32                     # tables added up in one node of the tree
 TEXTS_AT_ONCE = 512
+COUNTED_AT_ONCE = 2048
 CACHE_WORDS = 400_000
 
 N = len(TABLE_BITS)
 END = 0xFF                      # no byte of UTF-8 text
 HEAD = 3                        # symbols of a word that see the bytes before it
-_START = bytes([END]) * 3
+_END = bytes([END])
+_START = _END * 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PRIOR = 0.4                    # added to both counts of a counter
 _CLIP = 12.0
@@ -90,7 +94,7 @@ class Symbols:
 def heads_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Of each word boundary of the texts, the code of the three bytes before
     and of up to ``HEAD`` symbols after it; and the number of the text."""
-    data = b"".join(_START + t + bytes([END]) for t in texts)
+    data = b"".join(_START + t + _END for t in texts)
     buf = np.frombuffer(data + b"\0" * HEAD, np.uint8)
     ends = np.cumsum([len(t) + 4 for t in texts])
     first = np.concatenate(([0], ends[:-1])) + 3
@@ -124,8 +128,9 @@ def head_symbols(codes: np.ndarray) -> tuple[Symbols, np.ndarray]:
 
 
 def tail_symbols(words: list[bytes]) -> tuple[Symbols, np.ndarray]:
-    """The symbols after the head of words (with their last symbol), and which
-    word each belongs to. Their contexts lie within the word."""
+    """The symbols after the head of words (with the one that ends them), and
+    which word each belongs to. Their contexts lie within the word."""
+    words = _ended(words)
     buf = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64)
     lengths = np.array([len(w) for w in words], np.int64)
     starts = np.cumsum(lengths) - lengths
@@ -146,13 +151,24 @@ def tail_symbols(words: list[bytes]) -> tuple[Symbols, np.ndarray]:
 
 
 def words_of(text: bytes) -> list[bytes]:
-    """The text cut at blanks, each word with the symbol that ends it."""
-    parts = text.split(b" ")
-    out = [w + b" " for w in parts]
-    out[-1] = parts[-1] + bytes([END])
+    """The text cut at blanks. The blank belongs to the word before it; the
+    last word, which the end symbol ends, is marked with that symbol."""
+    out = text.split(b" ")
+    out[-1] += _END
     return out
 
 
+def _ended(words: list[bytes]) -> list[bytes]:
+    return [w if w[-1:] == _END else w + b" " for w in words]
+
+
+def _equal(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal codes together, and where each new one begins."""
+    order = np.argsort(code)
+    code = code[order]
+    return order, np.flatnonzero(np.concatenate((np.ones(min(1, len(code)), bool), code[1:] != code[:-1])))
+
+
 class Counts:
     """Bit counters of all predictors: zeros and ones seen under each slot."""
 
@@ -163,13 +179,11 @@ class Counts:
         """Count symbols ``times`` times; equal contexts are added up first."""
         # predictors that see three bytes at most
         code = symbols.before << np.uint64(8) | symbols.symbol
-        order = np.argsort(code, kind="stable")
-        cut = np.flatnonzero(np.concatenate(([True], np.diff(code[order]) > 0))) if len(code) else np.empty(0, np.int64)
+        order, cut = _equal(code)
         if len(cut):
             self._bits(symbols.pick(order[cut]), np.add.reduceat(times[order], cut), range(N - 1))
         code = (symbols.word + symbols.symbol + np.uint64(1)) * _MIX
-        order = np.argsort(code, kind="stable")
-        cut = np.flatnonzero(np.concatenate(([True], code[order][1:] != code[order][:-1]))) if len(code) else cut
+        order, cut = _equal(code)
         if len(cut):
             self._bits(symbols.pick(order[cut]), np.add.reduceat(times[order], cut), range(N - 1, N))
 
@@ -177,9 +191,7 @@ class Counts:
         for known, bit in bits_of(symbols.symbol):
             slots = symbols.slots(known)
             for k in predictors:
-                for value in (0, 1):
-                    on = bit == value
-                    np.add.at(self.seen[k][value], slots[k][on], times[on])
+                np.add.at(self.seen[k].reshape(-1), slots[k] + (bit << TABLE_BITS[k]), times)
 
 
 def bits_of(symbol: np.ndarray):
@@ -209,10 +221,6 @@ class Mixer:
     def bucket(logit: np.ndarray) -> np.ndarray:
         return np.clip(((logit + _CLIP) * (_BUCKETS / (2 * _CLIP))).astype(np.int64), 0, _BUCKETS - 1)
 
-    def refined(self, p: np.ndarray, last: np.ndarray, logit: np.ndarray) -> np.ndarray:
-        seen = self.refine[:, last, self.bucket(logit)]
-        return np.clip(0.5 * p + 0.5 * seen[1] / seen.sum(axis=0), 1e-6, 1 - 1e-6)
-
     def learn(self, symbols: Symbols, counts: list[np.ndarray], at_once: int = 512) -> None:
         """Go through the symbols in order, some at a time: predict each bit
         from the counts without this occurrence, then correct the weights, in
@@ -239,7 +247,8 @@ class Model:
     """Everything that scoring needs; of fixed size."""
 
     def __init__(self, logits: list[np.ndarray], mixer: Mixer):
-        self.logits, self.mixer = logits, mixer
+        self.logits, self.weights = logits, mixer.weights.T.astype(np.float32).copy()
+        self.refined = (mixer.refine[1] / mixer.refine.sum(axis=0)).ravel()
 
     @staticmethod
     def of(counts: list[np.ndarray], mixer: Mixer) -> Model:
@@ -247,23 +256,24 @@ class Model:
 
     def bits(self, symbols: Symbols) -> np.ndarray:
         """Bits that each symbol costs. Equal contexts are worked out once."""
-        code = ((symbols.word + symbols.symbol + np.uint64(1)) * _MIX + symbols.before) * _MIX
-        _, first, which = np.unique(code, return_index=True, return_inverse=True)
-        out = np.empty(len(first))
-        for i in range(0, len(first), 1 << 16):
-            out[i:i + (1 << 16)] = self._bits(symbols.pick(first[i:i + (1 << 16)]))
-        return out[which]
+        order, cut = _equal(((symbols.word + symbols.symbol + np.uint64(1)) * _MIX + symbols.before) * _MIX)
+        first, times = order[cut], np.diff(np.append(cut, len(order)))
+        cost = [self._bits(symbols.pick(first[i:i + (1 << 15)])) for i in range(0, len(first), 1 << 15)]
+        out = np.empty(len(order))
+        out[order] = np.repeat(np.concatenate([np.empty(0), *cost]), times)
+        return out
 
     def _bits(self, symbols: Symbols) -> np.ndarray:
         cost = np.zeros(len(symbols))
         last = (symbols.before & np.uint64(0xFF)).astype(np.int64)
         for known, bit in bits_of(symbols.symbol):
-            logit = np.zeros(len(symbols))
-            for k, slot in enumerate(symbols.slots(known)):
-                logit += self.mixer.weights[known, k] * self.logits[k][slot]
-            logit = np.clip(logit, -_CLIP, _CLIP)
-            p = self.mixer.refined(squash(logit), last, logit)
-            cost -= np.log2(np.where(bit == 1, p, 1 - p))
+            logit = np.zeros(len(symbols), np.float32)
+            for w, table, slot in zip(self.weights, self.logits, symbols.slots(known), strict=True):
+                logit += w[known] * table[slot]
+            np.clip(logit, -_CLIP, _CLIP, out=logit)
+            # half the mixed probability, half what was observed at such a logit
+            p = squash(logit) + self.refined[last * _BUCKETS + Mixer.bucket(logit)]
+            cost -= np.log2(np.clip(np.where(bit == 1, p, 2 - p), 2e-6, None)) - 1
         return cost
 
 
@@ -280,14 +290,18 @@ class Scorer:
         symbols, of = head_symbols(heads)
         cost = np.bincount(of, self.model.bits(symbols), len(heads))
         bits = np.bincount(owner, cost[which], len(texts))
-        words = [[w for w in words_of(t) if len(w) > HEAD] for t in texts]
+        words = list(map(words_of, texts))
         if len(self.tails) > CACHE_WORDS:
             self.tails.clear()
-        new = list({w for ws in words for w in ws if w not in self.tails})
+        new = list(set().union(*words).difference(self.tails))
         if new:
             symbols, of = tail_symbols(new)
             self.tails.update(zip(new, np.bincount(of, self.model.bits(symbols), len(new)).tolist(), strict=True))
-        return bits + [math.fsum(map(self.tails.__getitem__, ws)) for ws in words]
+        return bits + [sum(map(self.tails.__getitem__, ws)) for ws in words]
+
+
+def _slices(rows, at_once: int):
+    return (batch.slice(k, at_once) for batch in rows for k in range(0, len(batch), at_once))
 
 
 def _count(train: DataFrame) -> DataFrame:
@@ -298,34 +312,31 @@ def _count(train: DataFrame) -> DataFrame:
 
     def run(rows):
         counts, any_text = Counts(), False
-        for batch in rows:
+        for batch in _slices(rows, COUNTED_AT_ONCE):
             texts = [t.lower() for t in batch.column(0).to_pylist()]
-            if not texts:
-                continue
             any_text = True
-            tails: Counter = Counter()
+            found: Counter = Counter()
             for k in range(0, len(texts), TEXTS_AT_ONCE):
                 part = texts[k:k + TEXTS_AT_ONCE]
                 for t in part:
-                    tails.update(words_of(t))
+                    found.update(words_of(t))
                 heads, n = np.unique(heads_of(part)[0], return_counts=True)
                 symbols, of = head_symbols(heads)
                 counts.add(symbols, n[of])
-            plain: Counter = Counter()
-            for w, n in tails.items():
-                for x in w.rstrip(b"\xff").split():
-                    plain[x] += n
-            words, n = list(tails), np.fromiter(tails.values(), np.int64, len(tails))
-            for k in range(0, len(words), 1 << 17):
-                symbols, of = tail_symbols(words[k:k + (1 << 17)])
-                counts.add(symbols, n[k:k + (1 << 17)][of])
-            del tails, words
-            # the end token is the one word with a byte that no text has
-            items = list(plain.items()) + [(bytes([END]), len(texts))]
-            for k in range(0, len(items), 1 << 17):
-                w, m = zip(*items[k:k + (1 << 17)], strict=True)
-                none = [None] * len(w)
-                yield pa.RecordBatch.from_pydict({"word": w, "n": m, "part": none, "task": none, "data": none}, schema=schema)
+            words, n = list(found), np.fromiter(found.values(), np.int64, len(found))
+            for k in range(0, len(words), 1 << 16):
+                symbols, of = tail_symbols(words[k:k + (1 << 16)])
+                counts.add(symbols, n[k:k + (1 << 16)][of])
+            # tokens: the words without end marks, cut at other blanks; the end
+            # token is the one word with a byte that no text has
+            for w in [w for w in words if w[-1:] == _END or w.split() != [w]]:
+                m = found.pop(w)
+                for x in w.rstrip(_END).split():
+                    found[x] += m
+            found[_END] = len(texts)
+            none = [None] * len(found)
+            yield pa.RecordBatch.from_pydict({"word": list(found), "n": list(found.values()), "part": none,
+                                              "task": none, "data": none}, schema=schema)
         if any_text:
             task = TaskContext.get().partitionId()
             for part, data in enumerate(_parts(counts.seen)):
@@ -407,7 +418,7 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     counted = materialize(_count(train.select("bytes")), "lm-counts")
     words = materialize(counted.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    end = words.where(F.col("word") == F.lit(bytes([END]))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    end = words.where(F.col("word") == F.lit(_END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # at most ``frequent`` words can make up so large a share each
     often = words.where(F.col("n") * frequent >= total)
     known = {bytes(r["word"]): math.log10(r["n"] + 1) for r in often.collect()}
@@ -415,28 +426,26 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     mixer = _learn_mixer(train, end, counts, id_col)
     model = Model.of(counts, mixer)
     shared = spark.sparkContext.broadcast((known, model.logits, mixer.weights, mixer.refine))
+    version = uuid.uuid4().hex
     end_log, denominator = math.log10(end + 1), math.log10(total + distinct + 1)
 
     def make(texts):
         known, logits, weights, refine = shared.value
         mixer = Mixer()
         mixer.weights, mixer.refine = weights, refine
-        scorer = Scorer(Model(logits, mixer))
+        scorer = worker_state(("lm", version), lambda: Scorer(Model(logits, mixer)), only="lm")
         out = {c: [] for c in ("n_tokens", "n_known", "base_score", "score", "bits_per_byte", "rare")}
-        texts = texts.to_pylist()
-        for k in range(0, len(texts), TEXTS_AT_ONCE):
-            part = [t.lower() for t in texts[k:k + TEXTS_AT_ONCE]]
-            for t, bits in zip(part, scorer.score(part).tolist(), strict=True):
-                words = t.split()
-                logs = list(map(known.get, words))
-                rare = Counter(w for w, x in zip(words, logs, strict=True) if x is None)
-                seen = [x for x in logs if x is not None]
-                out["n_tokens"].append(len(words) + 1)
-                out["n_known"].append(len(seen) + (end > 0))
-                out["base_score"].append(math.fsum(seen) + end_log - (len(words) + 1) * denominator)
-                out["score"].append(-bits * math.log10(2))
-                out["bits_per_byte"].append(bits / max(1, len(t)))
-                out["rare"].append([{"word": w, "times": n} for w, n in rare.items()])
+        texts = [t.lower() for t in texts.to_pylist()]
+        for t, bits in zip(texts, scorer.score(texts).tolist(), strict=True):
+            words = t.split()
+            rare = [w for w in words if w not in known]
+            logs = sum(map(known.get, words, repeat(0.0)))
+            out["n_tokens"].append(len(words) + 1)
+            out["n_known"].append(len(words) - len(rare) + (end > 0))
+            out["base_score"].append(logs + end_log - (len(words) + 1) * denominator)
+            out["score"].append(-bits * math.log10(2))
+            out["bits_per_byte"].append(bits / max(1, len(t)))
+            out["rare"].append([{"word": w, "times": n} for w, n in Counter(rare).items()])
         return out
 
     own = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
@@ -444,7 +453,7 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rare, row = free_name(kept, "rare"), free_name(kept, "row")
     scored = arrow_columns(docs.withColumn("held_out", held_out(id_col)), [utf8(text_col)], make,
                            "n_tokens long, n_known long, base_score double, score double, bits_per_byte double, "
-                           "rare array<struct<word: binary, times: int>>", [*kept, "held_out"])
+                           "rare array<struct<word: binary, times: int>>", [*kept, "held_out"], TEXTS_AT_ONCE)
     scored = materialize(scored.withColumnRenamed("rare", rare).withColumn(row, F.monotonically_increasing_id()), "lm-scored")
     times = F.col("r.times")
     more = (scored.select(F.col(row).alias("_row"), F.explode(rare).alias("r"))
