@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_columns, batches, col, utf8
+from .common import arrow_columns, batches, col, materialize, utf8
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -33,6 +33,7 @@ SYMBOLS = b"#*$%&|<>"
 COMMON = 0.005          # share of a language's words that makes a word common
 CLASS_MIN_CHARS = 200   # guards: texts below these are not judged by the histogram
 WORDS_MIN_WORDS = 100
+COUNTED_AT_ONCE = 4096  # texts whose words are counted together
 CLASS_LIMIT = 0.1      # largest divergence of a kept text from its nearest language
 WORDS_LIMIT = 0.08
 
@@ -150,8 +151,11 @@ def language_references(docs: DataFrame, *, text_col: str = "text", lang_col: st
         return dict(zip(schema.names, zip(*rows, strict=True), strict=True)) if rows else {c: [] for c in schema.names}
 
     labelled = docs.where(col(lang_col).isNotNull()).select(col(lang_col).cast("string"), utf8(text_col))
-    counts = (labelled.mapInArrow(lambda it: batches(it, make, schema), "lang string, kind string, item binary, n long")
+    slices = lambda it: (b.slice(k, COUNTED_AT_ONCE) for b in it for k in range(0, len(b), COUNTED_AT_ONCE))
+    counts = (labelled.mapInArrow(lambda it: batches(slices(it), make, schema),
+                                  "lang string, kind string, item binary, n long")
               .groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
+    counts = materialize(counts, "language-counts")
     total = counts.where("kind = 'words'").select("lang", F.col("n").alias("total"))
     found = (counts.join(total, "lang").where((F.col("kind") == "class") | (F.col("kind") == "word") & (F.col("n") >= common * F.col("total")))
              .select("lang", "kind", "item", "n", "total").collect())
