@@ -23,6 +23,8 @@ from tagwright.session import materialize, scratch_path  # noqa: F401 - re-used
 # need the libraries, not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
+ROWS_AT_ONCE = 1024     # rows that a Python task turns into Python objects at a time
+
 #: Words of most operators: runs of anything but ASCII blanks. ``bytes.split()``
 #: splits on exactly these bytes, so Python tasks need no regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,14 +58,16 @@ def batches(rows: Iterator[pa.RecordBatch], make, schema: pa.Schema) -> Iterator
         yield pa.RecordBatch.from_pydict(make(batch), schema=schema)
 
 
-def worker_state(key, make: Callable):
+def worker_state(key, make: Callable, only: str | None = None):
     """An object that a Python worker process makes once and keeps from task
-    to task (a cache, never data). Functions that travel by value have no
+    to task (a cache, never data). ``only``: keep one object of this kind, that
+    of the latest key. Functions that travel by value have no
     module of their own on the worker, so it hangs on the interpreter."""
     kept = sys.modules.setdefault("_tagwright_worker", type(sys)("_tagwright_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    slot = key if only is None else only
+    if slot not in kept or kept[slot][0] != key:
+        kept[slot] = key, make()
+    return kept[slot][1]
 
 
 def col(name: str) -> Column:
@@ -88,11 +92,11 @@ def others(df: DataFrame, own: Sequence[str], keep: Sequence[str] | None = None)
 
 
 def arrow_columns(df: DataFrame, inputs: Sequence[Column], make: Callable[..., dict], ddl: str,
-                  keep: Sequence[str] | None = None) -> DataFrame:
+                  keep: Sequence[str] | None = None, at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """Carry the columns of ``keep`` and add those that ``make`` computes.
 
     ``make`` gets one Arrow array per input column and returns a list of
-    values per column of ``ddl``; it runs on one Arrow batch at a time, in
+    values per column of ``ddl``; it runs on ``at_once`` rows at a time, in
     the partitions of ``df``, without a shuffle.
     """
     new = T.StructType.fromDDL(ddl)
@@ -102,7 +106,7 @@ def arrow_columns(df: DataFrame, inputs: Sequence[Column], make: Callable[..., d
     n = len(kept)
 
     def run(rows):
-        for batch in rows:
+        for batch in (b.slice(k, at_once) for b in rows for k in range(0, len(b), at_once)):
             made = make(*batch.columns[n:])
             arrays = list(batch.columns[:n]) + [pa.array(made[f.name], f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(arrays, names=kept + list(arrow.names))
