@@ -51,9 +51,10 @@ MIX_TEXTS = 600
 TABLE_BITS = (16, 18, 19, 20)   # counters of the predictors: 1, 2, 3 bytes, word so far
 PART_BITS = 16                  # tables travel in parts of this size
 FAN_IN = 32                     # tables added up in one node of the tree
-TEXTS_AT_ONCE = 512
-COUNTED_AT_ONCE = 2048
-CACHE_WORDS = 400_000
+TEXTS_AT_ONCE = 256
+COUNTED_AT_ONCE = 1024
+WORDS_AT_ONCE = 1 << 14
+CACHE_WORDS = 250_000
 
 N = len(TABLE_BITS)
 END = 0xFF                      # no byte of UTF-8 text
@@ -63,7 +64,7 @@ _START = _END * 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PRIOR = 0.4                    # added to both counts of a counter
 _CLIP = 12.0
-_BUCKETS = 24                   # of the mixed logit in the refining table
+_BUCKETS = 25                   # of the mixed logit in the refining table; odd, so that 0 is a centre
 _RATE = 0.05
 
 
@@ -214,6 +215,7 @@ class Mixer:
 
     def __init__(self):
         self.weights = np.full((256, N), 0.3)
+        self.past = np.full((256, N), 1e-6)     # squared corrections so far
         centres = squash((np.arange(_BUCKETS) + 0.5) / _BUCKETS * 2 * _CLIP - _CLIP)
         self.refine = np.stack([(1 - centres) * 4, centres * 4])[:, None, :].repeat(256, axis=1)
 
@@ -225,7 +227,6 @@ class Mixer:
         """Go through the symbols in order, some at a time: predict each bit
         from the counts without this occurrence, then correct the weights, in
         steps that shrink with the corrections so far (one rate per weight)."""
-        past = np.full_like(self.weights, 1e-6)
         for i in range(0, len(symbols), at_once):
             part = symbols.pick(slice(i, i + at_once))
             last = (part.before & np.uint64(0xFF)).astype(np.int64)
@@ -237,10 +238,10 @@ class Mixer:
                 x = np.stack(inputs, axis=1)
                 logit = np.clip((self.weights[known] * x).sum(axis=1), -_CLIP, _CLIP)
                 np.add.at(self.refine, (bit, last, self.bucket(logit)), 1)
-                error = np.zeros_like(past)
+                error = np.zeros_like(self.weights)
                 np.add.at(error, known, (bit - squash(logit))[:, None] * x)
-                past += error * error
-                self.weights += _RATE * error / np.sqrt(past)
+                self.past += error * error
+                self.weights += _RATE * error / np.sqrt(self.past)
 
 
 class Model:
@@ -324,9 +325,9 @@ def _count(train: DataFrame) -> DataFrame:
                 symbols, of = head_symbols(heads)
                 counts.add(symbols, n[of])
             words, n = list(found), np.fromiter(found.values(), np.int64, len(found))
-            for k in range(0, len(words), 1 << 16):
-                symbols, of = tail_symbols(words[k:k + (1 << 16)])
-                counts.add(symbols, n[k:k + (1 << 16)][of])
+            for k in range(0, len(words), WORDS_AT_ONCE):
+                symbols, of = tail_symbols(words[k:k + WORDS_AT_ONCE])
+                counts.add(symbols, n[k:k + WORDS_AT_ONCE][of])
             # tokens: the words without end marks, cut at other blanks; the end
             # token is the one word with a byte that no text has
             for w in [w for w in words if w[-1:] == _END or w.split() != [w]]:
@@ -389,9 +390,12 @@ def _learn_mixer(train: DataFrame, n_texts: int, counts: list[np.ndarray], id_co
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         mixer, texts = Mixer(), sorted(t.lower() for t in group["bytes"])
-        parts = [head_symbols(heads_of(texts)[0])[0], tail_symbols([w for t in texts for w in words_of(t)])[0]]
-        symbols = Symbols(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("before", "word", "symbol")))
-        mixer.learn(symbols.pick(np.random.default_rng(5).permutation(len(symbols))), shared.value)
+        order = np.random.default_rng(5)
+        for k in range(0, len(texts), 16):      # a few texts at a time, their symbols shuffled
+            some = texts[k:k + 16]
+            parts = [head_symbols(heads_of(some)[0])[0], tail_symbols([w for t in some for w in words_of(t)])[0]]
+            symbols = Symbols(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("before", "word", "symbol")))
+            mixer.learn(symbols.pick(order.permutation(len(symbols))), shared.value)
         return pd.DataFrame({"weights": [mixer.weights.tobytes()], "refine": [mixer.refine.tobytes()]})
 
     got = sample.groupBy().applyInPandas(fit, "weights binary, refine binary").collect()
@@ -399,6 +403,7 @@ def _learn_mixer(train: DataFrame, n_texts: int, counts: list[np.ndarray], id_co
     for r in got:
         mixer.weights = np.frombuffer(r["weights"]).reshape(256, N)
         mixer.refine = np.frombuffer(r["refine"]).reshape(2, 256, _BUCKETS)
+    shared.destroy()
     return mixer
 
 
@@ -429,32 +434,33 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     version = uuid.uuid4().hex
     end_log, denominator = math.log10(end + 1), math.log10(total + distinct + 1)
 
+    own = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+    kept = others(docs, own, keep)
+    rare, row = free_name([*kept, *own], "rare"), free_name([*kept, *own], "row")
+
     def make(texts):
         known, logits, weights, refine = shared.value
         mixer = Mixer()
         mixer.weights, mixer.refine = weights, refine
         scorer = worker_state(("lm", version), lambda: Scorer(Model(logits, mixer)), only="lm")
-        out = {c: [] for c in ("n_tokens", "n_known", "base_score", "score", "bits_per_byte", "rare")}
+        out = {c: [] for c in ("n_tokens", "n_known", "base_score", "score", "bits_per_byte", rare)}
         texts = [t.lower() for t in texts.to_pylist()]
         for t, bits in zip(texts, scorer.score(texts).tolist(), strict=True):
             words = t.split()
-            rare = [w for w in words if w not in known]
+            unknown = [w for w in words if w not in known]
             logs = sum(map(known.get, words, repeat(0.0)))
             out["n_tokens"].append(len(words) + 1)
-            out["n_known"].append(len(words) - len(rare) + (end > 0))
+            out["n_known"].append(len(words) - len(unknown) + (end > 0))
             out["base_score"].append(logs + end_log - (len(words) + 1) * denominator)
             out["score"].append(-bits * math.log10(2))
             out["bits_per_byte"].append(bits / max(1, len(t)))
-            out["rare"].append([{"word": w, "times": n} for w, n in Counter(rare).items()])
+            out[rare].append([{"word": w, "times": n} for w, n in Counter(unknown).items()])
         return out
 
-    own = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
-    kept = others(docs, own, keep)
-    rare, row = free_name(kept, "rare"), free_name(kept, "row")
     scored = arrow_columns(docs.withColumn("held_out", held_out(id_col)), [utf8(text_col)], make,
                            "n_tokens long, n_known long, base_score double, score double, bits_per_byte double, "
-                           "rare array<struct<word: binary, times: int>>", [*kept, "held_out"], TEXTS_AT_ONCE)
-    scored = materialize(scored.withColumnRenamed("rare", rare).withColumn(row, F.monotonically_increasing_id()), "lm-scored")
+                           f"{rare} array<struct<word: binary, times: int>>", [*kept, "held_out"], TEXTS_AT_ONCE)
+    scored = materialize(scored.withColumn(row, F.monotonically_increasing_id()), "lm-scored")
     times = F.col("r.times")
     more = (scored.select(F.col(row).alias("_row"), F.explode(rare).alias("r"))
             .join(words, F.col("r.word") == words["word"])
