@@ -23,6 +23,8 @@ from tagwright.session import materialize, scratch_path  # noqa: F401 - re-used
 # need the libraries, not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
+BATCH_CONF, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+BATCH_BYTES = str(8 << 20)
 ROWS_AT_ONCE = 1024     # rows that a Python task turns into Python objects at a time
 
 #: Words of most operators: runs of anything but ASCII blanks. ``bytes.split()``
@@ -30,8 +32,17 @@ ROWS_AT_ONCE = 1024     # rows that a Python task turns into Python objects at a
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of Python tasks: Spark's own default holds 64 MB
+    of texts outside the heap, doubled as it grows, for each running task. A
+    setting of the user's stays. Results do not depend on it."""
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """Scan the named columns of one table (column pruning reaches the scan)."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").select(*columns)
 
 
@@ -99,6 +110,7 @@ def arrow_columns(df: DataFrame, inputs: Sequence[Column], make: Callable[..., d
     values per column of ``ddl``; it runs on ``at_once`` rows at a time, in
     the partitions of ``df``, without a shuffle.
     """
+    small_batches(df.sparkSession)
     new = T.StructType.fromDDL(ddl)
     kept = others(df, new.names, keep)
     schema = T.StructType([df.schema[c] for c in kept] + new.fields)

@@ -312,7 +312,7 @@ def _sorted_matches(cut: DataFrame, span: int) -> DataFrame:
 
 def _hot_matches(cut: DataFrame, span: int) -> DataFrame:
     windows = cut.where("window IS NOT NULL").select("row", "single", "window", "high", "low")
-    again = windows.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    again = materialize(windows.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "hot-windows")
     return (windows.where("single").join(again, ["high", "low"])
             .select("row", F.col("window").alias("start"), (F.col("window") + span).alias("stop")))
 
@@ -321,7 +321,10 @@ def repeated_spans(texts: DataFrame, span: int = SPAN, gram: int = GRAM, group:
     """``row, start, stop`` (byte places) of repeated strings, overlapping,
     for texts ``row, bytes``."""
     rows = _anchor_rows(texts, span, gram)
-    again = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("_anchor"))
+    # grouped tables are written before they are joined: a join straight on a
+    # grouped sum could not split the rows of a hot anchor
+    again = materialize(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+                        .select(F.col("anchor").alias("_anchor")), "recurring-anchors")
     rows = materialize(rows.join(again, F.col("anchor") == F.col("_anchor")).drop("_anchor"), "recurring-runs")
     bodies = materialize(rows.groupBy("anchor", "body", (F.col("run").bitwiseAND((1 << 20) - 1)).alias("shape"))
                          .agg(F.count("*").alias("n"), F.min(F.struct("row", "run")).alias("one")), "run-bodies")
@@ -331,8 +334,9 @@ def repeated_spans(texts: DataFrame, span: int = SPAN, gram: int = GRAM, group:
     start = F.shiftright("run", 20)
     count = F.shiftright("run", 10).bitwiseAND(1023)
     whole = whole.select("row", start.alias("start"), (start + count + (span - 1)).alias("stop"))
-    per_anchor = (bodies.groupBy("anchor").agg(F.count("*").alias("bodies"), F.count_if(F.col("n") == 1).alias("single"))
-                  .where("bodies > 1 AND single > 0").select(F.col("anchor").alias("_anchor"), "bodies"))
+    per_anchor = materialize(
+        bodies.groupBy("anchor").agg(F.count("*").alias("bodies"), F.count_if(F.col("n") == 1).alias("single"))
+        .where("bodies > 1 AND single > 0").select(F.col("anchor").alias("_anchor"), "bodies"), "anchor-bodies")
     wanted = (bodies.join(per_anchor, F.col("anchor") == F.col("_anchor"))
               .select("one.row", "anchor", "one.run", (F.col("bodies") > group).alias("hot"), (F.col("n") == 1).alias("single")))
     cut = materialize(_cut_runs(texts, wanted, span), "cut-runs")
