@@ -37,11 +37,12 @@ from .quality_rules import byte_counts, class_histogram, duplicate_lines
 SAMPLE = 24_000
 DIMS = 1 << 20
 MIN_TEXTS = 3       # rated texts a word must occur in to get a weight
+SHAPE_MASS = 3.0        # of each shape
 PREFIXES = (4,)    # lengths of word beginnings, in bytes
 WORD_MASS = 10.0    # length of the word part of a feature vector
 PENALTY = 1e-4      # L2, on the mean loss
 STEPS = 60          # of the optimiser
-SELECT_AT = 0.4     # least probability of the top grade among kept texts
+SELECT_AT = 0.5     # least probability of the top grade among kept texts
 
 _SHAPES = ("upper", "digit", "mark", "symbol", "other", "unique", "length", "lines")
 _LEVELS = 12
@@ -53,7 +54,8 @@ def _slot(name: bytes) -> int:
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of a text: its different words share a vector of
-    length ``WORD_MASS``, so do their beginnings of each length, and each shape has a unit in the slot of its level."""
+    length ``WORD_MASS``, so do their beginnings of each length, and each shape has ``SHAPE_MASS``
+    in the slot of its level."""
     words = words_of(text)
     unique = set(words)
     slots, values = [], []
@@ -69,7 +71,7 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     for name, v in zip(_SHAPES, shape, strict=True):
         level = min(_LEVELS - 1, int(v * _LEVELS))
         slots.append(_slot(f" {name} {level}".encode()))
-        values.append(1.0)
+        values.append(SHAPE_MASS)
     return np.array(slots, np.int32), np.array(values, np.float32)
 
 
