@@ -52,7 +52,7 @@ TABLE_BITS = (16, 18, 19, 20)   # counters of the predictors: 1, 2, 3 bytes, wor
 PART_BITS = 16                  # tables travel in parts of this size
 FAN_IN = 32                     # tables added up in one node of the tree
 TEXTS_AT_ONCE = 256
-COUNTED_AT_ONCE = 1024
+COUNTED_AT_ONCE = 2048
 WORDS_AT_ONCE = 1 << 14
 CACHE_WORDS = 250_000
 
@@ -301,6 +301,15 @@ class Scorer:
         return bits + [sum(map(self.tails.__getitem__, ws)) for ws in words]
 
 
+def _odd(words: list[bytes]) -> list[int]:
+    """Places of words that are no token as they stand: empty, with a blank
+    other than the space, or with the end mark."""
+    buf = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    odd = np.flatnonzero(((buf >= 9) & (buf <= 13)) | (buf == END))
+    return sorted({*np.searchsorted(ends, odd, side="right").tolist(), *(i for i, w in enumerate(words) if not w)})
+
+
 def _slices(rows, at_once: int):
     return (batch.slice(k, at_once) for batch in rows for k in range(0, len(batch), at_once))
 
@@ -330,14 +339,14 @@ def _count(train: DataFrame) -> DataFrame:
                 counts.add(symbols, n[k:k + WORDS_AT_ONCE][of])
             # tokens: the words without end marks, cut at other blanks; the end
             # token is the one word with a byte that no text has
-            for w in [w for w in words if w[-1:] == _END or w.split() != [w]]:
-                m = found.pop(w)
-                for x in w.rstrip(_END).split():
+            for i in _odd(words):
+                m = found.pop(words[i])
+                for x in words[i].rstrip(_END).split():
                     found[x] += m
             found[_END] = len(texts)
-            none = [None] * len(found)
-            yield pa.RecordBatch.from_pydict({"word": list(found), "n": list(found.values()), "part": none,
-                                              "task": none, "data": none}, schema=schema)
+            k = len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64()),
+                                              *(pa.nulls(k, f.type) for f in list(schema)[2:])], schema=schema)
         if any_text:
             task = TaskContext.get().partitionId()
             for part, data in enumerate(_parts(counts.seen)):
@@ -454,17 +463,16 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             out["base_score"].append(logs + end_log - (len(words) + 1) * denominator)
             out["score"].append(-bits * math.log10(2))
             out["bits_per_byte"].append(bits / max(1, len(t)))
-            out[rare].append([{"word": w, "times": n} for w, n in Counter(unknown).items()])
+            out[rare].append(unknown)
         return out
 
     scored = arrow_columns(docs.withColumn("held_out", held_out(id_col)), [utf8(text_col)], make,
                            "n_tokens long, n_known long, base_score double, score double, bits_per_byte double, "
-                           f"{rare} array<struct<word: binary, times: int>>", [*kept, "held_out"], TEXTS_AT_ONCE)
+                           f"{rare} array<binary>", [*kept, "held_out"], TEXTS_AT_ONCE)
     scored = materialize(scored.withColumn(row, F.monotonically_increasing_id()), "lm-scored")
-    times = F.col("r.times")
-    more = (scored.select(F.col(row).alias("_row"), F.explode(rare).alias("r"))
-            .join(words, F.col("r.word") == words["word"])
-            .groupBy("_row").agg(F.sum(times).alias("_known"), F.sum(times * F.log10(F.col("n") + 1)).alias("_logs")))
+    more = (scored.select(F.col(row).alias("_row"), F.explode(rare).alias("_word"))
+            .join(words, F.col("_word") == words["word"])
+            .groupBy("_row").agg(F.count("*").alias("_known"), F.sum(F.log10(F.col("n") + 1)).alias("_logs")))
     return (scored.join(more, scored[row] == more["_row"], "left")
             .select(*[col(c) for c in kept], "held_out", "n_tokens",
                     (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
