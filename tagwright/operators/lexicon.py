@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.patterns import Lexicon, phrase_pattern
-from ..functions.text import explode_values
+from ..functions.text import with_column_once
 
 SPAN_TYPE = T.ArrayType(T.StructType([
     T.StructField("term", T.StringType()),
@@ -174,42 +174,74 @@ def label_product(*labels: Column) -> Column:
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
 
 
-def _ngram_at(n: int):
-    # one-argument lambda: a two-argument one would receive (element, index)
-    return lambda i: F.array_join(F.slice("tok", i, n), " ")
-
-
-def large_dictionary_tag(df: DataFrame, key: str, text: str, terms: DataFrame,
-                         max_words: int | None = None,
-                         broadcast_limit: int = 1_000_000) -> DataFrame:
-    """Flag texts that contain any whole-word term of a *table* of terms.
-
-    For dictionaries of thousands or millions of terms one giant alternation
-    is slow to compile and match; instead tokenise, emit the word n-grams up
-    to the longest term, and semi-join them with the term table. The term
-    table is broadcast only when its size has been counted under
-    ``broadcast_limit`` rows; above that the join shuffles both sides on the
-    n-gram (AQE splits skewed n-grams such as "the").
-
-    Returns ``key, found`` for every input row. Terms are matched
-    case-insensitively on whole words, separated by single blanks.
+def _tokens(text: Column) -> tuple[Column, Column]:
+    """Lower-cased word tokens, and the kind of each gap between two of them:
+    ``-`` for one hyphen, a blank for any other run of blanks and hyphens,
+    ``x`` for anything else (no term spans it)."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    tok = F.regexp_extract_all(low, F.lit(TOKEN_PATTERN), 0)
+    gaps = F.split(low, TOKEN_PATTERN, -1)
+    kind = F.transform(gaps, lambda g: F.when(g == "-", "-").when(g.rlike("^[- ]+$"), " ").otherwise("x"))
+    return tok, kind
+
+
+def _grams(n: int, lengths: Sequence[int]):
+    """Of ``t`` (struct of tokens and gap kinds): every run of ``n`` tokens as
+    lines ``gram, gaps, part`` (plain strings, whose duplicates Spark drops by
+    hash); with ``lengths`` also the run with its last
+    token cut to each of them, for terms that may start a longer word."""
+    def runs(t):
+        def one(i):
+            words = F.slice(t["tok"], i, n)
+            gaps = F.array_join(F.slice(t["kind"], i + 1, n - 1), "")
+            whole = F.concat_ws("\n", F.array_join(words, " "), gaps, F.lit("0"))
+            last = F.element_at(words, -1)
+            head = F.array_join(F.slice(words, 1, n - 1), " ")
+            cut = [F.when(F.length(last) >= m, F.concat_ws(
+                "\n", F.concat(head, F.lit(" "), F.substring(last, 1, m)) if n > 1 else F.substring(last, 1, m),
+                gaps, F.lit("1"))) for m in lengths]
+            return F.array(whole, *cut)
+        several = F.flatten(F.transform(F.sequence(F.lit(1), F.size(t["tok"]) - (n - 1)), one))
+        return F.when(F.size(t["tok"]) >= n, several)
+    return runs
+
+
+def large_dictionary_tag(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """Flag texts that contain any term of a *table* of terms (``term`` and,
+    optionally, a boolean ``part``): the same answer as the regular-expression
+    flag of a lexicon of these terms (escaped), for any number of them.
+
+    Terms and texts are cut into word tokens alike; texts emit their runs of
+    as many tokens as some term has, joined with the term table on the run.
+    A blank in a term stands for any run of blanks and hyphens, a hyphen for
+    itself. One-word terms with ``part`` are met by the beginnings, of the
+    lengths that occur among them, of a run's last token. The join has no
+    hint: Spark measures the term table and splits frequent runs.
+
+    Returns ``key, found`` for every input row.
     """
-    norm_terms = (terms.select(F.lower(F.trim(F.col("term"))).alias("gram"))
-                  .where(F.length("gram") > 0).distinct())
-    if max_words is None:
-        mw = norm_terms.select(F.max(F.size(F.split("gram", " ")))).first()[0]
-        max_words = int(mw or 1)
-    n_terms = norm_terms.count()
-    toks = F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN_PATTERN), 0)
-    base = df.select(F.col(key), F.coalesce(toks, F.array().cast("array<string>")).alias("tok"))
-    grams = [F.col("tok")]
-    for n in range(2, max_words + 1):
-        # every run of n consecutive tokens, joined by one blank
-        g = F.transform(F.sequence(F.lit(1), F.size("tok") - (n - 1)), _ngram_at(n))
-        grams.append(F.when(F.size("tok") >= n, g).otherwise(F.array().cast("array<string>")))
-    exploded = base.select(F.col(key), explode_values(
-        F.array_distinct(F.flatten(F.array(*grams))), "gram")).where(F.col("gram").isNotNull())
-    right = F.broadcast(norm_terms) if n_terms <= broadcast_limit else norm_terms
-    hit = exploded.join(right, "gram", "left_semi").select(key).distinct()
-    return (df.select(key).join(hit.withColumn("found", F.lit(True)), key, "left")
-            .select(key, F.coalesce("found", F.lit(False)).alias("found")))
+    part = F.coalesce(F.col("part"), F.lit(False)) if "part" in terms.columns else F.lit(False)
+    tok, kind = _tokens(F.trim(F.col("term")))
+    norm = (terms.select(tok.alias("tok"), kind.alias("kind"), (part & ~F.trim("term").rlike(r"\s")).alias("part"))
+            .where(F.size("tok") > 0)
+            .select(F.array_join("tok", " ").alias("gram"), F.size("tok").alias("n"), "part",
+                    F.array_join(F.slice("kind", 2, F.size("tok") - 1), "").alias("wanted"),
+                    F.length(F.element_at("tok", -1)).alias("last")).distinct())
+    # which runs to emit: a few numbers, whatever the number of terms
+    shapes = norm.groupBy("n").agg(F.collect_set(F.when(F.col("part"), F.col("last"))).alias("cuts")).collect()
+    if not shapes:
+        return df.select(key, F.lit(False).alias("found"))
+    tok, kind = _tokens(F.col(text))
+    # tokenised once: an expression inlined into the lambdas would run per run
+    base = with_column_once(df.select(key, text), "t", F.struct(tok.alias("tok"), kind.alias("kind")))
+    grams = F.concat(*[F.coalesce(_grams(r["n"], sorted(r["cuts"]))(F.col("t")),
+                                  F.array().cast("array<string>")) for r in shapes])
+    rows = base.select(F.col(key), F.explode_outer(F.array_distinct(grams)).alias("g")).where("g IS NOT NULL")
+    line = F.split("g", "\n")
+    rows = rows.select(key, line[0].alias("gram"), line[1].alias("gaps"), (line[2] == "1").alias("part"))
+    fits = F.forall(F.zip_with(F.split("wanted", ""), F.split("gaps", ""),
+                               lambda w, g: F.when(w == "-", g == "-").otherwise(g.isin("", " ", "-"))), lambda ok: ok)
+    hit = (rows.join(norm.select("gram", "part", "wanted"), ["gram", "part"]).where(fits)
+           .select(F.col(key).alias("_key")).distinct().withColumn("_hit", F.lit(True)))
+    return (df.select(key).join(hit, F.col(key).eqNullSafe(F.col("_key")), "left")
+            .select(key, F.coalesce("_hit", F.lit(False)).alias("found")))

@@ -103,10 +103,27 @@ def strip_json_fence(resp: Column, only_if_fenced: bool = True) -> Column:
     return stripped
 
 
+JSON_OPTIONS = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
+
+
 def parse_json_response(resp: Column, field: str, field_type: str = "int") -> Column:
-    """``struct(value, ok)`` for the declared field of a JSON answer.
-    Invalid JSON, a non-object, or a missing or mistyped field -> null value
-    and ``ok = false``."""
-    parsed = F.from_json(resp, f"`{field}` {field_type}", {"mode": "PERMISSIVE"})
-    value = parsed[field]
-    return F.struct(value.alias("value"), F.coalesce(value.isNotNull(), F.lit(False)).alias("ok"))
+    """``struct(value, ok, typed)`` for one field of a JSON answer.
+
+    ``ok``: the whole answer is one valid JSON object (no text after it, no
+    single quotes) that has the field, whatever the field's type. ``value``:
+    the field as ``field_type``, also from a number or a string of that
+    value (1.0 and "1" are the integer 1), else null; ``typed``: it is not
+    null. The reader stops after the first JSON value, so the answer is read
+    inside an array and inside an object: what is valid in both has nothing
+    left over."""
+    alone = F.from_json(F.concat(F.lit("["), resp, F.lit("]")), "array<string>", JSON_OPTIONS)
+    fields = F.from_json(F.concat(F.lit('{"a":'), resp, F.lit("}")), "a map<string,string>", JSON_OPTIONS)["a"]
+    ok = (F.size(alone) == 1) & alone[0].isNotNull() & F.map_contains_key(fields, F.lit(field))
+    raw = fields[field]
+    value = raw.try_cast(field_type)
+    if field_type.lower() in ("tinyint", "smallint", "int", "integer", "bigint", "long"):
+        number = raw.try_cast("double")
+        value = F.coalesce(value, F.when(number == F.floor(number), number.try_cast(field_type)))
+    ok = F.coalesce(ok, F.lit(False))
+    return F.struct(F.when(ok, value).alias("value"), ok.alias("ok"),
+                    F.coalesce(ok & value.isNotNull(), F.lit(False)).alias("typed"))

@@ -268,18 +268,26 @@ def q_dictionary_info(spark, sf):
 
 # --- D11: the benchmark vocabulary as a large dictionary --------------------------------
 @register("large_dictionary_tag", op="D11", sql=f"""
-WITH terms AS (SELECT DISTINCT term FROM ({TERM_TABLE_SQL})),
-d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS tok FROM documents),
-g AS (SELECT doc_id, unnest(tok) AS gram FROM d
+WITH terms AS (SELECT term, bool_or(CASE WHEN trim(part) = '0' THEN false ELSE length(trim(part)) > 0 END) AS part,
+                 NOT contains(term, ' ') AS single FROM ({TERM_TABLE_SQL}) GROUP BY term),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS tok,
+        string_split_regex(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS gap FROM documents),
+w AS (SELECT DISTINCT doc_id, unnest(tok) AS gram FROM d),
+met AS (SELECT DISTINCT gram FROM (SELECT DISTINCT gram FROM w) x JOIN terms
+        ON single AND part AND starts_with(gram, term)),
+g AS (SELECT doc_id, gram FROM w
       UNION ALL
-      SELECT doc_id, unnest(list_transform(range(1, len(tok)), lambda i: tok[i] || ' ' || tok[i + 1]))
-      FROM d WHERE len(tok) >= 2),
-h AS (SELECT DISTINCT doc_id FROM g WHERE gram IN (SELECT term FROM terms))
+      SELECT doc_id, gram FROM (
+        SELECT doc_id, unnest(list_transform(range(1, len(tok)), lambda i:
+          CASE WHEN regexp_full_match(gap[i + 1], '[- ]+') THEN tok[i] || ' ' || tok[i + 1] END)) AS gram
+        FROM d WHERE len(tok) >= 2) WHERE gram IS NOT NULL),
+h AS (SELECT DISTINCT doc_id FROM g WHERE gram IN (SELECT term FROM terms)
+      UNION SELECT doc_id FROM w WHERE gram IN (SELECT gram FROM met))
 SELECT doc_id, doc_id IN (SELECT doc_id FROM h) AS found FROM documents
 """)
 def q_large_dictionary_tag(spark, sf):
-    terms = _term_table(spark, sf).select("term")
-    return LX.large_dictionary_tag(_docs(spark, sf), "doc_id", "text", terms, max_words=2)
+    terms = _term_table(spark, sf).select("term", DS.part_flag(F.col("part")).alias("part"))
+    return LX.large_dictionary_tag(_docs(spark, sf), "doc_id", "text", terms)
 
 
 # --- the flagship rule as a streaming job ------------------------------------------------

@@ -106,14 +106,32 @@ def q_strip_json_fence(spark, sf):
                     RS.strip_json_fence(f, False).alias("cleaned_always"))
 
 
-PARSE_SQL = """SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
-  TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) IS NOT NULL AS ok FROM events"""
+# answers of every kind: plain, with text after them, in single quotes, with a
+# float, a string, another field, inside a list, and fenced
+ANSWERS_SQL = """SELECT event_id, props, CASE event_id % 8 WHEN 0 THEN props WHEN 1 THEN props || ' I think so'
+  WHEN 2 THEN replace(props, '"', '''') WHEN 3 THEN '{"k": ' || json_extract_string(props, '$.k') || '.0}'
+  WHEN 4 THEN '{"k": "' || json_extract_string(props, '$.k') || '"}' WHEN 5 THEN '{"q": 1}'
+  WHEN 6 THEN '[' || props || ']' ELSE props END AS answer FROM events"""
+PARSE_SQL = f"""SELECT event_id, CASE WHEN ok THEN TRY_CAST(TRY_CAST(json_extract_string(answer, '$.k') AS DOUBLE)
+  AS INTEGER) END AS k, ok FROM (SELECT *, coalesce(json_valid(answer) AND json_type(CASE WHEN json_valid(answer)
+  THEN answer END) = 'OBJECT' AND json_exists(CASE WHEN json_valid(answer) THEN answer END, '$.k'), false) AS ok
+  FROM ({ANSWERS_SQL}))"""
+
+
+def _answers(spark, sf):
+    e = read_table(spark, sf, "events", ["event_id", "props"])
+    p, k = F.col("props"), F.get_json_object("props", "$.k")
+    kind = F.col("event_id") % 8
+    answer = (F.when(kind == 0, p).when(kind == 1, F.concat(p, F.lit(" I think so")))
+              .when(kind == 2, F.replace(p, F.lit('"'), F.lit("'"))).when(kind == 3, F.concat(F.lit('{"k": '), k, F.lit(".0}")))
+              .when(kind == 4, F.concat(F.lit('{"k": "'), k, F.lit('"}'))).when(kind == 5, F.lit('{"q": 1}'))
+              .when(kind == 6, F.concat(F.lit("["), p, F.lit("]"))).otherwise(_fenced(p)))
+    return e.select("event_id", answer.alias("answer"))
 
 
 def _parsed(spark, sf):
-    e = read_table(spark, sf, "events", ["event_id", "props"])
-    r = RS.parse_json_response(RS.strip_json_fence(_fenced(F.col("props"))), "k", "int")
-    return e.select("event_id", r["value"].alias("k"), r["ok"].alias("ok"))
+    r = RS.parse_json_response(RS.strip_json_fence(F.col("answer")), "k", "int")
+    return _answers(spark, sf).select("event_id", r["value"].alias("k"), r["ok"].alias("ok"))
 
 
 @register("parse_json_response", op="L6", sql=PARSE_SQL)

@@ -8,7 +8,9 @@ absent -- local tests -- do we fall back to a fresh temporary folder.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,6 +35,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        # small test files: let the scan itself use every core
+        .config("spark.sql.files.maxPartitionBytes", "512k")
+        .config("spark.sql.files.openCostInBytes", "64k")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -57,7 +62,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset
             conf = None
     if not conf:
+        master = sc.master if sc is not None else ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="tagwright-ckpt-")
+        atexit.register(shutil.rmtree, conf, ignore_errors=True)
     if sc is not None:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf

@@ -19,10 +19,6 @@ DICTIONARY_SCHEMA = T.StructType([
     T.StructField("part", T.StringType()),
 ])
 
-# Driver-side lexicons are compiled into one pattern literal; past this size
-# use the join-based tagger (operators.lexicon.large_dictionary_tag).
-MAX_PATTERN_TERMS = 20_000
-
 
 def part_flag(part: Column, strict: bool = False) -> Column:
     """Truthiness of a ``part`` cell: blanks trimmed; numbers by value;
@@ -64,14 +60,10 @@ def read_dictionary_table(spark: SparkSession, path: str,
 
 
 def lexicon_from_table(df: DataFrame, name: str = "lexicon", **kw) -> Lexicon:
-    """Collect a dictionary table to the driver, refusing oversized ones.
-
-    A dictionary is a hand-made word list; the size check guards against a
-    data-sized table arriving here by mistake."""
-    rows = df.select("term", "part").limit(MAX_PATTERN_TERMS + 1).collect()
-    if len(rows) > MAX_PATTERN_TERMS:
-        raise ValueError(f"{name}: more than {MAX_PATTERN_TERMS} terms; "
-                         "use large_dictionary_tag instead")
+    """A dictionary table as a pattern. A dictionary is a hand-made word list,
+    one alternation in the plan; ``large_dictionary_tag`` gives the same flag
+    by a join where the terms themselves are data."""
+    rows = df.select("term", "part").collect()
     return Lexicon(tuple(r.term for r in rows), tuple(bool(r.part) for r in rows),
                    name=name, **kw)
 

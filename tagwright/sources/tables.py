@@ -57,23 +57,14 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-# Columns holding long texts: the per-row work on them (regular
-# expressions, parsing) is CPU-bound, so reads of them must use every core.
-TEXT_COLUMNS = {"text", "html"}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str,
-               columns: list[str] | None = None, spread: bool | None = None) -> DataFrame:
+               columns: list[str] | None = None) -> DataFrame:
     """Scan one table with its declared schema, projecting ``columns``.
 
     The projection reaches the scan as ``ReadSchema``; a two-column read of
     ``documents`` never touches the other three column chunks.
-
-    ``spread`` (default: on when a long-text column is read): when the scan plans fewer
-    splits than the cluster has cores -- a small table written as one row
-    group -- the rows are dealt round-robin over all cores before the
-    CPU-bound per-row work. A large table already has many splits and is
-    left alone, so no shuffle is added at scale.
+    The rows stay where the scan reads them: no shuffle spreads a table of
+    few splits (the session's ``maxPartitionBytes`` decides their number).
     """
     reader = spark.read
     schema = SCHEMAS.get(name)
@@ -82,21 +73,4 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     df = reader.parquet(table_path(sf_dir, name))
     if columns:
         df = df.select(*columns)
-    if spread is None:
-        spread = bool(TEXT_COLUMNS & set(df.columns))
-    if spread:
-        df = spread_rows(df)
-    return df
-
-
-def spread_rows(df: DataFrame) -> DataFrame:
-    """Round-robin ``df`` over the default parallelism if it has fewer
-    partitions (planning only; no job is run to decide)."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave the plan alone
-        return df
-    if parts < cores:
-        return df.repartition(cores)
     return df

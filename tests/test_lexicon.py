@@ -96,12 +96,24 @@ def test_phrase_terms(spark):
 
 
 def test_large_dictionary_tag(spark):
-    docs = spark.createDataFrame([(1, "The White House said"), (2, "nothing"), (3, None)],
-                                 "doc_id int, text string")
-    terms = spark.createDataFrame([("white house",), ("said",), ("zzz",)], "term string")
-    got = {r.doc_id: r.found for r in LX.large_dictionary_tag(docs, "doc_id", "text", terms)
-           .collect()}
-    assert got == {1: True, 2: False, 3: False}
+    """The same flag as the regular expression of the same terms."""
+    import random
+    rng = random.Random(4)
+    pairs = [("white house", False), ("said", False), ("well-known", False), ("regulat", True), ("state-of-the art", False),
+             ("anti-infl", True), ("a b c", True), ("über", True), ("x", False), ("a-b", False)]
+    bits = ["white", "house", "said", "well", "known", "regulation", "regulat", "state", "of", "the", "art", "anti", "inflation",
+            "a", "b", "c", "Überzug", "x1", "X", "-", " ", " ", " ", "--", ". ", "\n", "_"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(600)]
+    texts += ["The White House said", "nothing", None, "well known", "well-known", "white - house", "white-house", "state-of-the-art",
+              "state of the art", "deregulation", "anti inflation", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "said")], "doc_id int, text string")
+    terms = spark.createDataFrame(pairs, "term string, part boolean")
+    from tagwright.functions.patterns import Lexicon
+    lex = Lexicon.of(pairs, escape=True)
+    expected = docs.select("doc_id", LX.has_match("text", lex).alias("found")).collect()
+    got = LX.large_dictionary_tag(docs, "doc_id", "text", terms).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, expected))
+    assert LX.large_dictionary_tag(docs, "doc_id", "text", terms.limit(0)).where("found").count() == 0
 
 
 def test_flagship_counts(spark):

@@ -14,11 +14,17 @@ def test_classify_response(spark):
 
 
 def test_parse_json_response(spark):
-    df = spark.createDataFrame([(1, '```json\n{"EPU": 1}\n```'), (2, '{"EPU": 1'), (3, None)],
-                               "i int, r string")
+    cases = [('```json\n{"EPU": 1}\n```', 1, True), ('{"EPU": 1', None, False), (None, None, False),
+             ('{"EPU": 1} I think so', None, False), ("{'EPU': 1}", None, False), ('{"EPU": 1.0}', 1, True),
+             ('{"EPU": "1"}', 1, True), ('{"EPU": "x"}', None, True), ('{"EPU": 1.5}', None, True), ('{"EPU": null}', None, True),
+             ('[{"EPU": 1}]', None, False), ('{"A": {"EPU": 1}}', None, False), ('', None, False), ('  {"EPU": 0}\n', 0, True),
+             ('{"EPU": 1}] foo [', None, False), ('{"EPU": 1}} {', None, False), ('{"EPU": 1}, {"EPU": 2}', None, False),
+             ('"{\\"EPU\\": 1}"', None, False), ('{"EPU": 1,}', None, False), ('null', None, False), ('x {"EPU": 1}', None, False)]
+    df = spark.createDataFrame([(i, a) for i, (a, _, _) in enumerate(cases)], "i int, r string")
     p = RS.parse_json_response(RS.strip_json_fence(F.col("r")), "EPU")
-    got = {r.i: (r.v.value, r.v.ok) for r in df.select("i", p.alias("v")).collect()}
-    assert got == {1: (1, True), 2: (None, False), 3: (None, False)}
+    got = {r.i: r for r in df.select("i", p.alias("p")).select("i", "p.*").collect()}
+    for i, (answer, value, ok) in enumerate(cases):
+        assert (got[i].value, got[i].ok, got[i].typed) == (value, ok, value is not None), answer
 
 
 def test_accuracy_counts_null_as_wrong(spark):

@@ -11,7 +11,7 @@ from tagwright.streaming.tagging import run_to_completion, stream_files
 
 
 def test_incremental_and_exactly_once(spark):
-    docs = read_table(spark, "/root/testdata/sf0.001", "documents", spread=False)
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents")
     base = scratch_path(spark, "stream-test")
     inbox, sink, ckpt = f"{base}/in", f"{base}/sink", f"{base}/ckpt"
     docs.where("doc_id % 2 = 0").coalesce(1).write.parquet(f"{inbox}/a")
