@@ -192,25 +192,63 @@ def xml_paragraph_text(xml) -> Column:
 
 
 # --- X6: RTF ------------------------------------------------------------------------
-RTF_RUN = (r"(?s)\{\\cs[0-9]*\\lang1033\\langfe1033\\b[0-9]*\\i[0-9]*\\ul[0-9]*"
-           r"\\strike[0-9]*\\scaps[0-9]*\\fs[0-9]*\\afs[0-9]*\\charscalex[0-9]*"
-           r"\\expndtw-*[0-9]*\\cf[0-9]*\\dn[0-9]*.*?\}")
+# --- fixed values: the head of a formatted run (the order of its control words
+# is part of the file format), and the characters that code page 1252 puts at
+# 80-9F (hex), in order; U+FFFD where it has none
+RTF_RUN = r"(?s)\{\\cs[0-9]*\\lang1033\\langfe1033\\b[0-9]*\\i[0-9]*\\ul[0-9]*\\strike[0-9]*\\scaps[0-9]*\\fs[0-9]*\\afs[0-9]*\\charscalex[0-9]*\\expndtw-*[0-9]*\\cf[0-9]*\\dn[0-9]*.*?\}"  # noqa: E501
+CP1252_HIGH = "€\ufffd‚ƒ„…†‡ˆ‰Š‹Œ\ufffdŽ\ufffd\ufffd‘’“”•–—˜™š›œ\ufffdžŸ"
+# --- end of fixed values
 
+_C1 = "".join(map(chr, range(0x80, 0xA0)))
+_HEX_OPEN, _HEX_CLOSE = "\u0001", "\u0002"
 
-def _hex_piece(piece: Column, i: Column) -> Column:
+
+def _byte_piece(piece: Column, i: Column) -> Column:
     # every piece after the first starts with the two hex digits of a \'hh
-    return F.when(i == 0, piece).otherwise(F.concat(
-        F.decode(F.unhex(F.substring(piece, 1, 2)), "ISO-8859-1"), F.substring(piece, 3, 1 << 30)))
+    byte = F.translate(F.decode(F.unhex(F.substring(piece, 1, 2)), "ISO-8859-1"), _C1, CP1252_HIGH)
+    return F.when(i == 0, piece).when(piece.rlike("^[0-9a-fA-F]{2}"), F.concat(byte, F.substring(piece, 3, 1 << 30))).otherwise(piece)
+
+
+def _unit_piece(piece: Column, i: Column) -> Column:
+    # after \u: a number, a blank at most, and one character for older readers
+    n = F.pmod(F.regexp_extract(piece, "^(-?[0-9]+)", 1).try_cast("int"), F.lit(1 << 16))
+    rest = F.regexp_replace(piece, r"^-?[0-9]+ ?(?:\\'[0-9a-fA-F]{2}|[^\\{}])?", "")
+    return F.when(i == 0, piece).otherwise(F.concat(F.lit(_HEX_OPEN), F.lpad(F.hex(n), 4, "0"), F.lit(_HEX_CLOSE), rest))
+
+
+def _utf16_piece(piece: Column, i: Column) -> Column:
+    # hex digits of UTF-16 units up to the closing mark; halves of a pair alone are no character
+    units = F.regexp_extract_all(F.substring_index(piece, _HEX_CLOSE, 1), F.lit("[0-9A-F]{4}"), F.lit(0))
+
+    def whole(u, k):
+        high, low = u.rlike("^D[89AB]"), u.rlike("^D[C-F]")
+        after = F.coalesce(F.get(units, k + 1), F.lit("")).rlike("^D[C-F]")
+        before = F.coalesce(F.get(units, k - 1), F.lit("")).rlike("^D[89AB]")
+        return F.when((high & ~after) | (low & ~before), "FFFD").otherwise(u)
+    text = F.decode(F.unhex(F.array_join(F.transform(units, whole), "")), "UTF-16BE")
+    rest = F.substring(piece, F.locate(_HEX_CLOSE, piece) + 1, 1 << 30)
+    return F.when(i == 0, piece).otherwise(F.concat(text, rest))
+
+
+def _pieces(text: Column, sep: str, fn) -> Column:
+    return F.array_join(F.transform(F.split(text, sep, -1), fn), "")
 
 
 def rtf_plain(run: Column) -> Column:
-    """Text of one RTF run: braces, control words (``\\word`` with optional
-    numeric argument and one delimiting blank) removed, ``\\'hh`` decoded
-    as ISO-8859-1 (equal to cp1252 for letters)."""
+    """Text of one RTF run: braces and control words (``\\word`` with optional
+    numeric argument and one delimiting blank) removed, ``\\par`` and
+    ``\\line`` as line ends, ``\\tab`` as a tab, ``\\'hh`` in code page 1252,
+    ``\\uN`` as UTF-16 units (the character after it, for older readers, is
+    skipped)."""
     body = F.regexp_replace(run, r"^\{|\}$", "")
+    body = F.regexp_replace(body, "[" + _HEX_OPEN + _HEX_CLOSE + "]", "")
+    body = F.regexp_replace(body, r"\\(?:par|line)(?![a-zA-Z])-?[0-9]* ?", "\n")
+    body = F.regexp_replace(body, r"\\tab(?![a-zA-Z])-?[0-9]* ?", "\t")
+    body = _pieces(body, r"\\u(?=-?[0-9])", _unit_piece)
+    body = F.replace(body, F.lit(_HEX_CLOSE + _HEX_OPEN), F.lit(""))
     body = F.regexp_replace(body, r"\\[a-zA-Z]+-?[0-9]* ?", "")
-    pieces = F.split(body, r"\\'", -1)
-    return F.array_join(F.transform(pieces, _hex_piece), "")
+    body = _pieces(body, _HEX_OPEN, _utf16_piece)
+    return _pieces(body, r"\\'", _byte_piece)
 
 
 def rtf_run_text(raw) -> Column:

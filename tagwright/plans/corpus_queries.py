@@ -122,28 +122,37 @@ def q_join_inner_multikey(spark, sf):
 
 # --- documents as four article sources -------------------------------------------------
 def sources_union(spark, sf):
+    """Documents as articles of several sources: the language names the source
+    (others keep their own name). One scan."""
     d = _docs(spark, sf, ("doc_id", "text", "lang"))
-    parts = [(d.where(F.col("lang") == lang).select("doc_id", "text"), name)
-             for lang, name in SOURCE_NAMES.items()]
-    return CO.union_sources(parts)
+    names = F.create_map(*[F.lit(x) for pair in SOURCE_NAMES.items() for x in pair])
+    vintage = F.coalesce(names[F.coalesce("lang", F.lit(""))], F.col("lang"), F.lit("unknown"))
+    return d.select(F.col("doc_id").cast("string").alias("article_id"), "text", vintage.alias("vintage"))
 
 
 def _sources_sql():
-    parts = [f"SELECT CAST(doc_id AS VARCHAR) AS article_id, text, '{name}' AS vintage "
-             f"FROM documents WHERE lang = '{lang}'" for lang, name in SOURCE_NAMES.items()]
-    return " UNION ALL ".join(parts)
+    names = " ".join(f"WHEN '{lang}' THEN '{name}'" for lang, name in SOURCE_NAMES.items())
+    return (f"SELECT CAST(doc_id AS VARCHAR) AS article_id, text, CASE lang {names} "
+            "ELSE coalesce(lang, 'unknown') END AS vintage FROM documents")
 
 
-@register("union_sources", op="U1", sql=_sources_sql())
+@register("union_sources", op="U1", sql="""
+SELECT CAST(doc_id AS VARCHAR) AS article_id, text, 'modern' AS vintage FROM documents
+UNION ALL SELECT CAST(item_id AS VARCHAR), text, 'midcentury' FROM benchmark
+UNION ALL SELECT CAST(page_id AS VARCHAR), html, 'historical' FROM pages
+""")
 def q_union_sources(spark, sf):
-    return sources_union(spark, sf)
+    return CO.union_sources([
+        (_docs(spark, sf, ("doc_id", "text")), "modern"),
+        (read_table(spark, sf, "benchmark", ["item_id", "text"]), "midcentury"),
+        (read_table(spark, sf, "pages", ["page_id", "html"]), "historical")])
 
 
 @register("constant_column", op="C9", sql="""
-SELECT doc_id, 'modern' AS vintage FROM documents WHERE lang = 'en'
+SELECT doc_id, 'modern' AS vintage FROM documents
 """)
 def q_constant_column(spark, sf):
-    d = _docs(spark, sf, ("doc_id", "lang")).where(F.col("lang") == "en")
+    d = _docs(spark, sf, ("doc_id",))
     return d.select("doc_id", F.lit("modern").alias("vintage"))
 
 

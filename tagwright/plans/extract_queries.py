@@ -144,28 +144,35 @@ RUN_HEAD = ("{\\cs15\\lang1033\\langfe1033\\b0\\i0\\ul0\\strike0\\scaps0\\fs24\\
 
 
 def _rtf_char(c):
-    plain = (F.ascii(c) < 128) & ~c.isin("\\", "{", "}")
-    return F.when(plain, c).otherwise(
-        F.concat(F.lit("\\'"), F.lower(F.hex(F.encode(c, "ISO-8859-1")))))
+    code = F.ascii(c)
+    plain = (code < 128) & ~c.isin("\\", "{", "}")
+    byte = F.concat(F.lit("\\'"), F.lower(F.hex(F.encode(c, "ISO-8859-1"))))
+    unit = F.concat(F.lit("\\u"), code.cast("string"), F.lit("?"))
+    # Latin-1 characters alternate between the two escapes, others need the second
+    return F.when(plain, c).when((code < 256) & (code % 2 == 0), byte).otherwise(unit)
+
+
+RTF_TAIL = "\\'92\\par\\tab end\\line \\u-10179?\\u-8704?"
 
 
 def documents_as_rtf(spark, sf):
-    """Each line becomes one formatted run; characters outside ASCII and the
-    RTF specials are written as ``\\'hh`` escapes (ISO-8859-1), paragraphs
-    are separated by ``\\par``. Lines that need no escape are copied."""
+    """Each line becomes one formatted run that ends in ``RTF_TAIL`` (a byte of
+    code page 1252, paragraph, tab, line end, a character beyond 16 bits);
+    characters outside ASCII and the RTF specials are escaped, paragraphs are
+    separated by ``\\par``. Lines that need no escape are copied."""
     d = read_table(spark, sf, "documents", ["doc_id", "text"])
 
     def run(line):
         per_char = F.array_join(F.transform(F.split(line, "", -1), _rtf_char), "")
         esc = F.when(line.rlike(r"[^\x00-\x7F]|[\\{}]"), per_char).otherwise(line)
-        return F.concat(F.lit(RUN_HEAD), esc, F.lit("}"))
+        return F.concat(F.lit(RUN_HEAD), esc, F.lit(RTF_TAIL + "}"))
     body = F.array_join(F.transform(F.split("text", "\n", -1), run), "\\par\n")
     return d.select("doc_id", F.concat(F.lit("{\\rtf1\\ansi "), body, F.lit("}")).alias("rtf"))
 
 
 @register("rtf_run_text", op="X6", sql="""
-SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, chr(10)),
-  lambda l: l <> ''), lambda l: chr(10) || l), '') AS text FROM documents
+SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)),
+  lambda l: chr(10) || l || chr(8217) || chr(10) || chr(9) || 'end' || chr(10) || chr(128512)), '') AS text FROM documents
 """)
 def q_rtf_run_text(spark, sf):
     r = documents_as_rtf(spark, sf)
@@ -181,13 +188,13 @@ def _extracted(spark, sf):
 
 
 def _expected(spark, sf):
-    hi = _pages(spark, sf, ("page_id",)).agg(F.max("page_id")).first()[0]
-    # ids are numbered from 0; a gap in the files shows up as missing
-    return spark.range(0, (hi or 0) + 1).withColumnRenamed("id", "article_id")
+    """The articles that were asked for: the ids of all labelled documents. Pages
+    without a label were not asked for, labels without a page are missing."""
+    return read_table(spark, sf, "labels", ["doc_id"]).select(F.col("doc_id").alias("article_id"))
 
 
 AUDIT_SQL = f"""
-WITH e AS (SELECT range AS article_id FROM range(0, (SELECT max(page_id) + 1 FROM pages))),
+WITH e AS (SELECT DISTINCT doc_id AS article_id FROM labels),
 x AS (SELECT page_id AS article_id, {s_dispatch()} AS text,
              {S_HOST} IN ('www', 'blog', 'm') AS recognised FROM pages)
 SELECT status, count(*) AS n FROM (
@@ -222,9 +229,13 @@ def q_anti_join_audit(spark, sf):
 SELECT page_id, html FROM pages
 """)
 def q_scan_raw_articles(spark, sf):
+    """Pages as raw files: one file per page in a few folders, read back whole."""
     path = scratch_path(spark, "raw-pages")
-    _pages(spark, sf, ("page_id", "html")).write.partitionBy("page_id").text(path)
-    raw = EX.read_raw_files(spark, path, id_pattern=r"page_id=([0-9]+)/")
+    pages = _pages(spark, sf, ("page_id", "html"))
+    # the writer starts a new file after each row; every row names its page first
+    named = pages.select(F.concat(F.col("page_id").cast("string"), F.lit("\n"), F.col("html")).alias("value"))
+    named.write.option("maxRecordsPerFile", 1).text(path)
+    raw = EX.read_raw_files(spark, path, glob="part-*")
     # the text writer ends every file with one line separator
-    html = F.expr("substring(raw, 1, length(raw) - 1)")
-    return raw.select(F.col("article_id").cast("bigint").alias("page_id"), html.alias("html"))
+    body = F.expr("substring(raw, locate('\n', raw) + 1, length(raw) - locate('\n', raw) - 1)")
+    return raw.select(F.substring_index("raw", "\n", 1).cast("bigint").alias("page_id"), body.alias("html"))

@@ -11,6 +11,7 @@ from ..operators import evaluate as EV
 from ..operators import lexicon as LX
 from ..operators import responses as RS
 from ..operators import split as SP
+from ..session import materialize
 from ..sources.tables import read_table
 from . import fixtures as FX
 from . import sqlbits as SB
@@ -35,10 +36,10 @@ PROMPT_SQL = f"'{_sq(PROMPT_HEAD)}' || coalesce(text, '') || '{_sq(PROMPT_TAIL)}
 
 
 @register("prompt_render", op="L1", sql=f"""
-SELECT conv_id, turn, {PROMPT_SQL} AS prompt FROM conversations WHERE role = 'user'
+SELECT conv_id, turn, {PROMPT_SQL} AS prompt FROM conversations
 """)
 def q_prompt_render(spark, sf):
-    c = _conv(spark, sf).where(F.col("role") == "user")
+    c = _conv(spark, sf)
     return c.select("conv_id", "turn", RS.render_prompt(F.col("text"), PROMPT_HEAD, PROMPT_TAIL)
                     .alias("prompt"))
 
@@ -189,20 +190,21 @@ def truth_and_test(spark, sf):
 
 
 def predictions(spark, sf, test=None):
+    """The three methods' answers in one pass over the texts: each test article
+    emits a row per method that covers it."""
     test = test if test is not None else truth_and_test(spark, sf)
     d = read_table(spark, sf, "documents", ["doc_id", "text", "lang"]).join(
         test.select("doc_id"), "doc_id", "left_semi")
     rule = LX.all_dictionaries_rule("text", [FX.LEX_A, FX.LEX_B, FX.LEX_C])
-    dic = d.select(F.lit("dictionary").alias("method"), "doc_id",
-                   F.when(rule == 1, "high").otherwise("low").alias("prediction"))
-    length = d.select(F.lit("length").alias("method"), "doc_id",
-                      F.when(TX.word_count(F.col("text")) > 100, "0").otherwise("1")
-                      .alias("prediction"))
-    const = d.where(F.col("lang") != "es").select(
-        F.lit("constant").alias("method"), "doc_id",
-        F.when(F.col("lang") == "fr", F.lit(None).cast("string")).otherwise("high")
-        .alias("prediction"))
-    return dic.unionByName(length).unionByName(const)
+    const = F.when(F.col("lang") == "fr", F.lit(None).cast("string")).otherwise("high")
+
+    def answer(method, value):
+        return F.struct(F.lit(method).alias("method"), value.alias("prediction"))
+    rows = F.array(answer("dictionary", F.when(rule == 1, "high").otherwise("low")),
+                   answer("length", F.when(TX.word_count(F.col("text")) > 100, "0").otherwise("1")),
+                   F.when(F.col("lang") != "es", answer("constant", const)))
+    out = d.select("doc_id", F.explode_outer(rows).alias("p")).where("p IS NOT NULL")
+    return out.select("p.method", "doc_id", "p.prediction")
 
 
 def codes_of(spark, sf, test=None):
@@ -215,14 +217,17 @@ def meta_table(spark):
 
 
 def normalized(spark, sf, test=None):
+    """Normalised predictions. The raw ones are read by several aggregates, so
+    they are written once (ids and short answers, no texts)."""
     test = test if test is not None else truth_and_test(spark, sf)
-    return EV.normalize_predictions(predictions(spark, sf, test), codes_of(spark, sf, test),
-                                    fill=FILL)
+    raw = materialize(predictions(spark, sf, test), "predictions")
+    return EV.normalize_predictions(raw, codes_of(spark, sf, test), fill=FILL)
 
 
 def per_method_accuracy(spark, sf):
-    test = truth_and_test(spark, sf)
-    common = EV.common_keys(normalized(spark, sf, test), ["doc_id"], n_methods=len(META_ROWS))
+    test = materialize(truth_and_test(spark, sf), "truth")
+    norm = materialize(normalized(spark, sf, test), "normalized")
+    common = EV.common_keys(norm, ["doc_id"], n_methods=len(META_ROWS))
     j = common.join(test, "doc_id", "inner")
     return EV.accuracy(j, "prediction", "label", ["method"])
 
@@ -295,7 +300,8 @@ def q_normalize_predictions(spark, sf):
 
 @register("join_predictions_all_methods", op="J5", sql=COMMON_SQL)
 def q_join_predictions_all_methods(spark, sf):
-    return EV.common_keys(normalized(spark, sf), ["doc_id"], n_methods=len(META_ROWS)).select(
+    norm = materialize(normalized(spark, sf), "normalized")
+    return EV.common_keys(norm, ["doc_id"], n_methods=len(META_ROWS)).select(
         "method", "doc_id", "prediction")
 
 
@@ -318,8 +324,9 @@ JOIN (SELECT method, round(avg(CASE WHEN p = y THEN 1 ELSE 0 END), 6) AS accurac
       GROUP BY method) a ON m.method = a.method
 """)
 def q_macro_metrics(spark, sf):
-    test = truth_and_test(spark, sf)
-    common = EV.common_keys(normalized(spark, sf, test), ["doc_id"], n_methods=len(META_ROWS))
+    test = materialize(truth_and_test(spark, sf), "truth")
+    norm = materialize(normalized(spark, sf, test), "normalized")
+    common = EV.common_keys(norm, ["doc_id"], n_methods=len(META_ROWS))
     j = common.join(test, "doc_id", "inner")
     return EV.macro_metrics(j, "prediction", "label", ["method"])
 
@@ -349,7 +356,7 @@ def q_join_metadata(spark, sf):
 SELECT method, num_params, error_rate, dominated FROM ({DOMINATED_SQL})
 """)
 def q_dominated_flag(spark, sf):
-    return EV.dominated_flag(scores(spark, sf)).select("method", "num_params", "error_rate",
+    return EV.dominated_flag(materialize(scores(spark, sf), "scores")).select("method", "num_params", "error_rate",
                                                        "dominated")
 
 
@@ -357,14 +364,14 @@ def q_dominated_flag(spark, sf):
 SELECT method, dominated FROM ({DOMINATED_SQL})
 """)
 def q_theta_self_join_dominance(spark, sf):
-    return EV.dominated_by_join(scores(spark, sf)).select("method", "dominated")
+    return EV.dominated_by_join(materialize(scores(spark, sf), "scores")).select("method", "dominated")
 
 
 @register("pareto_frontier", op="E7", sql=f"""
 SELECT method, num_params FROM ({DOMINATED_SQL}) WHERE NOT dominated
 """)
 def q_pareto_frontier(spark, sf):
-    return EV.pareto_frontier(scores(spark, sf)).select("method", "num_params")
+    return EV.pareto_frontier(materialize(scores(spark, sf), "scores")).select("method", "num_params")
 
 
 @register("scoreboard", op="E9", sql=f"""
@@ -372,8 +379,8 @@ SELECT method, clean_name, num_params, correct, total, accuracy, error_rate, dom
 FROM ({DOMINATED_SQL})
 """)
 def q_scoreboard(spark, sf):
-    test = truth_and_test(spark, sf)
-    sb = EV.scoreboard(predictions(spark, sf, test), test, ["doc_id"],
+    test = materialize(truth_and_test(spark, sf), "truth")
+    sb = EV.scoreboard(materialize(predictions(spark, sf, test), "predictions"), test, ["doc_id"],
                        codes_of(spark, sf, test), meta_table(spark), fill=FILL,
                        n_methods=len(META_ROWS))
     return sb.select("method", "clean_name", "num_params", "correct", "total", "accuracy",

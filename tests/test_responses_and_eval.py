@@ -139,3 +139,19 @@ def test_default_stop_words_are_removed(spark):
     df = spark.createDataFrame([("The cat and the Hat-Trick café",)], "t string")
     assert df.select(FE.tokens(F.col("t")).alias("x")).first().x == ["cat", "hat-trick", "cafe"]
     assert df.select(FE.tokens(F.col("t"), ()).alias("x")).first().x[0] == "the"
+
+
+def test_dominance_of_fractional_sizes_and_ties(spark):
+    rows = [("a", 1.0, 0.5), ("b", 1.5, 0.6), ("c", 1.5, 0.4), ("d", 2.0, 0.4), ("e", None, 0.9), ("f", 2.5, None), ("g", 0.5, 0.7)]
+    df = spark.createDataFrame(rows, "method string, num_params double, error_rate double")
+    expected = {m: any(q is not None and p is not None and q < p and f is not None and e is not None and f < e
+                       for _, q, f in rows) for m, p, e in rows}
+    for flagged in (EV.dominated_flag(df), EV.dominated_by_join(df)):
+        assert {r.method: r.dominated for r in flagged.collect()} == expected
+
+
+def test_scoreboard_scans_the_texts_once(spark):
+    from tagwright.plans import scoring_queries as SQ
+    df = SQ.predictions(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("documents.parquet") == 1
