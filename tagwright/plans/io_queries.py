@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..operators import lexicon as LX
 from ..operators import split as SP
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import files as FS
 from ..sources.tables import read_table
 from . import corpus_queries as CQ
@@ -84,9 +84,9 @@ def q_tagged_corpus_consolidation(spark, sf):
     article is attached to the human label."""
     lab = read_table(spark, sf, "labels", ["doc_id", "quality"])
     both = SP.train_test_split(lab, "doc_id", FX.SEED, FX.TEST_SHARE)
-    t = both.join(read_table(spark, sf, "documents", ["doc_id", "text"]), "doc_id", "left")
-    test = t.where(F.col("split") == "test").select(
-        "doc_id", _rule(TX.clean_sequence(F.col("text"))).alias("pred"))
-    train = t.where(F.col("split") == "train").select("doc_id", _rule(F.col("text")).alias("pred"))
-    mean = test.unionByName(train).groupBy("doc_id").agg(F.avg("pred").alias("dict_label"))
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"])
+    # one join; each row is tagged by the rule of its side, then averaged per article
+    pred = F.when(F.col("split") == "test", _rule(TX.clean_sequence(F.col("text")))).otherwise(_rule(F.col("text")))
+    t = materialize(both.join(docs, "doc_id", "left").select("doc_id", "quality", pred.alias("pred")), "tagged")
+    mean = t.groupBy("doc_id").agg(F.avg("pred").alias("dict_label"))
     return t.select("doc_id", F.col("quality").alias("human_label")).join(mean, "doc_id", "left")

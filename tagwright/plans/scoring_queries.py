@@ -159,20 +159,28 @@ def q_argmax(spark, sf):
     return e.select("vec_id", TX.argmax(F.col("embedding")).alias("argmax"))
 
 
-@register("truncate_length", op="C13", sql=f"""
-WITH L AS (SELECT least(512, length(max(text))) AS n FROM documents)
+def _truncate_sql(limit):
+    return f"""
+WITH L AS (SELECT least(512, {limit}) AS n FROM documents)
 SELECT doc_id, CAST(least(len({SB.word_tokens('text')}), (SELECT n FROM L)) AS BIGINT) AS n_units,
   array_to_string({SB.word_tokens('text')}[1:(SELECT n FROM L)], ' ') AS truncated
 FROM documents
-""")
-def q_truncate_length(spark, sf):
+"""
+
+
+def _truncated(spark, sf, by):
     d = read_table(spark, sf, "documents", ["doc_id", "text"])
-    # the original caps at the length of the lexicographically largest text
-    n = d.agg(F.length(F.max("text"))).first()[0] or 0
-    n = min(512, n)
-    toks = TX.whitespace_tokens(F.col("text"))
-    return d.select("doc_id", F.least(F.size(toks), F.lit(n)).cast("bigint").alias("n_units"),
-                    F.array_join(F.slice(toks, 1, n), " ").alias("truncated"))
+    return TX.truncate_length(d, "text", by=by).select("doc_id", "n_units", "truncated")
+
+
+@register("truncate_length", op="C13", sql=_truncate_sql("length(max(text))"))
+def q_truncate_length(spark, sf):
+    return _truncated(spark, sf, "lexmax")
+
+
+@register("truncate_length_longest", op="C13", sql=_truncate_sql("max(length(text))"))
+def q_truncate_length_longest(spark, sf):
+    return _truncated(spark, sf, "longest")
 
 
 # --- method comparison on the labelled documents -----------------------------------
