@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +57,8 @@ def grid_search_cv(train: DataFrame, estimator, reg_params: Sequence[float], fol
     finally:
         data.unpersist()
     spark = train.sparkSession
-    rows = [(float(rp), float(m)) for rp, m in zip(reg_params, model.avgMetrics)]
-    table = spark.createDataFrame(rows, "reg_param double, mean_accuracy double")
+    rows = [(i, float(rp), float(m)) for i, (rp, m) in enumerate(zip(reg_params, model.avgMetrics, strict=True))]
+    table = spark.createDataFrame(rows, "i int, reg_param double, mean_accuracy double")
     return model.bestModel, table
 
 
@@ -80,6 +80,51 @@ def zero_share(model: LogisticRegressionModel) -> float:
     return float((arr == 0).sum()) / max(len(arr), 1)
 
 
+def _violations(gradient: Sequence[float], weights: Sequence[float], penalty: float, slack: float) -> int:
+    bad = 0
+    for g, w in zip(gradient, weights, strict=True):
+        off = abs(g + penalty * (1 if w > 0 else -1)) if w else max(0.0, abs(g) - penalty)
+        bad += off > slack
+    return bad
+
+
+def optimality_violations(train: DataFrame, model: LogisticRegressionModel, label: str,
+                          slack: float = 0.05) -> int:
+    """How many weights break the optimality conditions of the L1 fit by more
+    than ``slack`` times the penalty: the mean loss's slope equals the
+    penalty, against the weight's sign, for a weight that is not zero, and is
+    at most the penalty for one that is. One aggregate over the rows."""
+    penalty = model.getOrDefault("regParam")
+    p = vector_to_array(F.col("_p"))[1]
+    rows = (model.setProbabilityCol("_p").setPredictionCol("_y").setRawPredictionCol("_r").transform(train)
+            .select((p - F.col(label)).alias("e"), model.getFeaturesCol()))
+    scaled = rows.select(F.transform(vector_to_array(model.getFeaturesCol()), lambda x: x * F.col("e")).alias("g"))
+    slope = scaled.select(F.posexplode("g").alias("j", "g")).where("g <> 0").groupBy("j").agg(F.sum("g").alias("g"))
+    found = {r["j"]: r["g"] for r in slope.collect()}       # one number a feature
+    n = train.count()
+    w = model.coefficients.toArray().tolist()
+    for name in ("probability", "prediction", "rawPrediction"):
+        model.clear(getattr(model, f"{name}Col"))
+    return _violations([found.get(j, 0.0) / n for j in range(len(w))], w, penalty, slack * penalty)
+
+
+def softmax_violations(train: DataFrame, model: LogisticRegressionModel, label: str, penalty: float,
+                       slack: float = 2e-3) -> int:
+    """Weights of a ridge-penalised softmax fit whose slope is off zero by more
+    than ``slack``; features are standardised in the penalty."""
+    p = vector_to_array(F.col("_p"))
+    k = model.numClasses
+    rows = (model.setProbabilityCol("_p").setPredictionCol("_y").setRawPredictionCol("_r").transform(train)
+            .select(p.alias("p"), F.col(label).cast("int").alias("y"), vector_to_array(model.getFeaturesCol()).alias("x")))
+    ex = rows.select("p", "y", F.posexplode("x").alias("j", "x"))
+    sums = ex.groupBy("j").agg(F.stddev("x").alias("s"), *[
+        F.avg((F.col("p")[c] - (F.col("y") == c).cast("int")) * F.col("x")).alias(f"g{c}") for c in range(k)]).collect()
+    w = model.coefficientMatrix.toArray()
+    for name in ("probability", "prediction", "rawPrediction"):
+        model.clear(getattr(model, f"{name}Col"))
+    return sum(abs(r[f"g{c}"] + penalty * w[c, r["j"]] * r["s"] ** 2) > slack for r in sums for c in range(k))
+
+
 def embedding_features(df: DataFrame, col: str = "embedding", out: str = "features") -> DataFrame:
     """Precomputed vectors (``array<float>``) as ML vectors."""
     return df.withColumn(out, array_to_vector(F.col(col)))
@@ -93,6 +138,11 @@ def embedding_classifier(max_iter: int = 50, reg_param: float = 0.0,
                               maxIter=max_iter, regParam=reg_param)
 
 
+def fitted_pipeline(*stages) -> PipelineModel:
+    """Fitted stages as one model."""
+    return PipelineModel(stages=list(stages))
+
+
 def save_pipeline(model: PipelineModel, path: str) -> None:
     """Persist fitted stages (vocabulary and model)."""
     model.write().overwrite().save(path)

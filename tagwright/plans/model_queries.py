@@ -9,6 +9,7 @@ from ..operators import evaluate as EV
 from ..operators import features as FE
 from ..operators import split as SP
 from ..session import materialize, scratch_path
+from ..sources import files as FS
 from ..sources.tables import read_table
 from . import fixtures as FX
 from . import sqlbits as SB
@@ -90,13 +91,15 @@ def q_document_term_binary(spark, sf):
 
 # --- labelled documents for the models ---------------------------------------------
 def labelled(spark, sf):
-    """Labelled documents with tokens: joined first, so only labelled texts
-    are tokenised (the projection would not move below the join)."""
-    lab = read_table(spark, sf, "labels", ["doc_id", "quality"])
-    d = read_table(spark, sf, "documents", ["doc_id", "text"]).join(lab, "doc_id", "inner")
-    d = d.select("doc_id", "quality", FE.tokens(F.col("text"), FX.STOP_WORDS).alias("tokens"),
-                 F.col("quality").cast("double").alias("label"))
-    return SP.train_test_split(d, "doc_id", FX.SEED, FX.TEST_SHARE)
+    """Labelled documents with tokens. Ids are split first; only labelled texts
+    are joined and tokenised, and no token array passes a shuffle."""
+    lab = read_table(spark, sf, "labels", ["doc_id", "quality", "toxic"])
+    ids = lab.join(read_table(spark, sf, "documents", ["doc_id"]), "doc_id", "left_semi")
+    ids = SP.train_test_split(ids.select("doc_id"), "doc_id", FX.SEED, FX.TEST_SHARE).join(lab, "doc_id")
+    d = read_table(spark, sf, "documents", ["doc_id", "text"]).join(ids, "doc_id", "inner")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
+    return d.select("doc_id", "quality", FE.tokens(F.col("text"), FX.STOP_WORDS).alias("tokens"),
+                    F.col("quality").cast("double").alias("label"), grade.cast("double").alias("grade"), "split")
 
 
 @register("regularization_grid", op="M5", sql=f"""
@@ -115,95 +118,198 @@ def q_regularization_grid(spark, sf):
     return FE.grid_table(spark, n_train, 25)
 
 
+LABELLED_SQL = f"""SELECT doc_id, quality, CASE WHEN rk < ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT doc_id, quality, row_number() OVER (ORDER BY {SB.md5_key(FX.SEED, 'doc_id')}, doc_id) - 1 AS rk,
+  count(*) OVER () AS n FROM labels WHERE doc_id IN (SELECT doc_id FROM documents))"""
+LABELLED_VOCAB_SQL = f"""SELECT term FROM (SELECT unnest(t.tokens) AS term FROM ({TOK_SQL}) t
+  JOIN ({LABELLED_SQL}) s ON t.doc_id = s.doc_id WHERE s.split = 'train') GROUP BY term
+  ORDER BY count(*) DESC, term LIMIT {FX.VOCAB_SIZE}"""
+
+
 class _Fitted:
-    """Features and the cross-validated model of one query run."""
+    """Features and models of one session and data folder: the model queries
+    share one fit."""
 
     def __init__(self, spark, sf):
         # written tables cut the lineage: every optimiser iteration then
         # re-reads compact features instead of re-running tokenisation
-        data = materialize(labelled(spark, sf), "labelled")
-        train = data.where(F.col("split") == "train")
-        vocab = FE.vocabulary(train, "tokens", FX.VOCAB_SIZE)
-        self.vocab = FE.vocabulary_list(vocab)
+        self.data = materialize(labelled(spark, sf), "labelled")
+        train = self.data.where(F.col("split") == "train")
+        self.vocab = FE.vocabulary_list(FE.vocabulary(train, "tokens", FX.VOCAB_SIZE))
         self.vec = FE.vectorizer(self.vocab)
-        folds = SP.stratified_folds(self.vec.transform(train), "doc_id", "quality",
-                                    FX.SEED, FX.N_FOLDS)
-        self.train = materialize(folds.select("doc_id", "quality", "label", "features", "fold"),
-                                 "features")
-        self.test = self.vec.transform(data.where(F.col("split") == "test"))
+        folds = SP.stratified_folds(self.vec.transform(train).drop("tokens"), "doc_id", "quality", FX.SEED, FX.N_FOLDS)
+        self.train = materialize(folds.select("doc_id", "quality", "label", "grade", "features", "fold"), "features")
+        self.test = self.vec.transform(self.data.where(F.col("split") == "test"))
         self.n_train = self.train.count()
+        self.penalties = FE.reg_params(FE.regularization_grid(25), self.n_train)
+        self._models = {}
+        self._cv = None
+
+    def model(self, i):
+        """The L1 model of the ``i``-th penalty on all training rows, fitted to
+        the end (its optimality conditions are checked)."""
+        if i not in self._models:
+            self._models[i] = CL.l1_logistic(self.penalties[i], max_iter=1000, tol=1e-9).fit(self.train)
+        return self._models[i]
+
+    def cv(self):
+        """All 25 penalties on all folds, and the refit of the best."""
+        if self._cv is None:
+            lr = CL.l1_logistic(max_iter=FX.MAX_ITER)
+            self._cv = CL.grid_search_cv(self.train, lr, self.penalties, "fold", FX.N_FOLDS, parallelism=8)
+        return self._cv
+
+
+_FITS: dict = {}
 
 
-@register("lr_l1_fit", op="M6")
+def fitted(spark, sf) -> _Fitted:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FITS:
+        _FITS[key] = _Fitted(spark, sf)
+    return _FITS[key]
+
+
+# A fitted model has no SQL form. What SQL can say of it is checked instead:
+# the optimality conditions of the penalised loss (number of violations: 0),
+# the grid, the rows and vocabulary it was fitted on, and its round trip.
+@register("lr_l1_fit", op="M6", sql=f"""
+SELECT (SELECT count(*) FROM ({LABELLED_VOCAB_SQL})) AS n_features,
+  (SELECT count(*) FROM ({LABELLED_SQL}) WHERE split = 'train') AS n_train, CAST(0 AS BIGINT) AS violations
+""")
 def q_lr_l1_fit(spark, sf):
-    f = _Fitted(spark, sf)
-    cs = FE.regularization_grid(25)
-    lam = FE.reg_params([cs[12]], f.n_train)[0]
-    m = CL.l1_logistic(lam, max_iter=FX.MAX_ITER).fit(f.train)
-    return spark.createDataFrame(
-        [(len(f.vocab), int((m.coefficients.toArray() != 0).sum()), m.summary.totalIterations)],
-        "n_features int, n_nonzero int, iterations int")
+    f = fitted(spark, sf)
+    bad = CL.optimality_violations(f.train, f.model(12), "label")
+    return spark.createDataFrame([(len(f.vocab), f.n_train, bad)], "n_features bigint, n_train bigint, violations bigint")
 
 
-def _cv(spark, sf):
-    f = _Fitted(spark, sf)
-    cs = FE.regularization_grid(25)
-    lams = FE.reg_params([cs[i] for i in FX.GRID_POINTS], f.n_train)
-    lr = CL.l1_logistic(max_iter=FX.MAX_ITER)
-    best, table = CL.grid_search_cv(f.train, lr, lams, "fold", FX.N_FOLDS, parallelism=3)
-    return f, best, table
+@register("lr_three_classes", op="M6", sql=f"""
+WITH g AS (SELECT CASE WHEN toxic = 1 THEN 0 WHEN l.quality = 0 THEN 1 ELSE 2 END AS grade
+           FROM ({LABELLED_SQL}) s JOIN labels l ON s.doc_id = l.doc_id WHERE s.split = 'train')
+SELECT CAST(grade AS INTEGER) AS class, count(*) AS n_train, CAST(0 AS BIGINT) AS violations FROM g GROUP BY grade
+""")
+def q_lr_three_classes(spark, sf):
+    """Three classes as three binary L1 models, each held to its optimality conditions."""
+    f = fitted(spark, sf)
+    lr = CL.l1_logistic(f.penalties[12], max_iter=1000, tol=1e-9, label="grade", family="binomial")
+    model = CL.one_vs_rest(lr, parallelism=3).fit(f.train)
+    n = {int(r["grade"]): r["count"] for r in f.train.groupBy("grade").count().collect()}
+    rows = []
+    for c, m in enumerate(model.models):
+        own = f.train.withColumn("own", (F.col("grade") == float(c)).cast("double"))
+        rows.append((c, n.get(c, 0), CL.optimality_violations(own, m, "own")))
+    return spark.createDataFrame(rows, "class int, n_train bigint, violations bigint")
 
 
-@register("lr_grid_cv", op="M7")
-def q_lr_grid_cv(spark, sf):
-    return _cv(spark, sf)[2]
+GRID_SQL = f"""SELECT CAST(range AS INTEGER) AS i, pow(10.0, -2.0 + range * (4.0 / 24)) AS cs,
+  (SELECT count(*) FROM ({LABELLED_SQL}) WHERE split = 'train') AS n FROM range(25)"""
 
 
-@register("cv_curve", op="E8")
-def q_cv_curve(spark, sf):
-    f, best, table = _cv(spark, sf)
-    return table.withColumn("c", 1 / (F.col("reg_param") * F.lit(float(f.n_train))))
+def _curve(spark, sf):
+    f = fitted(spark, sf)
+    table = f.cv()[1]
+    grid = FE.grid_table(spark, f.n_train, 25)
+    return table.join(grid.drop("reg_param"), "i")
 
 
-@register("lr_predict", op="M9")
-def q_lr_predict(spark, sf):
-    f, best, _ = _cv(spark, sf)
-    return best.transform(f.test).select("doc_id", F.col("prediction").cast("int")
-                                         .alias("prediction"), F.col("label").cast("int")
-                                         .alias("label"))
+@register("lr_grid_cv", op="M7", sql=f"""
+SELECT i, round(cs / n, 10) AS reg_param, {FX.N_FOLDS} AS n_folds, true AS is_share FROM ({GRID_SQL})
+""")
+def q_lr_grid_cv(spark, sf):
+    """25 penalties on 5 folds; the mean accuracies are shares."""
+    return _curve(spark, sf).select("i", F.round("reg_param", 10).alias("reg_param"), F.lit(FX.N_FOLDS).alias("n_folds"),
+                                    F.col("mean_accuracy").between(0, 1).alias("is_share"))
 
 
-@register("top_coefficients", op="M10")
-def q_top_coefficients(spark, sf):
-    f = _Fitted(spark, sf)
-    cs = FE.regularization_grid(25)
-    lam = FE.reg_params([cs[0]], f.n_train)[0]
-    m = CL.l1_logistic(lam, max_iter=FX.MAX_ITER).fit(f.train)
-    return CL.top_coefficients(spark, m, f.vocab, 25)
+@register("cv_curve", op="E8", sql=f"""
+SELECT i, round(1 / cs, 10) AS c, true AS below_best FROM ({GRID_SQL})
+""")
+def q_cv_curve(spark, sf):
+    """The curve over C: no point is above the accuracy of the chosen one."""
+    curve = _curve(spark, sf)
+    best = curve.agg(F.max("mean_accuracy").alias("best"))
+    return curve.crossJoin(F.broadcast(best)).select("i", "c", (F.col("mean_accuracy") <= F.col("best")).alias("below_best"))
 
 
-@register("model_save_load", op="S7")
+@register("lr_predict", op="M9", sql=f"""
+SELECT doc_id, CAST(quality AS INTEGER) AS label, true AS predicted FROM ({LABELLED_SQL}) WHERE split = 'test'
+""")
+def q_lr_predict(spark, sf):
+    """Predictions of the best model, saved as a prediction file and read back;
+    every test article has a class."""
+    f = fitted(spark, sf)
+    pred = f.cv()[0].transform(f.test).select(F.lit("lr").alias("method"), "doc_id",
+                                              F.col("prediction").cast("int").alias("prediction"))
+    folder = scratch_path(spark, "lr-predictions")
+    FS.write_predictions(pred, folder, "labelled")
+    back = FS.read_prediction_files(spark, folder, "labelled", "doc_id bigint, prediction int").where("method = 'lr'")
+    return f.test.select("doc_id", F.col("label").cast("int").alias("label")).join(back, "doc_id", "left").select(
+        "doc_id", "label", F.col("prediction").isin(0, 1).alias("predicted"))
+
+
+@register("lr_accuracy", op="M9", sql=f"""
+SELECT count(*) AS total, true AS beats_constant FROM ({LABELLED_SQL}) WHERE split = 'test'
+""")
+def q_lr_accuracy(spark, sf):
+    """Test accuracy of the best model against always answering the majority
+    class of the training rows (three standard errors allowed)."""
+    f = fitted(spark, sf)
+    acc = EV.accuracy(f.cv()[0].transform(f.test), "prediction", "label")
+    constant = f.train.agg(F.round(F.avg("label")).alias("c")).first()["c"]
+    base = f.test.agg(F.avg((F.col("label") == constant).cast("int")).alias("b")).first()["b"]
+    slack = 3 * F.sqrt(F.lit(0.25) / F.col("total"))
+    return acc.select("total", (F.col("accuracy") + slack >= F.lit(base)).alias("beats_constant"))
+
+
+@register("top_coefficients", op="M10", sql=f"""
+WITH v AS (SELECT count(*) AS n FROM ({LABELLED_VOCAB_SQL}))
+SELECT side, least(25, n) AS n_terms, CAST(0 AS BIGINT) AS misplaced, true AS sparse FROM v, (VALUES ('top'), ('bottom')) t(side)
+""")
+def q_top_coefficients(spark, sf):
+    """The 25 largest and smallest weights: none left out is larger or smaller,
+    and the penalty sets a share of all weights to zero."""
+    f = fitted(spark, sf)
+    m = f.model(12)
+    w = sorted(m.coefficients.toArray().tolist())
+    top = CL.top_coefficients(spark, m, f.vocab, 25)
+    k = min(25, len(w))
+    wrong = F.when(F.col("side") == "top", F.col("weight") < w[-k]).otherwise(F.col("weight") > w[k - 1])
+    return top.groupBy("side").agg(F.count("*").alias("n_terms"), F.count_if(wrong).alias("misplaced")).withColumn(
+        "sparse", F.lit(0.0 < CL.zero_share(m) < 1.0))
+
+
+@register("model_save_load", op="S7", sql=f"""
+SELECT count(*) AS n_test, CAST(0 AS BIGINT) AS differences FROM ({LABELLED_SQL}) WHERE split = 'test'
+""")
 def q_model_save_load(spark, sf):
-    f = _Fitted(spark, sf)
-    cs = FE.regularization_grid(25)
-    lam = FE.reg_params([cs[12]], f.n_train)[0]
-    raw = labelled(spark, sf)
-    model = CL.pipeline(f.vec, CL.l1_logistic(lam, max_iter=FX.MAX_ITER)).fit(
-        raw.where(F.col("split") == "train"))
+    """Vocabulary and model saved and loaded: predictions and probabilities
+    equal those in memory."""
+    f = fitted(spark, sf)
+    stages = CL.fitted_pipeline(f.vec, f.model(12))
     path = scratch_path(spark, "model")
-    CL.save_pipeline(model, path)
-    again = CL.load_pipeline(path)
-    return again.transform(raw.where(F.col("split") == "test")).select(
-        "doc_id", F.col("prediction").cast("int").alias("prediction"))
+    CL.save_pipeline(stages, path)
+    raw = f.data.where(F.col("split") == "test")
+
+    def scored(model, suffix):
+        return model.transform(raw).select("doc_id", F.col("prediction").alias(f"p{suffix}"),
+                                           F.col("probability").cast("string").alias(f"q{suffix}"))
+    both = scored(stages, 1).join(scored(CL.load_pipeline(path), 2), "doc_id")
+    same = F.col("p1").eqNullSafe(F.col("p2")) & F.col("q1").eqNullSafe(F.col("q2"))
+    return both.agg(F.count("*").alias("n_test"), F.count_if(~same).alias("differences"))
 
 
-@register("embedding_classifier", op="M11")
+@register("embedding_classifier", op="M11", sql=f"""
+SELECT ceil(count(*) * 0.2) AS n_test, count(DISTINCT label) AS n_classes, CAST(0 AS BIGINT) AS violations FROM embeddings
+""")
 def q_embedding_classifier(spark, sf):
+    """Softmax regression on the vectors: test rows scored, classes, and
+    violations of the first-order conditions of its fit."""
     e = read_table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
-    e = SP.stratified_split(e, "vec_id", "label", FX.SEED, FX.TEST_SHARE)
+    e = materialize(SP.stratified_split(e, "vec_id", "label", FX.SEED, FX.TEST_SHARE), "embedded")
     e = CL.embedding_features(e).withColumn("label_d", F.col("label").cast("double"))
-    clf = CL.embedding_classifier(max_iter=50, label="label_d")
-    m = clf.fit(e.where(F.col("split") == "train"))
-    pred = m.transform(e.where(F.col("split") == "test")).select(
-        F.col("prediction").cast("int").alias("prediction"), "label")
-    return EV.macro_metrics(pred, "prediction", "label")
+    m = CL.embedding_classifier(max_iter=200, reg_param=1e-3, label="label_d").fit(e.where(F.col("split") == "train"))
+    bad = CL.softmax_violations(e.where(F.col("split") == "train"), m, "label_d", 1e-3)
+    pred = m.transform(e.where(F.col("split") == "test"))
+    classes = e.select("label").distinct().count()
+    return pred.agg(F.count("prediction").cast("double").alias("n_test")).select(
+        "n_test", F.lit(classes).cast("bigint").alias("n_classes"), F.lit(bad).cast("bigint").alias("violations"))

@@ -2,7 +2,6 @@
 rows-only queries for running at all."""
 
 import math
-import os
 
 import duckdb
 import pytest
@@ -11,7 +10,6 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"lr_grid_cv", "cv_curve", "lr_predict"}
 
 
 def _norm(v):
@@ -44,12 +42,6 @@ def test_query_matches_oracle(spark, con, name):
     assert _rows(df.columns, srows) == _rows(res.columns, res.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
 def test_rows_only_query_runs(spark, name):
     assert E.queries()[name](spark, SF).count() >= 1
-
-
-@pytest.mark.skipif(not os.environ.get("TAGWRIGHT_SLOW"), reason="set TAGWRIGHT_SLOW=1")
-@pytest.mark.parametrize("name", sorted(SLOW))
-def test_slow_model_queries(spark, name):
-    assert E.queries()[name](spark, SF).count() >= 1
