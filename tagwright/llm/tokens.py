@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -93,6 +94,7 @@ class PieceEncoder:
         # how the tokenizer writes the bytes of each Latin letter, and of a blank
         self.written = {c: alphabet(chr(c))[0][0] for c in range(LATIN) if chr(c).isalpha()}
         self.blank = alphabet(" ")[0][0]
+        self.is_word = re.compile("[" + "".join(map(chr, self.written)) + "]+").fullmatch
         self.marks = {m: self._ids(m) for m in MARKS}
         self.line_end = self._ids("\n")
         self.later: dict[str, bytes] = {}   # piece after a blank -> its ids as 32-bit integers
@@ -101,27 +103,33 @@ class PieceEncoder:
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, piece: str, blank: str) -> bytes:
-        """The ids of a piece without leading white space, after ``blank``
-        (which may be nothing), remembered."""
-        known = self.later if blank else self.first
-        ids = known.get(piece)
-        if ids is None:
-            ids = known[piece] = self._new(piece, blank)
+    def _word(self, word: str, blank: str) -> bytes:
+        """A word of Latin letters: a single pre-token."""
+        written = word if word.isascii() else word.translate(self.written)
+        return array("I", [t.id for t in self.merge(blank + written)]).tobytes()
+
+    def _learn(self, piece: str, after_blank: bool) -> bytes:
+        """The ids of a new piece without leading white space, remembered."""
+        known, blank = (self.later, self.blank) if after_blank else (self.first, "")
+        if self.is_word(piece):
+            ids = self._word(piece, blank)
+        elif piece[-1:] in self.marks and self.is_word(piece, 0, len(piece) - 1):
+            word = piece[:-1]
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = self._word(word, blank)
+            ids += self.marks[piece[-1]]
+        else:
+            lines = piece.split("\n")      # a line end between two words is a pre-token, too
+            if len(lines) > 1 and all(p and not p[0].isspace() and not p[-1].isspace() for p in lines):
+                parts = [known.get(lines[0]) or self._learn(lines[0], after_blank)]
+                parts += [self.first.get(p) or self._learn(p, False) for p in lines[1:]]
+                ids = self.line_end.join(parts)
+            else:
+                ids = self._ids((" " if after_blank else "") + piece)
+        known[piece] = ids
         return ids
 
-    def _new(self, piece: str, blank: str) -> bytes:
-        if "\n" in piece:       # a line end between two words is a pre-token, too
-            lines = piece.split("\n")
-            if all(p and not p[0].isspace() and not p[-1].isspace() for p in lines):
-                return self.line_end.join([self._piece(lines[0], blank), *(self._piece(p, "") for p in lines[1:])])
-        elif piece[-1:] in self.marks and piece[:-1].isalpha():
-            return self._piece(piece[:-1], blank) + self.marks[piece[-1]]
-        elif piece.isalpha() and (piece.isascii() or max(piece) < chr(LATIN)):
-            tokens = self.merge((self.blank if blank else "") + piece.translate(self.written))
-            return array("I", [t.id for t in tokens]).tobytes()
-        return self._ids(blank + piece)
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         return [self._encode(t) for t in texts]
@@ -145,10 +153,10 @@ class PieceEncoder:
             pieces, missing = joined, [p for p in joined[1:] if p not in known]
         for p in missing:
             if p not in known:
-                self._piece(p, " ")
+                self._learn(p, True)
         head = pieces[0]
         pieces[0] = ""
-        known[""] = self._piece(head, "")        # joined first; no piece after a blank is empty
+        known[""] = self.first.get(head) or self._learn(head, False)        # joined first; no piece after a blank is empty
         out = b"".join(map(known.__getitem__, pieces))
         del known[""]
         return out
