@@ -35,7 +35,7 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Sequence
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -279,26 +279,64 @@ class Model:
 
 
 class Scorer:
-    """Bits of whole texts; costs of words are remembered."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.tails: dict[bytes, float] = {}
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    """Bits of whole texts, and their unigram logs. Everything about a word is
+    worked out once and kept in one row; a text is then a list of rows.
+    ``known``: log10(count + 1) of the frequent words."""
+
+    def __init__(self, model: Model, known: dict[bytes, float]):
+        self.model, self.known = model, known
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[bytes, int] = {}
+        self.tail = np.empty(0)                     # bits after the head
+        self.logs = np.empty(0)                     # of its frequent words
+        self.tokens = np.empty((2, 0), np.int64)    # all its words, the frequent ones
+        self.rare: list[tuple[bytes, ...]] = []     # its other words
+
+    def _learn(self, new: list[bytes]) -> None:
+        symbols, of = tail_symbols(new)
+        logs = [self.known.get(w) for w in new]
+        rare: list[tuple[bytes, ...]] = [() if x is not None else (w,) for w, x in zip(new, logs, strict=True)]
+        tokens = np.ones((2, len(new)), np.int64)
+        for i in _odd(new):
+            words = new[i].rstrip(_END).split()
+            seen = [x for x in map(self.known.get, words) if x is not None]
+            logs[i], rare[i] = sum(seen), tuple(w for w in words if w not in self.known)
+            tokens[0, i] = len(words)
+        tokens[1] = tokens[0] - [len(r) for r in rare]
+        self.rows.update(zip(new, range(len(self.rare), len(self.rare) + len(new)), strict=True))
+        self.tail = np.append(self.tail, np.bincount(of, self.model.bits(symbols), len(new)))
+        self.logs = np.append(self.logs, [x or 0.0 for x in logs])
+        self.tokens = np.append(self.tokens, tokens, axis=1)
+        self.rare += rare
+
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+        """Of each text: its bits, the logs of its frequent words, the numbers
+        of all and of frequent words, and its other words."""
         codes, owner = heads_of(texts)
-        heads, which = np.unique(codes, return_inverse=True)
-        symbols, of = head_symbols(heads)
-        cost = np.bincount(of, self.model.bits(symbols), len(heads))
-        bits = np.bincount(owner, cost[which], len(texts))
+        order, cut = _equal(codes)
+        symbols, of = head_symbols(codes[order[cut]])
+        cost = np.bincount(of, self.model.bits(symbols), len(cut))
+        head = np.empty(len(codes))
+        head[order] = np.repeat(cost, np.diff(np.append(cut, len(order))))
         words = list(map(words_of, texts))
-        if len(self.tails) > CACHE_WORDS:
-            self.tails.clear()
-        new = list(set().union(*words).difference(self.tails))
+        if len(self.rows) > CACHE_WORDS:
+            self.clear()
+        new = list(set().union(*words).difference(self.rows))
         if new:
-            symbols, of = tail_symbols(new)
-            self.tails.update(zip(new, np.bincount(of, self.model.bits(symbols), len(new)).tolist(), strict=True))
-        return bits + [sum(map(self.tails.__getitem__, ws)) for ws in words]
+            self._learn(new)
+        row_of = self.rows.__getitem__
+        # a text has as many words as heads, in the same order
+        rows = np.fromiter(map(row_of, chain.from_iterable(words)), np.int64, len(codes))
+        n = len(texts)
+        bits = np.bincount(owner, head + self.tail[rows], n)
+        logs = np.bincount(owner, self.logs[rows], n)
+        tokens = np.stack([np.bincount(owner, t[rows], n) for t in self.tokens]).astype(np.int64)
+        odd = np.flatnonzero(self.tokens[0][rows] > self.tokens[1][rows])
+        flat = [w for r in rows[odd].tolist() for w in self.rare[r]]
+        ends = np.cumsum(tokens[0] - tokens[1]).tolist()
+        return bits, logs, tokens, [flat[a:b] for a, b in zip([0, *ends], ends)]    # noqa: B905 - neighbours
 
 
 def _odd(words: list[bytes]) -> list[int]:
@@ -451,20 +489,12 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         known, logits, weights, refine = shared.value
         mixer = Mixer()
         mixer.weights, mixer.refine = weights, refine
-        scorer = worker_state(("lm", version), lambda: Scorer(Model(logits, mixer)), only="lm")
-        out = {c: [] for c in ("n_tokens", "n_known", "base_score", "score", "bits_per_byte", rare)}
+        scorer = worker_state(("lm", version), lambda: Scorer(Model(logits, mixer), known), only="lm")
         texts = [t.lower() for t in texts.to_pylist()]
-        for t, bits in zip(texts, scorer.score(texts).tolist(), strict=True):
-            words = t.split()
-            unknown = [w for w in words if w not in known]
-            logs = sum(map(known.get, words, repeat(0.0)))
-            out["n_tokens"].append(len(words) + 1)
-            out["n_known"].append(len(words) - len(unknown) + (end > 0))
-            out["base_score"].append(logs + end_log - (len(words) + 1) * denominator)
-            out["score"].append(-bits * math.log10(2))
-            out["bits_per_byte"].append(bits / max(1, len(t)))
-            out[rare].append(unknown)
-        return out
+        bits, logs, (all_, frequent_), rest = scorer.score(texts)
+        return {"n_tokens": all_ + 1, "n_known": frequent_ + (end > 0), "score": -bits * math.log10(2),
+                "base_score": logs + end_log - (all_ + 1) * denominator,
+                "bits_per_byte": bits / np.maximum(1, [len(t) for t in texts]), rare: rest}
 
     scored = arrow_columns(docs.withColumn("held_out", held_out(id_col)), [utf8(text_col)], make,
                            "n_tokens long, n_known long, base_score double, score double, bits_per_byte double, "

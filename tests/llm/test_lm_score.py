@@ -84,13 +84,13 @@ def symbols_of(text):
 
 def test_a_text_is_all_its_symbols():
     _, model = model_of(TEXTS)
-    scorer = M.Scorer(model)
-    whole = scorer.score(TEXTS)
+    scorer = M.Scorer(model, {})
+    whole = scorer.score(TEXTS)[0]
     for text, bits in zip(TEXTS, whole, strict=True):
         before, word, symbol = (np.array(x, np.uint64) for x in zip(*symbols_of(text), strict=True))
         # within a word, only its own bytes count; at its beginning those before
         assert abs(model.bits(M.Symbols(before, word, symbol)).sum() - bits) < 1e-6
-    assert np.allclose(scorer.score(TEXTS[::-1])[::-1], whole)      # remembered costs change nothing
+    assert np.allclose(scorer.score(TEXTS[::-1])[0][::-1], whole)      # remembered costs change nothing
 
 
 def test_counts_are_those_of_every_bit():
