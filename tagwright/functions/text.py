@@ -20,23 +20,10 @@ from pyspark.sql import functions as F
 WS_CLASS = r"[\s\x{1C}-\x{1F}]"
 WS_RUN = "(?U)" + WS_CLASS + "+"
 
-# ASCII punctuation without '-' and "'" (the set used by both cleaners).
+# --- fixed value: ASCII punctuation without '-' and "'" (the set used by both cleaners)
 PUNCTUATION = string.punctuation.replace("-", "").replace("'", "")
 
 
-def _ranges(codepoints: list[int]) -> str:
-    out = []
-    i = 0
-    while i < len(codepoints):
-        j = i
-        while j + 1 < len(codepoints) and codepoints[j + 1] == codepoints[j] + 1:
-            j += 1
-        a, b = codepoints[i], codepoints[j]
-        out.append(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}")
-        i = j + 1
-    return "".join(out)
-
-
 @lru_cache(maxsize=1)
 def digit_chars() -> str:
     """Every character for which Python's ``str.isdigit`` is true: decimal

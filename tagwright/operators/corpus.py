@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import with_column_once, word_count
@@ -120,3 +120,17 @@ def equal_width_histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
         b = F.least(F.floor((x - F.lit(lo)) * bins / F.lit(hi - lo)), F.lit(bins - 1))
     return (df.where(x.isNotNull()).select(b.cast("int").alias("bin"))
               .groupBy("bin").agg(F.count("*").alias("n")))
+
+
+# --- X8 ----------------------------------------------------------------------------
+def duplicate_keys(df: DataFrame, key: str, out: str = "n_extra") -> DataFrame:
+    """Keys that occur more than once, with the number of extra rows."""
+    return (df.groupBy(key).agg((F.count("*") - 1).alias(out)).where(F.col(out) > 0))
+
+
+def read_once(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """One row of each key, the first by ``order`` (then by the whole row,
+    so that the choice does not depend on partitions). The limit of one row a
+    key is applied in each partition before the shuffle."""
+    w = Window.partitionBy(key).orderBy(*order, F.xxhash64(*[F.col(c) for c in df.columns]))
+    return df.withColumn("_rn", F.row_number().over(w)).where("_rn <= 1").drop("_rn")

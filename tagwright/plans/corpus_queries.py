@@ -278,9 +278,15 @@ def q_join_left_renamed_keys(spark, sf):
 SELECT conv_id, count(*) - 1 AS n_extra FROM conversations GROUP BY conv_id HAVING count(*) > 1
 """)
 def q_duplicate_ids(spark, sf):
-    c = read_table(spark, sf, "conversations", ["conv_id"])
-    return (c.groupBy("conv_id").agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
-             .select("conv_id", (F.col("_n") - 1).alias("n_extra")))
+    return CO.duplicate_keys(read_table(spark, sf, "conversations", ["conv_id"]), "conv_id")
+
+
+@register("read_once", op="X8", sql="""
+SELECT conv_id, min(turn) AS turn, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id
+""")
+def q_read_once(spark, sf):
+    c = read_table(spark, sf, "conversations", ["conv_id", "turn", "text"])
+    return CO.read_once(c, "conv_id", ["turn"])
 
 
 # --- splits --------------------------------------------------------------------------

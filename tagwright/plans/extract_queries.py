@@ -117,6 +117,37 @@ def q_html_remove_nodes(spark, sf):
         "page_id", EX.body_text(F.col("html")).alias("text"))
 
 
+# --- X2 + X3 by the rule table: documents in the layouts of the studied sources ---------
+LAYOUTS = [
+    ("NYT", '<div class="mod-nytimesarticletext mod-articletext">', "</div>"),
+    ("NYT", '<div id="article"><div><p>image</p></div><div id="articleBody">', "<div><p>box</p></div></div></div>"),
+    ("NYT", '<div id="content"><div class="entry-content"><p>outer</p><div class="entry-content">', "</div></div></div>"),
+    ("LA", '<div id="fullTextZoneId" class="x t-zone">', "</div>"),
+    ("SF", '<p class="dtlcomment">mail</p><div id="fontprefs_bottom"><P ID="pageno">A1</P>', "</div>"),
+    ("DMNB", '<div id="content"><div class="docBody"><div class="mainText"><div>caption<div>deep</div></div>', "</div></div></div>"),
+    ("ZZ", "<article>", "</article>"),
+]
+
+
+def documents_in_layouts(spark, sf):
+    d = read_table(spark, sf, "documents", ["doc_id", "text"])
+    kind = F.pmod(F.col("doc_id"), F.lit(len(LAYOUTS)))
+    paras = F.concat(F.lit("<p>"), F.replace(_xml_escape(F.col("text")), F.lit("\n"), F.lit("<p>")))
+
+    def pick(k):
+        return F.element_at(F.array(*[F.lit(row[k]) for row in LAYOUTS]), (kind + 1).cast("int"))
+    return d.select("doc_id", F.concat(pick(0), F.col("doc_id").cast("string")).alias("article_id"),
+                    F.concat(F.lit("<html><body>"), pick(1), paras, pick(2), F.lit("</body></html>")).alias("html"))
+
+
+@register("html_source_rules", op="X2+X3", sql=f"""
+SELECT doc_id, CASE WHEN doc_id % {len(LAYOUTS)} < {len(LAYOUTS) - 1} THEN replace(text, chr(10), '') END AS text FROM documents
+""")
+def q_html_source_rules(spark, sf):
+    pages = documents_in_layouts(spark, sf)
+    return pages.select("doc_id", EX.text_by_source(F.col("article_id"), F.col("html")).alias("text"))
+
+
 # --- X5: documents wrapped as XML ----------------------------------------------------------
 def _xml_escape(c):
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
