@@ -41,7 +41,7 @@ from .common import batches, col, scratch_path, worker_state
 FILE_BYTES = 64 << 20       # text bytes a file holds at most on average
 CACHE_PIECES = 500_000      # pieces remembered by a Python worker; then it starts anew
 TEXTS_AT_ONCE = 128
-MARKS = ".,;:!?"     # read as pre-tokens of their own after a word
+MARKS = r"[!-&(-/:-@\[-`{-~]{1,8}"    # ASCII marks but the apostrophe: a pre-token of their own after a word
 LATIN = 0x250        # letters below are read as such by every Unicode version
 _HEAD, _ID = "<QI", "<Bq"
 NULL_ID, WIDE = 1, 2
@@ -77,7 +77,7 @@ class PieceEncoder:
     Texts are cut there, each different piece goes through the tokenizer
     once, and a text's ids are the ids of its pieces. A new piece of Latin
     letters only is a single pre-token and goes straight to the tokenizer's
-    merge model; a punctuation mark after it and a line end between two words
+    merge model; punctuation marks after it and a line end between two words
     are pre-tokens of their own.
     Other new pieces, and texts that contain an added token, pass the whole
     tokenizer.
@@ -94,8 +94,10 @@ class PieceEncoder:
         # how the tokenizer writes the bytes of each Latin letter, and of a blank
         self.written = {c: alphabet(chr(c))[0][0] for c in range(LATIN) if chr(c).isalpha()}
         self.blank = alphabet(" ")[0][0]
-        self.is_word = re.compile("[" + "".join(map(chr, self.written)) + "]+").fullmatch
-        self.marks = {m: self._ids(m) for m in MARKS}
+        letters = "[" + "".join(map(chr, self.written)) + "]+"
+        self.is_word = re.compile(letters).fullmatch
+        self.is_marked = re.compile(f"({letters})({MARKS})").fullmatch
+        self.marks: dict[str, bytes] = {}
         self.line_end = self._ids("\n")
         self.later: dict[str, bytes] = {}   # piece after a blank -> its ids as 32-bit integers
         self.first: dict[str, bytes] = {}   # piece that begins a text
@@ -113,12 +115,14 @@ class PieceEncoder:
         known, blank = (self.later, self.blank) if after_blank else (self.first, "")
         if self.is_word(piece):
             ids = self._word(piece, blank)
-        elif piece[-1:] in self.marks and self.is_word(piece, 0, len(piece) - 1):
-            word = piece[:-1]
+        elif m := self.is_marked(piece):
+            word, marks = m.groups()
             ids = known.get(word)
             if ids is None:
                 ids = known[word] = self._word(word, blank)
-            ids += self.marks[piece[-1]]
+            if marks not in self.marks:
+                self.marks[marks] = self._ids(marks)
+            ids += self.marks[marks]
         else:
             lines = piece.split("\n")      # a line end between two words is a pre-token, too
             if len(lines) > 1 and all(p and not p[0].isspace() and not p[-1].isspace() for p in lines):
