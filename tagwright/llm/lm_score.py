@@ -21,7 +21,7 @@ The text's bits make ``score`` (log10 of its probability), and
 
 The base score (add-one smoothed unigrams) needs each word's count: words that
 make up at least ``1 / FREQUENT`` of all tokens, so ``FREQUENT`` at most, are
-broadcast, all others join the word counts.
+broadcast, all others join the word counts (by 64-bit keys).
 
 Defined results: a null text is the empty text, one end token; without
 training texts all counts are 0 and every bit costs one bit; null ids hash
@@ -40,6 +40,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,14 +48,14 @@ from pyspark.sql import functions as F
 from .common import arrow_columns, col, free_name, id_hash_mod, materialize, others, utf8, worker_state
 
 FREQUENT = 1_000_000
-MIX_TEXTS = 600
+MIX_TEXTS = 400
 TABLE_BITS = (16, 18, 19, 20)   # counters of the predictors: 1, 2, 3 bytes, word so far
 PART_BITS = 16                  # tables travel in parts of this size
 FAN_IN = 32                     # tables added up in one node of the tree
 TEXTS_AT_ONCE = 256
 COUNTED_AT_ONCE = 2048
 WORDS_AT_ONCE = 1 << 14
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 
 N = len(TABLE_BITS)
 END = 0xFF                      # no byte of UTF-8 text
@@ -74,6 +75,7 @@ class Symbols:
 
     def __init__(self, before: np.ndarray, word: np.ndarray, symbol: np.ndarray):
         self.before, self.word, self.symbol = before, word, symbol
+        self._hashed: tuple[np.ndarray, ...] | None = None
 
     def __len__(self) -> int:
         return len(self.symbol)
@@ -83,12 +85,17 @@ class Symbols:
 
     def slots(self, known: np.ndarray) -> list[np.ndarray]:
         """Each predictor's table slot, given the known bits (a leading 1 first)."""
+        if self._hashed is None:
+            self._hashed = ((self.before & np.uint64(0xFF)) << np.uint64(8), (self.before & np.uint64(0xFFFF)) * _MIX,
+                            (self.before | np.uint64(1 << 32)) * _MIX, self.word * _MIX)
         k = known.astype(np.uint64)
-        contexts = (None, self.before & np.uint64(0xFFFF), self.before | np.uint64(1 << 32), self.word)
-        out = [((self.before & np.uint64(0xFF)) << np.uint64(8) | k).astype(np.int64)]
-        for c, bits in zip(contexts[1:], TABLE_BITS[1:], strict=True):
-            h = (c * _MIX + k) * _MIX
-            out.append(((h ^ h >> np.uint64(31)) * _MIX >> np.uint64(64 - bits)).astype(np.int64))
+        out = [(self._hashed[0] | k).view(np.int64)]
+        for c, bits in zip(self._hashed[1:], TABLE_BITS[1:], strict=True):
+            h = (c + k) * _MIX
+            h ^= h >> np.uint64(31)
+            h *= _MIX
+            h >>= np.uint64(64 - bits)
+            out.append(h.view(np.int64))
         return out
 
 
@@ -249,7 +256,8 @@ class Model:
 
     def __init__(self, logits: list[np.ndarray], mixer: Mixer):
         self.logits, self.weights = logits, mixer.weights.T.astype(np.float32).copy()
-        self.refined = (mixer.refine[1] / mixer.refine.sum(axis=0)).ravel()
+        # share of zeros and of ones observed, by bit, last byte and bucket
+        self.refined = (mixer.refine / mixer.refine.sum(axis=0)).astype(np.float32).ravel()
 
     @staticmethod
     def of(counts: list[np.ndarray], mixer: Mixer) -> Model:
@@ -265,17 +273,17 @@ class Model:
         return out
 
     def _bits(self, symbols: Symbols) -> np.ndarray:
-        cost = np.zeros(len(symbols))
-        last = (symbols.before & np.uint64(0xFF)).astype(np.int64)
+        likely = np.ones(len(symbols))      # product of twice each bit's probability
+        last = (symbols.before & np.uint64(0xFF)).astype(np.int64) * _BUCKETS
         for known, bit in bits_of(symbols.symbol):
             logit = np.zeros(len(symbols), np.float32)
             for w, table, slot in zip(self.weights, self.logits, symbols.slots(known), strict=True):
                 logit += w[known] * table[slot]
             np.clip(logit, -_CLIP, _CLIP, out=logit)
             # half the mixed probability, half what was observed at such a logit
-            p = squash(logit) + self.refined[last * _BUCKETS + Mixer.bucket(logit)]
-            cost -= np.log2(np.clip(np.where(bit == 1, p, 2 - p), 2e-6, None)) - 1
-        return cost
+            seen = self.refined[bit * (256 * _BUCKETS) + last + Mixer.bucket(logit)]
+            likely *= squash(np.where(bit == 1, logit, -logit)) + seen
+        return 8 - np.log2(likely)
 
 
 class Scorer:
@@ -292,17 +300,17 @@ class Scorer:
         self.tail = np.empty(0)                     # bits after the head
         self.logs = np.empty(0)                     # of its frequent words
         self.tokens = np.empty((2, 0), np.int64)    # all its words, the frequent ones
-        self.rare: list[tuple[bytes, ...]] = []     # its other words
+        self.rare: list[tuple[int, ...]] = []       # keys of its other words
 
     def _learn(self, new: list[bytes]) -> None:
         symbols, of = tail_symbols(new)
         logs = [self.known.get(w) for w in new]
-        rare: list[tuple[bytes, ...]] = [() if x is not None else (w,) for w, x in zip(new, logs, strict=True)]
+        rare: list[tuple[int, ...]] = [() if x is not None else (word_key(w),) for w, x in zip(new, logs, strict=True)]
         tokens = np.ones((2, len(new)), np.int64)
         for i in _odd(new):
             words = new[i].rstrip(_END).split()
             seen = [x for x in map(self.known.get, words) if x is not None]
-            logs[i], rare[i] = sum(seen), tuple(w for w in words if w not in self.known)
+            logs[i], rare[i] = sum(seen), tuple(word_key(w) for w in words if w not in self.known)
             tokens[0, i] = len(words)
         tokens[1] = tokens[0] - [len(r) for r in rare]
         self.rows.update(zip(new, range(len(self.rare), len(self.rare) + len(new)), strict=True))
@@ -311,9 +319,9 @@ class Scorer:
         self.tokens = np.append(self.tokens, tokens, axis=1)
         self.rare += rare
 
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
         """Of each text: its bits, the logs of its frequent words, the numbers
-        of all and of frequent words, and its other words."""
+        of all and of frequent words, and the keys of its other words."""
         codes, owner = heads_of(texts)
         order, cut = _equal(codes)
         symbols, of = head_symbols(codes[order[cut]])
@@ -339,6 +347,13 @@ class Scorer:
         return bits, logs, tokens, [flat[a:b] for a, b in zip([0, *ends], ends)]    # noqa: B905 - neighbours
 
 
+def word_key(word: bytes) -> int:
+    """What Spark's ``xxhash64`` gives for the word: rare words travel and join
+    as 64-bit keys."""
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _odd(words: list[bytes]) -> list[int]:
     """Places of words that are no token as they stand: empty, with a blank
     other than the space, or with the end mark."""
@@ -468,7 +483,8 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     chosen = ~held_out(id_col) if train_on is None else train_on
     train = docs.where(chosen).select(col(id_col), utf8(text_col).alias("bytes"))
     counted = materialize(_count(train.select("bytes")), "lm-counts")
-    words = materialize(counted.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    words = materialize(counted.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"))
+                        .withColumn("key", F.xxhash64("word")), "lm-words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = words.where(F.col("word") == F.lit(_END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # at most ``frequent`` words can make up so large a share each
@@ -498,10 +514,10 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     scored = arrow_columns(docs.withColumn("held_out", held_out(id_col)), [utf8(text_col)], make,
                            "n_tokens long, n_known long, base_score double, score double, bits_per_byte double, "
-                           f"{rare} array<binary>", [*kept, "held_out"], TEXTS_AT_ONCE)
+                           f"{rare} array<long>", [*kept, "held_out"], TEXTS_AT_ONCE)
     scored = materialize(scored.withColumn(row, F.monotonically_increasing_id()), "lm-scored")
     more = (scored.select(F.col(row).alias("_row"), F.explode(rare).alias("_word"))
-            .join(words, F.col("_word") == words["word"])
+            .join(words.select("key", "n"), F.col("_word") == F.col("key"))
             .groupBy("_row").agg(F.count("*").alias("_known"), F.sum(F.log10(F.col("n") + 1)).alias("_logs")))
     return (scored.join(more, scored[row] == more["_row"], "left")
             .select(*[col(c) for c in kept], "held_out", "n_tokens",
