@@ -24,7 +24,7 @@ from tagwright.session import materialize, scratch_path  # noqa: F401 - re-used
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
 BATCH_CONF, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
-BATCH_BYTES = str(8 << 20)
+BATCH_BYTES = str(4 << 20)
 ROWS_AT_ONCE = 1024     # rows that a Python task turns into Python objects at a time
 
 #: Words of most operators: runs of anything but ASCII blanks. ``bytes.split()``
@@ -81,6 +81,11 @@ def worker_state(key, make: Callable, only: str | None = None):
     return kept[slot][1]
 
 
+def forget(key) -> None:
+    """Drop what ``worker_state`` keeps under ``key``."""
+    sys.modules.setdefault("_tagwright_worker", type(sys)("_tagwright_worker")).__dict__.pop(key, None)
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots and blanks included."""
     return F.col("`" + name.replace("`", "``") + "`")

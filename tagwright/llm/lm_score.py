@@ -45,17 +45,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_columns, col, free_name, id_hash_mod, materialize, others, utf8, worker_state
+from .common import arrow_columns, col, forget, free_name, id_hash_mod, materialize, others, utf8, worker_state
 
 FREQUENT = 1_000_000
 MIX_TEXTS = 400
 TABLE_BITS = (16, 18, 19, 20)   # counters of the predictors: 1, 2, 3 bytes, word so far
 PART_BITS = 16                  # tables travel in parts of this size
 FAN_IN = 32                     # tables added up in one node of the tree
-TEXTS_AT_ONCE = 256
-COUNTED_AT_ONCE = 2048
+TEXTS_AT_ONCE = 128
+COUNTED_AT_ONCE = 1024
 WORDS_AT_ONCE = 1 << 14
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 
 N = len(TABLE_BITS)
 END = 0xFF                      # no byte of UTF-8 text
@@ -374,6 +374,7 @@ def _count(train: DataFrame) -> DataFrame:
                         ("data", pa.binary())])
 
     def run(rows):
+        forget("lm")        # a scorer that this worker may still hold
         counts, any_text = Counts(), False
         for batch in _slices(rows, COUNTED_AT_ONCE):
             texts = [t.lower() for t in batch.column(0).to_pylist()]
