@@ -35,9 +35,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
-        # small test files: let the scan itself use every core
-        .config("spark.sql.files.maxPartitionBytes", "512k")
-        .config("spark.sql.files.openCostInBytes", "64k")
+        # the test files are one row group each, which no scan can split
+        .config("tagwright.spreadSingleSplit", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

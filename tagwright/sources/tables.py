@@ -53,6 +53,10 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 
+SPREAD_CONF = "tagwright.spreadSingleSplit"
+TEXT_COLUMNS = {"text", "html"}
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
@@ -63,8 +67,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
 
     The projection reaches the scan as ``ReadSchema``; a two-column read of
     ``documents`` never touches the other three column chunks.
-    The rows stay where the scan reads them: no shuffle spreads a table of
-    few splits (the session's ``maxPartitionBytes`` decides their number).
+    The rows stay where the scan reads them; no shuffle is added. Only a
+    session that sets ``SPREAD_CONF`` (the local one of tests and bench, whose
+    small files are a single row group and so a single split) deals the texts
+    of a one-split table over its cores.
     """
     reader = spark.read
     schema = SCHEMAS.get(name)
@@ -73,4 +79,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     df = reader.parquet(table_path(sf_dir, name))
     if columns:
         df = df.select(*columns)
+    if TEXT_COLUMNS & set(df.columns) and spark.conf.get(SPREAD_CONF, "false") == "true" and df.rdd.getNumPartitions() == 1:
+        return df.repartition(spark.sparkContext.defaultParallelism)
     return df
