@@ -52,10 +52,10 @@ MIX_TEXTS = 400
 TABLE_BITS = (16, 18, 19, 20)   # counters of the predictors: 1, 2, 3 bytes, word so far
 PART_BITS = 16                  # tables travel in parts of this size
 FAN_IN = 32                     # tables added up in one node of the tree
-TEXTS_AT_ONCE = 128
-COUNTED_AT_ONCE = 1024
+TEXTS_AT_ONCE = 256
+COUNTED_AT_ONCE = 2048
 WORDS_AT_ONCE = 1 << 14
-CACHE_WORDS = 120_000
+CACHE_WORDS = 180_000
 
 N = len(TABLE_BITS)
 END = 0xFF                      # no byte of UTF-8 text
