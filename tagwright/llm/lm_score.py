@@ -9,12 +9,15 @@ refined by a table of observed outcomes for the last byte and the mixed logit.
 The text's bits make ``score`` (log10 of its probability), and
 ``bits_per_byte``.
 
-* Counting covers all training texts. A task counts each different context and
-  symbol once with its number, and hands over its counter tables, of fixed
-  size, and its words; tables are added up in a tree, words by a grouped sum.
-* The gate's weights and the refining table are learned online, over a bounded
-  sample of ``MIX_TEXTS`` training texts on average, each bit predicted from
-  counts without its own occurrence, then learned from.
+* Counting covers all training texts. Their different words and word beginnings
+  (with the bytes before) are numbered by a grouped sum; a task counts the
+  symbols of its share and hands over its counter tables, of fixed size, which
+  are added up in a tree.
+* The gate's weights and the refining table are learned over all training
+  texts, each symbol as often as it occurs and each bit predicted from counts
+  without its own occurrence. The gate takes Newton steps on grouped sums, at
+  most ``ROUNDS`` passes; then one pass counts the outcomes of the refining
+  table.
 * Scoring then leaves the model as it is, so a text's score does not depend on
   the order or place of its scoring. Costs are worked out once for each
   different word or word boundary that a task meets.
@@ -45,10 +48,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_columns, col, forget, free_name, id_hash_mod, materialize, others, utf8, worker_state
+from .common import arrow_columns, batches, col, forget, free_name, id_hash_mod, materialize, others, utf8, worker_state
 
 FREQUENT = 1_000_000
-MIX_TEXTS = 400
+ROUNDS = 8                      # passes over the training texts to learn the gate, at most
+SETTLED = 0.001                 # the passes end when the cost falls by less than this share
 TABLE_BITS = (16, 18, 19, 20)   # counters of the predictors: 1, 2, 3 bytes, word so far
 PART_BITS = 16                  # tables travel in parts of this size
 FAN_IN = 32                     # tables added up in one node of the tree
@@ -65,8 +69,9 @@ _START = _END * 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PRIOR = 0.4                    # added to both counts of a counter
 _CLIP = 12.0
+_PAIRS = [(i, j) for i in range(N) for j in range(i, N)]
+_SLOPES = 1 + N + len(_PAIRS)
 _BUCKETS = 25                   # of the mixed logit in the refining table; odd, so that 0 is a centre
-_RATE = 0.05
 
 
 class Symbols:
@@ -222,7 +227,6 @@ class Mixer:
 
     def __init__(self):
         self.weights = np.full((256, N), 0.3)
-        self.past = np.full((256, N), 1e-6)     # squared corrections so far
         centres = squash((np.arange(_BUCKETS) + 0.5) / _BUCKETS * 2 * _CLIP - _CLIP)
         self.refine = np.stack([(1 - centres) * 4, centres * 4])[:, None, :].repeat(256, axis=1)
 
@@ -230,25 +234,66 @@ class Mixer:
     def bucket(logit: np.ndarray) -> np.ndarray:
         return np.clip(((logit + _CLIP) * (_BUCKETS / (2 * _CLIP))).astype(np.int64), 0, _BUCKETS - 1)
 
-    def learn(self, symbols: Symbols, counts: list[np.ndarray], at_once: int = 512) -> None:
-        """Go through the symbols in order, some at a time: predict each bit
-        from the counts without this occurrence, then correct the weights, in
-        steps that shrink with the corrections so far (one rate per weight)."""
-        for i in range(0, len(symbols), at_once):
-            part = symbols.pick(slice(i, i + at_once))
-            last = (part.before & np.uint64(0xFF)).astype(np.int64)
-            for known, bit in bits_of(part.symbol):
-                inputs = []
-                for table, slot in zip(counts, part.slots(known), strict=True):
-                    zeros, ones = table[0, slot] - (bit == 0), table[1, slot] - (bit == 1)
-                    inputs.append(stretch((np.maximum(ones, 0) + _PRIOR) / (np.maximum(zeros, 0) + np.maximum(ones, 0) + 2 * _PRIOR)))
-                x = np.stack(inputs, axis=1)
-                logit = np.clip((self.weights[known] * x).sum(axis=1), -_CLIP, _CLIP)
-                np.add.at(self.refine, (bit, last, self.bucket(logit)), 1)
-                error = np.zeros_like(self.weights)
-                np.add.at(error, known, (bit - squash(logit))[:, None] * x)
-                self.past += error * error
-                self.weights += _RATE * error / np.sqrt(self.past)
+    def _each(self, symbols: Symbols, counts: list[np.ndarray]):
+        """Of all eight bits: known bits, bit, the predictors' logits from the
+        counts without this occurrence, and the mixed logit."""
+        for known, bit in bits_of(symbols.symbol):
+            x = np.empty((N, len(symbols)))
+            for k, (table, slot) in enumerate(zip(counts, symbols.slots(known), strict=True)):
+                zeros, ones = table[0, slot] - (bit == 0), table[1, slot] - (bit == 1)
+                x[k] = np.log((np.maximum(ones, 0) + _PRIOR) / (np.maximum(zeros, 0) + _PRIOR))
+            yield known, bit, x, np.clip((self.weights.T[:, known] * x).sum(axis=0), -_CLIP, _CLIP)
+
+    def slopes(self, symbols: Symbols, times: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
+        """Sums by known bits over symbols that occur ``times`` times: the cost
+        in nats, its gradient, and the upper half of its second derivatives."""
+        out = np.zeros((_SLOPES, 256))
+        for known, bit, x, logit in self._each(symbols, counts):
+            p = squash(logit)
+            error, bend = times * (p - bit), times * p * (1 - p)
+            rows = [times * np.log1p(np.exp(np.where(bit == 1, -logit, logit))), *(error * x), *(bend * x[i] * x[j] for i, j in _PAIRS)]
+            for k, row in enumerate(rows):
+                out[k] += np.bincount(known, row, 256)
+        return out
+
+    def outcomes(self, symbols: Symbols, times: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
+        """How often each bit followed, by bit, last byte and bucket."""
+        out = np.zeros(self.refine.size)
+        last = (symbols.before & np.uint64(0xFF)).astype(np.int64)
+        for _, bit, _, logit in self._each(symbols, counts):
+            out += np.bincount((bit * 256 + last) * _BUCKETS + self.bucket(logit), times, len(out))
+        return out.reshape(self.refine.shape)
+
+    def fit(self, gather) -> None:
+        """Learn from all symbols. ``gather`` sums what this mixer's method of
+        that name gives for them. Each value of the known bits has weights of
+        its own: a Newton step, or half the way back where the last one did
+        not lower the cost. Weights are rounded, so that they do not depend on
+        the order of the sums."""
+        kept, lowest, step = self.weights, np.full(256, np.inf), np.zeros((256, N))
+        for _ in range(ROUNDS):
+            sums, before = gather("slopes"), lowest.sum()
+            better = sums[0] <= lowest + 1e-9 * np.abs(sums[0])
+            kept, lowest = np.where(better[:, None], self.weights, kept), np.where(better, sums[0], lowest)
+            if lowest.sum() >= before * (1 - SETTLED):
+                break
+            second = np.zeros((256, N, N))
+            for (i, j), row in zip(_PAIRS, sums[1 + N:], strict=True):
+                second[:, i, j] = second[:, j, i] = row
+            # a slight pull to the first weights, for known bits that hardly occur
+            pull = sums[1:1 + N].T + (self.weights - 0.3)
+            newton = -np.linalg.solve(second + np.eye(N), pull[:, :, None])[:, :, 0]
+            step = np.where(better[:, None], newton, step / 2)
+            self.weights = np.round(kept + step, 6)
+        self.weights = kept
+        self.refine = self.refine + gather("outcomes")
+
+    def learn(self, symbols: Symbols, counts: list[np.ndarray], at_once: int = 1 << 14) -> None:
+        """Learn from symbols at hand."""
+        def gather(what):
+            return sum(getattr(self, what)(part, np.ones(len(part)), counts)
+                       for part in (symbols.pick(slice(i, i + at_once)) for i in range(0, len(symbols), at_once)))
+        self.fit(gather)
 
 
 class Model:
@@ -368,46 +413,71 @@ def _slices(rows, at_once: int):
 
 
 def _count(train: DataFrame) -> DataFrame:
-    """One pass over the training texts: rows of words with their numbers, and
-    each task's counter tables in parts."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("part", pa.int32()), ("task", pa.int64()),
-                        ("data", pa.binary())])
+    """One pass over the training texts: their words as they are cut, and the
+    codes of their word boundaries, with their numbers in a part of the texts."""
+    schema = pa.schema([("word", pa.binary()), ("code", pa.int64()), ("n", pa.int64())])
 
     def run(rows):
         forget("lm")        # a scorer that this worker may still hold
-        counts, any_text = Counts(), False
         for batch in _slices(rows, COUNTED_AT_ONCE):
             texts = [t.lower() for t in batch.column(0).to_pylist()]
-            any_text = True
             found: Counter = Counter()
+            codes = []
             for k in range(0, len(texts), TEXTS_AT_ONCE):
                 part = texts[k:k + TEXTS_AT_ONCE]
                 for t in part:
                     found.update(words_of(t))
-                heads, n = np.unique(heads_of(part)[0], return_counts=True)
-                symbols, of = head_symbols(heads)
-                counts.add(symbols, n[of])
-            words, n = list(found), np.fromiter(found.values(), np.int64, len(found))
-            for k in range(0, len(words), WORDS_AT_ONCE):
-                symbols, of = tail_symbols(words[k:k + WORDS_AT_ONCE])
-                counts.add(symbols, n[k:k + WORDS_AT_ONCE][of])
-            # tokens: the words without end marks, cut at other blanks; the end
-            # token is the one word with a byte that no text has
-            for i in _odd(words):
-                m = found.pop(words[i])
-                for x in words[i].rstrip(_END).split():
-                    found[x] += m
-            found[_END] = len(texts)
-            k = len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64()),
-                                              *(pa.nulls(k, f.type) for f in list(schema)[2:])], schema=schema)
-        if any_text:
-            task = TaskContext.get().partitionId()
-            for part, data in enumerate(_parts(counts.seen)):
-                yield pa.RecordBatch.from_pydict({"word": [None], "n": [None], "part": [part], "task": [task],
-                                                  "data": [data]}, schema=schema)
-
-    return train.mapInArrow(run, "word binary, n long, part int, task long, data binary")
+                codes.append(heads_of(part)[0])
+            heads, n = np.unique(np.concatenate(codes), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(heads), pa.binary()), pa.array(heads.view(np.int64)),
+                                              pa.array(n, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.nulls(len(found), pa.int64()),
+                                              pa.array(list(found.values()), pa.int64())], schema=schema)
+
+    return train.mapInArrow(run, "word binary, code long, n long")
+
+
+def _tokens(items: DataFrame) -> DataFrame:
+    """The tokens of the words as they are cut: without end marks, cut at other
+    blanks; the end token is the one word with a byte that no text has."""
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+
+    def make(batch):
+        words, n = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        odd = _odd(words)
+        out = [(x, n[i]) for i in odd for x in (*words[i].rstrip(_END).split(), *([_END] if words[i].endswith(_END) else []))]
+        for i in reversed(odd):
+            del words[i], n[i]
+        return {"word": words + [x for x, _ in out], "n": n + [m for _, m in out]}
+
+    return items.where("word IS NOT NULL").select("word", "n").mapInArrow(
+        lambda rows: batches(_slices(rows, WORDS_AT_ONCE), make, schema), "word binary, n long")
+
+
+def _symbols(rows):
+    """The symbols of words and word boundaries, and how often each occurs."""
+    for batch in _slices(rows, WORDS_AT_ONCE):
+        words, codes, n = batch.column(0), batch.column(1), batch.column(2).to_numpy()
+        at_word = np.asarray(words.is_valid())
+        symbols, of = head_symbols(codes.filter(words.is_null()).to_numpy().view(np.uint64))
+        yield symbols, n[~at_word][of]
+        symbols, of = tail_symbols(words.drop_null().to_pylist())
+        yield symbols, n[at_word][of]
+
+
+def _tables(items: DataFrame) -> DataFrame:
+    """Each task's counter tables in parts."""
+    def run(rows):
+        counts, some = Counts(), False
+        for symbols, times in _symbols(rows):
+            counts.add(symbols, times)
+            some = True
+        if some:
+            task, data = TaskContext.get().partitionId(), _parts(counts.seen)
+            for part, d in enumerate(data):
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "task": [task], "data": [d]})
+
+    return items.select("word", "code", "n").mapInArrow(run, "part int, task long, data binary")
 
 
 def _parts(tables: list[np.ndarray]) -> list[bytes]:
@@ -432,9 +502,8 @@ def _add(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": group["part"].iloc[:1], "task": group["task"].iloc[:1], "data": [total.tobytes()]})
 
 
-def _sum_tables(counted: DataFrame) -> list[np.ndarray]:
+def _sum_tables(tables: DataFrame) -> list[np.ndarray]:
     """Add up the tasks' tables, ``FAN_IN`` at a time."""
-    tables = counted.where("data IS NOT NULL").select("part", "task", "data")
     last = tables.agg(F.max("task")).first()[0]
     while last:
         tables = tables.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("part", "task").applyInPandas(
@@ -445,27 +514,30 @@ def _sum_tables(counted: DataFrame) -> list[np.ndarray]:
     return _whole({r["part"]: bytes(r["data"]) for r in tables.select("part", "data").collect()})
 
 
-def _learn_mixer(train: DataFrame, n_texts: int, counts: list[np.ndarray], id_col: str) -> Mixer:
-    """Learn the gate and the refining table over a sample, in one task."""
-    luck = F.pmod(F.xxhash64(col(id_col), "bytes"), F.lit(1 << 30)) / float(1 << 30)
-    sample = train.where(luck < MIX_TEXTS / max(1, n_texts)).select("bytes")
-    shared = train.sparkSession.sparkContext.broadcast(counts)
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        mixer, texts = Mixer(), sorted(t.lower() for t in group["bytes"])
-        order = np.random.default_rng(5)
-        for k in range(0, len(texts), 16):      # a few texts at a time, their symbols shuffled
-            some = texts[k:k + 16]
-            parts = [head_symbols(heads_of(some)[0])[0], tail_symbols([w for t in some for w in words_of(t)])[0]]
-            symbols = Symbols(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("before", "word", "symbol")))
-            mixer.learn(symbols.pick(order.permutation(len(symbols))), shared.value)
-        return pd.DataFrame({"weights": [mixer.weights.tobytes()], "refine": [mixer.refine.tobytes()]})
-
-    got = sample.groupBy().applyInPandas(fit, "weights binary, refine binary").collect()
-    mixer = Mixer()
-    for r in got:
-        mixer.weights = np.frombuffer(r["weights"]).reshape(256, N)
-        mixer.refine = np.frombuffer(r["refine"]).reshape(2, 256, _BUCKETS)
+def _learn_mixer(items: DataFrame, counts: list[np.ndarray]) -> Mixer:
+    """Learn the gate and the refining table over all training texts."""
+    mixer, shared = Mixer(), items.sparkSession.sparkContext.broadcast(counts)
+
+    def gather(what):
+        held = mixer.weights
+
+        def run(rows):
+            mixer, total = Mixer(), 0
+            mixer.weights = held
+            for symbols, times in _symbols(rows):
+                for i in range(0, len(symbols), 1 << 14):
+                    total = total + getattr(mixer, what)(symbols.pick(slice(i, i + (1 << 14))), times[i:i + (1 << 14)], shared.value)
+            found = np.ravel(total)
+            at = np.flatnonzero(found)
+            yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "sum": found[at].astype(float)})
+
+        sums = items.select("word", "code", "n").mapInArrow(run, "at int, sum double").groupBy("at").agg(F.sum("sum").alias("sum"))
+        total = np.zeros((_SLOPES, 256) if what == "slopes" else mixer.refine.shape)
+        for r in sums.collect():
+            total.reshape(-1)[r["at"]] = r["sum"]
+        return total
+
+    mixer.fit(gather)
     shared.destroy()
     return mixer
 
@@ -482,17 +554,17 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     n_known, train_tokens, base_score, score, bits_per_byte``."""
     spark = docs.sparkSession
     chosen = ~held_out(id_col) if train_on is None else train_on
-    train = docs.where(chosen).select(col(id_col), utf8(text_col).alias("bytes"))
-    counted = materialize(_count(train.select("bytes")), "lm-counts")
-    words = materialize(counted.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = _count(docs.where(chosen).select(utf8(text_col)))
+    items = materialize(counted.groupBy("word", "code").agg(F.sum("n").alias("n")), "lm-items")
+    words = materialize(_tokens(items).groupBy("word").agg(F.sum("n").alias("n"))
                         .withColumn("key", F.xxhash64("word")), "lm-words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = words.where(F.col("word") == F.lit(_END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # at most ``frequent`` words can make up so large a share each
     often = words.where(F.col("n") * frequent >= total)
     known = {bytes(r["word"]): math.log10(r["n"] + 1) for r in often.collect()}
-    counts = _sum_tables(counted)
-    mixer = _learn_mixer(train, end, counts, id_col)
+    counts = _sum_tables(materialize(_tables(items), "lm-tables"))
+    mixer = _learn_mixer(items, counts)
     model = Model.of(counts, mixer)
     shared = spark.sparkContext.broadcast((known, model.logits, mixer.weights, mixer.refine))
     version = uuid.uuid4().hex

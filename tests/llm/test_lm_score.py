@@ -115,3 +115,21 @@ def test_learning_helps():
     mixer.learn(symbols, counts.seen, 64)
     learned = M.Model.of(counts.seen, mixer)
     assert learned.bits(symbols).sum() < model.bits(symbols).sum()
+
+
+def test_gate_and_refinement_learn_from_every_training_text(spark):
+    """1,500 texts of one script, three of another: all bits of all of them are
+    outcomes in the refining table, and the sums over partitions are the plain ones."""
+    texts = [f"one two three four five {i}".encode() for i in range(1500)] + ["это редкий текст".encode()] * 3
+    docs = spark.createDataFrame([(t,) for t in texts], "text binary").repartition(7)
+    items = M.materialize(M._count(docs).groupBy("word", "code").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n"), "test-items")
+    counts = M._sum_tables(M._tables(items))
+    mixer = M._learn_mixer(items, counts)
+    seen = mixer.refine - M.Mixer().refine
+    assert abs(seen.sum() - 8 * sum(len(t) + 1 for t in texts)) < 1e-3
+    rare = {b for b in "это редкий текст".encode() if b >= 0x80}
+    assert all(seen[:, b].sum() > 0 for b in rare)
+    heads, tails = M.head_symbols(M.heads_of(texts)[0])[0], M.tail_symbols([w for t in texts for w in M.words_of(t)])[0]
+    plain = M.Mixer()
+    plain.learn(M.Symbols(*(np.concatenate([getattr(p, f) for p in (heads, tails)]) for f in ("before", "word", "symbol"))), counts)
+    assert np.allclose(plain.weights, mixer.weights, atol=1e-4) and np.allclose(plain.refine, mixer.refine, atol=2)
