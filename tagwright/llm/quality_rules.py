@@ -10,6 +10,13 @@ dropped if it is far from every language in either histogram. Texts shorter
 than a guard are not judged by that histogram: short samples are far from any
 reference by chance.
 
+A language tells texts apart by words as far as a text with none of its common
+words is away from it. Where that is less than ``EMPTY``, its divergences are
+scaled up to it, so such a text is far from every language; a language without
+common words (unspaced scripts) is no reference for words. A text is not judged
+by words if the language of its characters cannot tell texts apart (under
+``WORDS_LIMIT``), and all that can are far from it in character classes.
+
 Defined results: a null text has no words and fails the base rules; texts
 without a language label count for no reference; without any labelled text
 only the base rules judge; an empty table gives no rows.
@@ -36,6 +43,7 @@ WORDS_MIN_WORDS = 100
 COUNTED_AT_ONCE = 4096  # texts whose words are counted together
 CLASS_LIMIT = 0.1      # largest divergence of a kept text from its nearest language
 WORDS_LIMIT = 0.08
+EMPTY = 2 * WORDS_LIMIT # least divergence of a text with none of a language's common words
 
 _BLANK = b"\t\n\v\f\r "
 
@@ -116,19 +124,30 @@ class References:
         self.vocabulary = [sorted(words[x]) for x in self.languages]
         self.words = [np.array([words[x][w] for w in v] + [1 - sum(words[x].values())])
                       for x, v in zip(self.languages, self.vocabulary, strict=True)]
+        none = [np.append(np.zeros(len(v)), 1.0) for v in self.vocabulary]
+        #: of a text with none of the common words
+        self.empty = np.array([jensen_shannon(p, q[None, :])[0] for p, q in zip(none, self.words, strict=True)])
 
-    def class_divergence(self, histogram: np.ndarray) -> float:
-        return float(jensen_shannon(histogram, self.classes).min()) if len(self.classes) else 0.0
+    def class_divergences(self, histogram: np.ndarray) -> np.ndarray:
+        """From each language."""
+        return jensen_shannon(histogram, self.classes) if len(self.classes) else np.zeros(1)
 
-    def word_divergence(self, words: list[bytes]) -> float:
+    def word_divergence(self, words: list[bytes], far: np.ndarray) -> float | None:
+        """From the nearest language; None if the text is not judged by words.
+        ``far``: its ``class_divergences``."""
         if not self.languages:
             return 0.0
+        tell = self.empty >= WORDS_LIMIT
+        if not tell[far.argmin()] and not (far[tell] <= CLASS_LIMIT).any():
+            return None
         count = Counter(w.lower() for w in words)
         best = 1.0
-        for vocabulary, reference in zip(self.vocabulary, self.words, strict=True):
+        for vocabulary, reference, empty in zip(self.vocabulary, self.words, self.empty, strict=True):
+            if not vocabulary:
+                continue
             own = np.array([count[w] for w in vocabulary] + [0.0])
             own[-1] = len(words) - own.sum()
-            best = min(best, float(jensen_shannon(own, reference[None, :])[0]))
+            best = min(best, float(jensen_shannon(own, reference[None, :])[0]) * max(1.0, EMPTY / empty))
         return best
 
 
@@ -175,7 +194,7 @@ def quality_rules(docs: DataFrame, references: References | None = None, *, text
                   words_limit: float = WORDS_LIMIT) -> DataFrame:
     """Judge every text: the input columns (or ``keep``), the base counts
     ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``, the
-    divergences (null where the guard holds), ``base_failed`` and ``kept``.
+    divergences (null where the text is not judged by them), ``base_failed`` and ``kept``.
     The references come from the same table unless given."""
     references = references or language_references(docs, text_col=text_col, lang_col=lang_col)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_divergence",
@@ -190,8 +209,9 @@ def quality_rules(docs: DataFrame, references: References | None = None, *, text
             chars = int(histogram.sum()) - blanks
             repeat = repeated_words(words)
             failed = len(words) < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * len(words)
-            far_class = references.class_divergence(histogram) if chars >= CLASS_MIN_CHARS else None
-            far_word = references.word_divergence(words) if len(words) >= WORDS_MIN_WORDS else None
+            far = references.class_divergences(histogram) if chars else None
+            far_class = float(far.min()) if chars >= CLASS_MIN_CHARS else None
+            far_word = references.word_divergence(words, far) if len(words) >= WORDS_MIN_WORDS else None
             kept = not (failed or (far_class or 0.0) > class_limit or (far_word or 0.0) > words_limit)
             row = (len(words), chars, int(count[list(SYMBOLS)].sum()), duplicate_lines(text), repeat, far_class,
                    far_word, failed, kept)

@@ -85,3 +85,28 @@ def test_references_cover_all_documents(spark):
 def test_repeated_words_with_many_different_words():
     words = [str(i).encode() for i in range(1_200_000)] * 2
     assert repeated_words(words[:1_200_010]) == 20
+
+
+def test_labels_without_common_words_keep_no_junk(spark):
+    """An unspaced script, and a label of a few texts in which every word is
+    new, judge nobody else's words and are not dropped by others' words."""
+    rng = np.random.default_rng(3)
+    common = "the of and to in a is that for it was on are as with his they at be this".split()
+    new = lambda n, abc, size: ["".join(rng.choice(list(abc), size)) for _ in range(n)]
+    latin, han = "abcdefghijklmnopqrstuvwxyz", [chr(c) for c in range(0x4E00, 0x5200)]
+
+    def english(words, share):
+        return " ".join(str(rng.choice(common)) if rng.random() < share else w for w in new(words, latin, 5))
+    rows = [("good", english(300, 0.6), "en") for _ in range(60)]
+    rows += [("junk", english(300, 0.0), None) for _ in range(10)]
+    rows += [("han", " ".join(new(150, han, 12)), "zh") for _ in range(20)]
+    rows += [("thin", english(400, 0.1), "thin") for _ in range(20)]      # under 15 % common words
+    rows += [("few", english(300, 0.0), "few") for _ in range(3)]
+    for labels in ({"en", "zh"}, {"en", "few"}, {"en", "thin"}, {"en", "zh", "thin", "few"}):
+        docs = spark.createDataFrame([(k, t, x if x in labels else None) for k, t, x in rows if x is None or x in labels],
+                                     "kind string, text string, lang string")
+        got = quality_rules(docs).collect()
+        assert not any(r["base_failed"] for r in got)
+        kept = {k: np.mean([r["kept"] for r in got if r["kind"] == k]) for k in {r["kind"] for r in got}}
+        assert kept["junk"] == 0 and kept["good"] == 1, (labels, kept)
+        assert kept.get("han", 1) == 1 and kept.get("thin", 1) >= 0.8, (labels, kept)
