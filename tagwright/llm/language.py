@@ -138,7 +138,8 @@ def train_language_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     pairs = [("family", a, b) for a, b in combinations(sorted(members), 2)]
     pairs += [("language", a, b) for m in members.values() for a, b in combinations(sorted(m), 2)]
     share = {r["lang"]: min(1.0, per_class / r["count"]) for r in counts}
-    among = {lang: 1 / len(members[f]) for lang, f in languages.items()}
+    sampled = {r["lang"]: min(r["count"], per_class) for r in counts}
+    among = {lang: min(1.0, per_class / sum(sampled[x] for x in members[f])) for lang, f in languages.items()}
     spark = docs.sparkSession
     plan = spark.createDataFrame([(lang, share[lang]) for lang in languages], "_lang string, _share double")
     luck = F.pmod(F.xxhash64(col(id_col), col(text_col)), F.lit(1 << 30)) / float(1 << 30)
@@ -154,7 +155,7 @@ def train_language_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
                 continue
             x = features(text).astype("<f4").tobytes()
             family = languages[lang]
-            if luck < among[lang]:      # a family learns from as many texts as a language
+            if luck < among[lang]:      # a family learns from as many texts as a language may
                 rows += [(*p, 1 if p[1] == family else -1, x) for p in pairs if p[0] == "family" and family in p[1:]]
             rows += [(*p, 1 if p[1] == lang else -1, x) for p in pairs if p[0] == "language" and lang in p[1:]]
         return dict(zip(schema.names, zip(*rows, strict=True), strict=True)) if rows else {c: [] for c in schema.names}

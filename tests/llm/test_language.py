@@ -3,7 +3,7 @@
 import numpy as np
 
 from cases import documents, edge_docs, edge_rows, empty_docs
-from tagwright.llm.language import FAMILY_OF, features, fit_svm, known_language, label_languages
+from tagwright.llm.language import FAMILY_OF, features, fit_svm, known_language, label_languages, train_language_model
 
 
 def test_held_out_accuracy(spark):
@@ -60,3 +60,17 @@ def test_features_and_families():
     assert abs(np.linalg.norm(features("Some Words")) - 1) < 1e-6
     assert np.array_equal(features("SOME, words!"), features("some words"))
     assert FAMILY_OF["en"] == FAMILY_OF["de"] != FAMILY_OF["fr"] == FAMILY_OF["es"]
+
+
+def test_rare_families_are_learned(spark):
+    """Four languages of a family with two texts each, all drawn late: below the
+    bound nothing is thinned, so the family is predicted."""
+    words = {"hi": "नमस्ते दुनिया", "mr": "आहे आणि", "ne": "छ हुन्छ", "bn": "আমি তুমি", "en": "the house and water"}
+    rows = [(i, f"{w} {w} {i}", x) for x, w in words.items() for i in range(40)]
+    luck = "pmod(xxhash64(doc_id, text), 1 << 30) / double(1 << 30) AS luck"
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", luck)
+    late = docs.where("lang <> 'en' AND luck >= 0.3").selectExpr("*", "row_number() OVER (PARTITION BY lang ORDER BY luck DESC) AS nr")
+    few = late.where("nr <= 2").drop("nr").unionByName(docs.where("lang = 'en'"))
+    model = train_language_model(few)
+    assert {FAMILY_OF[model.predict(f"{words[x]} {words[x]}")[0]] for x in ("hi", "mr", "ne", "bn")} == {"indic"}
+    assert model.predict("the water and the house")[0] == "en"
