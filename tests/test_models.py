@@ -54,3 +54,27 @@ def test_folds_are_stratified(spark):
     for q in {k[0] for k in per}:
         sizes = [per.get((q, f), 0) for f in range(3)]
         assert max(sizes) - min(sizes) <= 1
+
+
+def test_bench_fits_anew_in_each_timed_run():
+    import sys
+    from pathlib import Path
+    from unittest.mock import MagicMock
+
+    sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+    import bench
+    from tagwright.plans import model_queries
+
+    kept = dict(model_queries._FITS)
+    try:
+        seen = []
+
+        def query(spark, sf):
+            seen.append(dict(model_queries._FITS))
+            model_queries._FITS["app", sf] = "fitted"
+            return MagicMock()
+        assert bench.timed(query, None, "sf") >= 0 and bench.timed(query, None, "sf") >= 0
+        assert seen == [{}, {}]
+    finally:
+        model_queries._FITS.clear()
+        model_queries._FITS.update(kept)
