@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
+from .conversation_repair import BLANKS, DELETE, INSERT, REROLE, TRUNCATED, damage, repair_conversations
 from .decontaminate import decontaminate
 from .language import label_languages
 from .lm_score import lm_score
@@ -152,3 +153,59 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents", "doc_id", "text")
     benchmark = load(spark, sf_dir, "benchmark", "item_id", "text")
     return decontaminate(docs, benchmark, keep=["doc_id"]).drop("item_ids")
+
+
+def _repair_sql() -> str:
+    """Damage as in the contract, then the cheapest edits row by row: the least
+    (cost, audit) per place after each row, with the lines written so far."""
+    blanks = " || ".join(f"chr({ord(c)})" for c in BLANKS)
+    return f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' ||
+      coalesce(turn::VARCHAR, ' '), ''), lambda ch: ascii(ch)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS lot FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE lot WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE lot WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE lot WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM k),
+o AS (SELECT *, rtrim(text, {blanks}) AS ended, role[1] AS initial,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM d),
+f AS MATERIALIZED (SELECT *, CASE WHEN ended = '' THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(ended, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair, count(*) OVER (PARTITION BY conv_id) AS n FROM o),
+step(p, x, q, line) AS (VALUES (0, 's', 1, NULL), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (2, 'a', 3, 'assistant'),
+    (3, 'u', 2, 'user')),
+ins(p, q, c, a, l) AS (SELECT s, s, 0, '', []::VARCHAR[] FROM (SELECT unnest(range(4)) AS s)
+    UNION ALL SELECT p, q, {INSERT}, 'I', [line || ':'] FROM step WHERE line IS NOT NULL
+    UNION ALL SELECT unnest([0, 1]), 3, {2 * INSERT}, 'II', ['user:', 'assistant:']),
+edit(p, q, x, kind, c) AS (SELECT s, s, NULL, 'D', {DELETE} FROM (SELECT unnest(range(4)) AS s)
+    UNION ALL SELECT p, q, x, 'K', 0 FROM step UNION ALL SELECT p, q, line, 'R', {REROLE} FROM step WHERE line IS NOT NULL),
+moves AS MATERIALIZED (SELECT e.p, i.q, e.x, e.kind, e.c + i.c AS c, e.kind || i.a AS a, i.l FROM edit e JOIN ins i ON e.q = i.p),
+v(conv_id, i, s, best) AS (
+    SELECT conv_id, 0::BIGINT, q, {{'c': c, 'a': a, 'l': l}} FROM (SELECT DISTINCT conv_id FROM f), ins WHERE p = 0
+    UNION ALL
+    SELECT v.conv_id, f.i, m.q, min({{'c': best.c + m.c + CASE WHEN m.kind <> 'D' AND f.fault = 'truncated' THEN {TRUNCATED} ELSE 0 END,
+        'a': best.a || m.a,
+        'l': list_concat(best.l, list_concat(CASE m.kind WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [f.role || ':' || f.text]
+             ELSE [m.x || ':' || f.text] END, m.l))}})
+    FROM v JOIN f ON v.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = v.i + 1 JOIN moves m ON m.p = v.s
+      AND (m.kind = 'D' OR f.fault NOT IN ('blank', 'duplicate') AND (m.kind = 'R' OR m.x = f.initial))
+    GROUP BY v.conv_id, f.i, m.q),
+done AS (SELECT v.conv_id, min(best) AS best FROM v JOIN (SELECT DISTINCT conv_id, n FROM f) f
+    ON v.conv_id IS NOT DISTINCT FROM f.conv_id AND v.i = f.n WHERE s IN (0, 3) GROUP BY v.conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+    coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts ON c.conv_id IS NOT DISTINCT FROM counts.conv_id
+    LEFT JOIN done ON c.conv_id IS NOT DISTINCT FROM done.conv_id"""
+
+
+@query("op11_repair_conversations", _repair_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")), times_col="times")
