@@ -12,6 +12,7 @@ from .conversation_repair import BLANKS, DELETE, INSERT, REROLE, TRUNCATED, dama
 from .decontaminate import decontaminate
 from .language import label_languages
 from .lm_score import lm_score
+from .metric_search import SCALE, top_matches
 from .mix import mix_sources
 from .quality_model import classify_quality
 from .quality_rules import quality_rules
@@ -209,3 +210,16 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts ON c.conv_i
 @query("op11_repair_conversations", _repair_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damage(load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")), times_col="times")
+
+
+@query("op13_top_matches", f"""
+WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS uid,
+    list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, q.uid AS query_uid, c.vec_id, c.uid, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM v q JOIN v c ON q.uid <> c.uid WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_uid ORDER BY score DESC, vec_id NULLS LAST, uid))::INTEGER AS rank,
+    vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_uid ORDER BY score DESC, vec_id NULLS LAST, uid) <= 10""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_matches(load(spark, sf_dir, "embeddings", "vec_id", "embedding"))
