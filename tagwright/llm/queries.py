@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import mine_phrases
 from .common import load
 from .conversation_repair import BLANKS, DELETE, INSERT, REROLE, TRUNCATED, damage, repair_conversations
 from .decontaminate import decontaminate
@@ -223,3 +224,25 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_uid ORDER BY score DESC,
 QUALIFY row_number() OVER (PARTITION BY query_uid ORDER BY score DESC, vec_id NULLS LAST, uid) <= 10""")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_matches(load(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@query("op12_phrase_collocations", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS f
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)
+    GROUP BY ALL HAVING k = 1 OR count(*) >= 100),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM g WHERE k > 1),
+cuts AS (SELECT c.*, j, x.f AS l, y.f AS r, n, 1000 * n * a // (x.f::HUGEINT * y.f) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN n USING (lang)
+    JOIN g x ON x.lang = c.lang AND x.k = j AND x.g = array_to_string(w[1:j], ' ')
+    JOIN g y ON y.lang = c.lang AND y.k = c.k - j AND y.g = array_to_string(w[j + 1:], ' ')),
+s AS (SELECT lang, g AS phrase, a, n, arg_min({'l': l, 'r': r, 's': score}, (score, j)) AS b FROM cuts GROUP BY ALL),
+kept AS (SELECT s.* FROM s ANTI JOIN (SELECT a.lang, a.g FROM c a JOIN c b ON a.lang = b.lang AND b.k > a.k
+      AND 100 * b.a >= 100 * a.a AND contains(' ' || b.g || ' ', ' ' || a.g || ' ')) h ON s.lang = h.lang AND s.phrase = h.g)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY b.s DESC, a DESC, phrase) AS rank,
+    phrase, a, b.l AS l, b.r AS r, n::BIGINT AS n, b.s::BIGINT AS score FROM kept) WHERE rank <= 2000""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(load(spark, sf_dir, "documents", "text", "lang"))

@@ -17,11 +17,12 @@ COLUMNS = {
     "op9": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     "op10": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     "op11": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
+    "op12": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
     "op13": ["query_id", "rank", "vec_id", "score"],
 }
 
 #: The number of rows, for those with one a row or key of their table.
-ROWS = {op: "SELECT count(*) FROM parquet.`{0}/documents.parquet`" for op in COLUMNS}
+ROWS = {op: "SELECT count(*) FROM parquet.`{0}/documents.parquet`" for op in COLUMNS if op != "op12"}
 ROWS |= {"op6": "SELECT count(*) FROM parquet.`{0}/pages.parquet`",
          "op11": "SELECT count(DISTINCT conv_id) FROM parquet.`{0}/conversations.parquet`",
          "op13": "SELECT 10 * count(*) FROM parquet.`{0}/embeddings.parquet` WHERE vec_id % 100 = 0"}
