@@ -1,25 +1,19 @@
-"""Models: L1 logistic regression with a cross-validated penalty, prediction,
-coefficients, and a classifier on precomputed embeddings (M6, M7, M9-M11,
-S7, E8).
+"""Models of Spark ML: L1 logistic regression, its vocabulary and model as one
+saved pipeline, coefficients, and a classifier on precomputed embeddings
+(M6, M10, M11, S7).
 
 Spark ML fits with distributed L-BFGS / OWL-QN: every iteration is one
-``treeAggregate`` over the cached sparse features, so the cost grows with
-the data, not with a single worker's memory. Cross-validation folds come
-from a fold column (stratified hash folds), so they are reproducible.
+``treeAggregate`` over the sparse features. Many fits of one table (penalties,
+folds, classes) go through :mod:`.paths` instead, one pass a step for all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, OneVsRest
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 
 def l1_logistic(reg_param: float = 0.0, max_iter: int = 200, tol: float = 1e-4,
@@ -32,82 +26,15 @@ def l1_logistic(reg_param: float = 0.0, max_iter: int = 200, tol: float = 1e-4,
                               tol=tol, fitIntercept=True, family=family)
 
 
-def one_vs_rest(lr: LogisticRegression, parallelism: int = 1) -> OneVsRest:
-    """k classes as k binary models, as liblinear does."""
-    return OneVsRest(classifier=lr, featuresCol=lr.getFeaturesCol(), labelCol=lr.getLabelCol(),
-                     parallelism=parallelism)
-
-
-def grid_search_cv(train: DataFrame, estimator, reg_params: Sequence[float], fold_col: str,
-                   n_folds: int, label: str = "label", parallelism: int = 4,
-                   reg_param_of=None):
-    """M7: every penalty on every fold, scored by accuracy; the best mean wins
-    (the first one on ties) and is refit on all training rows.
-
-    Returns ``(best_model, cv_table)``; ``cv_table`` has one row per penalty
-    with its mean fold accuracy (E8)."""
-    target = reg_param_of or estimator
-    grid = ParamGridBuilder().addGrid(target.regParam, list(reg_params)).build()
-    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=ev,
-                        numFolds=n_folds, foldCol=fold_col, parallelism=parallelism)
-    data = train.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = cv.fit(data)
-    finally:
-        data.unpersist()
-    spark = train.sparkSession
-    rows = [(i, float(rp), float(m)) for i, (rp, m) in enumerate(zip(reg_params, model.avgMetrics, strict=True))]
-    table = spark.createDataFrame(rows, "i int, reg_param double, mean_accuracy double")
-    return model.bestModel, table
-
-
-def top_coefficients(spark: SparkSession, model: LogisticRegressionModel, vocab: Sequence[str],
-                     k: int = 25) -> DataFrame:
-    """Vocabulary terms with their weight (binary model), top and bottom
-    ``k`` by weight. The coefficient vector has one entry per vocabulary term
-    (bounded by the vocabulary size)."""
-    coef = model.coefficients.toArray().tolist()
-    df = spark.createDataFrame(list(zip(vocab, coef)), "term string, weight double")
-    top = df.orderBy(F.desc("weight"), "term").limit(k).withColumn("side", F.lit("top"))
-    bottom = df.orderBy(F.asc("weight"), "term").limit(k).withColumn("side", F.lit("bottom"))
+def top_coefficients(weights: DataFrame, k: int = 25) -> DataFrame:
+    """The top and bottom ``k`` terms by weight of a ``term, weight`` table
+    (one row a term of the vocabulary)."""
+    terms = weights.where(F.col("term").isNotNull())
+    top = terms.orderBy(F.desc("weight"), "term").limit(k).withColumn("side", F.lit("top"))
+    bottom = terms.orderBy(F.asc("weight"), "term").limit(k).withColumn("side", F.lit("bottom"))
     return top.unionByName(bottom)
 
 
-def zero_share(model: LogisticRegressionModel) -> float:
-    """Share of weights the L1 penalty set to exactly zero."""
-    arr = model.coefficients.toArray()
-    return float((arr == 0).sum()) / max(len(arr), 1)
-
-
-def _violations(gradient: Sequence[float], weights: Sequence[float], penalty: float, slack: float) -> int:
-    bad = 0
-    for g, w in zip(gradient, weights, strict=True):
-        off = abs(g + penalty * (1 if w > 0 else -1)) if w else max(0.0, abs(g) - penalty)
-        bad += off > slack
-    return bad
-
-
-def optimality_violations(train: DataFrame, model: LogisticRegressionModel, label: str,
-                          slack: float = 0.05) -> int:
-    """How many weights break the optimality conditions of the L1 fit by more
-    than ``slack`` times the penalty: the mean loss's slope equals the
-    penalty, against the weight's sign, for a weight that is not zero, and is
-    at most the penalty for one that is. One aggregate over the rows."""
-    penalty = model.getOrDefault("regParam")
-    p = vector_to_array(F.col("_p"))[1]
-    rows = (model.setProbabilityCol("_p").setPredictionCol("_y").setRawPredictionCol("_r").transform(train)
-            .select((p - F.col(label)).alias("e"), model.getFeaturesCol()))
-    scaled = rows.select(F.transform(vector_to_array(model.getFeaturesCol()), lambda x: x * F.col("e")).alias("g"))
-    slope = scaled.select(F.posexplode("g").alias("j", "g")).where("g <> 0").groupBy("j").agg(F.sum("g").alias("g"))
-    found = {r["j"]: r["g"] for r in slope.collect()}       # one number a feature
-    n = train.count()
-    w = model.coefficients.toArray().tolist()
-    for name in ("probability", "prediction", "rawPrediction"):
-        model.clear(getattr(model, f"{name}Col"))
-    return _violations([found.get(j, 0.0) / n for j in range(len(w))], w, penalty, slack * penalty)
-
-
 def softmax_violations(train: DataFrame, model: LogisticRegressionModel, label: str, penalty: float,
                        slack: float = 2e-3) -> int:
     """Weights of a ridge-penalised softmax fit whose slope is off zero by more

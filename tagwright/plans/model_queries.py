@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import classify as CL
 from ..operators import evaluate as EV
 from ..operators import features as FE
+from ..operators import paths as PA
 from ..operators import split as SP
 from ..session import materialize, scratch_path
 from ..sources import files as FS
@@ -139,26 +141,36 @@ class _Fitted:
         self.vec = FE.vectorizer(self.vocab)
         folds = SP.stratified_folds(self.vec.transform(train).drop("tokens"), "doc_id", "quality", FX.SEED, FX.N_FOLDS)
         self.train = materialize(folds.select("doc_id", "quality", "label", "grade", "features", "fold"), "features")
-        self.test = self.vec.transform(self.data.where(F.col("split") == "test"))
+        self.rows = self.train.select("doc_id", "quality", "grade", "fold")
+        self.terms = materialize(self.long(train), "train-terms")
+        self.blocks = PA.feature_blocks(self.train, key="doc_id")
+        self.grades = PA.feature_blocks(self.train, label="grade", key="doc_id")
+        self.test = self.data.where(F.col("split") == "test")
         self.n_train = self.train.count()
-        self.penalties = FE.reg_params(FE.regularization_grid(25), self.n_train)
-        self._models = {}
-        self._cv = None
+        self.cs = FE.regularization_grid(25)
+        self._one = self._cv = None
 
-    def model(self, i):
-        """The L1 model of the ``i``-th penalty on all training rows, fitted to
-        the end (its optimality conditions are checked)."""
-        if i not in self._models:
-            self._models[i] = CL.l1_logistic(self.penalties[i], max_iter=1000, tol=1e-9).fit(self.train)
-        return self._models[i]
+    def long(self, rows):
+        """``doc_id, term, n`` of the vocabulary's terms."""
+        vocab = rows.sparkSession.createDataFrame([(t,) for t in self.vocab], "term string")
+        return FE.document_term_long(rows, "doc_id", vocab)
+
+    def one(self):
+        """Weights of the middle penalty on all training rows, near the optimum."""
+        if self._one is None:
+            self._one = PA.fit_paths(self.blocks, len(self.vocab), self.cs[12:13], [PA.ALL], max_iter=1000, tol=1e-5).weights[:, 0]
+        return self._one
 
     def cv(self):
-        """All 25 penalties on all folds, and the refit of the best."""
+        """25 penalties on all folds and on all rows: models, fold scores, the best penalty."""
         if self._cv is None:
-            lr = CL.l1_logistic(max_iter=FX.MAX_ITER)
-            self._cv = CL.grid_search_cv(self.train, lr, self.penalties, "fold", FX.N_FOLDS, parallelism=8)
+            self._cv = PA.grid_search(self.blocks, len(self.vocab), self.cs, FX.N_FOLDS, FX.MAX_ITER)
         return self._cv
 
+    def best(self):
+        paths, _, i = self.cv()
+        return paths.weights[:, FX.N_FOLDS * len(self.cs) + i]
+
 
 _FITS: dict = {}
 
@@ -171,15 +183,16 @@ def fitted(spark, sf) -> _Fitted:
 
 
 # A fitted model has no SQL form. What SQL can say of it is checked instead:
-# the optimality conditions of the penalised loss (number of violations: 0),
-# the grid, the rows and vocabulary it was fitted on, and its round trip.
+# the optimality conditions of the penalised loss, recomputed from long counts
+# by joins and sums (number of violations: 0), rows and folds, the grid, and
+# counts of right answers against those of the saved predictions.
 @register("lr_l1_fit", op="M6", sql=f"""
 SELECT (SELECT count(*) FROM ({LABELLED_VOCAB_SQL})) AS n_features,
   (SELECT count(*) FROM ({LABELLED_SQL}) WHERE split = 'train') AS n_train, CAST(0 AS BIGINT) AS violations
 """)
 def q_lr_l1_fit(spark, sf):
     f = fitted(spark, sf)
-    bad = CL.optimality_violations(f.train, f.model(12), "label")
+    bad = PA.optimality_violations(f.terms, f.rows, "doc_id", "quality", PA.weights_table(spark, f.one(), f.vocab), f.cs[12])
     return spark.createDataFrame([(len(f.vocab), f.n_train, bad)], "n_features bigint, n_train bigint, violations bigint")
 
 
@@ -189,62 +202,93 @@ WITH g AS (SELECT CASE WHEN toxic = 1 THEN 0 WHEN l.quality = 0 THEN 1 ELSE 2 EN
 SELECT CAST(grade AS INTEGER) AS class, count(*) AS n_train, CAST(0 AS BIGINT) AS violations FROM g GROUP BY grade
 """)
 def q_lr_three_classes(spark, sf):
-    """Three classes as three binary L1 models, each held to its optimality conditions."""
+    """Three classes as three binary L1 models, fitted in the same passes, each
+    held to its optimality conditions."""
     f = fitted(spark, sf)
-    lr = CL.l1_logistic(f.penalties[12], max_iter=1000, tol=1e-9, label="grade", family="binomial")
-    model = CL.one_vs_rest(lr, parallelism=3).fit(f.train)
     n = {int(r["grade"]): r["count"] for r in f.train.groupBy("grade").count().collect()}
+    paths = PA.fit_paths(f.grades, len(f.vocab), f.cs[12:13], [PA.ALL], max_iter=1000, tol=1e-5, classes=sorted(map(float, n)))
     rows = []
-    for c, m in enumerate(model.models):
-        own = f.train.withColumn("own", (F.col("grade") == float(c)).cast("double"))
-        rows.append((c, n.get(c, 0), CL.optimality_violations(own, m, "own")))
+    for b, c in enumerate(sorted(n)):
+        own = f.rows.select("doc_id", (F.col("grade") == float(c)).cast("int").alias("own"))
+        rows.append((c, n[c], PA.optimality_violations(f.terms, own, "doc_id", "own", PA.weights_table(spark, paths.weights[:, b], f.vocab),
+                                                       f.cs[12])))
     return spark.createDataFrame(rows, "class int, n_train bigint, violations bigint")
 
 
 GRID_SQL = f"""SELECT CAST(range AS INTEGER) AS i, pow(10.0, -2.0 + range * (4.0 / 24)) AS cs,
   (SELECT count(*) FROM ({LABELLED_SQL}) WHERE split = 'train') AS n FROM range(25)"""
+FOLD_SQL = f"""SELECT fold, count(*) AS n FROM (SELECT CAST((row_number() OVER (PARTITION BY quality ORDER BY
+  {SB.md5_key(FX.SEED, 'doc_id')}, doc_id) - 1) % {FX.N_FOLDS} AS INTEGER) AS fold FROM ({LABELLED_SQL}) WHERE split = 'train') GROUP BY fold"""
 
 
-def _curve(spark, sf):
-    f = fitted(spark, sf)
-    table = f.cv()[1]
-    grid = FE.grid_table(spark, f.n_train, 25)
-    return table.join(grid.drop("reg_param"), "i")
+def _saved_predictions(spark, f):
+    """Each penalty's predictions for the rows that its fold left out, written
+    as prediction files and read back: ``i, doc_id, prediction``."""
+    paths = f.cv()[0]
+    said = PA.fold_predictions(f.blocks, paths, range(FX.N_FOLDS * len(f.cs)))
+    folder = scratch_path(spark, "fold-predictions")
+    FS.write_predictions(said.select(F.expr(f"cast(model % {len(f.cs)} as string)").alias("method"), F.col("key").alias("doc_id"), "prediction"),
+                         folder, "folds")
+    back = FS.read_prediction_files(spark, folder, "folds", "doc_id bigint, prediction int")
+    return back.select(F.col("method").cast("int").alias("i"), "doc_id", "prediction")
 
 
 @register("lr_grid_cv", op="M7", sql=f"""
-SELECT i, round(cs / n, 10) AS reg_param, {FX.N_FOLDS} AS n_folds, true AS is_share FROM ({GRID_SQL})
+SELECT i, round(cs / g.n, 10) AS reg_param, fold, f.n AS n_scored, CAST(0 AS BIGINT) AS miscounted,
+  CAST(0 AS BIGINT) AS unsolved FROM ({GRID_SQL}) g, ({FOLD_SQL}) f
 """)
 def q_lr_grid_cv(spark, sf):
-    """25 penalties on 5 folds; the mean accuracies are shares."""
-    return _curve(spark, sf).select("i", F.round("reg_param", 10).alias("reg_param"), F.lit(FX.N_FOLDS).alias("n_folds"),
-                                    F.col("mean_accuracy").between(0, 1).alias("is_share"))
+    """25 penalties on 5 folds: the rows that each model is scored on, right
+    answers that differ from those of the saved predictions, and models of
+    penalty 1 and more (``C <= 1``) that did not meet the end test in time."""
+    f = fitted(spark, sf)
+    paths, scores, _ = f.cv()
+    k = len(f.cs)
+    unsolved = spark.createDataFrame([(b % k, int(paths.folds[b]), int(b % k >= 12 and not paths.finished[b])) for b in range(FX.N_FOLDS * k)],
+                                   "i int, fold int, unsolved bigint")
+    recount = (_saved_predictions(spark, f).join(f.rows, "doc_id").groupBy("i", "fold")
+               .agg(F.count_if(F.col("prediction") == F.col("quality")).alias("again")))
+    penalties = FE.grid_table(spark, f.n_train, k).select("i", "reg_param")
+    return (scores.join(recount, ["i", "fold"], "left").join(unsolved, ["i", "fold"]).join(penalties, "i")
+            .select("i", "reg_param", "fold", F.col("n").alias("n_scored"),
+                    F.abs(F.col("correct") - F.coalesce("again", F.lit(0))).alias("miscounted"), "unsolved"))
 
 
 @register("cv_curve", op="E8", sql=f"""
-SELECT i, round(1 / cs, 10) AS c, true AS below_best FROM ({GRID_SQL})
+SELECT i, round(1 / cs, 10) AS c, n AS n_scored, CAST(0 AS BIGINT) AS wrong_means FROM ({GRID_SQL})
 """)
 def q_cv_curve(spark, sf):
-    """The curve over C: no point is above the accuracy of the chosen one."""
-    curve = _curve(spark, sf)
-    best = curve.agg(F.max("mean_accuracy").alias("best"))
-    return curve.crossJoin(F.broadcast(best)).select("i", "c", (F.col("mean_accuracy") <= F.col("best")).alias("below_best"))
+    """The curve over C: mean fold accuracy of each penalty, held against the
+    saved predictions of its folds."""
+    f = fitted(spark, sf)
+    curve = f.cv()[1].groupBy("i").agg(F.sum("n").alias("n_scored"), F.avg(F.col("correct") / F.col("n")).alias("mean"))
+    folds = (_saved_predictions(spark, f).join(f.rows, "doc_id").groupBy("i", "fold")
+             .agg(F.avg((F.col("prediction") == F.col("quality")).cast("int")).alias("accuracy")))
+    again = folds.groupBy("i").agg(F.avg("accuracy").alias("again"))
+    grid = FE.grid_table(spark, f.n_train, len(f.cs)).select("i", "c")
+    return curve.join(again, "i").join(grid, "i").select("i", "c", "n_scored", (F.abs(F.col("mean") - F.col("again")) > 1e-12).cast("bigint").alias("wrong_means"))
 
 
 @register("lr_predict", op="M9", sql=f"""
-SELECT doc_id, CAST(quality AS INTEGER) AS label, true AS predicted FROM ({LABELLED_SQL}) WHERE split = 'test'
+SELECT doc_id, CAST(quality AS INTEGER) AS label, true AS as_weighed FROM ({LABELLED_SQL}) WHERE split = 'test'
 """)
 def q_lr_predict(spark, sf):
-    """Predictions of the best model, saved as a prediction file and read back;
-    every test article has a class."""
+    """Predictions of the best model for the test articles, saved as a
+    prediction file and read back, against the sign of the weighted counts."""
     f = fitted(spark, sf)
-    pred = f.cv()[0].transform(f.test).select(F.lit("lr").alias("method"), "doc_id",
-                                              F.col("prediction").cast("int").alias("prediction"))
+    rows = f.vec.transform(f.test).select("doc_id", "label", F.lit(0).alias("fold"), "features")
+    said = PA.fold_predictions(PA.feature_blocks(rows, key="doc_id"), _one_model(f))
     folder = scratch_path(spark, "lr-predictions")
-    FS.write_predictions(pred, folder, "labelled")
+    FS.write_predictions(said.select(F.lit("lr").alias("method"), F.col("key").alias("doc_id"), "prediction"), folder, "labelled")
     back = FS.read_prediction_files(spark, folder, "labelled", "doc_id bigint, prediction int").where("method = 'lr'")
-    return f.test.select("doc_id", F.col("label").cast("int").alias("label")).join(back, "doc_id", "left").select(
-        "doc_id", "label", F.col("prediction").isin(0, 1).alias("predicted"))
+    weighed = PA.margins(f.long(f.test), f.test.select("doc_id", "label"), "doc_id", PA.weights_table(spark, f.best(), f.vocab))
+    return weighed.join(back, "doc_id", "left").select(
+        "doc_id", F.col("label").cast("int").alias("label"), F.col("prediction").eqNullSafe((F.col("margin") > 0).cast("int")).alias("as_weighed"))
+
+
+def _one_model(f):
+    best = f.best()[:, None]
+    return PA.Paths(best, np.array([f.cs[f.cv()[2]]]), np.array([PA.ALL]), 0, np.ones(1, bool), np.zeros_like(best))
 
 
 @register("lr_accuracy", op="M9", sql=f"""
@@ -254,7 +298,8 @@ def q_lr_accuracy(spark, sf):
     """Test accuracy of the best model against always answering the majority
     class of the training rows (three standard errors allowed)."""
     f = fitted(spark, sf)
-    acc = EV.accuracy(f.cv()[0].transform(f.test), "prediction", "label")
+    weighed = PA.margins(f.long(f.test), f.test.select("doc_id", "label"), "doc_id", PA.weights_table(spark, f.best(), f.vocab))
+    acc = EV.accuracy(weighed.withColumn("prediction", (F.col("margin") > 0).cast("double")), "prediction", "label")
     constant = f.train.agg(F.round(F.avg("label")).alias("c")).first()["c"]
     base = f.test.agg(F.avg((F.col("label") == constant).cast("int")).alias("b")).first()["b"]
     slack = 3 * F.sqrt(F.lit(0.25) / F.col("total"))
@@ -269,13 +314,12 @@ def q_top_coefficients(spark, sf):
     """The 25 largest and smallest weights: none left out is larger or smaller,
     and the penalty sets a share of all weights to zero."""
     f = fitted(spark, sf)
-    m = f.model(12)
-    w = sorted(m.coefficients.toArray().tolist())
-    top = CL.top_coefficients(spark, m, f.vocab, 25)
+    top = CL.top_coefficients(PA.weights_table(spark, f.one(), f.vocab), 25)
+    w = sorted(f.one()[:-1].tolist())
     k = min(25, len(w))
     wrong = F.when(F.col("side") == "top", F.col("weight") < w[-k]).otherwise(F.col("weight") > w[k - 1])
     return top.groupBy("side").agg(F.count("*").alias("n_terms"), F.count_if(wrong).alias("misplaced")).withColumn(
-        "sparse", F.lit(0.0 < CL.zero_share(m) < 1.0))
+        "sparse", F.lit(0 < w.count(0.0) < len(w)))
 
 
 @register("model_save_load", op="S7", sql=f"""
@@ -285,7 +329,7 @@ def q_model_save_load(spark, sf):
     """Vocabulary and model saved and loaded: predictions and probabilities
     equal those in memory."""
     f = fitted(spark, sf)
-    stages = CL.fitted_pipeline(f.vec, f.model(12))
+    stages = CL.fitted_pipeline(f.vec, CL.l1_logistic(FE.reg_params(f.cs, f.n_train)[12], max_iter=30).fit(f.train))
     path = scratch_path(spark, "model")
     CL.save_pipeline(stages, path)
     raw = f.data.where(F.col("split") == "test")

@@ -1,10 +1,11 @@
 """Model operators against brute force on a small fixture."""
 
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+import numpy as np
 from pyspark.sql import functions as F
 
 from tagwright.operators import classify as CL
 from tagwright.operators import features as FE
+from tagwright.operators import paths as PA
 from tagwright.operators import split as SP
 
 SF = "/root/testdata/sf0.001"
@@ -20,30 +21,99 @@ def small_features(spark):
     return SP.stratified_folds(feats, "doc_id", "quality", 92, 3).cache(), vocab
 
 
-def test_cv_table_equals_manual_folds(spark):
-    data, _ = small_features(spark)
-    lams = [0.001, 0.05, 1.0]
-    best, table = CL.grid_search_cv(data, CL.l1_logistic(max_iter=15), lams, "fold", 3,
-                                    parallelism=2)
-    ev = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
-    manual = []
-    for lam in lams:
-        scores = []
-        for k in range(3):
-            m = CL.l1_logistic(lam, max_iter=15).fit(data.where(F.col("fold") != k))
-            scores.append(ev.evaluate(m.transform(data.where(F.col("fold") == k))))
-        manual.append(sum(scores) / 3)
-    got = [r.mean_accuracy for r in table.orderBy("reg_param").collect()]
-    assert [round(x, 9) for x in got] == [round(x, 9) for x in manual]
-    first_best = lams[max(range(3), key=lambda i: (manual[i], -i))]
-    assert best.getRegParam() == first_best
+def blocks_of(data, label="label"):
+    return PA.feature_blocks(data, label=label, key="doc_id")
+
+
+def test_all_models_equal_single_fits(spark):
+    """Every fold and penalty of one batched run against Spark's own fit of its rows."""
+    data, vocab = small_features(spark)
+    cs = [10.0, 40.0]
+    paths = PA.fit_paths(blocks_of(data), len(vocab), cs, [0, 1, PA.ALL], max_iter=150, tol=1e-6)
+    assert paths.finished.sum() >= 3 and paths.violations(1e-2).sum() == 0
+    for f in (0, PA.ALL):
+        rows = data.where(F.col("fold") != f).cache()
+        n = rows.count()
+        for i, c in enumerate(cs):
+            b = [0, 1, PA.ALL].index(f) * len(cs) + i
+            single = CL.l1_logistic(c / n, max_iter=500, tol=1e-10).fit(rows)
+            assert np.abs(paths.weights[:-1, b] - single.coefficients.toArray()).max() < 1e-4
+            assert abs(paths.weights[-1, b] - single.intercept) < 1e-3
+        rows.unpersist()
+
+
+def test_partitions_and_trees_of_sums_do_not_matter(spark, monkeypatch):
+    data, vocab = small_features(spark)
+    one = PA.fit_paths(blocks_of(data.coalesce(1)), len(vocab), [1.0, 10.0], [0, PA.ALL], max_iter=10)
+    monkeypatch.setattr(PA, "DIRECT", 2)
+    monkeypatch.setattr(PA, "SLICE", 100)
+    monkeypatch.setattr(PA, "BLOCK", 7)
+    many = PA.fit_paths(blocks_of(data).repartition(9), len(vocab), [1.0, 10.0], [0, PA.ALL], max_iter=10)
+    assert np.allclose(one.weights, many.weights, atol=1e-6)
+
+
+def test_grid_search_scores_are_those_of_the_models(spark):
+    data, vocab = small_features(spark)
+    cs = [0.1, 1.0, 100.0]
+    blocks = blocks_of(data)
+    paths, scores, best = PA.grid_search(blocks, len(vocab), cs, 3, max_iter=10)
+    got = {(r["i"], r["fold"]): (r["n"], r["correct"]) for r in scores.collect()}
+    terms = FE.document_term_long(data, "doc_id", spark.createDataFrame([(t,) for t in vocab], "term string"))
+    means = []
+    for i in range(3):
+        share = []
+        for f in range(3):
+            w = PA.weights_table(spark, paths.weights[:, f * 3 + i], vocab)
+            m = PA.margins(terms, data.where(F.col("fold") == f).select("doc_id", "quality"), "doc_id", w).collect()
+            right = sum((r["margin"] > 0) == r["quality"] for r in m)
+            assert got[i, f] == (len(m), right)
+            share.append(right / len(m))
+        means.append(round(sum(share) / 3, 12))
+    assert best == means.index(max(means))
+
+
+def test_optimality_check_sees_a_changed_weight(spark):
+    data, vocab = small_features(spark)
+    w = PA.fit_paths(blocks_of(data), len(vocab), [20.0], [PA.ALL], max_iter=100, tol=1e-5).weights[:, 0]
+    terms = FE.document_term_long(data, "doc_id", spark.createDataFrame([(t,) for t in vocab], "term string"))
+    rows = data.select("doc_id", "quality")
+
+    def bad(weights):
+        return PA.optimality_violations(terms, rows, "doc_id", "quality", PA.weights_table(spark, weights, vocab), 20.0)
+    assert bad(w) == 0
+    changed = w.copy()
+    changed[int(np.abs(w[:-1]).argmax())] += 0.5
+    assert bad(changed) > 0
+
+
+def test_three_classes_in_one_run(spark):
+    data, vocab = small_features(spark)
+    data = data.withColumn("grade", (F.col("doc_id") % 3).cast("double"))
+    blocks = blocks_of(data, "grade")
+    both = PA.fit_paths(blocks, len(vocab), [10.0], [PA.ALL], max_iter=50, classes=[0.0, 1.0, 2.0])
+    for k in range(3):
+        own = data.withColumn("own", (F.col("grade") == k).cast("double"))
+        single = PA.fit_paths(blocks_of(own, "own"), len(vocab), [10.0], [PA.ALL], max_iter=50)
+        assert np.allclose(both.weights[:, k], single.weights[:, 0], atol=1e-3)
+
+
+def test_no_rows_one_class_and_nulls(spark):
+    data, vocab = small_features(spark)
+    none = PA.fit_paths(blocks_of(data.limit(0)), len(vocab), [1.0], [0, PA.ALL])
+    assert not none.weights.any()
+    same = PA.fit_paths(blocks_of(data.withColumn("label", F.lit(1.0))), len(vocab), [1.0], [PA.ALL])
+    assert not same.weights[:-1].any() and same.weights[-1, 0] > 10
+    nulls = data.withColumn("label", F.when(F.col("doc_id") % 2 == 0, F.col("label")))
+    a = PA.fit_paths(blocks_of(nulls), len(vocab), [1.0], [PA.ALL], max_iter=8).weights
+    b = PA.fit_paths(blocks_of(data.where("doc_id % 2 = 0")), len(vocab), [1.0], [PA.ALL], max_iter=8).weights
+    assert np.allclose(a, b)
 
 
 def test_strong_penalty_zeroes_every_weight(spark):
     data, vocab = small_features(spark)
-    m = CL.l1_logistic(10.0, max_iter=30).fit(data)
-    assert CL.zero_share(m) == 1.0
-    top = CL.top_coefficients(spark, m, vocab, 5)
+    w = PA.fit_paths(blocks_of(data), len(vocab), [1e6], [PA.ALL], max_iter=50).weights[:, 0]
+    assert not w[:-1].any()
+    top = CL.top_coefficients(PA.weights_table(spark, w, vocab), 5)
     assert top.count() == 10 and top.where("weight <> 0").count() == 0
 
 

@@ -122,18 +122,6 @@ def test_prediction_folder_golden_shape(spark, tmp_path):
     assert acc == {"dictionary": 3, "lr": 3, "gemma-2-9b-it": 2}
 
 
-def test_one_vs_rest_on_embeddings(spark):
-    """3-class models as k binary L1 models (the original's liblinear setup)."""
-    from tagwright.operators import classify as CL
-    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("label < 3")
-    e = CL.embedding_features(e).withColumn("label", F.col("label").cast("double"))
-    model = CL.one_vs_rest(CL.l1_logistic(0.001, max_iter=20)).fit(e)
-    pred = model.transform(e)
-    assert pred.select("prediction").distinct().count() <= 3
-    assert len(model.models) == 3
-    assert 0.0 <= CL.zero_share(model.models[0]) <= 1.0
-
-
 def test_default_stop_words_are_removed(spark):
     from tagwright.operators import features as FE
     df = spark.createDataFrame([("The cat and the Hat-Trick café",)], "t string")
