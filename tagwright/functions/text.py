@@ -158,3 +158,43 @@ def with_column_once(df, name: str, expr: Column):
     A filter on a generator's output cannot move below the generator, so a
     one-element ``explode_outer`` keeps the single evaluation in place."""
     return df.select("*", F.explode_outer(F.array(expr)).alias(name))
+
+
+def once(c: Column, fn) -> Column:
+    """``fn`` of a value that may be used several times in it: the value is
+    computed once, as the element of a one-element array."""
+    return F.transform(F.array(c), fn)[0]
+
+
+FOLD_BLOCK = 256
+
+
+def fold_blocks(items: Column, state: dict[str, Column], step, item_type: str) -> Column:
+    """A left fold that keeps some items: the struct of the last state and of
+    ``out``, the array of what was kept. ``step(acc, x)`` returns the new state
+    (by name) and the value to keep, null to keep nothing.
+
+    Appending to an array copies it, so one fold over ``m`` items takes ``m^2``
+    steps. Here the items are folded in blocks of ``FOLD_BLOCK`` with an array
+    each, and the arrays are joined at the end: the copying is linear in the
+    items, and in their blocks squared."""
+    names, empty = list(state), F.array().cast(f"array<{item_type}>")
+
+    def inner(acc: Column, x: Column) -> Column:
+        new, kept = step(acc, x)
+        out = F.when(kept.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], kept))
+        return F.struct(*[new[n].alias(n) for n in names], out.alias("out"))
+
+    def outer(acc: Column, block: Column) -> Column:
+        begin = F.struct(*[acc[n].alias(n) for n in names], empty.alias("out"))
+        return once(F.aggregate(block, begin, inner), lambda r: F.struct(
+            *[r[n].alias(n) for n in names], F.array_append(acc["out"], r["out"]).alias("out")))
+
+    def whole(a: Column) -> Column:
+        last = F.greatest(F.floor((F.size(a) - 1) / FOLD_BLOCK), F.lit(0)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(a, i * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)))
+        begin = F.struct(*[c.alias(n) for n, c in state.items()], F.array().cast(f"array<array<{item_type}>>").alias("out"))
+        return F.when(a.isNotNull(), F.aggregate(blocks, begin, outer, lambda acc: F.struct(
+            *[acc[n].alias(n) for n in names], F.flatten(acc["out"]).alias("out"))))
+
+    return once(items, whole)

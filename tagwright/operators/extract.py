@@ -5,7 +5,9 @@ extractor is a column expression over the raw markup, so extraction is a
 map-only stage over a table of raw files and parallelises with the input
 splits. Elements are found and removed by a fold over the markup cut at the
 tags of interest, which counts their depth: nested elements end where a DOM
-parser ends them, an element without an end tag reaches to the end. XML uses
+parser ends them, an element without an end tag reaches to the end. The fold
+goes in blocks, so its time is linear in the elements of a page. Quoted
+attribute values may hold ``>``; scripts and styles hold no elements. XML uses
 Spark's ``xpath``.
 """
 
@@ -18,19 +20,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import WS_CLASS
+from ..functions.text import WS_CLASS, fold_blocks
+from ..functions.text import once as _once
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _once(c: Column, fn) -> Column:
-    """``fn`` of a value that may be used several times in it: the value is
-    computed once, as the element of a one-element array."""
-    return F.transform(F.array(c), fn)[0]
-
-
 def _character(code: Column) -> Column:
     """The character of a numeric reference; 80-9F (hex) mean code page 1252."""
     bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF) | code.isNull()
@@ -53,8 +50,12 @@ def decode_entities(t: Column) -> Column:
     return F.when(t.contains("&"), F.array_join(F.transform(F.split(t, "&", -1), piece), "")).otherwise(t)
 
 
+# The rest of a tag: a value in quotes after ``=`` may hold any character.
+TAG_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
+
+
 def strip_tags(t: Column) -> Column:
-    return F.regexp_replace(t, r"(?s)<!--.*?-->|<[^>]*>", "")
+    return F.regexp_replace(t, r"(?s)<!--.*?-->|<" + TAG_REST, "")
 
 
 # HTML's implied end of a paragraph (public HTML parsing rules): a <p> ends
@@ -64,7 +65,7 @@ P_CLOSERS = ["address", "article", "aside", "blockquote", "dd", "details", "div"
              "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5",
              "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre",
              "section", "table", "ul"]
-P_OPEN = r"(?i)<p(?:\s[^>]*)?>"
+P_OPEN = r"(?i)<p(?=[\s>])" + TAG_REST
 P_END = r"(?is)(?:</p\s*>|<(?:" + "|".join(P_CLOSERS) + r")(?:[\s/>]|$)).*"
 
 
@@ -88,12 +89,17 @@ class Node:
             want += rf"""(?=[^>]*\sclass\s*=\s*(?:"{own}"|'{own}'|{self.cls}(?=[\s>])))"""
         if self.attr is not None:
             want += rf"(?=[^>]*{self.attr})"
-        return rf"(?is)^<{self.tag}(?=[\s/>]){want}[^>]*>"
+        return rf"(?is)^<{self.tag}(?=[\s/>]){want}" + TAG_REST
+
+
+def _without_scripts(markup: Column) -> Column:
+    return F.regexp_replace(markup, r"(?is)<(script|style)(?=[\s/>])" + TAG_REST + r".*?</\1\s*+>", "")
 
 
 def _cut(markup: Column, tags: Sequence[str]) -> Column:
-    """The markup, without comments, cut before each start and end of ``tags``."""
-    plain = F.regexp_replace(markup, r"(?s)<!--.*?-->", "")
+    """The markup, without comments, scripts and styles (whose content is no
+    markup), cut before each start and end of ``tags``."""
+    plain = _without_scripts(F.regexp_replace(markup, r"(?s)<!--.*?-->", ""))
     return F.split(plain, r"(?i)(?=</?(?:" + "|".join(tags) + r")(?=[\s/>]))", -1)
 
 
@@ -103,9 +109,8 @@ def find(markup, node: Node, every: bool = False) -> Column:
     if node.tag == "p":
         return _find_paragraphs(_c(markup), node, every)
     start, stop = rf"(?i)^<{node.tag}(?=[\s/>])", rf"(?i)^</{node.tag}(?=[\s/>])"
-    init = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("found"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[dict, Column]:
         opens, closes, inside = x.rlike(start), x.rlike(stop), acc["depth"] > 0
         enters = ~inside & x.rlike(node.opening())
         if not every:
@@ -113,11 +118,10 @@ def find(markup, node: Node, every: bool = False) -> Column:
         depth = (F.when(enters, 1).when(inside & opens, acc["depth"] + 1).when(inside & closes, acc["depth"] - 1)
                  .otherwise(acc["depth"]))
         kept = F.when(enters, F.regexp_replace(x, node.opening(), "")).when(inside & (depth > 0), x)
-        return F.struct(depth.cast("int").alias("depth"), (acc["found"] | enters).alias("found"),
-                        F.when(kept.isNotNull(), F.array_append(acc["out"], kept)).otherwise(acc["out"]).alias("out"))
+        return {"depth": depth.cast("int"), "found": acc["found"] | enters}, kept
 
-    return F.aggregate(_cut(_c(markup), [node.tag]), init, step,
-                       lambda acc: F.when(acc["found"], F.array_join(acc["out"], "")))
+    folded = fold_blocks(_cut(_c(markup), [node.tag]), {"depth": F.lit(0), "found": F.lit(False)}, step, "string")
+    return _once(folded, lambda r: F.when(r["found"], F.array_join(r["out"], "")))
 
 
 def _find_paragraphs(markup: Column, node: Node, every: bool) -> Column:
@@ -151,10 +155,8 @@ def remove(markup, nodes: Sequence[Node], first_only: bool = False, residue: str
         return out
     tags = sorted({n.tag for n in others})
     name = r"^</?([a-zA-Z][a-zA-Z0-9_]*)"
-    init = F.struct(F.lit(0).alias("depth"), F.lit("").alias("name"), F.lit(False).alias("done"),
-                    F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[dict, Column]:
         own = F.lower(F.regexp_extract(x, name, 1))
         inside, closes = acc["depth"] > 0, x.startswith("</")
         hit = F.lit(False)
@@ -166,28 +168,25 @@ def remove(markup, nodes: Sequence[Node], first_only: bool = False, residue: str
         same = inside & (own == acc["name"])
         depth = (F.when(enters, 1).when(same & closes, acc["depth"] - 1).when(same, acc["depth"] + 1).otherwise(acc["depth"]))
         kept = (F.when(inside & (depth == 0), F.regexp_replace(x, r"(?s)^</[^>]*>?", residue)).when(~inside & ~enters, x))
-        return F.struct(depth.cast("int").alias("depth"), F.when(enters, own).otherwise(acc["name"]).alias("name"),
-                        (acc["done"] | enters).alias("done"),
-                        F.when(kept.isNotNull(), F.array_append(acc["out"], kept)).otherwise(acc["out"]).alias("out"))
+        return {"depth": depth.cast("int"), "name": F.when(enters, own).otherwise(acc["name"]), "done": acc["done"] | enters}, kept
 
-    return F.aggregate(_cut(out, tags), init, step, lambda acc: F.array_join(acc["out"], ""))
+    state = {"depth": F.lit(0), "name": F.lit(""), "done": F.lit(False)}
+    return F.array_join(fold_blocks(_cut(out, tags), state, step, "string")["out"], "")
 
 
 def _remove_paragraphs(markup: Column, node: Node, first_only: bool) -> Column:
-    init = F.struct(F.lit(False).alias("done"), F.array().cast("array<string>").alias("out"))
     end = P_END[:-2]        # without the rest of the piece, which stays
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[dict, Column]:
         hit = x.rlike(node.opening())
         if first_only:
             hit = hit & ~acc["done"]
         body = F.regexp_replace(x, node.opening(), "")
         left = F.element_at(F.split(body, "(?=" + end + ")", 2), 2)
         kept = F.when(hit, F.when(body.rlike(end), F.coalesce(F.when(body.rlike("^" + end), body), left))).otherwise(x)
-        return F.struct((acc["done"] | hit).alias("done"),
-                        F.when(kept.isNotNull(), F.array_append(acc["out"], kept)).otherwise(acc["out"]).alias("out"))
+        return {"done": acc["done"] | hit}, kept
 
-    return F.aggregate(_cut(markup, ["p"]), init, step, lambda acc: F.array_join(acc["out"], ""))
+    return F.array_join(fold_blocks(_cut(markup, ["p"]), {"done": F.lit(False)}, step, "string")["out"], "")
 
 
 def remove_nodes(html_, tags: Sequence[str] = ("div",), extra: Sequence[str] = ()) -> Column:
@@ -203,7 +202,7 @@ def paragraph_text(body) -> Column:
     """Concatenate the text of every ``<p>`` with no separator (X1 core).
     The body is split at each paragraph opening; each piece is cut at its
     implied end (``P_END``), so unclosed paragraphs keep their text."""
-    pieces = F.split(_c(body), P_OPEN, -1)
+    pieces = F.split(_without_scripts(_c(body)), P_OPEN, -1)
     paras = F.transform(F.slice(pieces, 2, 1 << 30), lambda x: F.regexp_replace(x, P_END, ""))
     return decode_entities(strip_tags(F.array_join(paras, "")))
 
@@ -415,14 +414,19 @@ def rtf_plain(run: Column) -> Column:
     ``\\uN`` as UTF-16 units (the character after it, for older readers, is
     skipped)."""
     body = F.regexp_replace(run, r"^\{|\}$", "")
-    body = F.regexp_replace(body, "[" + _HEX_OPEN + _HEX_CLOSE + "]", "")
+    marks = "[" + _HEX_OPEN + _HEX_CLOSE + "]"
+    body = _once(body, lambda t: F.when(t.rlike(marks), F.regexp_replace(t, marks, "")).otherwise(t))
     body = F.regexp_replace(body, r"\\(?:par|line)(?![a-zA-Z])-?[0-9]* ?", "\n")
     body = F.regexp_replace(body, r"\\tab(?![a-zA-Z])-?[0-9]* ?", "\t")
-    body = _pieces(body, r"\\u(?=-?[0-9])", _unit_piece)
-    body = F.replace(body, F.lit(_HEX_CLOSE + _HEX_OPEN), F.lit(""))
+
+    def units(t: Column) -> Column:
+        return F.replace(_pieces(t, r"\\u(?=-?[0-9])", _unit_piece), F.lit(_HEX_CLOSE + _HEX_OPEN), F.lit(""))
+
+    # most runs have no escaped character: the decoding steps wait for their mark
+    body = _once(body, lambda t: F.when(t.contains("\\u"), units(t)).otherwise(t))
     body = F.regexp_replace(body, r"\\[a-zA-Z]+-?[0-9]* ?", "")
-    body = _pieces(body, _HEX_OPEN, _utf16_piece)
-    return _pieces(body, r"\\'", _byte_piece)
+    body = _once(body, lambda t: F.when(t.contains(_HEX_OPEN), _pieces(t, _HEX_OPEN, _utf16_piece)).otherwise(t))
+    return _once(body, lambda t: F.when(t.contains("\\'"), _pieces(t, r"\\'", _byte_piece)).otherwise(t))
 
 
 def rtf_run_text(raw) -> Column:

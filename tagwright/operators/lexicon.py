@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.patterns import Lexicon, phrase_pattern
-from ..functions.text import with_column_once
+from ..functions.text import fold_blocks, with_column_once
 
 SPAN_TYPE = T.ArrayType(T.StructType([
     T.StructField("term", T.StringType()),
@@ -43,8 +43,9 @@ def match_spans(text, lex: Lexicon) -> Column:
     The text split on the same pattern yields the gaps between matches, so
     match i starts after gaps 0..i and matches 0..i-1. Matches and gaps are
     computed once (as the two arguments of one ``zip_with``; an expression
-    referenced inside a lambda would be re-evaluated per element), then one
-    left fold accumulates the offsets; nothing leaves the JVM.
+    referenced inside a lambda would be re-evaluated per element), then a left
+    fold in blocks accumulates the offsets; nothing leaves the JVM, and the
+    time is linear in the matches of a text.
     """
     t = _col(text)
     p = lex.spark_pattern()
@@ -53,28 +54,24 @@ def match_spans(text, lex: Lexicon) -> Column:
     # g has one element more than m: zip_with pads m with a null there
     pairs = F.zip_with(m, g, lambda x, y: F.struct(x.alias("term"), F.length(y).alias("gap"),
                                                    F.length(x).alias("len")))
-    init = F.struct(F.lit(0).alias("off"), F.array().cast(SPAN_TYPE).alias("spans"))
 
     def step(acc, pr):
         start = acc["off"] + pr["gap"]
         end = start + pr["len"]
-        span = F.struct(pr["term"].alias("term"), start.cast("int").alias("start"),
-                        end.cast("int").alias("end"))
-        return F.when(pr["term"].isNull(), acc).otherwise(
-            F.struct(end.alias("off"), F.array_append(acc["spans"], span).alias("spans")))
+        span = F.struct(pr["term"].alias("term"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+        matched = pr["term"].isNotNull()
+        return {"off": F.when(matched, end).otherwise(acc["off"])}, F.when(matched, span)
 
-    out = F.aggregate(pairs, init, step)["spans"]
+    out = fold_blocks(pairs, {"off": F.lit(0)}, step, "struct<term:string,start:int,end:int>")["out"]
     return F.coalesce(out, F.array().cast(SPAN_TYPE))
 
 
 def match_spans_long(df: DataFrame, key: str, text: str, lex: Lexicon) -> DataFrame:
     """D3 in long form: one row ``key, i, term, start, end`` per match.
 
-    The array fold of :func:`match_spans` copies its growing array at every
-    match (quadratic in the matches of one text); here each (match, gap)
-    pair becomes a row and the offsets are a running sum over a window
-    partitioned by text, so the work is ``O(m log m)`` however many matches a
-    single huge document has, and the rows spread over tasks by key."""
+    Each (match, gap) pair becomes a row and the offsets are a running sum over
+    a window partitioned by text, so the rows of a text with very many matches
+    leave the row format."""
     t = F.col(text)
     p = lex.spark_pattern()
     m = F.regexp_extract_all(t, F.lit(p), 0)

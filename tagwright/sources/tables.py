@@ -69,8 +69,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     ``documents`` never touches the other three column chunks.
     The rows stay where the scan reads them; no shuffle is added. Only a
     session that sets ``SPREAD_CONF`` (the local one of tests and bench, whose
-    small files are a single row group and so a single split) deals the texts
-    of a one-split table over its cores.
+    tables are one file with one row group, which no scan can split, however
+    many splits it plans) deals the texts of such a table over its cores.
     """
     reader = spark.read
     schema = SCHEMAS.get(name)
@@ -79,6 +79,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     df = reader.parquet(table_path(sf_dir, name))
     if columns:
         df = df.select(*columns)
-    if TEXT_COLUMNS & set(df.columns) and spark.conf.get(SPREAD_CONF, "false") == "true" and df.rdd.getNumPartitions() == 1:
+    if TEXT_COLUMNS & set(df.columns) and spark.conf.get(SPREAD_CONF, "false") == "true" and len(df.inputFiles()) == 1:
         return df.repartition(spark.sparkContext.defaultParallelism)
     return df

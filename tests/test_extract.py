@@ -185,3 +185,23 @@ def test_rtf_characters(spark):
     got = {r.i: r.t for r in df.select("i", EX.rtf_run_text("raw").alias("t")).collect()}
     for i, (raw, text) in enumerate(RTF_CASES):
         assert got[i] == "\n" + text, raw
+
+
+def test_quoted_attributes_and_scripts(spark):
+    page = ("<article><p title='a>b' x=\"<p>\">One</p><script>var s = '<p>no</p></article>';</script><p data-x = \"1 > 0\">two"
+            "<style>p > a {}</style> it's</p><p a=b'c>three 'four'</p></article>")
+    df = spark.createDataFrame([(page,)], "html string")
+    assert df.select(EX.html_paragraph_text("html")).first()[0] == "Onetwo it'sthree 'four'"
+
+
+def test_page_of_many_paragraphs(spark):
+    """The fold's time is linear in the elements of a page."""
+    import time
+    n = 20_000
+    page = "<article>" + "".join(f"<p class='x'>paragraph {i} <b>of</b> many</p><div><p>no</p></div>" for i in range(n)) + "</article>"
+    df = spark.createDataFrame([(page,)], "html string").cache()
+    df.count()
+    t0 = time.perf_counter()
+    text = df.select(EX.html_paragraph_text("html")).first()[0]
+    assert time.perf_counter() - t0 < 20
+    assert text == "".join(f"paragraph {i} of many" for i in range(n))

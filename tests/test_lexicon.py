@@ -131,3 +131,17 @@ def test_all_dictionaries_counts(spark):
 
 def test_python_pattern_is_plain_re():
     assert isinstance(FX.UP.python_pattern(), re.Pattern)
+
+
+def test_spans_of_a_text_with_very_many_matches(spark):
+    import time
+    lex = Lexicon.of([("rate", 0), ("rate hike", 0)])
+    text = "a rate hike, " * 100_000
+    df = spark.createDataFrame([(text,), ("rate",), (None,)], "text string").cache()
+    df.count()
+    t0 = time.perf_counter()
+    rows = df.select(LX.match_spans("text", lex).alias("s")).collect()
+    assert time.perf_counter() - t0 < 30
+    spans = [[(x["term"], x["start"], x["end"]) for x in r["s"]] for r in rows]
+    expected = [(m.group(), *m.span()) for m in lex.python_pattern().finditer(text)]
+    assert spans == [expected, [("rate", 0, 4)], []]
