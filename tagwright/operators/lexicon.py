@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.patterns import Lexicon, phrase_pattern
-from ..functions.text import fold_blocks, with_column_once
+from ..functions.text import fold_blocks
 
 SPAN_TYPE = T.ArrayType(T.StructType([
     T.StructField("term", T.StringType()),
@@ -166,81 +166,5 @@ def label_product(*labels: Column) -> Column:
     return out
 
 
-# --- D11: dictionary as a table ---------------------------------------------
-
+# Word tokens of terms and texts
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
-
-
-def _tokens(text: Column) -> tuple[Column, Column]:
-    """Lower-cased word tokens, and the kind of each gap between two of them:
-    ``-`` for one hyphen, a blank for any other run of blanks and hyphens,
-    ``x`` for anything else (no term spans it)."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    tok = F.regexp_extract_all(low, F.lit(TOKEN_PATTERN), 0)
-    gaps = F.split(low, TOKEN_PATTERN, -1)
-    kind = F.transform(gaps, lambda g: F.when(g.isin(" ", "-"), g).when(
-        (g != "") & (F.translate(g, " -", "") == ""), " ").otherwise("x"))
-    return tok, kind
-
-
-def _grams(n: int):
-    """Of ``t`` (struct of tokens and gap kinds): every run of ``n`` tokens as
-    two lines, the run and its gaps (plain strings, whose duplicates Spark
-    drops by hash)."""
-    def runs(t):
-        if n == 1:
-            return F.transform(t["tok"], lambda w: F.concat(w, F.lit("\n")))
-
-        def one(i):
-            return F.concat(F.concat_ws(" ", *[F.get(t["tok"], i + k) for k in range(n)]), F.lit("\n"),
-                            *[F.get(t["kind"], i + k + 1) for k in range(n - 1)])
-        return F.when(F.size(t["tok"]) >= n, F.transform(F.sequence(F.lit(0), F.size(t["tok"]) - n), one))
-    return runs
-
-
-def large_dictionary_tag(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """Flag texts that contain any term of a *table* of terms (``term`` and,
-    optionally, a boolean ``part``): the same answer as the regular-expression
-    flag of a lexicon of these terms (escaped), for any number of them.
-
-    Terms and texts are cut into word tokens alike; texts emit their different
-    runs of as many tokens as some term has. A blank in a term stands for any
-    run of blanks and hyphens, a hyphen for itself. The different runs of all
-    texts are matched with the terms once: as a whole, and by the beginnings
-    of their last token (of the lengths that occur among terms with ``part``,
-    which are of one word). Texts then join the runs that matched. No join has
-    a hint: Spark measures the tables and splits frequent runs.
-
-    Returns ``key, found`` for every input row.
-    """
-    part = F.coalesce(F.col("part"), F.lit(False)) if "part" in terms.columns else F.lit(False)
-    tok, kind = _tokens(F.trim(F.col("term")))
-    norm = (terms.select(tok.alias("tok"), kind.alias("kind"), (part & ~F.trim("term").rlike(r"\s")).alias("part"))
-            .where(F.size("tok") > 0)
-            .select(F.array_join("tok", " ").alias("gram"), F.size("tok").alias("n"), "part",
-                    F.array_join(F.slice("kind", 2, F.size("tok") - 1), "").alias("wanted"),
-                    F.length(F.element_at("tok", -1)).alias("last")).distinct())
-    # the shapes of the terms: a few numbers, whatever the number of terms
-    shapes = norm.groupBy("n").agg(F.collect_set(F.when(F.col("part"), F.col("last"))).alias("cuts")).collect()
-    if not shapes:
-        return df.select(key, F.lit(False).alias("found"))
-    tok, kind = _tokens(F.col(text))
-    # tokenised once: an expression inlined into the lambdas would run per run
-    base = with_column_once(df.select(key, text), "t", F.struct(tok.alias("tok"), kind.alias("kind")))
-    grams = F.concat(*[F.coalesce(_grams(r["n"])(F.col("t")), F.array().cast("array<string>")) for r in shapes])
-    rows = base.select(F.col(key), F.explode_outer(F.array_distinct(grams)).alias("g")).where("g IS NOT NULL")
-    line = F.split("g", "\n")
-    seen = rows.select("g").distinct().select("g", line[0].alias("gram"), line[1].alias("gaps"))
-    fits = F.forall(F.zip_with(F.split("wanted", ""), F.split("gaps", ""),
-                               lambda w, g: F.when(w == "-", g == "-").otherwise(g.isin("", " ", "-"))), lambda ok: ok)
-    met = seen.join(norm.select("gram", "wanted"), "gram").where(fits).select("g")
-    lengths = sorted({m for r in shapes for m in r["cuts"]})
-    if lengths:
-        last = F.length(F.substring_index("gram", " ", -1))
-        cut = seen.withColumn("last", last).select("g", "gram", "gaps", "last", F.explode(F.array(*map(F.lit, lengths))).alias("m"))
-        cut = cut.where("m <= last").select("g", "gaps", F.expr("substring(gram, 1, length(gram) - last + m)").alias("gram"))
-        met = met.unionByName(cut.join(norm.where("part").select("gram", "wanted"), "gram").where(fits).select("g"))
-    hit = (rows.join(met.select(F.col("g").alias("_g")).distinct(), F.col("g") == F.col("_g"), "left_semi")
-           .select(F.col(key).alias("_key")).distinct().withColumn("_hit", F.lit(True)))
-    return (df.select(key).join(hit, F.col(key).eqNullSafe(F.col("_key")), "left")
-            .select(key, F.coalesce("_hit", F.lit(False)).alias("found")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..operators import dictionary_table as DT
 from ..operators import lexicon as LX
 from ..sources import dictionaries as DS
 from ..sources.tables import read_table
@@ -287,7 +288,35 @@ SELECT doc_id, doc_id IN (SELECT doc_id FROM h) AS found FROM documents
 """)
 def q_large_dictionary_tag(spark, sf):
     terms = _term_table(spark, sf).select("term", DS.part_flag(F.col("part")).alias("part"))
-    return LX.large_dictionary_tag(_docs(spark, sf), "doc_id", "text", terms)
+    return DT.large_dictionary_tag(_docs(spark, sf), "doc_id", "text", terms)
+
+
+# Every first word of a pair is a term itself, and the shorter term wins: so of
+# each token the shortest beginning that is a term (of whole words, the token).
+@register("large_dictionary_spans", op="D11 (spans)", sql=f"""
+WITH terms AS (SELECT term, bool_or(CASE WHEN trim(part) = '0' THEN false ELSE length(trim(part)) > 0 END) AS part
+               FROM ({TERM_TABLE_SQL}) WHERE NOT contains(term, ' ') GROUP BY term),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS tok,
+        string_split_regex(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS gap FROM documents),
+u AS (SELECT doc_id, unnest(tok) AS tok, unnest(gap[1:len(tok)]) AS gap, unnest(range(len(tok))) AS i FROM d),
+p AS (SELECT doc_id, tok, sum(length(gap) + length(tok)) OVER (PARTITION BY doc_id ORDER BY i) - length(tok) AS start FROM u),
+lens AS (SELECT DISTINCT length(term) AS n FROM terms WHERE part),
+best AS (SELECT tok, min(length(term)) AS n FROM (
+    SELECT tok, term FROM (SELECT DISTINCT tok FROM u) t JOIN lens ON n <= length(tok) JOIN terms ON part AND term = left(tok, n)
+    UNION ALL SELECT tok, tok FROM (SELECT DISTINCT tok FROM u) t WHERE tok IN (SELECT term FROM terms)) GROUP BY tok),
+m AS (SELECT doc_id, count(*) AS n, sum(best.n) AS chars, min(start) AS first, sum(start) AS starts FROM p JOIN best USING (tok) GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n, 0) AS n_matches, CAST(coalesce(chars, 0) AS BIGINT) AS matched_chars,
+  CAST(first AS INTEGER) AS first_start, CAST(starts AS BIGINT) AS sum_of_starts
+FROM documents LEFT JOIN m ON m.doc_id = documents.doc_id
+""")
+def q_large_dictionary_spans(spark, sf):
+    """Counts and spans of the whole term table."""
+    terms = _term_table(spark, sf).select("term", DS.part_flag(F.col("part")).alias("part"))
+    found = DT.large_dictionary_spans(_docs(spark, sf), "doc_id", "text", terms)
+    long = found.select("doc_id", "n_matches", F.explode_outer("spans").alias("s"))
+    return long.groupBy("doc_id", "n_matches").agg(
+        F.coalesce(F.sum(F.col("s.end") - F.col("s.start")), F.lit(0)).alias("matched_chars"), F.min("s.start").alias("first_start"),
+        F.sum("s.start").alias("sum_of_starts"))
 
 
 # --- the flagship rule as a streaming job ------------------------------------------------

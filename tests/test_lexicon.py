@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagwright.functions.patterns import Lexicon
+from tagwright.operators import dictionary_table as DT
 from tagwright.operators import lexicon as LX
 from tagwright.plans import fixtures as FX
 from tagwright.sources.dictionaries import shipped_lexicon
@@ -95,25 +96,39 @@ def test_phrase_terms(spark):
     assert got == {1: [], 2: ["economy"], 3: ["white house"], 4: []}
 
 
-def test_large_dictionary_tag(spark):
-    """The same flag as the regular expression of the same terms."""
+@pytest.mark.parametrize("seed", [4, 5])
+def test_large_dictionary_equals_the_lexicon(spark, seed):
+    """Flags, counts and spans of a table of terms and of the regular expression
+    of the same terms."""
     import random
-    rng = random.Random(4)
+    rng = random.Random(seed)
     pairs = [("white house", False), ("said", False), ("well-known", False), ("regulat", True), ("state-of-the art", False),
-             ("anti-infl", True), ("a b c", True), ("über", True), ("x", False), ("a-b", False)]
+             ("anti-infl", True), ("a b c", True), ("über", True), ("x", False), ("a-b", False), ("don't", False), ("s&p 500", False),
+             ("u.s", True), ("u.s.", False), ("&", False), ("&&", True), ("c++", False), ("& co", False), ("at&", True), ("house", True),
+             ("white", False), ("b c", False), ("$5", False), ("5%", True), ("σσ", True), ("K", False), ("a", True), ("the art", False)]
+    pairs = pairs[:14] if seed == 4 else pairs
     bits = ["white", "house", "said", "well", "known", "regulation", "regulat", "state", "of", "the", "art", "anti", "inflation",
-            "a", "b", "c", "Überzug", "x1", "X", "-", " ", " ", " ", "--", ". ", "\n", "_"]
-    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(600)]
+            "a", "b", "c", "Überzug", "x1", "X", "-", " ", " ", " ", "--", ". ", "\n", "_", "Don't", "S&P", "500", "U.S", ".", "&", "&&",
+            "C++", "AT&T", "co", "$5", "5%", "ΣΣΣ", "K", "houses", "'"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(900)]
     texts += ["The White House said", "nothing", None, "well known", "well-known", "white - house", "white-house", "state-of-the-art",
-              "state of the art", "deregulation", "anti inflation", ""]
-    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "said")], "doc_id int, text string")
-    terms = spark.createDataFrame(pairs, "term string, part boolean")
-    from tagwright.functions.patterns import Lexicon
+              "state of the art", "deregulation", "anti inflation", "", "x&&y", "x&y", "R& co", "s&p  - 500"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "said"), (1, "said"), (1, "said")], "doc_id int, text string")
+    terms = spark.createDataFrame(pairs + pairs[:3] + [("  ", True), (None, True)], "term string, part boolean")
     lex = Lexicon.of(pairs, escape=True)
-    expected = docs.select("doc_id", LX.has_match("text", lex).alias("found")).collect()
-    got = LX.large_dictionary_tag(docs, "doc_id", "text", terms).collect()
+    expected = docs.select("doc_id", LX.match_count("text", lex).cast("long").alias("n_matches"), LX.match_spans("text", lex).alias("spans")).collect()
+    got = DT.large_dictionary_spans(docs, "doc_id", "text", terms).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, expected))
-    assert LX.large_dictionary_tag(docs, "doc_id", "text", terms.limit(0)).where("found").count() == 0
+    flags = DT.large_dictionary_tag(docs, "doc_id", "text", terms).collect()
+    assert sorted(map(repr, flags)) == sorted(repr(type(flags[0])(doc_id=r.doc_id, found=r.n_matches > 0)) for r in expected)
+    assert DT.large_dictionary_tag(docs, "doc_id", "text", terms.limit(0)).where("found").count() == 0
+
+
+def test_terms_wait_under_their_rarest_token(spark):
+    """A token that very many terms share is no anchor where another is at hand."""
+    terms = spark.createDataFrame([(f"the w{i}", False) for i in range(500)] + [("the", False)], "term string, part boolean")
+    per_unit = DT._anchors(terms).groupBy("unit").count().agg(F.max("count")).first()[0]
+    assert per_unit == 1
 
 
 def test_flagship_counts(spark):
