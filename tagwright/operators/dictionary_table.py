@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.patterns import Lexicon
+from ..session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
@@ -132,7 +133,7 @@ def large_dictionary_spans(df: DataFrame, key: str, text: str, terms: DataFrame)
     (``term`` and, optionally, a boolean ``part``)."""
     part = F.coalesce(F.col("part"), F.lit(False)) if "part" in terms.columns else F.lit(False)
     wanted = terms.select(F.trim("term").alias("term"), part.alias("part")).where("term <> ''").distinct()
-    anchors = _anchors(wanted)
+    anchors = materialize(_anchors(wanted), "anchors")
     bits = np.zeros(1 << BITS - 5, np.uint32)
     # at most one row a 32-bit word of the bitmap
     words = (anchors.select(F.crc32(F.col("unit").cast("binary")).bitwiseAND(F.lit((1 << BITS) - 1)).alias("slot")).distinct()
