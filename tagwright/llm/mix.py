@@ -18,8 +18,9 @@ partitioning.
 
 Defined results: a null text has size 0, documents of size 0 are never
 copied; null is a source like any other, last in order; rows equal in id,
-source and text are one unit and get equal numbers of copies; an empty table
-gives no rows. The number of sources is bounded by the mixing plan (a weight
+source and text share their fractional copies, so that one of them at most is
+rounded at random: they are numbered, and the first ones get the extra copies;
+an empty table gives no rows. The number of sources is bounded by the mixing plan (a weight
 each); their totals, one row a source, are solved on the driver.
 """
 
@@ -31,7 +32,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, col, free_name, materialize, others, row_key
@@ -72,8 +73,11 @@ def pool(p: np.ndarray, sizes: np.ndarray, keys: np.ndarray, seed: int) -> np.nd
     probability. The first documents of the result are then integral."""
     p = p.copy()
     open_ = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
-    if not len(open_) or np.ptp(p[open_]) > _EPS:
+    if not len(open_):
         return p
+    # repeated rows may have a probability of their own; they are paired later
+    common = np.sort(p[open_])[len(open_) // 2]
+    open_ = open_[np.abs(p[open_] - common) <= _EPS]
     shared, rest = float(p[open_[0]]), float(sizes[open_].sum())
     for at, i in enumerate(open_):
         rest -= sizes[i]
@@ -152,8 +156,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), *, share:
                                           "whole int, p double, buckets int")
     planned = (units.withColumn("source", F.col("source").cast("string")).alias("u")
                .join(sources.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source")))
-               .select("key", "nr", "size", "whole", "source_size", "target",
-                       F.when(F.col("size") > 0, F.col("p")).otherwise(0.0).alias("p"),
+               # of all fractional copies of equal rows, the whole ones are theirs
+               .withColumn("shared", F.when(F.col("size") > 0, F.col("p") * F.col("rows")).otherwise(0.0))
+               .withColumn("more", F.floor(F.col("shared") + _EPS))
+               .select("key", "nr", "size", "whole", "source_size", "target", "rows", "more",
+                       F.greatest(F.lit(0.0), F.col("shared") - F.col("more")).alias("p"),
                        F.pmod(F.xxhash64("key", F.lit(seed)), F.col("buckets")).alias("bucket")))
     fields = "key long, nr int, size long, p double, bucket long"
     level = materialize(planned.select("key", "nr", "size", "p", "bucket").groupBy("nr", "bucket")
@@ -170,18 +177,36 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), *, share:
         most = math.ceil(most / fan_in)
     draw = F.pmod(F.xxhash64("key", F.lit(seed), F.lit("last")), F.lit(1 << 40)) / float(1 << 40)
     decided = decided.unionByName(level.where(open_).withColumn("p", F.when(draw < F.col("p"), 1.0).otherwise(0.0)))
-    copies = (decided.select(F.col("key").alias("k"), F.col("nr").alias("n"), F.col("p").alias("extra"))
-              .join(sources, F.col("n") == F.col("nr"))
-              .select("k", "source_size", "target", (F.col("whole") + F.col("extra").cast("int")).alias("copies")))
+    copies = (decided.select(F.col("key").alias("k"), F.col("p").cast("int").alias("extra"))
+              .join(planned.select(F.col("key").alias("k"), "rows", "more", "whole", "source_size", "target"), "k")
+              .withColumn("more", F.col("more") + F.col("extra")).drop("extra"))
     kept = others(docs, OUTPUT, keep)
-    k = free_name(kept, "key")
+    k, nth = (free_name(kept, name) for name in ("key", "nth"))
     out = docs.select(*[col(c) for c in kept], key.alias(k), size.alias("size"))
-    return (out.join(copies, out[k] == copies["k"]).drop("k", k)
-            .select(*kept, "size", "source_size", "target",
-                    F.when(F.col("size") > 0, F.col("copies")).otherwise(0).cast("long").alias("copies"))
+    if units.where("rows > 1").isEmpty():
+        out = out.withColumn(nth, F.lit(1))
+    else:
+        out = _numbered(out, k, nth)
+    each = F.col("whole") + (F.col(nth) <= F.col("more")).cast("int")
+    return (out.join(copies, out[k] == copies["k"])
+            .select(*kept, "size", "source_size", "target", F.when(F.col("size") > 0, each).otherwise(0).cast("long").alias("copies"))
             .withColumn("taken", F.col("copies") * F.col("size")))
 
 
+def _numbered(rows: DataFrame, key: str, nth: str) -> DataFrame:
+    """Rows of one key numbered from 1. A task numbers its own rows, and the
+    counts of the tasks before it are added, so that no task sees all of them."""
+    names = ["part", "order", "before", "k_of", "part_of"]
+    part, order, before, k_of, part_of = (free_name([*rows.columns, nth], name) for name in names)
+    rows = rows.withColumn(part, F.spark_partition_id()).withColumn(order, F.monotonically_increasing_id())
+    rows = materialize(rows.withColumn(nth, F.row_number().over(Window.partitionBy(key, part).orderBy(order))), "numbered")
+    own = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = (rows.groupBy(key, part).agg(F.count("*").alias("n"))
+              .select(F.col(key).alias(k_of), F.col(part).alias(part_of), F.coalesce(F.sum("n").over(own), F.lit(0)).alias(before)))
+    return (rows.join(counts, (F.col(key) == F.col(k_of)) & (F.col(part) == F.col(part_of)))
+            .withColumn(nth, F.col(nth) + F.col(before)).drop(k_of, part_of, part, order, before))
+
+
 def take(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row as often as it is taken."""
     return mixed.where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))

@@ -1,5 +1,6 @@
 """Operator 2: targets by hand, exact sums, dependent rounding, reruns."""
 
+import random
 import re
 
 import numpy as np
@@ -71,3 +72,22 @@ def test_edge_rows(spark):
 
 def test_empty_table(spark):
     assert mix_sources(empty_docs(spark)).collect() == []
+
+
+def test_heavy_repeated_rows(spark):
+    """A row that occurs 200 times beside 390 others: each source meets its target
+    within about one document, and only one of the equal rows is rounded."""
+    rng = random.Random(3)
+    rows = [(1, "a", "w " * 500)] * 200 + [(2, "a", "v " * 70)] * 3
+    rows += [(10 + i, rng.choice("aabc"), "x " * rng.randrange(1, 400)) for i in range(390)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(7)
+    got = mix_sources(df).collect()
+    assert len(got) == len(rows)
+    for source in "abc":
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 500
+    assert all(r["taken"] <= 2 * r["size"] for r in got)
+    copies = [r["copies"] for r in got if r["doc_id"] == 1]
+    assert len(copies) == 200 and max(copies) - min(copies) <= 1
+    again = sorted((r["doc_id"], r["taken"]) for r in mix_sources(df.repartition(3)).collect())
+    assert again == sorted((r["doc_id"], r["taken"]) for r in got)
