@@ -82,6 +82,103 @@ def score_with_model(df: DataFrame, keys: Sequence[str], text: str,
     return df.select(*keys, text).mapInPandas(run, schema)
 
 
+def score_resumable(df: DataFrame, keys: Sequence[str], text: str, store: str, scorer_factory: ScorerFactory = word_count_scorer,
+                    out: str = "response", retries: int = 2, wait: float = 1.0, batch: int = 16,
+                    calls_per_second: float | None = None) -> DataFrame:
+    """L3 that survives failures: answers are kept in ``store`` (Parquet, in a
+    folder that all executors share), one row a key, and a run asks only for
+    the rows of ``df`` that have no answer there yet. Returns ``keys, out,
+    status, attempts`` for every row of ``df``.
+
+    Rows go to the scorer in batches of ``batch``. A batch that raises is tried
+    again ``retries`` times, after ``wait`` seconds, then twice that, and so
+    on; then its rows are tried one by one, and a row that still fails gets
+    status ``failed`` and a null answer (never that of another row). A null
+    answer of the scorer counts as a failure of its row. Failed rows are not
+    kept and are asked for again by the next run. ``calls_per_second`` bounds
+    the calls of a task.
+
+    A run is written ahead in slices of its keys (``SLICES_CONF``): a slice that
+    is written stays answered if the run breaks off later, the slice at hand is
+    asked for again. Keys that are equal (null counts as a value) share one
+    answer; of rows that differ in text under one key, the least text is asked.
+    """
+    import os
+    import time
+    import uuid
+
+    spark, keys = df.sparkSession, list(keys)
+    types_of = dict(df.select(*keys).dtypes)
+    ddl = ", ".join(f"`{k}` {types_of[k]}" for k in keys) + f", `{out}` string, status string, attempts int"
+    ship_by_value()
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+
+    def kept() -> DataFrame:
+        """Answers of earlier runs, one a key."""
+        try:
+            rows = spark.read.schema(ddl).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(store)
+        except Exception as e:  # noqa: BLE001 - a first run has no store
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            rows = spark.createDataFrame([], ddl)
+        return rows.where("status = 'ok'").groupBy(*keys).agg(F.min(F.struct(out, "status", "attempts")).alias("a")).select(*keys, "a.*")
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        score, last = scorer_factory(), [0.0]
+
+        def call(texts: list) -> list:
+            if calls_per_second:
+                time.sleep(max(0.0, last[0] + 1 / calls_per_second - time.monotonic()))
+                last[0] = time.monotonic()
+            answers = list(score(texts))
+            if len(answers) != len(texts):
+                raise ValueError(f"{len(answers)} answers to {len(texts)} texts")
+            return answers
+
+        def tried(texts: list) -> tuple[list, int]:
+            for attempt in range(retries + 1):
+                try:
+                    return call(texts), attempt + 1
+                except Exception:  # noqa: BLE001 - whatever a client raises
+                    if attempt < retries:
+                        time.sleep(wait * 2 ** attempt)
+            return [None] * len(texts), retries + 1
+
+        for pdf in batches:
+            for k in range(0, len(pdf), batch):
+                part = pdf.iloc[k:k + batch]
+                texts = [None if t is None or t != t else t for t in part[text].tolist()]
+                answers, attempts = tried(texts)
+                counts = [attempts] * len(texts)
+                for i, a in enumerate(answers):
+                    if a is None and len(texts) > 1:
+                        (answers[i],), more = tried([texts[i]])
+                        counts[i] += more
+                res = part[keys].copy()
+                res[out], res["attempts"] = answers, counts
+                res["status"] = ["failed" if a is None else "ok" for a in answers]
+                yield res[[*keys, out, "status", "attempts"]]
+
+    once = df.select(*keys, text).groupBy(*keys).agg(F.min(text).alias(text))
+    open_ = once.alias("l").join(kept().alias("r"), on, "left_anti").select(*[F.col(f"l.{k}") for k in keys], F.col(f"l.{text}"))
+    # written ahead in slices: what a slice has answered stays answered if a later one breaks off
+    path = os.path.join(store, f"run-{uuid.uuid4().hex[:12]}")
+    slices = max(1, int(spark.conf.get(SLICES_CONF, "8")))
+    slot = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(slices))
+    for s in range(slices):
+        open_.where(slot == s).mapInPandas(run, ddl).write.parquet(os.path.join(path, f"slice={s}"))
+    ran = spark.read.schema(ddl).option("recursiveFileLookup", "true").parquet(path).where("status <> 'ok'")
+    answers = kept().unionByName(ran.dropDuplicates(keys))
+    joined = df.alias("l").join(answers.alias("r"), on, "left")
+    return joined.select(*[F.col(f"l.{k}") for k in keys], F.col(f"r.{out}"), F.col("r.status"), F.col("r.attempts"))
+
+
+SLICES_CONF = "tagwright.scoring.slices"     # writes of a resumable run; each is kept as a whole
+
+
 def classify_response(resp: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """L4: the first needle contained in the answer decides the label
     (case-sensitive, fixed precedence); none -> null."""

@@ -10,6 +10,7 @@ from ..operators import lexicon as LX
 from ..operators import split as SP
 from ..session import materialize, scratch_path
 from ..sources import files as FS
+from ..sources.quoted import read_quoted
 from ..sources.tables import read_table
 from . import corpus_queries as CQ
 from . import fixtures as FX
@@ -29,6 +30,17 @@ def q_scan_delimited(spark, sf):
     return FS.read_delimited(spark, path, "doc_id bigint, text string, lang string", "\t")
 
 
+@register("scan_delimited_split", op="S1 (split)", sql="""
+SELECT doc_id, text, lang FROM documents
+""")
+def q_scan_delimited_split(spark, sf):
+    """Documents as one CSV file with line ends in quotes, read by as many tasks
+    as the file has splits."""
+    path = scratch_path(spark, "one-csv")
+    FS.write_delimited(read_table(spark, sf, "documents", ["doc_id", "text", "lang"]).coalesce(1), path)
+    return read_quoted(spark, path, "doc_id bigint, text string, lang string")
+
+
 @register("sink_predictions", op="S5", sql=SQ.PREDS_SQL)
 def q_sink_predictions(spark, sf):
     """Predictions written as CSV partitioned by method, read back."""

@@ -11,7 +11,7 @@ from ..operators import evaluate as EV
 from ..operators import lexicon as LX
 from ..operators import responses as RS
 from ..operators import split as SP
-from ..session import materialize
+from ..session import materialize, scratch_path
 from ..sources.tables import read_table
 from . import fixtures as FX
 from . import sqlbits as SB
@@ -67,6 +67,31 @@ def q_score_with_model(spark, sf):
     return RS.score_with_model(_conv(spark, sf), ["conv_id", "turn"], "text")
 
 
+def _faulty_scorer():
+    """The stand-in scorer, whose requests fail where a text's word count ends in 7
+    and another text comes with it (so that the text succeeds alone)."""
+    score = RS.word_count_scorer()
+
+    def run(texts):
+        if len(texts) > 1 and any(len((t or "").split()) % 10 == 7 for t in texts):
+            raise OSError("request failed")
+        return score(texts)
+    return run
+
+
+@register("score_resumable", op="L3 (resumed)", sql=f"""
+SELECT conv_id, turn, '{{"n_words": ' || CAST({SB.word_count('text')} AS VARCHAR) || '}}' AS response, 'ok' AS status
+FROM conversations
+""")
+def q_score_resumable(spark, sf):
+    """Answers of a scorer whose requests fail at times, asked for in two runs:
+    the second takes up what the first, over the user's turns, has kept."""
+    store, keys = scratch_path(spark, "answers"), ["conv_id", "turn"]
+    c = _conv(spark, sf)
+    RS.score_resumable(c.where("role = 'user'"), keys, "text", store, _faulty_scorer, retries=0, wait=0)
+    return RS.score_resumable(c, keys, "text", store, _faulty_scorer, retries=0, wait=0).drop("attempts")
+
+
 @register("join_positional", op="J7", sql=f"""
 SELECT conv_id, turn, role, {SB.word_count('text')} AS n_words FROM conversations
 """)
