@@ -338,6 +338,25 @@ def q_join_predictions_all_methods(spark, sf):
         "method", "doc_id", "prediction")
 
 
+# every seventh article has a second answer of one method, every fifth of another
+TWICE_SQL = f"""SELECT * FROM ({NORM_SQL}) UNION ALL SELECT method, doc_id, prediction || '?' FROM ({NORM_SQL})
+  WHERE method = 'length' AND doc_id % 7 = 0 OR method = 'dictionary' AND doc_id % 5 = 0"""
+
+
+@register("join_predictions_wide", op="J5 (wide)", sql=f"""
+WITH p AS ({TWICE_SQL})
+SELECT a.doc_id, a.prediction AS dictionary, b.prediction AS length, c.prediction AS constant
+FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.method = 'length' JOIN p c ON a.doc_id = c.doc_id AND c.method = 'constant'
+WHERE a.method = 'dictionary'
+""")
+def q_join_predictions_wide(spark, sf):
+    """A column a method; articles with several answers of a method are multiplied."""
+    norm = materialize(normalized(spark, sf).select("method", "doc_id", "prediction"), "normalized")
+    again = norm.where("method = 'length' AND doc_id % 7 = 0 OR method = 'dictionary' AND doc_id % 5 = 0")
+    both = norm.unionByName(again.withColumn("prediction", F.concat("prediction", F.lit("?"))))
+    return EV.predictions_wide(both, ["doc_id"], ["dictionary", "length", "constant"])
+
+
 @register("macro_metrics", op="E3", sql=f"""
 WITH j AS (SELECT c.method, c.prediction AS p, t.label AS y FROM ({COMMON_SQL}) c
            JOIN ({TEST_SQL}) t ON c.doc_id = t.doc_id),

@@ -143,3 +143,21 @@ def test_scoreboard_scans_the_texts_once(spark):
     df = SQ.predictions(spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("documents.parquet") == 1
+
+
+def test_wide_predictions_multiply_duplicate_keys(spark):
+    """Equal to the chain of inner joins, duplicate and null keys included."""
+    import itertools
+    import random
+    rng = random.Random(2)
+    methods = ["a", "b", "c", "d"]
+    rows = [(rng.choice(methods), rng.choice([None, *range(12)]), rng.choice(["x", "y", "z", None])) for _ in range(150)]
+    rows += [("other", 1, "w"), ("a", 99, "alone")]
+    df = spark.createDataFrame(rows, "method string, id int, prediction string")
+    expected = []
+    for key in range(12):
+        own = [[p for m, k, p in rows if (m, k) == (name, key)] for name in methods]
+        expected += [(key, *combination) for combination in itertools.product(*own)]
+    got = [tuple(r) for r in EV.predictions_wide(df, ["id"], methods).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, expected)) and len(got) > 300
+    assert EV.predictions_wide(df.limit(0), ["id"], methods).collect() == []
