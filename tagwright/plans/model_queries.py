@@ -234,19 +234,24 @@ def _saved_predictions(spark, f):
 
 
 @register("lr_grid_cv", op="M7", sql=f"""
-SELECT i, round(cs / g.n, 10) AS reg_param, fold, f.n AS n_scored, CAST(0 AS BIGINT) AS miscounted FROM ({GRID_SQL}) g, ({FOLD_SQL}) f
+SELECT i, round(cs / g.n, 10) AS reg_param, fold, f.n AS n_scored, CAST(0 AS BIGINT) AS miscounted,
+  CAST(0 AS BIGINT) AS unsolved FROM ({GRID_SQL}) g, ({FOLD_SQL}) f
 """)
 def q_lr_grid_cv(spark, sf):
-    """25 penalties on 5 folds: the rows that each model is scored on, and right
-    answers that differ from those of the saved predictions."""
+    """25 penalties on 5 folds: the rows that each model is scored on, right
+    answers that differ from those of the saved predictions, and whether the
+    model did not meet the end test in time."""
     f = fitted(spark, sf)
-    scores, k = f.cv()[1], len(f.cs)
+    paths, scores, _ = f.cv()
+    k = len(f.cs)
+    unsolved = spark.createDataFrame([(b % k, int(paths.folds[b]), int(not paths.finished[b])) for b in range(FX.N_FOLDS * k)],
+                                   "i int, fold int, unsolved bigint")
     recount = (_saved_predictions(spark, f).join(f.rows, "doc_id").groupBy("i", "fold")
                .agg(F.count_if(F.col("prediction") == F.col("quality")).alias("again")))
     penalties = FE.grid_table(spark, f.n_train, k).select("i", "reg_param")
-    return (scores.join(recount, ["i", "fold"], "left").join(penalties, "i")
+    return (scores.join(recount, ["i", "fold"], "left").join(unsolved, ["i", "fold"]).join(penalties, "i")
             .select("i", "reg_param", "fold", F.col("n").alias("n_scored"),
-                    F.abs(F.col("correct") - F.coalesce("again", F.lit(0))).alias("miscounted")))
+                    F.abs(F.col("correct") - F.coalesce("again", F.lit(0))).alias("miscounted"), "unsolved"))
 
 
 @register("cv_curve", op="E8", sql=f"""
