@@ -158,7 +158,7 @@ class _Fitted:
     def one(self):
         """Weights of the middle penalty on all training rows, near the optimum."""
         if self._one is None:
-            self._one = PA.fit_paths(self.blocks, len(self.vocab), self.cs[12:13], [PA.ALL], max_iter=1000, tol=1e-5).weights[:, 0]
+            self._one = PA.fit_paths(self.blocks, len(self.vocab), self.cs[12:13], [PA.ALL], max_iter=1000, tol=1e-5, slack=0.01).weights[:, 0]
         return self._one
 
     def cv(self):
@@ -206,7 +206,7 @@ def q_lr_three_classes(spark, sf):
     held to its optimality conditions."""
     f = fitted(spark, sf)
     n = {int(r["grade"]): r["count"] for r in f.train.groupBy("grade").count().collect()}
-    paths = PA.fit_paths(f.grades, len(f.vocab), f.cs[12:13], [PA.ALL], max_iter=1000, tol=1e-5, classes=sorted(map(float, n)))
+    paths = PA.fit_paths(f.grades, len(f.vocab), f.cs[12:13], [PA.ALL], max_iter=1000, tol=1e-5, slack=0.01, classes=sorted(map(float, n)))
     rows = []
     for b, c in enumerate(sorted(n)):
         own = f.rows.select("doc_id", (F.col("grade") == float(c)).cast("int").alias("own"))
