@@ -324,9 +324,9 @@ def q_large_dictionary_spans(spark, sf):
 def q_stream_polarity_rule(spark, sf):
     """Documents arriving as files are tagged incrementally by the same
     expressions; the appended sink equals the batch result."""
-    from ..sources.tables import SCHEMAS
-    from ..streaming.tagging import run_to_completion, stream_files
-    src = stream_files(spark, sf, SCHEMAS["documents"], glob="documents.parquet")
+    from ..sources.tables import SCHEMAS, table_path
+    from ..streaming.tagging import run_to_completion, stream_table
+    src = stream_table(spark, table_path(sf, "documents"), SCHEMAS["documents"])
 
     def tag(df):
         out = LX.polarity_rule(df.select("doc_id", "text"), "text", FX.UP, FX.DOWN)

@@ -31,6 +31,14 @@ def stream_files(spark: SparkSession, folder: str, schema: T.StructType,
     return r.parquet(folder)
 
 
+def stream_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A streaming scan of one Parquet table, be it a plain file or a folder of
+    part files. Spark streams from folders only, unless the path is a pattern:
+    this one fits the one name."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return stream_files(spark, f"{folder}/[{name[0]}]{name[1:]}", schema)
+
+
 def start_tagging(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], sink: str,
                   checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Apply ``transform`` (any stateless DataFrame -> DataFrame function) to

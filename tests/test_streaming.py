@@ -34,3 +34,23 @@ def test_incremental_and_exactly_once(spark):
     assert {r.doc_id: r.prediction for r in out.collect()} == batch
     assert dict(out.groupBy("prediction").agg(F.count("*")).collect()) == {
         "hawkish": 128, "neutral": 39, "dovish": 33}
+
+
+def test_table_of_one_file_or_of_part_files(spark):
+    """The query tags the table whole, whether it is a file or a folder."""
+    from tagwright.plans import QUERIES
+    rows = spark.createDataFrame([(i, "growth is higher" if i % 2 else "the end of it", "en", "a", 1) for i in range(12)],
+                                 SCHEMAS["documents"])
+    base = scratch_path(spark, "stream-tables")
+    rows.repartition(3).write.parquet(f"{base}/many/documents.parquet")
+    rows.coalesce(1).write.parquet(f"{base}/written")
+    # a plain file, put where only its name differs from the folder's
+    files = spark.read.parquet(f"{base}/written").inputFiles()
+    java = spark._jvm
+    source = java.org.apache.hadoop.fs.Path(files[0])
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    java.org.apache.hadoop.fs.FileUtil.copy(fs, source, fs, java.org.apache.hadoop.fs.Path(f"{base}/one/documents.parquet"), False,
+                                            spark._jsc.hadoopConfiguration())
+    many, one = (sorted(map(tuple, QUERIES["stream_polarity_rule"](spark, f"{base}/{d}").collect())) for d in ("many", "one"))
+    assert [r[0] for r in many] == list(range(12))
+    assert many == one
