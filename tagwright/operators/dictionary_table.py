@@ -14,9 +14,13 @@ left-to-right scan of the whole lexicon keeps: leftmost first, the shorter term
 at one place, none inside another. So flags, counts and spans equal those of a
 lexicon of the same escaped terms, whatever characters they hold.
 
-In Spark: one pass over the texts for their tokens, one shuffle of hits (never
-of all tokens), one join of the texts with their candidates. No join has a
-hint, and no table is collected but the bitmap's words.
+In Spark, a dictionary of up to ``AT_HAND`` characters in all goes to every
+task, as a small side of a join does, and the texts are matched where they are
+read: one pass, no shuffle. A text's token is looked up once for each of its
+spellings; a term of several tokens is tried only where its first two stand.
+Larger dictionaries are never collected: one pass over the texts for their
+tokens, one shuffle of hits (never of all tokens), one join of the texts with
+their candidates; only the bitmap's words are collected. No join has a hint.
 
 Defined results: null texts have no match; empty terms match nowhere; of terms
 with several rows both kinds count; rows that are equal in key and text get
@@ -27,7 +31,7 @@ from __future__ import annotations
 
 import re
 import sys
-from functools import lru_cache
+from collections.abc import Iterable
 from zlib import crc32
 
 import numpy as np
@@ -43,6 +47,8 @@ from ..session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
+AT_HAND = 16_000_000    # characters of the terms of a dictionary that every task gets
+SPELLINGS = 200_000     # different tokens of texts that a task keeps the matches of
 BITS = 24               # of the bitmap of anchors: 2 MB
 ROWS_AT_ONCE = 256
 WORD = re.compile(r"\w+")
@@ -54,53 +60,131 @@ def fold(token: str) -> str:
     return token.replace("İ", "i").replace("ı", "i").casefold()
 
 
-@lru_cache(1 << 16)
-def term_info(term: str, part: bool):
-    """(pattern, first token, its offset or None, whether that may be the
-    beginning of a longer token, all whole tokens)."""
+def term_pattern(term: str, part: bool) -> re.Pattern:
+    return re.compile(Lexicon((term,), (part,), escape=True).body(), re.IGNORECASE)
+
+
+def term_tokens(term: str, part: bool) -> tuple[list[str], int | None, bool]:
+    """A term's tokens, the first one's offset or None, and whether the last one
+    may be the beginning of a longer token."""
     single = len(term.split()) == 1
-    pattern = re.compile(Lexicon((term,), (part,), escape=True).body(), re.IGNORECASE)
     tokens = [(m.start(), m.end(), fold(m.group())) for m in WORD.finditer(term)]
     opens = bool(tokens) and part and single and tokens[-1][1] == len(term)     # the last token may go on
-    whole = [t for *_, t in (tokens[:-1] if opens else tokens)]
     # a first token behind a blank stands at no fixed place
     offset = tokens[0][0] if tokens and " " not in term[:tokens[0][0]] else None
-    return pattern, tokens[0][2] if tokens else "", offset, opens and len(tokens) == 1, whole
+    return [t for *_, t in tokens], offset, opens
 
 
-def term_spans(text: str, candidates: list[tuple[str, bool]]) -> list[tuple[str, int, int]]:
-    """The spans that a left-to-right scan for all candidates keeps."""
-    whole: dict[str, list] = {}
-    begins: dict[str, list] = {}
-    found = []
-    for term, part in candidates:
-        pattern, first, offset, opens, _ = term_info(term, part)
-        if offset is None:
-            at = 0
+class Dictionary:
+    """Terms (``(term, part)``), and the spans that a left-to-right scan for all
+    of them keeps."""
+
+    def __init__(self, terms: Iterable[tuple[str, bool]]):
+        self.anywhere: list[tuple[str, bool]] = []      # terms whose first token stands at no fixed place
+        self.words: dict[str, list] = {}                # terms that are one token
+        self.starts: dict[str, list] = {}               # those that may go on
+        self.whole: dict[str, list] = {}                # other terms by the first token, if it must be whole
+        self.begins: dict[str, list] = {}
+        self.patterns: dict[tuple[str, bool], re.Pattern] = {}      # made when they are first tried
+        self.seen: dict[str, tuple] = {}                # matches of a token's spelling
+        for term, part in terms:
+            tokens, offset, opens = term_tokens(term, part)
+            if offset is None:
+                self.anywhere.append((term, part))
+            elif WORD.fullmatch(term):
+                (self.starts if opens else self.words).setdefault(tokens[0], []).append((term, part))
+            else:
+                # the next token, where it must be whole
+                second = tokens[1] if len(tokens) > 2 or (len(tokens) == 2 and not opens) else None
+                (self.begins if opens and len(tokens) == 1 else self.whole).setdefault(tokens[0], []).append((offset, term, part, second))
+        self.ways = {k[:n] for d in (self.starts, self.begins) for k in d for n in range(1, len(k) + 1)}
+        # with terms as long as their folded forms, a longer beginning is a longer term
+        self.even = all(len(term) == len(k) for k, same in self.starts.items() for term, _ in same)
+
+    def pattern(self, term: str, part: bool) -> re.Pattern:
+        found = self.patterns.get((term, part))
+        if found is None:
+            found = self.patterns[term, part] = term_pattern(term, part)
+        return found
+
+    def _of(self, token: str) -> tuple:
+        """What a token's spelling decides: the match that is kept of the terms
+        that are one token, as (length of the term, of the match); other terms
+        to try; others to try by the next token."""
+        key, own = fold(token), None
+        alone, tries = [*self.words.get(key, ())], [*self.whole.get(key, ())]
+        for n in range(1, len(key) + 1):
+            start = key[:n]
+            if start not in self.ways:
+                break
+            tries += self.begins.get(start, ())
+            if own is None or not self.even:
+                own = self._shortest(token, self.starts.get(start, ()), own)
+        own = self._shortest(token, alone, own)
+        others, by_next = [], {}
+        for offset, term, part, second in tries:
+            if second is not None:
+                by_next.setdefault(second, []).append((offset, term, part))
+            else:
+                others.append((offset, term, part))
+        if len(self.seen) >= SPELLINGS:
+            self.seen.clear()
+        self.seen[token] = found = (own, others, by_next) if own or others or by_next else ()
+        return found
+
+    def _shortest(self, token: str, terms, own: tuple | None) -> tuple | None:
+        for term, part in terms:
+            m = self.pattern(term, part).match(token) if own is None or len(term) <= own[0] else None
+            if m is not None and (own is None or (len(term), m.end()) < own):
+                own = (len(term), m.end())
+        return own
+
+    def spans(self, text: str, any_one: bool = False) -> list[tuple[str, int, int]]:
+        """The spans that are kept; with ``any_one``, some span if there is one."""
+        found, waiting = [], None
+        for term, part in self.anywhere:
+            at, pattern = 0, self.pattern(term, part)
             while (m := pattern.search(text, at)) is not None:
                 found.append((m.start(), len(term), m.end()))
                 at = m.start() + 1
-        else:
-            (begins if opens else whole).setdefault(first, []).append((offset, len(term), pattern))
-    lengths = sorted({len(k) for k in begins})
-    if whole or begins:
-        for token in WORD.finditer(text):
-            key, s = fold(token.group()), token.start()
-            tries = whole.get(key, ())
-            for n in lengths:
-                if n > len(key):
+        if self.words or self.starts or self.whole or self.begins:
+            seen = self.seen
+            for token in WORD.finditer(text):
+                spelling = token.group()
+                if waiting:
+                    s, by_next = waiting
+                    self._try(text, s, by_next.get(fold(spelling), ()), found)
+                    waiting = None
+                about = seen.get(spelling)
+                if about is None:
+                    about = self._of(spelling)
+                if about:
+                    own, others, by_next = about
+                    s = token.start()
+                    if own:
+                        found.append((s, own[0], s + own[1]))
+                    if others:
+                        self._try(text, s, others, found)
+                    if by_next:
+                        waiting = (s, by_next)
+                if any_one and found:
                     break
-                if key[:n] in begins:
-                    tries = [*tries, *begins[key[:n]]]
-            for offset, length, pattern in tries:
-                if offset <= s and (m := pattern.match(text, s - offset)) is not None:
-                    found.append((s - offset, length, m.end()))
-    out, free = [], 0
-    for start, _, end in sorted(found):
-        if start >= free:
-            out.append((text[start:end], start, end))
-            free = end
-    return out
+        out, free = [], 0
+        for start, _, end in sorted(found):
+            if start >= free:
+                out.append((text[start:end], start, end))
+                free = end
+        return out
+
+    def _try(self, text: str, s: int, tries, found: list) -> None:
+        for offset, term, part in tries:
+            if offset <= s and (m := self.pattern(term, part).match(text, s - offset)) is not None:
+                found.append((s - offset, len(term), m.end()))
+
+
+def term_spans(text: str, candidates: list[tuple[str, bool]]) -> list[tuple[str, int, int]]:
+    """The spans that a left-to-right scan for all candidates keeps."""
+    return Dictionary(candidates).spans(text)
 
 
 def _slot(unit: str) -> int:
@@ -117,8 +201,9 @@ def _anchors(terms: DataFrame) -> DataFrame:
         for batch in it:
             rows = []
             for term, part in zip(batch["term"].to_pylist(), batch["part"].to_pylist(), strict=True):
-                _, first, _, opens, whole = term_info(term, part)
-                rows += [(u, term, part) for u in {"w" + t for t in whole} or {"b" + first if opens else ""}]
+                tokens, _, opens = term_tokens(term, part)
+                whole = tokens[:-1] if opens else tokens
+                rows += [(u, term, part) for u in {"w" + t for t in whole} or {"b" + tokens[0] if opens else ""}]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -128,11 +213,37 @@ def _anchors(terms: DataFrame) -> DataFrame:
     return least.select("least.unit", "term", "part")
 
 
-def large_dictionary_spans(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+def large_dictionary_spans(df: DataFrame, key: str, text: str, terms: DataFrame, at_hand: int = AT_HAND,
+                           any_one: bool = False) -> DataFrame:
     """``key, n_matches, spans`` of every row of ``df`` for a table of terms
-    (``term`` and, optionally, a boolean ``part``)."""
+    (``term`` and, optionally, a boolean ``part``). ``any_one``: a text may be
+    left at its first match, as a flag needs no more."""
     part = F.coalesce(F.col("part"), F.lit(False)) if "part" in terms.columns else F.lit(False)
     wanted = terms.select(F.trim("term").alias("term"), part.alias("part")).where("term <> ''").distinct()
+    out = T.StructType([df.schema[key], *T.StructType.fromDDL(f"n_matches long, spans {SPANS}").fields])
+    arrow = to_arrow_schema(out)
+
+    def answer(keys, spans: list[list[tuple]]) -> pa.RecordBatch:
+        flat = [s for row in spans for s in row]
+        ends = np.cumsum([0] + [len(row) for row in spans])
+        columns = list(zip(*flat, strict=True)) or [(), (), ()]
+        kind = arrow.field("spans").type
+        structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind.value_type, strict=True)], fields=list(kind.value_type))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs).cast(kind)
+        return pa.RecordBatch.from_arrays([keys, pa.array(np.diff(ends), pa.int64()), lists], schema=arrow)
+
+    # a character more for each term: there are not many short ones either
+    wanted = materialize(wanted, "terms")
+    if (wanted.agg(F.sum(F.length("term") + 1)).first()[0] or 0) <= at_hand:
+        rows = wanted.toArrow()
+        pairs = df.sparkSession.sparkContext.broadcast(list(zip(*(rows[c].to_pylist() for c in ("term", "part")), strict=True)))
+
+        def scan(it):
+            dictionary = Dictionary(pairs.value)
+            for batch in (b.slice(k, ROWS_AT_ONCE) for b in it for k in range(0, len(b), ROWS_AT_ONCE)):
+                yield answer(batch["key"], [dictionary.spans(own, any_one) if own else [] for own in batch["text"].to_pylist()])
+
+        return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(scan, out)
     anchors = materialize(_anchors(wanted), "anchors")
     bits = np.zeros(1 << BITS - 5, np.uint32)
     # at most one row a 32-bit word of the bitmap
@@ -162,22 +273,17 @@ def large_dictionary_spans(df: DataFrame, key: str, text: str, terms: DataFrame)
     row = F.xxhash64(F.col(key), F.col(text))
     sent = df.where(F.col(text).isNotNull()).select(row.alias("row"), F.col(text).alias("text")).mapInArrow(hits, "row long, unit string")
     lists = (sent.distinct().join(anchors, "unit").groupBy("row").agg(F.collect_set(F.struct("term", "part")).alias("candidates")))
-    out = T.StructType([df.schema[key], *T.StructType.fromDDL(f"n_matches long, spans {SPANS}").fields])
-    arrow = to_arrow_schema(out)
-
     def match(it):
         for batch in (b.slice(k, ROWS_AT_ONCE) for b in it for k in range(0, len(b), ROWS_AT_ONCE)):
             spans = []
             for own, candidates in zip(batch["text"].to_pylist(), batch["candidates"].to_pylist(), strict=True):
-                pairs = sorted((c["term"], c["part"]) for c in candidates or ())
-                spans.append([dict(zip(("term", "start", "end"), s, strict=True)) for s in (term_spans(own, pairs) if pairs and own else ())])
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, arrow.field("spans").type)],
-                                             schema=arrow)
+                spans.append(term_spans(own, [(c["term"], c["part"]) for c in candidates]) if candidates and own else [])
+            yield answer(batch["key"], spans)
 
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"), row.alias("row"))
     return texts.join(lists, "row", "left").select("key", "text", "candidates").mapInArrow(match, out)
 
 
-def large_dictionary_tag(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+def large_dictionary_tag(df: DataFrame, key: str, text: str, terms: DataFrame, at_hand: int = AT_HAND) -> DataFrame:
     """``key, found``: whether any term of the table matches."""
-    return large_dictionary_spans(df, key, text, terms).select(key, (F.col("n_matches") > 0).alias("found"))
+    return large_dictionary_spans(df, key, text, terms, at_hand, any_one=True).select(key, (F.col("n_matches") > 0).alias("found"))

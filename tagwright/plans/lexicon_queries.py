@@ -313,10 +313,14 @@ def q_large_dictionary_spans(spark, sf):
     """Counts and spans of the whole term table."""
     terms = _term_table(spark, sf).select("term", DS.part_flag(F.col("part")).alias("part"))
     found = DT.large_dictionary_spans(_docs(spark, sf), "doc_id", "text", terms)
-    long = found.select("doc_id", "n_matches", F.explode_outer("spans").alias("s"))
-    return long.groupBy("doc_id", "n_matches").agg(
-        F.coalesce(F.sum(F.col("s.end") - F.col("s.start")), F.lit(0)).alias("matched_chars"), F.min("s.start").alias("first_start"),
-        F.sum("s.start").alias("sum_of_starts"))
+    # the spans of a text are added up where they are found
+    any_span = F.size("spans") > 0
+    row = found.select("doc_id", "n_matches",
+                       F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]).alias("chars"),
+                       F.array_min(F.transform("spans", lambda s: s["start"])).alias("first"),
+                       F.when(any_span, F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["start"])).alias("starts"))
+    return row.groupBy("doc_id", "n_matches").agg(F.sum("chars").alias("matched_chars"), F.min("first").alias("first_start"),
+                                                  F.sum("starts").alias("sum_of_starts"))
 
 
 # --- the flagship rule as a streaming job ------------------------------------------------

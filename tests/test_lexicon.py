@@ -124,6 +124,22 @@ def test_large_dictionary_equals_the_lexicon(spark, seed):
     assert DT.large_dictionary_tag(docs, "doc_id", "text", terms.limit(0)).where("found").count() == 0
 
 
+def test_dictionary_at_hand_and_joined(spark):
+    """A dictionary that every task gets needs no shuffle of texts, and gives
+    what the join of a larger one gives."""
+    pairs = [("a", True), ("ab c", False), ("abc", True), ("ß", True), ("ss x", False), ("x-1", True), ("c", False), ("1", True), ("& c", False)]
+    texts = ["abc ab  c", "ABC ab-C abcd", "STRASSE ss x sS-x ßx", "x-1 x-12 x 1", "R& c c", None, "", "nothing of it", "1c c1 ſs x"]
+    docs = spark.createDataFrame(list(enumerate(texts)) * 2, "doc_id int, text string")
+    terms = spark.createDataFrame(pairs, "term string, part boolean")
+    near, far = (DT.large_dictionary_spans(docs, "doc_id", "text", terms, at_hand) for at_hand in (DT.AT_HAND, 0))
+    assert sorted(map(repr, near.collect())) == sorted(map(repr, far.collect()))
+    expected = docs.select("doc_id", LX.match_spans("text", Lexicon.of(pairs, escape=True)).alias("spans")).collect()
+    assert sorted(repr((r.doc_id, r.spans)) for r in near.collect()) == sorted(repr((r.doc_id, r.spans)) for r in expected)
+    near, far = (DT.large_dictionary_tag(docs, "doc_id", "text", terms, at_hand) for at_hand in (DT.AT_HAND, 0))
+    assert sorted(near.collect()) == sorted(far.collect())
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+
+
 def test_terms_wait_under_their_rarest_token(spark):
     """A token that very many terms share is no anchor where another is at hand."""
     terms = spark.createDataFrame([(f"the w{i}", False) for i in range(500)] + [("the", False)], "term string, part boolean")
