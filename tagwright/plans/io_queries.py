@@ -34,10 +34,11 @@ def q_scan_delimited(spark, sf):
 SELECT doc_id, text, lang FROM documents
 """)
 def q_scan_delimited_split(spark, sf):
-    """Documents as one CSV file with line ends in quotes, read by as many tasks
-    as the file has splits."""
-    path = scratch_path(spark, "one-csv")
-    FS.write_delimited(read_table(spark, sf, "documents", ["doc_id", "text", "lang"]).coalesce(1), path)
+    """Documents as CSV files with line ends in quotes, read by as many tasks as
+    the files have splits. The files are written by as many tasks as the table
+    is read by."""
+    path = scratch_path(spark, "quoted-csv")
+    FS.write_delimited(read_table(spark, sf, "documents", ["doc_id", "text", "lang"]), path)
     return read_quoted(spark, path, "doc_id bigint, text string, lang string")
 
 

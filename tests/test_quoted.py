@@ -57,3 +57,23 @@ def test_round_trip_with_the_plain_reader(spark, tmp_path):
     schema = "doc_id bigint, text string, source string"
     one = FS.read_delimited(spark, str(tmp_path / "docs"), schema).collect()
     assert sorted(read_quoted(spark, str(tmp_path / "docs"), schema).collect()) == sorted(one) == sorted(docs.collect())
+
+
+def test_query_writes_with_as_many_tasks_as_it_reads(spark, monkeypatch):
+    """No task writes the whole table."""
+    from tagwright.plans import QUERIES, io_queries
+    from tagwright.session import scratch_path
+    from tagwright.sources.tables import SCHEMAS
+    rows = [(i, f'line "{i}"\nand, more', None if i % 3 else "en", "a", 1) for i in range(40)]
+    base = scratch_path(spark, "quoted-table")
+    spark.createDataFrame(rows, SCHEMAS["documents"]).repartition(8).write.parquet(f"{base}/documents.parquet")
+    tasks = []
+    write = io_queries.FS.write_delimited
+
+    def counted(df, *args, **kw):
+        tasks.append(df.rdd.getNumPartitions())
+        write(df, *args, **kw)
+    monkeypatch.setattr(io_queries.FS, "write_delimited", counted)
+    got = QUERIES["scan_delimited_split"](spark, base).collect()
+    assert sorted((r.doc_id, r.text, r.lang) for r in got) == [(i, t, g) for i, t, g, _, _ in rows]
+    assert tasks[0] > 1
