@@ -148,3 +148,36 @@ def test_bench_fits_anew_in_each_timed_run():
     finally:
         model_queries._FITS.clear()
         model_queries._FITS.update(kept)
+
+
+def test_driver_gets_one_copy_of_the_sums(spark, monkeypatch):
+    """Whatever the number of tasks, and few models as many."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+    rng = np.random.default_rng(3)
+    rows = [(i, float(i % 2), i % 3, Vectors.sparse(50, {int(j): float(j % 4 + 1) for j in rng.choice(50, 5, False)})) for i in range(90)]
+    data = spark.createDataFrame(rows, ["doc_id", "label", "fold", "features"])
+    blocks = PA.feature_blocks(data.coalesce(1), key="doc_id").repartition(5)
+    got, real = [], Classic.toArrow
+
+    def counted(self):
+        got.append(real(self))
+        return got[-1]
+    monkeypatch.setattr(Classic, "toArrow", counted)
+    size = 51 * 2000
+    total = PA._summed(blocks, (size, 50), lambda y, f, x: np.tile(x.sums(1), 2000))
+    assert sum(len(b) for t in got for b in t["numbers"].to_pylist()) == 8 * size
+    dense = np.array([r[3].toArray() for r in rows])
+    assert np.allclose(total[:51], [*dense.sum(axis=0), 90])
+
+
+def test_sparse_and_dense_products_agree():
+    import numpy as np
+    rng = np.random.default_rng(4)
+    ends, indices = np.array([0, 2, 2, 5], "<i4"), np.array([1, 4, 0, 2, 5], "<i4")
+    x = PA.Features(ends, indices, rng.normal(size=5), 6)
+    w, e = rng.normal(size=(7, 3)), rng.normal(size=(3, 3))
+    assert np.allclose(x.times(w), x.dense() @ w) and np.allclose(x.back(e), x.dense().T @ e)
+    assert np.allclose(x.sums(1), x.dense().sum(axis=0)) and np.allclose(x.sums(2), (x.dense() ** 2).sum(axis=0))
+    assert x.times(w[:, :0]).shape == (3, 0) and x.back(e[:, :0]).shape == (7, 0)
