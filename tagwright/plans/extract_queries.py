@@ -275,7 +275,8 @@ def q_scan_raw_articles(spark, sf):
     pages = _pages(spark, sf, ("page_id", "html"))
     # the writer starts a new file after each row; every row names its page first
     named = pages.select(F.concat(F.col("page_id").cast("string"), F.lit("\n"), F.col("html")).alias("value"))
-    named.write.option("maxRecordsPerFile", 1).text(path)
+    # each task has a folder of its own, which the commit moves as a whole and the listing reads by itself
+    named.withColumn("folder", F.spark_partition_id()).write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
     raw = EX.read_raw_files(spark, path, glob="part-*")
     # the text writer ends every file with one line separator
     body = F.expr("substring(raw, locate('\n', raw) + 1, length(raw) - locate('\n', raw) - 1)")
