@@ -36,9 +36,8 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
 from collections.abc import Sequence
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -56,10 +55,12 @@ SETTLED = 0.001                 # the passes end when the cost falls by less tha
 TABLE_BITS = (16, 18, 19, 20)   # counters of the predictors: 1, 2, 3 bytes, word so far
 PART_BITS = 16                  # tables travel in parts of this size
 FAN_IN = 32                     # tables added up in one node of the tree
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 512
 COUNTED_AT_ONCE = 2048
-WORDS_AT_ONCE = 1 << 14
+WORDS_AT_ONCE = 1 << 15
 CACHE_WORDS = 180_000
+AT_ONCE = 1 << 15               # symbols whose bits are predicted at a time
+MIXED_AT_ONCE = 1 << 16         # symbols that the gate learns from at a time
 
 N = len(TABLE_BITS)
 END = 0xFF                      # no byte of UTF-8 text
@@ -70,6 +71,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PRIOR = 0.4                    # added to both counts of a counter
 _CLIP = 12.0
 _PAIRS = [(i, j) for i in range(N) for j in range(i, N)]
+_UPPER = np.triu_indices(N)     # the same, as an index
 _SLOPES = 1 + N + len(_PAIRS)
 _BUCKETS = 25                   # of the mixed logit in the refining table; odd, so that 0 is a centre
 
@@ -88,6 +90,10 @@ class Symbols:
     def pick(self, at) -> Symbols:
         return Symbols(self.before[at], self.word[at], self.symbol[at])
 
+    def code(self) -> np.ndarray:
+        """Equal for equal symbols under equal contexts."""
+        return ((self.word + self.symbol + np.uint64(1)) * _MIX + self.before) * _MIX
+
     def slots(self, known: np.ndarray) -> list[np.ndarray]:
         """Each predictor's table slot, given the known bits (a leading 1 first)."""
         if self._hashed is None:
@@ -104,25 +110,48 @@ class Symbols:
         return out
 
 
-def heads_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def bytes_of(values: pa.Array) -> list[bytes]:
+    """The values of a binary array without nulls (``to_pylist`` goes value by value)."""
+    if not len(values):
+        return []
+    values = values.cast(pa.binary())       # offsets of 32 bits
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, np.int32)[values.offset:values.offset + len(values) + 1]
+    at = (ends - ends[0]).tolist()
+    raw = data[int(ends[0]):int(ends[-1])].to_pybytes() if data else b""
+    return [raw[a:b] for a, b in zip(at, at[1:])]      # noqa: B905 - neighbours
+
+
+def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Of each word boundary of the texts, the code of the three bytes before
-    and of up to ``HEAD`` symbols after it; and the number of the text."""
-    data = b"".join(_START + t + _END for t in texts)
+    and of up to ``HEAD`` symbols after it; the number of the text; and the
+    word that begins there, with the blank or end symbol that ends it."""
+    data = b"".join(t + _END for t in texts)
     buf = np.frombuffer(data + b"\0" * HEAD, np.uint8)
-    ends = np.cumsum([len(t) + 4 for t in texts])
-    first = np.concatenate(([0], ends[:-1])) + 3
-    begins = np.flatnonzero(buf[:-HEAD] == 32) + 1
-    begins = np.sort(np.concatenate((begins, first)))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    last = buf[:-HEAD] == 32
+    last[ends - 1] = True
+    begins = np.flatnonzero(last) + 1
+    begins = np.concatenate(([0], begins[:-1]))
+    owner = np.searchsorted(ends, begins, side="right")
+    inside = begins - np.concatenate(([0], ends[:-1]))[owner]
     code = np.zeros(len(begins), np.uint64)
     for j in range(3):
-        code |= buf[begins - 3 + j].astype(np.uint64) << np.uint64(8 * (2 - j))
+        code |= np.where(inside >= 3 - j, buf[begins - 3 + j], END).astype(np.uint64) << np.uint64(8 * (2 - j))
     going, length = np.ones(len(begins), bool), np.zeros(len(begins), np.uint64)
     for j in range(HEAD):
         s = buf[begins + j]
         code |= np.where(going, s, 0).astype(np.uint64) << np.uint64(24 + 8 * j)
         length += going
         going &= (s != 32) & (s != END)
-    return code | length << np.uint64(24 + 8 * HEAD), np.searchsorted(ends, begins, side="right")
+    offsets = np.append(begins, len(data)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return code | length << np.uint64(24 + 8 * HEAD), owner, words
+
+
+def heads_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the texts' word boundaries, and the numbers of the texts."""
+    return cut(texts)[:2]
 
 
 def head_symbols(codes: np.ndarray) -> tuple[Symbols, np.ndarray]:
@@ -140,27 +169,43 @@ def head_symbols(codes: np.ndarray) -> tuple[Symbols, np.ndarray]:
     return Symbols(*map(np.concatenate, zip(*parts, strict=True))), np.concatenate(owners)
 
 
-def tail_symbols(words: list[bytes]) -> tuple[Symbols, np.ndarray]:
-    """The symbols after the head of words (with the one that ends them), and
-    which word each belongs to. Their contexts lie within the word."""
-    words = _ended(words)
-    buf = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64)
-    lengths = np.array([len(w) for w in words], np.int64)
+def tail_nodes(words: list[bytes]) -> tuple[Symbols, np.ndarray, np.ndarray]:
+    """The symbols after the head of words that have their ending symbol. Words
+    that begin alike and follow each other share them: of each word's symbols,
+    the word and the place of the shared one. Contexts lie within the word."""
+    buf = np.frombuffer(b"".join(words), np.uint8)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.cumsum(lengths) - lengths
     hashes, live = np.zeros(len(words), np.uint64), np.arange(len(words))
-    parts, owners = [], []
+    new = np.zeros(len(words), bool)        # begins unlike the word before it
+    parts, owners, places, n = [], [], [], 0
     for j in range(int(lengths.max(initial=0))):
         live = live[lengths[live] > j]
         at = starts[live] + j
+        symbol = buf[at]
+        differs = np.ones(len(live), bool)
+        differs[1:] = (symbol[1:] != symbol[:-1]) | (live[1:] != live[:-1] + 1)
+        new[live] |= differs
         if j >= HEAD:
-            before = buf[at - 3] << np.uint64(16) | buf[at - 2] << np.uint64(8) | buf[at - 1]
-            parts.append((before, hashes[live], buf[at]))
+            first = new[live]
+            one, at = live[first], at[first]
+            before = [buf[at - k].astype(np.uint64) << np.uint64(8 * k - 8) for k in (1, 2, 3)]
+            parts.append((before[0] | before[1] | before[2], hashes[one], symbol[first].astype(np.uint64)))
             owners.append(live)
-        hashes[live] = (hashes[live] + buf[at] + np.uint64(1)) * _MIX
+            places.append(n - 1 + np.cumsum(first))
+            n += len(one)
+        hashes[live] = (hashes[live] + symbol + np.uint64(1)) * _MIX
     if not parts:
-        none = np.empty(0, np.uint64)
-        return Symbols(none, none, none), np.empty(0, np.int64)
-    return Symbols(*map(np.concatenate, zip(*parts, strict=True))), np.concatenate(owners)
+        none, nowhere = np.empty(0, np.uint64), np.empty(0, np.int64)
+        return Symbols(none, none, none), nowhere, nowhere
+    return Symbols(*map(np.concatenate, zip(*parts, strict=True))), np.concatenate(owners), np.concatenate(places)
+
+
+def tail_symbols(words: list[bytes]) -> tuple[Symbols, np.ndarray]:
+    """The symbols after the head of words (with the one that ends them), and
+    which word each belongs to."""
+    symbols, of, place = tail_nodes(_ended(words))
+    return symbols.pick(place), of
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -222,6 +267,21 @@ def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def merged(symbols: Symbols, times: np.ndarray) -> tuple[Symbols, np.ndarray]:
+    """Equal symbols under equal contexts once, with the sum of their times."""
+    order, first = _equal(symbols.code())
+    return (symbols.pick(order[first]), np.add.reduceat(times[order], first)) if len(first) else (symbols, times)
+
+
+def logits_left(counts: list[np.ndarray]) -> list[np.ndarray]:
+    """Each counter's logit without one zero, and without one one."""
+    out = []
+    for zeros, ones in counts:
+        fewer = [np.maximum(n - 1, 0) + _PRIOR for n in (zeros, ones)]
+        out.append(np.log(np.concatenate(((ones + _PRIOR) / fewer[0], fewer[1] / (zeros + _PRIOR)))))
+    return out
+
+
 class Mixer:
     """Gate weights by known bits, and the refining table by last byte."""
 
@@ -234,33 +294,45 @@ class Mixer:
     def bucket(logit: np.ndarray) -> np.ndarray:
         return np.clip(((logit + _CLIP) * (_BUCKETS / (2 * _CLIP))).astype(np.int64), 0, _BUCKETS - 1)
 
-    def _each(self, symbols: Symbols, counts: list[np.ndarray]):
+    def _each(self, symbols: Symbols, left: list[np.ndarray]):
         """Of all eight bits: known bits, bit, the predictors' logits from the
         counts without this occurrence, and the mixed logit."""
         for known, bit in bits_of(symbols.symbol):
             x = np.empty((N, len(symbols)))
-            for k, (table, slot) in enumerate(zip(counts, symbols.slots(known), strict=True)):
-                zeros, ones = table[0, slot] - (bit == 0), table[1, slot] - (bit == 1)
-                x[k] = np.log((np.maximum(ones, 0) + _PRIOR) / (np.maximum(zeros, 0) + _PRIOR))
-            yield known, bit, x, np.clip((self.weights.T[:, known] * x).sum(axis=0), -_CLIP, _CLIP)
+            logit = np.zeros(len(symbols))
+            for k, (table, slot) in enumerate(zip(left, symbols.slots(known), strict=True)):
+                np.take(table, slot + (bit << TABLE_BITS[k]), out=x[k], mode="clip")
+                logit += self.weights[:, k].take(known) * x[k]
+            yield known, bit, x, np.clip(logit, -_CLIP, _CLIP, out=logit)
 
-    def slopes(self, symbols: Symbols, times: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
+    def slopes(self, symbols: Symbols, times: np.ndarray, left: list[np.ndarray]) -> np.ndarray:
         """Sums by known bits over symbols that occur ``times`` times: the cost
         in nats, its gradient, and the upper half of its second derivatives."""
         out = np.zeros((_SLOPES, 256))
-        for known, bit, x, logit in self._each(symbols, counts):
-            p = squash(logit)
-            error, bend = times * (p - bit), times * p * (1 - p)
-            rows = [times * np.log1p(np.exp(np.where(bit == 1, -logit, logit))), *(error * x), *(bend * x[i] * x[j] for i, j in _PAIRS)]
-            for k, row in enumerate(rows):
-                out[k] += np.bincount(known, row, 256)
+        order = np.argsort(symbols.symbol.astype(np.uint8), kind="stable")  # so are the known bits, then
+        symbols, times = symbols.pick(order), times[order].astype(float)
+        for known, bit, x, logit in self._each(symbols, left):
+            odds = np.exp(np.where(bit == 1, -logit, logit))        # of the other bit
+            wrong = odds / (1 + odds)
+            bend = times * wrong
+            rows = np.empty((1 + N, len(symbols)))
+            np.multiply(bend, 1 - 2 * bit, out=rows[0])
+            bend *= 1 - wrong
+            np.multiply(x, bend, out=rows[1:])
+            first = np.flatnonzero(np.diff(known, prepend=0))
+            at = known[first]
+            out[0, at] = np.add.reduceat(times * np.log1p(odds), first)
+            for k, i, j in zip(at, first, [*first[1:], len(known)], strict=True):
+                sums = rows[:, i:j] @ x[:, i:j].T
+                out[1:1 + N, k] = sums[0]
+                out[1 + N:, k] = sums[1:][_UPPER]
         return out
 
-    def outcomes(self, symbols: Symbols, times: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
+    def outcomes(self, symbols: Symbols, times: np.ndarray, left: list[np.ndarray]) -> np.ndarray:
         """How often each bit followed, by bit, last byte and bucket."""
         out = np.zeros(self.refine.size)
         last = (symbols.before & np.uint64(0xFF)).astype(np.int64)
-        for _, bit, _, logit in self._each(symbols, counts):
+        for _, bit, _, logit in self._each(symbols, left):
             out += np.bincount((bit * 256 + last) * _BUCKETS + self.bucket(logit), times, len(out))
         return out.reshape(self.refine.shape)
 
@@ -290,8 +362,10 @@ class Mixer:
 
     def learn(self, symbols: Symbols, counts: list[np.ndarray], at_once: int = 1 << 14) -> None:
         """Learn from symbols at hand."""
+        left = logits_left(counts)
+
         def gather(what):
-            return sum(getattr(self, what)(part, np.ones(len(part)), counts)
+            return sum(getattr(self, what)(part, np.ones(len(part)), left)
                        for part in (symbols.pick(slice(i, i + at_once)) for i in range(0, len(symbols), at_once)))
         self.fit(gather)
 
@@ -310,20 +384,22 @@ class Model:
 
     def bits(self, symbols: Symbols) -> np.ndarray:
         """Bits that each symbol costs. Equal contexts are worked out once."""
-        order, cut = _equal(((symbols.word + symbols.symbol + np.uint64(1)) * _MIX + symbols.before) * _MIX)
-        first, times = order[cut], np.diff(np.append(cut, len(order)))
-        cost = [self._bits(symbols.pick(first[i:i + (1 << 15)])) for i in range(0, len(first), 1 << 15)]
+        order, first = _equal(symbols.code())
         out = np.empty(len(order))
-        out[order] = np.repeat(np.concatenate([np.empty(0), *cost]), times)
+        out[order] = np.repeat(self.each(symbols.pick(order[first])), np.diff(np.append(first, len(order))))
         return out
 
+    def each(self, symbols: Symbols) -> np.ndarray:
+        """Bits that each symbol costs, worked out one by one."""
+        return np.concatenate([np.empty(0), *(self._bits(symbols.pick(slice(i, i + AT_ONCE))) for i in range(0, len(symbols), AT_ONCE))])
+
     def _bits(self, symbols: Symbols) -> np.ndarray:
         likely = np.ones(len(symbols))      # product of twice each bit's probability
         last = (symbols.before & np.uint64(0xFF)).astype(np.int64) * _BUCKETS
         for known, bit in bits_of(symbols.symbol):
             logit = np.zeros(len(symbols), np.float32)
             for w, table, slot in zip(self.weights, self.logits, symbols.slots(known), strict=True):
-                logit += w[known] * table[slot]
+                logit += w.take(known) * table.take(slot)
             np.clip(logit, -_CLIP, _CLIP, out=logit)
             # half the mixed probability, half what was observed at such a logit
             seen = self.refined[bit * (256 * _BUCKETS) + last + Mixer.bucket(logit)]
@@ -345,58 +421,63 @@ class Scorer:
         self.tail = np.empty(0)                     # bits after the head
         self.logs = np.empty(0)                     # of its frequent words
         self.tokens = np.empty((2, 0), np.int64)    # all its words, the frequent ones
-        self.rare: list[tuple[int, ...]] = []       # keys of its other words
+        self.keys = np.empty(0, np.int64)           # of the other words, row by row
+        self.first = np.empty(0, np.int64)          # place of a row's first key
 
     def _learn(self, new: list[bytes]) -> None:
-        symbols, of = tail_symbols(new)
-        logs = [self.known.get(w) for w in new]
-        rare: list[tuple[int, ...]] = [() if x is not None else (word_key(w),) for w, x in zip(new, logs, strict=True)]
+        new.sort()                                  # words that begin alike share their symbols
+        symbols, of, place = tail_nodes(new)
+        words = [w[:-1] for w in new]
+        logs = list(map(self.known.get, words))
         tokens = np.ones((2, len(new)), np.int64)
-        for i in _odd(new):
-            words = new[i].rstrip(_END).split()
-            seen = [x for x in map(self.known.get, words) if x is not None]
-            logs[i], rare[i] = sum(seen), tuple(word_key(w) for w in words if w not in self.known)
-            tokens[0, i] = len(words)
-        tokens[1] = tokens[0] - [len(r) for r in rare]
-        self.rows.update(zip(new, range(len(self.rare), len(self.rare) + len(new)), strict=True))
-        self.tail = np.append(self.tail, np.bincount(of, self.model.bits(symbols), len(new)))
+        tokens[1] = rare = np.array([x is None for x in logs], np.int64)
+        odd = {i: words[i].rstrip(_END).split() for i in _odd(words)}
+        for i, own in odd.items():
+            seen = [x for x in map(self.known.get, own) if x is not None]
+            logs[i], tokens[0, i], rare[i] = sum(seen), len(own), len(own) - len(seen)
+        tokens[1] = tokens[0] - rare
+        others = [w for i in np.flatnonzero(rare).tolist()
+                  for w in ([x for x in odd[i] if x not in self.known] if i in odd else [words[i]])]
+        self.rows.update(zip(new, range(len(self.tail), len(self.tail) + len(new)), strict=True))
+        self.tail = np.append(self.tail, np.bincount(of, self.model.each(symbols)[place], len(new)))
         self.logs = np.append(self.logs, [x or 0.0 for x in logs])
         self.tokens = np.append(self.tokens, tokens, axis=1)
-        self.rare += rare
+        self.first = np.append(self.first, len(self.keys) + np.cumsum(rare) - rare)
+        self.keys = np.append(self.keys, word_keys(others))
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
         """Of each text: its bits, the logs of its frequent words, the numbers
         of all and of frequent words, and the keys of its other words."""
-        codes, owner = heads_of(texts)
-        order, cut = _equal(codes)
-        symbols, of = head_symbols(codes[order[cut]])
-        cost = np.bincount(of, self.model.bits(symbols), len(cut))
+        codes, owner, words = cut(texts)
+        order, first = _equal(codes)
+        symbols, of = head_symbols(codes[order[first]])
+        cost = np.bincount(of, self.model.bits(symbols), len(first))
         head = np.empty(len(codes))
-        head[order] = np.repeat(cost, np.diff(np.append(cut, len(order))))
-        words = list(map(words_of, texts))
+        head[order] = np.repeat(cost, np.diff(np.append(first, len(order))))
         if len(self.rows) > CACHE_WORDS:
             self.clear()
-        new = list(set().union(*words).difference(self.rows))
+        found = words.dictionary_encode()
+        different = bytes_of(found.dictionary)
+        new = [w for w in different if w not in self.rows]
         if new:
             self._learn(new)
-        row_of = self.rows.__getitem__
-        # a text has as many words as heads, in the same order
-        rows = np.fromiter(map(row_of, chain.from_iterable(words)), np.int64, len(codes))
+        rows = np.fromiter(map(self.rows.__getitem__, different), np.int64, len(different))[found.indices.to_numpy()]
         n = len(texts)
         bits = np.bincount(owner, head + self.tail[rows], n)
         logs = np.bincount(owner, self.logs[rows], n)
         tokens = np.stack([np.bincount(owner, t[rows], n) for t in self.tokens]).astype(np.int64)
-        odd = np.flatnonzero(self.tokens[0][rows] > self.tokens[1][rows])
-        flat = [w for r in rows[odd].tolist() for w in self.rare[r]]
+        odd = rows[self.tokens[0][rows] > self.tokens[1][rows]]
+        times = self.tokens[0][odd] - self.tokens[1][odd]
+        ends = np.cumsum(times)
+        flat = self.keys[np.arange(times.sum()) + np.repeat(self.first[odd] - ends + times, times)].tolist()
         ends = np.cumsum(tokens[0] - tokens[1]).tolist()
         return bits, logs, tokens, [flat[a:b] for a, b in zip([0, *ends], ends)]    # noqa: B905 - neighbours
 
 
-def word_key(word: bytes) -> int:
-    """What Spark's ``xxhash64`` gives for the word: rare words travel and join
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """What Spark's ``xxhash64`` gives for the words: rare words travel and join
     as 64-bit keys."""
-    h = xxhash.xxh64_intdigest(word, 42)
-    return h - (1 << 64) if h >> 63 else h
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words)).view(np.int64)
 
 
 def _odd(words: list[bytes]) -> list[int]:
@@ -420,19 +501,15 @@ def _count(train: DataFrame) -> DataFrame:
     def run(rows):
         forget("lm")        # a scorer that this worker may still hold
         for batch in _slices(rows, COUNTED_AT_ONCE):
-            texts = [t.lower() for t in batch.column(0).to_pylist()]
-            found: Counter = Counter()
-            codes = []
-            for k in range(0, len(texts), TEXTS_AT_ONCE):
-                part = texts[k:k + TEXTS_AT_ONCE]
-                for t in part:
-                    found.update(words_of(t))
-                codes.append(heads_of(part)[0])
-            heads, n = np.unique(np.concatenate(codes), return_counts=True)
+            codes, _, words = cut([t.lower() for t in bytes_of(batch.column(0))])
+            heads, n = np.unique(codes, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(heads), pa.binary()), pa.array(heads.view(np.int64)),
                                               pa.array(n, pa.int64())], schema=schema)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.nulls(len(found), pa.int64()),
-                                              pa.array(list(found.values()), pa.int64())], schema=schema)
+            found = words.dictionary_encode()
+            n = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
+            different = [w.removesuffix(b" ") for w in bytes_of(found.dictionary)]
+            yield pa.RecordBatch.from_arrays([pa.array(different, pa.binary()), pa.nulls(len(different), pa.int64()),
+                                              pa.array(n, pa.int64())], schema=schema)
 
     return train.mapInArrow(run, "word binary, code long, n long")
 
@@ -443,7 +520,7 @@ def _tokens(items: DataFrame) -> DataFrame:
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def make(batch):
-        words, n = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        words, n = bytes_of(batch.column(0)), batch.column(1).to_pylist()
         odd = _odd(words)
         out = [(x, n[i]) for i in odd for x in (*words[i].rstrip(_END).split(), *([_END] if words[i].endswith(_END) else []))]
         for i in reversed(odd):
@@ -455,14 +532,30 @@ def _tokens(items: DataFrame) -> DataFrame:
 
 
 def _symbols(rows):
-    """The symbols of words and word boundaries, and how often each occurs."""
-    for batch in _slices(rows, WORDS_AT_ONCE):
-        words, codes, n = batch.column(0), batch.column(1), batch.column(2).to_numpy()
-        at_word = np.asarray(words.is_valid())
+    """The symbols of words and word boundaries, and how often each occurs:
+    equal ones that follow each other, as in sorted words, once."""
+    for batch in _gathered(rows, WORDS_AT_ONCE):
+        words, codes, n = batch.column("word"), batch.column("code"), batch.column("n").to_numpy()
+        at_word = words.is_valid().to_numpy(zero_copy_only=False)
         symbols, of = head_symbols(codes.filter(words.is_null()).to_numpy().view(np.uint64))
-        yield symbols, n[~at_word][of]
-        symbols, of = tail_symbols(words.drop_null().to_pylist())
-        yield symbols, n[at_word][of]
+        yield merged(symbols, n[~at_word][of])
+        symbols, of, place = tail_nodes(_ended(bytes_of(words.drop_null())))
+        times = np.zeros(len(symbols), np.int64)
+        np.add.at(times, place, n[at_word][of])
+        yield symbols, times
+
+
+def _gathered(rows, at_least: int):
+    """Batches put together until they have enough rows."""
+    held, n = [], 0
+    for batch in rows:
+        held.append(batch)
+        n += len(batch)
+        if n >= at_least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def _tables(items: DataFrame) -> DataFrame:
@@ -516,7 +609,7 @@ def _sum_tables(tables: DataFrame) -> list[np.ndarray]:
 
 def _learn_mixer(items: DataFrame, counts: list[np.ndarray]) -> Mixer:
     """Learn the gate and the refining table over all training texts."""
-    mixer, shared = Mixer(), items.sparkSession.sparkContext.broadcast(counts)
+    mixer, shared = Mixer(), items.sparkSession.sparkContext.broadcast(logits_left(counts))
 
     def gather(what):
         held = mixer.weights
@@ -525,8 +618,9 @@ def _learn_mixer(items: DataFrame, counts: list[np.ndarray]) -> Mixer:
             mixer, total = Mixer(), 0
             mixer.weights = held
             for symbols, times in _symbols(rows):
-                for i in range(0, len(symbols), 1 << 14):
-                    total = total + getattr(mixer, what)(symbols.pick(slice(i, i + (1 << 14))), times[i:i + (1 << 14)], shared.value)
+                for i in range(0, len(symbols), MIXED_AT_ONCE):
+                    part = slice(i, i + MIXED_AT_ONCE)
+                    total = total + getattr(mixer, what)(symbols.pick(part), times[part], shared.value)
             found = np.ravel(total)
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "sum": found[at].astype(float)})
@@ -555,7 +649,8 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     chosen = ~held_out(id_col) if train_on is None else train_on
     counted = _count(docs.where(chosen).select(utf8(text_col)))
-    items = materialize(counted.groupBy("word", "code").agg(F.sum("n").alias("n")), "lm-items")
+    # sorted, so that words that begin alike share the work on their symbols
+    items = materialize(counted.groupBy("word", "code").agg(F.sum("n").alias("n")).sort("word", "code"), "lm-items")
     words = materialize(_tokens(items).groupBy("word").agg(F.sum("n").alias("n"))
                         .withColumn("key", F.xxhash64("word")), "lm-words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -579,7 +674,7 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         mixer = Mixer()
         mixer.weights, mixer.refine = weights, refine
         scorer = worker_state(("lm", version), lambda: Scorer(Model(logits, mixer), known), only="lm")
-        texts = [t.lower() for t in texts.to_pylist()]
+        texts = [t.lower() for t in bytes_of(texts)]
         bits, logs, (all_, frequent_), rest = scorer.score(texts)
         return {"n_tokens": all_ + 1, "n_known": frequent_ + (end > 0), "score": -bits * math.log10(2),
                 "base_score": logs + end_log - (all_ + 1) * denominator,

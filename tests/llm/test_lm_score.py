@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from cases import documents, edge_docs, edge_rows, empty_docs
 from tagwright.llm import lm_score as M
@@ -133,3 +134,53 @@ def test_gate_and_refinement_learn_from_every_training_text(spark):
     plain = M.Mixer()
     plain.learn(M.Symbols(*(np.concatenate([getattr(p, f) for p in (heads, tails)]) for f in ("before", "word", "symbol"))), counts)
     assert np.allclose(plain.weights, mixer.weights, atol=1e-4) and np.allclose(plain.refine, mixer.refine, atol=2)
+
+
+def test_symbols_shared_by_words_are_worked_out_once():
+    """Sorted words share the symbols of their common beginnings, so a pass of
+    the gate takes each symbol under its context once, with all its times."""
+    texts = [f"the thing thingness thinning {i} thing{i}".encode() for i in range(300)]
+    count = Counter(w for t in texts for w in M.words_of(t))
+    codes, n = np.unique(M.heads_of(texts)[0], return_counts=True)
+    words = sorted(count)
+    batch = pa.RecordBatch.from_pydict({"word": pa.array([None] * len(codes) + words, pa.binary()),
+                                        "code": pa.array(codes.view(np.int64).tolist() + [None] * len(words), pa.int64()),
+                                        "n": pa.array(n.tolist() + [count[w] for w in words], pa.int64())})
+    got = Counter()
+    for symbols, times in M._symbols(batch.slice(k, 100) for k in range(0, len(batch), 100)):
+        keys = list(zip(symbols.before.tolist(), symbols.word.tolist(), symbols.symbol.tolist(), strict=True))
+        assert len(set(keys)) == len(keys)
+        got.update(dict(zip(keys, times.tolist(), strict=True)))
+    assert sum(got.values()) == sum(len(t) + 1 for t in texts)
+    every = [M.head_symbols(M.heads_of(texts)[0])[0], M.tail_symbols([w for t in texts for w in M.words_of(t)])[0]]
+    assert got == Counter(x for s in every for x in zip(s.before.tolist(), s.word.tolist(), s.symbol.tolist(), strict=True))
+
+
+def test_slopes_are_those_of_the_cost():
+    counts, _ = model_of(TEXTS)
+    symbols, of = M.head_symbols(M.heads_of(TEXTS)[0])
+    symbols, times = M.merged(symbols, np.ones(len(of), np.int64))
+    mixer, plain = M.Mixer(), np.zeros((M._SLOPES, 256))
+    for before, word, symbol, n in zip(symbols.before, symbols.word, symbols.symbol, times, strict=True):
+        for known, bit in M.bits_of(np.array([symbol])):
+            slots = M.Symbols(np.array([before]), np.array([word]), np.array([symbol])).slots(known)
+            x = []
+            for table, slot in zip(counts.seen, slots, strict=True):
+                seen = table[:, slot[0]].copy()
+                seen[bit[0]] -= 1                       # without this occurrence
+                x.append(math.log((seen[1] + M._PRIOR) / (seen[0] + M._PRIOR)))
+            p = 1 / (1 + math.exp(-0.3 * sum(x)))
+            rows = [-math.log(p if bit[0] else 1 - p), *((p - bit[0]) * a for a in x),
+                    *(p * (1 - p) * x[i] * x[j] for i, j in M._PAIRS)]
+            plain[:, known[0]] += n * np.array(rows)
+    assert np.allclose(mixer.slopes(symbols, times, M.logits_left(counts.seen)), plain)
+
+
+def test_a_text_is_cut_where_python_cuts_it():
+    texts = [b"", b" ", b"  x", b"one two\tthree", "\u00e9t\u00e9 l\u00e0 ".encode(), b"\xff a\xff b", b"last"]
+    codes, owner, words = M.cut(texts)
+    assert M.bytes_of(words) == [w for t in texts for w in [x + b" " for x in t.split(b" ")[:-1]] + [t.split(b" ")[-1] + M._END]]
+    assert owner.tolist() == [i for i, t in enumerate(texts) for _ in t.split(b" ")]
+    assert M.bytes_of(words.slice(3, 4)) == M.bytes_of(words)[3:7] and M.bytes_of(words[:0]) == []
+    for i, t in enumerate(texts):       # a text's codes do not depend on its neighbours
+        assert codes[owner == i].tolist() == M.heads_of([t])[0].tolist()
