@@ -181,3 +181,56 @@ def test_sparse_and_dense_products_agree():
     assert np.allclose(x.times(w), x.dense() @ w) and np.allclose(x.back(e), x.dense().T @ e)
     assert np.allclose(x.sums(1), x.dense().sum(axis=0)) and np.allclose(x.sums(2), (x.dense() ** 2).sum(axis=0))
     assert x.times(w[:, :0]).shape == (3, 0) and x.back(e[:, :0]).shape == (7, 0)
+
+
+def long_texts(spark):
+    """Counts of very different size, and answers that they hardly tell."""
+    from pyspark.ml.linalg import Vectors
+    rng = np.random.default_rng(5)
+    out = []
+    for i in range(1500):
+        at = np.sort(rng.choice(40, int(rng.integers(2, 25)), False))
+        long = 10.0 ** rng.uniform(0, 1.5) if i % 20 == 0 else 1.0
+        out.append((i, float(rng.random() < 0.8), i % 3, Vectors.sparse(40, at.tolist(), (long * rng.integers(1, 4, len(at))).tolist())))
+    return spark.createDataFrame(out, ["doc_id", "label", "fold", "features"])
+
+
+def test_few_models_need_few_passes(spark, monkeypatch):
+    """Among long texts, whose answers turn in one step, the end test takes a few passes
+    (by L-BFGS over 70); rows held by the tasks or summed up in them do not matter."""
+    blocks = blocks_of(long_texts(spark))
+    found = []
+    for held in (PA.ROWS_HELD, 0):
+        monkeypatch.setattr(PA, "ROWS_HELD", held)
+        paths = PA.fit_paths(blocks, 40, [1.0], [0, PA.ALL], max_iter=1000, tol=1e-5, slack=0.01)
+        assert paths.finished.all() and paths.violations(0.02).sum() == 0 and paths.steps <= 20
+        found.append(paths.weights)
+    assert np.allclose(*found, atol=1e-4)
+
+
+def test_newton_and_lbfgs_end_at_the_same_weights(spark, monkeypatch):
+    data, vocab = small_features(spark)
+    blocks = blocks_of(data)
+    newton = PA.fit_paths(blocks, len(vocab), [10.0, 40.0], [0, PA.ALL], max_iter=500, tol=1e-6)
+    monkeypatch.setattr(PA, "NEWTON", 0)
+    monkeypatch.setattr(PA, "HELD", 0)
+    lbfgs = PA.fit_paths(blocks, len(vocab), [10.0, 40.0], [0, PA.ALL], max_iter=500, tol=1e-6)
+    assert newton.finished.all() and newton.steps < lbfgs.steps
+    assert np.allclose(newton.weights[:-1], lbfgs.weights[:-1], atol=1e-3)
+
+
+def test_curvature_is_that_of_the_loss(spark, monkeypatch):
+    """Summed over tasks, for each model's own rows; where a margin has turned, at least what it met."""
+    data = long_texts(spark).limit(90)
+    monkeypatch.setattr(PA, "BLOCK", 7)
+    blocks = blocks_of(data).repartition(3)
+    rng = np.random.default_rng(6)
+    now, own, deviation = rng.normal(size=(41, 2)) / 10, np.array([0, PA.ALL]), rng.uniform(1, 2, 41)
+    x = np.array([[*r["features"].toArray(), 1] for r in data.collect()])
+    f = np.array([r["fold"] for r in data.collect()])
+    for b, h in enumerate(PA._curvatures(blocks, now, now, own, deviation, 3)):
+        p, mine = 1 / (1 + np.exp(-np.clip(x @ (now[:, b] / deviation), -500, 500))), f != own[b]
+        want = ((x / deviation).T * (p * (1 - p) * mine)) @ (x / deviation) / mine.sum()
+        assert np.allclose(h, want[np.triu_indices(41)], rtol=1e-3, atol=1e-4 * np.abs(want).max())
+    one = np.array([[1.0]])
+    assert PA._bent(one, np.zeros(1, int), 50 * one, -50 * one, np.array([1]))[0, 0] == 1 / 100
